@@ -6,7 +6,9 @@ import importlib
 
 _OPS = {
     "op1_source_mix": "mixing",
+    "op5_lexical_packing": "lexical_packing",
     "op6_line_frequency": "quality_rules",
+    "op9_token_files": "token_files",
     "op10_warc_archive": "warc",
 }
 
