@@ -6,6 +6,8 @@ import importlib
 
 _OPS = {
     "op1_source_mix": "mixing",
+    "op2_attention_quality": "attention_quality",
+    "op3_kneser_ney_toxicity": "kneser_ney",
     "op5_lexical_packing": "lexical_packing",
     "op6_line_frequency": "quality_rules",
     "op9_token_files": "token_files",
