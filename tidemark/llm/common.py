@@ -29,7 +29,8 @@ def shared_root(spark: SparkSession) -> str:
         root = spark.sparkContext.getCheckpointDir()
         if not root:
             root = tempfile.mkdtemp(prefix="tidemark-")
-            spark.sparkContext.setCheckpointDir(root)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 

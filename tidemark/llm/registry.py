@@ -10,6 +10,7 @@ _OPS = {
     "op3_kneser_ney_toxicity": "kneser_ney",
     "op5_lexical_packing": "lexical_packing",
     "op6_line_frequency": "quality_rules",
+    "op8_probminhash_dedup": "probminhash",
     "op9_token_files": "token_files",
     "op10_warc_archive": "warc",
 }
