@@ -8,6 +8,7 @@ _OPS = {
     "op1_source_mix": "mixing",
     "op2_attention_quality": "attention_quality",
     "op3_kneser_ney_toxicity": "kneser_ney",
+    "op4_substring_dedup": "substring_dedup",
     "op5_lexical_packing": "lexical_packing",
     "op6_line_frequency": "quality_rules",
     "op8_probminhash_dedup": "probminhash",
@@ -21,6 +22,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.llm import quality_rules, warc
+    from tidemark.llm import quality_rules, substring_dedup, warc
 
-    return {"op6_line_frequency": quality_rules.OP6_SQL, "op10_warc_archive": warc.OP10_SQL}
+    return {"op4_substring_dedup": substring_dedup.OP4_SQL, "op6_line_frequency": quality_rules.OP6_SQL, "op10_warc_archive": warc.OP10_SQL}
