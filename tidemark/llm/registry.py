@@ -11,6 +11,7 @@ _OPS = {
     "op4_substring_dedup": "substring_dedup",
     "op5_lexical_packing": "lexical_packing",
     "op6_line_frequency": "quality_rules",
+    "op7_embedding_pigeonhole": "embedding_dedup",
     "op8_probminhash_dedup": "probminhash",
     "op9_token_files": "token_files",
     "op10_warc_archive": "warc",
