@@ -92,11 +92,13 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min
     d = d.join(F.broadcast(hot) if small else hot, "qr_host", "left")
     t = F.coalesce(F.col(text), F.lit(""))
     left = F.array_join(F.filter(_lines(t), lambda x: ~_solid(x) | ~F.array_contains("qr_hot", F.xxhash64(_norm(x)))), "\n")
-    d = d.withColumn("qr_text", F.when(F.col("qr_hot").isNull(), t).otherwise(left))
+    # A filter on qr_kept that moved below this projection would compute the arrays
+    # above again for each of their elements; the row mark holds it here.
+    d = d.withColumns({"qr_text": F.when(F.col("qr_hot").isNull(), t).otherwise(left), "qr_mark": F.monotonically_increasing_id()})
     same = F.length("qr_text") == F.length(t)
     d = d.withColumn("qr_left", F.when(same, F.col("qr_n_words")).otherwise(F.regexp_count("qr_text", F.lit(WORD)).cast("long")))
-    kept = ~F.col("qr_base_failed") & (F.col("qr_left") >= min_left * F.col("qr_n_words"))
-    return d.withColumn("qr_kept", kept).drop("qr_host", "qr_hot")
+    kept = ~F.col("qr_base_failed") & (F.col("qr_left") >= min_left * F.col("qr_n_words")) & (F.col("qr_mark") >= 0)
+    return d.withColumn("qr_kept", kept).drop("qr_host", "qr_hot", "qr_mark")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

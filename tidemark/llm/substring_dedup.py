@@ -247,9 +247,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """Documents without their repeated words; the columns of documents."""
-    d = remove_repeats(docs)
-    new = {"text": F.col("sd_text"), "n_chars": F.length("sd_text").cast("long")}
+    """Documents without their repeated words, the columns of documents.  A
+    text that loses nothing stays as it is, white space included."""
+    d = remove_repeats(docs.withColumn("was", F.col("text")))
+    text = F.when(F.col("sd_removed") == 0, F.col("was")).otherwise(F.col("sd_text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
     return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 

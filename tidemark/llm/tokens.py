@@ -36,7 +36,7 @@ def _byte_chars() -> dict[int, str]:
 class Encoder:
     """encode(texts) gives (ids of all texts in a row, number of each)."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
