@@ -147,7 +147,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ke
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{name}.ids")
-                ids, n = with_end(*enc.encode(col.to_pylist()), end_id)
+                ids, n = with_end(*enc.encode(col), end_id)
                 out.write(ids.astype(f"<u{width}").tobytes())
                 keys += rows.column(0).to_pylist()
                 counts.append(n)

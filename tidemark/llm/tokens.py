@@ -3,14 +3,15 @@
 A byte-level BPE never merges across the pieces its pre-tokenizer cuts, and
 those never reach from a word into the white space after it.  So a text can be
 cut before each run of white space and the cuts encoded on their own.  Cuts
-that were seen before come from a bounded cache; new ones go through the
-library's BPE model many at a time.  Texts for which the cut might not be
+that were seen before come from a bounded cache, keyed by a 128-bit hash; new
+ones go through the library's BPE model many at a time.  Texts for which the cut might not be
 exact (unusual white space, text that is not NFC, special tokens spelled out)
 go through the whole tokenizer instead.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import os
@@ -18,9 +19,12 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　Σ᠎]")
-_CUT = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+from tidemark.llm.textops import hash_spans, raw, words
+
+_ODD = re.compile("[\\x00\\x1c-\\x1f\\x85\\xa0\\u0130\\u1680\\u180e\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 # The patterns of the two public pre-tokenizers.
 _BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,12 +55,15 @@ class Encoder:
         if self.style:
             suffix = spec["model"].get("end_of_word_suffix") or ""
             self.piece = regex.compile(_WORD_PIECES if self.style == "word" else _BYTE_PIECES).findall
+            # Every piece comes once, so the model's own cache would only cost.
             core = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}
             self.core = Tokenizer.from_str(json.dumps(core))
+            with contextlib.suppress(AttributeError):
+                self.core.model._resize_cache(0)
             self.size = np.zeros(self.vocab_size, np.int64)
             for token, i in self.core.get_vocab().items():
                 self.size[i] = len(token) - (len(suffix) if suffix and token.endswith(suffix) else 0)
-            self.chars = _byte_chars()
+            self.chars = _byte_chars() | {0: " "}
         self._reset()
 
     @staticmethod
@@ -74,68 +81,99 @@ class Encoder:
         return ""
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[tuple[int, int], int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _exact(self, text: str) -> bool:
         return not (_ODD.search(text) or any(s in text for s in self.specials)) and (self.style == "byte" or unicodedata.is_normalized("NFC", text))
 
-    def _learn(self, new: list[str]) -> None:
-        chars, total = self.chars, 0
-        ends, line = np.empty(len(new), np.int64), []
-        for i, unit in enumerate(new):
-            for p in self.piece(unit):
-                p = p.encode().decode("latin1").translate(chars)
-                line.append(p)
-                total += len(p)
-            ends[i] = total
-        ids = np.array(self.core.encode(" ".join(line), add_special_tokens=False).ids, np.int64)
-        upto = np.cumsum(self.size[ids])
-        cuts = np.searchsorted(upto, ends, "right")
-        if len(ids) and (upto[-1] != total or (cuts[cuts > 0] > 0).any() and not np.array_equal(upto[cuts[cuts > 0] - 1], ends[cuts > 0])):
-            each = [e.ids for e in self.whole.encode_batch_fast(new, add_special_tokens=False)]
-            ids, cuts = np.array([x for e in each for x in e], np.int64), np.cumsum([len(e) for e in each])
+    def _pieces(self, cuts: list[str]) -> list[str]:
+        if self.style == "word":
+            return self.piece(" ".join(cuts))
+        # Cuts that begin with one space make up a text that falls into them again.
+        out: list[str] = []
+        plain = 0
+        for i, c in enumerate(cuts):
+            if len(c) < 2 or c[0] != " " or c[1] in " \t\n\r\x0b\x0c":
+                out += self.piece("".join(cuts[plain:i]))
+                out += self.piece(c)
+                plain = i + 1
+        return out + self.piece("".join(cuts[plain:]))
+
+    def _learn(self, keys: list[tuple[int, int]], new: list[bytes]) -> None:
+        """Encodes new cuts; their pieces hold all their bytes, and a byte is
+        one character of the vocabulary, so lengths tell which ids are whose."""
+        cuts = [c.decode() for c in new]
+        line = "\0".join(self._pieces(cuts)).encode().decode("latin1").translate(self.chars)
+        ids = np.array(self.core.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum([len(c) for c in new])
+        upto = np.concatenate([[0], np.cumsum(self.size[ids])])
+        upper = np.searchsorted(upto, ends)
+        if not np.array_equal(upto[np.minimum(upper, len(ids))], ends):
+            each = [e.ids for e in self.whole.encode_batch_fast(cuts, add_special_tokens=False)]
+            ids, upper = np.array([x for e in each for x in e], np.int64), np.cumsum([len(e) for e in each])
         k, n = len(self.index), len(new)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while k + n > len(self.at):
             self.at, self.n = np.concatenate([self.at, np.empty_like(self.at)]), np.concatenate([self.n, np.empty_like(self.n)])
         self.flat[self.used : self.used + len(ids)] = ids
-        before = np.concatenate([[0], cuts[:-1]])
+        before = np.concatenate([[0], upper[:-1]])
         self.at[k : k + n] = self.used + before
-        self.n[k : k + n] = cuts - before
+        self.n[k : k + n] = upper - before
         self.used += len(ids)
-        self.index.update(zip(new, range(k, k + n), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        counts, units, owner, plain = np.zeros(len(texts), np.int64), [], [], {}
-        for i, t in enumerate(texts):
+        self.index.update(zip(keys, range(k, k + n), strict=True))
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of an array (or list) of strings without nulls."""
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        col = col.cast(pa.large_string())
+        plain = {}
+        strings = col.to_pylist()
+        for i, t in enumerate(strings):
             if not self.style or not self._exact(t):
                 plain[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
-                counts[i] = len(plain[i])
-                owner.append(0)
-                continue
-            u = t.lower().split() if self.style == "word" else _CUT.findall(t)
-            units += u
-            owner.append(len(u))
+        if plain:
+            mask = np.zeros(len(col), bool)
+            mask[list(plain)] = True
+            col = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), col)
+        if self.style == "word":
+            col = pc.utf8_lower(col)
+        data, off = raw(col)
+        start, end, row = words(data, off)
+        if self.style == "byte":  # with the white space before; what is left at a text's end is a cut of its own
+            first = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+            start = np.where(first, off[row], np.concatenate([[0], end[:-1]])[: len(end)])
+            tail = off[:-1].copy()
+            np.maximum.at(tail, row, end)
+            rest = np.flatnonzero(tail < off[1:])
+            at = np.searchsorted(row, rest, "right")
+            start, end, row = np.insert(start, at, tail[rest]), np.insert(end, at, off[1:][rest]), np.insert(row, at, rest)
+        one, which = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)[1:]
+        a, b = start[one], end[one]
+        keys = list(zip(hash_spans(data, a, b).tolist(), hash_spans(data[::-1], len(data) - b, len(data) - a).tolist(), strict=True))
         if len(self.index) > self.cache:
             self._reset()
-        new = list(set(units).difference(self.index))
+        held = [self.index.get(k, -1) for k in keys]
+        new = [i for i, x in enumerate(held) if x < 0]
+        text = data.tobytes()
         for i in range(0, len(new), 2000):
-            self._learn(new[i : i + 2000])
-        which = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        n = self.n[which]
+            part = new[i : i + 2000]
+            self._learn([keys[j] for j in part], [text[a[j] : b[j]] for j in part])
+        base = len(self.index) - len(new)
+        slot = np.array(held, np.int64)
+        slot[new] = base + np.arange(len(new))
+        slot = slot[which]
+        n = self.n[slot]
         upto = np.cumsum(n)
-        ids = self.flat[np.repeat(self.at[which] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = np.concatenate([[0], upto])[np.cumsum(owner, dtype=np.int64)] if owner else np.empty(0, np.int64)
-        fast = np.diff(ends, prepend=0)
+        ids = self.flat[np.repeat(self.at[slot] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        fast = np.bincount(row, n, len(strings)).astype(np.int64)
         if not plain:
             return ids, fast
-        starts, parts = ends - fast, []
-        for i in range(len(texts)):
-            parts.append(plain[i] if i in plain else ids[starts[i] : ends[i]])
-        return np.concatenate(parts), np.where(fast > 0, fast, counts)
+        ends = np.cumsum(fast)
+        parts = [plain[i] if i in plain else ids[ends[i] - fast[i] : ends[i]] for i in range(len(strings))]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
 @functools.lru_cache(maxsize=2)
