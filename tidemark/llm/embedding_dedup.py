@@ -229,3 +229,14 @@ def similarity_join(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
 def op7_embedding_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.a, r.c FROM p JOIN r ON p.b = r.a),
+m AS (SELECT a, min(c) AS c FROM r GROUP BY a), k AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT v.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, m.c AS component_id, m.c = v.vec_id AS kept
+FROM v JOIN m ON v.vec_id = m.a LEFT JOIN k ON v.vec_id = k.a
+"""

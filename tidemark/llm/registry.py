@@ -23,6 +23,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.llm import quality_rules, substring_dedup, warc
-
-    return {"op4_substring_dedup": substring_dedup.OP4_SQL, "op6_line_frequency": quality_rules.OP6_SQL, "op10_warc_archive": warc.OP10_SQL}
+    from tidemark.llm import embedding_dedup, quality_rules, substring_dedup, warc
+
+    return {
+        "op4_substring_dedup": substring_dedup.OP4_SQL,
+        "op6_line_frequency": quality_rules.OP6_SQL,
+        "op7_embedding_pigeonhole": embedding_dedup.OP7_SQL,
+        "op10_warc_archive": warc.OP10_SQL,
+    }
