@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,15 +111,25 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, col in slices(batch):
             low, row, first, n, hits = stretches(col)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(low), piece.column(0).take(take), piece.column(1).take(take), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(hits)], ["low", "ord", "th", "first", "n", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array(low), piece.column(0).take(take), piece.column(1).take(take), pa.array(first << 16 | n), pa.array(hits)], ["low", "ord", "th", "at", "hits"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (ord, th, text, parts): the words of each part."""
-    names = ["key", "seg", "ord", "th", "first", "n"]
+    """Rows (ord, th, text, parts): the words of each part.  Windows of hot
+    minimisers are collapsed here to the earliest, before they are shuffled."""
+    names = ["key", "seg", "ord", "th", "at"]
+    hot: dict[bytes, tuple[int, int, int]] = {}
 
     def out(cols: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        segs = list(hot)
+        for i in range(0, len(segs), 20_000):
+            part = segs[i : i + 20_000]
+            keys = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in part]
+            yield out([keys, [x.decode() for x in part], *map(list, zip(*[hot[x] for x in part], strict=True))])
+        hot.clear()
 
     for batch in batches:
         cols: list[list] = [[] for _ in names]
@@ -126,42 +137,61 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for o, th, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             w = text.as_py().encode().split()
             for p in parts:
-                low, first, n = p["low"], p["first"], p["n"]
-                for at, m in [(first + i, 1) for i in range(n)] if p["hot"] else [(first, n)]:
-                    seg = b" ".join(w[at : at + m + WINDOW - 1])
-                    if p["hot"]:
-                        low = int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True)
-                    for c, v in zip(cols, (low, seg.decode(), o, th, at, m), strict=True):
-                        c.append(v)
-                    size += len(seg)
-                if size > 4 << 20:
-                    yield out(cols)
-                    cols, size = [[] for _ in names], 0
+                first, n = p["at"] >> 16, p["at"] & 0xFFFF
+                if p["hot"]:
+                    for i in range(first, first + n):
+                        seg, now = b" ".join(w[i : i + WINDOW]), (o, th, i << 16 | 1)
+                        was = hot.get(seg)
+                        if was is None or now < was:
+                            hot[seg] = now
+                    continue
+                seg = b" ".join(w[first : first + n + WINDOW - 1])
+                for c, v in zip(cols, (p["low"], seg.decode(), o, th, p["at"]), strict=True):
+                    c.append(v)
+                size += len(seg)
+            if size > 4 << 20:
+                yield out(cols)
+                cols, size = [[] for _ in names], 0
+            if len(hot) > 100_000:
+                yield from flush()
         if cols[0]:
             yield out(cols)
+    if hot:
+        yield from flush()
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, seg, ord, th, first, n) sorted by key: an index for every few
-    hundred thousand words, never cutting a key."""
+    """Rows (key, seg, ord, th, at) in this order: equal stretches collapse to
+    their first row; an index for every few hundred thousand words of different
+    stretches, never cutting a key."""
     held: list[pa.RecordBatch] = []
+    seen = ""
 
     def flush() -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         ids = np.stack([t[c].to_numpy() for c in ("ord", "th")])
         order = np.unique(ids, axis=1, return_inverse=True)[1].ravel()
-        n = t["n"].to_numpy().astype(np.int64)
+        at = t["at"].to_numpy()
         seg = pa.concat_arrays(t["seg"].chunks).cast(pa.large_string())
-        flags = shard_windows(seg, order, t["first"].to_numpy().astype(np.int64), n)
+        flags = shard_windows(seg, order, at >> 16, at & 0xFFFF)
         packed = [np.packbits(f, bitorder="little").tobytes() for f in flags]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(t[c].chunks) for c in ("ord", "th", "first", "n")] + [pa.array(packed, pa.binary())], ["ord", "th", "first", "n", "flags"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(t[c].chunks) for c in ("ord", "th", "at")] + [pa.array(packed, pa.binary())], ["ord", "th", "at", "flags"])
 
     words, last = 0, None
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        before = pa.concat_arrays([pa.array([seen], pa.string()), batch.column(1).slice(0, batch.num_rows - 1).cast(pa.string())])
+        seen = batch.column(1)[batch.num_rows - 1].as_py()
+        new = pc.not_equal(batch.column(1).cast(pa.string()), before).to_numpy(zero_copy_only=False)
+        key = batch.column(0).to_numpy()
+        new[0] |= key[0] != last
+        new[1:] |= key[1:] != key[:-1]
+        batch = batch.filter(pa.array(new))
         if not batch.num_rows:
             continue
         key = batch.column(0).to_numpy()
-        size = np.cumsum(batch.column(5).to_numpy().astype(np.int64) + WINDOW)
+        size = np.cumsum((batch.column(4).to_numpy() & 0xFFFF) + WINDOW)
         at = 0
         for b in np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, batch.num_rows):
             start = int(size[at - 1]) if at else 0
@@ -192,9 +222,10 @@ def _apply():
                         continue
                     again = np.zeros(len(w) + 1, bool)
                     for p in parts:
-                        again[p["first"] : p["first"] + p["n"]] = True
+                        again[p >> 16 : (p >> 16) + (p & 0xFFFF)] = True
                     for p in found or ():
-                        again[p["first"] : p["first"] + p["n"]] = np.unpackbits(np.frombuffer(p["flags"], np.uint8), count=p["n"], bitorder="little")
+                        first, n = p["at"] >> 16, p["at"] & 0xFFFF
+                        again[first : first + n] = np.unpackbits(np.frombuffer(p["flags"], np.uint8), count=n, bitorder="little")
                     step = np.zeros(len(w) + 1, np.int64)
                     at = np.flatnonzero(again)
                     step[at] += 1
@@ -229,20 +260,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     cols = [c for c in docs.columns if not c.startswith("sd_")]
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(t).alias("th"), t.alias("text"), *[F.col(c).alias(f"sd_{c}") for c in cols if c != text])
-    slim = d.select("ord", "th", "text")
-    marks = slim.mapInArrow(_mark, "low long, ord long, th long, first int, n int, hits long")
+    rest = [c for c in d.columns if c not in ("ord", "th", "text")]
+    marks = d.select("ord", "th", "text").mapInArrow(_mark, "low long, ord long, th long, at long, hits long")
     shared = marks.groupBy("low").agg(F.sum("hits").alias("c")).filter("c > 1").select("low", (F.col("c") > HOT).alias("hot"))
-    parts = marks.join(shared, "low").groupBy("ord", "th").agg(F.collect_list(F.struct("low", "first", "n", "hot")).alias("parts"))
-    known = slim.join(parts, ["ord", "th"])
-    segs = known.select("ord", "th", "text", "parts").mapInArrow(_cut, "key long, seg string, ord long, th long, first int, n int")
-    reps = segs.groupBy("key", "seg").agg(F.min(F.struct("ord", "th", "first", "n")).alias("o")).select("key", "seg", "o.*")
-    flags = reps.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_search, "ord long, th long, first int, n int, flags binary")
-    found = flags.groupBy("ord", "th").agg(F.collect_list(F.struct("first", "n", "flags")).alias("found"))
+    parts = marks.join(shared, "low").groupBy("ord", "th").agg(F.collect_list(F.struct("low", "at", "hot")).alias("parts"))
+    # Both joins below read the same columns, so the texts are shuffled once and the exchange is reused.
+    known = d.join(parts, ["ord", "th"]).select("ord", "th", "text", "parts", *rest)
+    segs = known.mapInArrow(_cut, "key long, seg string, ord long, th long, at long")
+    flags = segs.repartition(n, "key").sortWithinPartitions("key", "seg", "ord", "th", "at").mapInArrow(_search, "ord long, th long, at long, flags binary")
+    found = flags.groupBy("ord", "th").agg(F.collect_list(F.struct("at", "flags")).alias("found"))
     all_ = d.join(parts, ["ord", "th"], "left").join(found, ["ord", "th"], "left")
-    rest = [c for c in d.columns if c not in ("ord", "th", "text")]
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + ["sd_words long, sd_removed long, sd_text string, sd_spans array<struct<start:bigint,end:bigint>>"])
-    out = all_.select("ord", "th", "text", F.transform("parts", lambda p: F.struct(p["first"].alias("first"), p["n"].alias("n"))).alias("parts"), "found", *rest).mapInArrow(_apply(), schema)
+    out = all_.select("ord", "th", "text", F.transform("parts", lambda p: p["at"]).alias("parts"), "found", *rest).mapInArrow(_apply(), schema)
     return out.select(*[F.col(f"sd_{c}").alias(c) for c in cols if c != text], "sd_words", "sd_removed", "sd_text", "sd_spans")
 
 
