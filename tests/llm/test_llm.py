@@ -244,6 +244,50 @@ def test_packing_prefers_lexical_neighbours():
     assert {d % 2 for d, _, _ in seqs[0]} == {0}
 
 
+def test_packing_searches_all_documents(spark):
+    """Each topic's documents arrive in different partitions, far apart."""
+    path = tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(11)
+    topics = [[f"{a}{b}" for b in ("ba", "de", "ki", "lo", "mu", "po", "ra", "su", "ti", "zo")] for a in ("al", "ber", "cor", "dun", "fer", "gol", "hin", "jor")]
+    rows = [(i, " ".join(rng.choice(topics[i % 8]) for _ in range(20)), "s") for i in range(320)]
+    out = lexical_packing.pack_documents(docs(spark, rows).repartition(16, "doc_id"), path, window=256, shard_docs=16).collect()
+    assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+    seqs: dict = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append(r.doc_id % 8)
+    same = sum(Counter(s).most_common(1)[0][1] for s in seqs.values())
+    assert same / len(out) > 0.6
+
+
+def test_packing_statistics_and_neighbours_are_of_all_documents(spark, tmp_path):
+    path = tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randrange(5, 40), 60), "s") for i in range(90)]
+    tokens = lexical_packing._encode(docs(spark, rows).selectExpr("doc_id as key", "text").repartition(7), path, 2)
+    tokens.withColumn("h", F.col("key")).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    stats = lexical_packing._count(t)
+    got = t.collect()
+    ids = {r.uid: np.frombuffer(r.ids, "<u4") for r in got}
+    df = Counter(x for v in ids.values() for x in set(v.tolist()))
+    assert stats.n == 90 and stats.mean == pytest.approx(np.mean([len(v) for v in ids.values()]))
+    idf = {x: np.log1p((90 - n + 0.5) / (n + 0.5)) for x, n in df.items()}
+    assert all(stats.idf[x] == pytest.approx(v) for x, v in idf.items())
+
+    def brute(q, d):
+        tf = Counter(d.tolist())
+        return sum(idf[x] * tf[x] * 2.2 / (tf[x] + 1.2 * (0.25 + 0.75 * len(d) / stats.mean)) for x in set(q.tolist()) & set(tf))
+
+    near = lexical_packing.neighbours(t.filter("h % 5 = 0").repartition(3), lexical_packing._files(str(tmp_path / "t")), 5, spark.sparkContext.broadcast(stats), 6, 1024).collect()
+    mine: dict = {}
+    for r in near:
+        mine.setdefault(r.seed, []).append(r.score)
+    others = [r.uid for r in got if r.key % 5]
+    assert len(mine) == 18
+    for seed, scores in mine.items():
+        assert sorted(scores, reverse=True) == pytest.approx(sorted((brute(ids[seed], ids[u]) for u in others), reverse=True)[:6], rel=1e-4)
+
+
 def test_perfect_hash():
     keys = textops.mix(np.arange(5000, dtype=np.uint64))
     h = token_files.PerfectHash.build(keys)

@@ -1,13 +1,20 @@
 """Lexical retrieval packing.
 
-Each partition is packed in shards of bounded size.  A shard has its own
-inverted BM25 index over token ids; the seed document of a window asks it for
-neighbours, and the unused ones fill the window in order of score.  The
-document at a window's end is cut and its rest seeds the next window, so every
-window of a shard is full.  What is left at the shard's end is cut into
-sequences of powers of two, which need no padding.
-
-Nothing is shuffled: tokens stay in the task that made them.
+BM25 over token ids, with document frequencies and the mean length of all
+documents.  In each round a hash picks about one seed for each window that the
+unused documents can fill.  Blocks of seeds stream every index shard, so a seed
+is compared with every unused document that is no seed; it keeps a list of its
+best ones.  A document goes to the seed that scores it highest, a seed takes
+what it won in order of score until its window is full, and the rest meets new
+seeds in the next round.  What fits one shard in the end is packed there, one
+seed after the other.
+
+Full groups are windows of their own.  Cut ends and groups that are not full
+follow each other in windows too; the end of each task is cut into sequences of
+powers of two, which need no padding.
+
+Tokens are written once to the shared work folder, and the terms of unused
+documents once a round.  The comparisons grow with the square of the input.
 """
 
 from __future__ import annotations
@@ -17,19 +24,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, table
+from tidemark.llm.common import open_fs, partitions, slices, table, work_dir
+from tidemark.llm.textops import mix
 from tidemark.llm.tokens import encoder, with_end
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+K1, B = 1.2, 0.75
+#: Seeds and documents of one score matrix.
+TILE = 1024
+#: Most terms scored by matrix product, the commonest; the others go by postings.
+DENSE = 1024
+
+
+class Stats:
+    """Of all documents: their number, mean length and the idf of each term."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean = n, mean
+        self.idf = np.zeros(int(terms.max()) + 1 if len(terms) else 1)
+        self.idf[terms] = np.log1p((n - df + 0.5) / (df + 0.5))
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        self.column = np.full(len(self.idf), -1, np.int32)
+        self.dense = int((df[often] > n / 64).sum())
+        self.column[terms[often[: self.dense]]] = np.arange(self.dense)
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
 
 
 class BM25:
-    """Inverted index of a shard; terms are token ids."""
+    """Inverted index of a shard; terms are token ids.  Without stats, the
+    shard's own count."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], stats: Stats | None = None):
         n = len(docs)
         size = np.array([len(d) for d in docs], np.float64)
         owner = np.repeat(np.arange(n), [len(d) for d in docs])
@@ -37,9 +69,7 @@ class BM25:
         term, self.doc = pair // n, (pair % n).astype(np.int32)
         self.terms, self.first, df = np.unique(term, return_index=True, return_counts=True)
         self.last = self.first + df
-        idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)
-        norm = k1 * (1 - b + b * size / size.mean())
-        self.weight = idf * tf * (k1 + 1) / (tf + norm[self.doc])
+        self.weight = (stats or Stats(n, size.mean(), self.terms, df)).weights(term, tf, size[self.doc])
         self.n = n
 
     def scores(self, query: np.ndarray) -> np.ndarray:
@@ -51,9 +81,9 @@ class BM25:
         return np.bincount(self.doc[which], self.weight[which], self.n)
 
 
-def pack_shard(docs: list[np.ndarray], window: int = 4096) -> list[list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], window: int = 4096, stats: Stats | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length); all but the last few are full."""
-    index, unused, out = BM25(docs), np.ones(len(docs), bool), []
+    index, unused, out = BM25(docs, stats), np.ones(len(docs), bool), []
     seed, start, first = None, 0, 0
     while True:
         if seed is None:
@@ -83,22 +113,174 @@ def pack_shard(docs: list[np.ndarray], window: int = 4096) -> list[list[tuple[in
                     seed, start = int(d), take
                 break
         out.append(row)
-    if out and (left := sum(p[2] for p in out[-1])) < window:
-        pieces, size = out.pop(), 1 << (left.bit_length() - 1)
-        row, room = [], size
-        while pieces:
-            d, s, n = pieces.pop(0)
-            row.append((d, s, min(n, room)))
-            if n > room:
-                pieces.insert(0, (d, s + room, n - room))
-            room -= min(n, room)
-            left -= row[-1][2]
-            if not room:
-                out.append(row)
-                row, room = [], 1 << (left.bit_length() - 1) if left else 0
+    if out and sum(p[2] for p in out[-1]) < window:
+        out += powers(out.pop())
     return out
 
 
+def powers(pieces: list[tuple]) -> list[list[tuple]]:
+    """(document, start, length) pieces cut into sequences of powers of two."""
+    out, row, pieces = [], [], list(pieces)
+    left = sum(p[2] for p in pieces)
+    room = 1 << (left.bit_length() - 1) if left else 0
+    while pieces:
+        d, s, n = pieces.pop(0)
+        row.append((d, s, min(n, room)))
+        if n > room:
+            pieces.insert(0, (d, s + room, n - room))
+        room -= row[-1][2]
+        left -= row[-1][2]
+        if not room:
+            out.append(row)
+            row, room = [], 1 << (left.bit_length() - 1) if left else 0
+    return out
+
+
+def _ragged(col: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, number of each) of a binary column."""
+    col = col.cast(pa.large_binary())
+    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    width = np.dtype(dtype).itemsize
+    data = col.buffers()[2]
+    return np.frombuffer(data, dtype, (off[-1] - off[0]) // width, off[0]) if data is not None and off[-1] > off[0] else np.empty(0, dtype), np.diff(off) // width
+
+
+class Tile:
+    """Up to TILE seeds, and the best documents that they have met so far."""
+
+    def __init__(self, uid: np.ndarray, term: np.ndarray, count: np.ndarray, stats: Stats, keep: int):
+        self.uid, self.keep = uid, keep
+        seed = np.repeat(np.arange(len(uid)), count)
+        col = stats.column[term]
+        self.dense = np.zeros((len(uid), stats.dense), np.float32)
+        self.dense[seed[col >= 0], col[col >= 0]] = 1
+        self.seed, self.term = seed[col < 0], term[col < 0]
+        self.least = np.zeros(len(uid))
+        self.row, self.score, self.doc = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def meet(self, shard: Shard) -> None:
+        s, d = len(self.uid), len(shard.uid)
+        a, n = shard.first[self.term], shard.many[self.term]
+        upto = np.cumsum(n)
+        which = np.repeat(a - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
+        rare = np.bincount(np.repeat(self.seed, n) * d + shard.doc[which], shard.weight[which], s * d).reshape(s, d)
+        score = (self.dense @ shard.dense) + rare
+        row, at = np.nonzero((score >= self.least[:, None]) & (score > 0))
+        row, score, doc = np.concatenate([self.row, row]), np.concatenate([self.score, score[row, at]]), np.concatenate([self.doc, shard.uid[at]])
+        tie = mix((doc ^ mix(self.uid.view(np.uint64))[row].view(np.int64)).view(np.uint64))  # copies score alike: each seed prefers others
+        order = np.lexsort((tie, -score, row))
+        row = row[order]
+        have, first, n = np.unique(row, return_index=True, return_counts=True)
+        rank = np.arange(len(row)) - np.repeat(first, n)
+        good = rank < self.keep
+        self.row, self.score, self.doc = row[good], score[order][good], doc[order][good]
+        full = n >= self.keep
+        self.least[have[full]] = score[order][first[full] + self.keep - 1]
+
+
+class Shard:
+    """Weights of up to TILE documents: a matrix for common terms, postings for the others."""
+
+    def __init__(self, uid: np.ndarray, size: np.ndarray, term: np.ndarray, tf: np.ndarray, count: np.ndarray, stats: Stats):
+        self.uid = uid
+        doc = np.repeat(np.arange(len(uid)), count)
+        weight = stats.weights(term, tf, size[doc])
+        col = stats.column[term]
+        often = col >= 0
+        self.dense = np.zeros((stats.dense, len(uid)), np.float32)
+        self.dense[col[often], doc[often]] = weight[often]
+        order = np.argsort(term[~often], kind="stable")
+        self.doc, self.weight = doc[~often][order], weight[~often][order]
+        self.many = np.bincount(term[~often], minlength=len(stats.idf))
+        self.first = np.cumsum(self.many) - self.many
+
+
+def neighbours(seeds: DataFrame, files: list[str], share: int, stats, keep: int, block: int, kind: str = "<u4") -> DataFrame:
+    """(seed, uid, score): each seed's best documents among all in files that are no seeds."""
+
+    def shards() -> Iterator[Shard]:
+        for path in files:
+            fs, p = open_fs(path)
+            with fs.open_input_file(p) as f:
+                for batch in pq.ParquetFile(f).iter_batches(TILE, columns=["uid", "h", "n", "terms", "tf"]):
+                    batch = batch.filter(pa.array(batch.column("h").to_numpy() % share != 0))
+                    if len(batch):
+                        term, count = _ragged(batch.column("terms"), kind)
+                        yield Shard(batch.column("uid").to_numpy(), batch.column("n").to_numpy(), term, _ragged(batch.column("tf"), "<u4")[0], count, stats.value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for shard in shards():
+                for t in held:
+                    t.meet(shard)
+            for t in held:
+                yield pa.RecordBatch.from_arrays([pa.array(t.uid[t.row]), pa.array(t.doc), pa.array(t.score)], ["seed", "uid", "score"])
+
+        for batch in batches:
+            for at in range(0, len(batch), TILE):
+                part = batch.slice(at, TILE)
+                held.append(Tile(part.column(0).to_numpy(), *_ragged(part.column(1), kind), stats.value, keep))
+                size += len(part)
+                if size >= block:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    return seeds.select("uid", "terms").mapInArrow(run, "seed long, uid long, score double")
+
+
+def _files(path: str) -> list[str]:
+    from pyarrow import fs as pafs
+
+    fs, p = open_fs(path)
+    head = path[: len(path) - len(p)] if path.endswith(p) else ""
+    return sorted(head + x.path for x in fs.get_file_info(pafs.FileSelector(p)) if x.path.endswith(".parquet") and x.size)
+
+
+def _drop(path: str) -> None:
+    fs, p = open_fs(path)
+    fs.delete_dir(p)
+
+
+def _encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "<u4") -> DataFrame:
+    """(uid, key, n, ids, terms, tf) of every row; ids and terms are of kind, tf is "<u4"."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, uid = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for rows, col in slices(batch):
+                ids, n = with_end(*enc.encode(col), end_id)
+                ids, at, m = ids.astype(kind), np.concatenate([[0], np.cumsum(n)]), len(n)
+                span = int(ids.max()) + 1
+                pair, tf = np.unique(np.repeat(np.arange(m), n) * span + ids.astype(np.int64), return_counts=True)
+                cut, term, tf = np.searchsorted(pair, np.arange(m + 1) * span), (pair % span).astype(kind), tf.astype("<u4")
+                binary = lambda x, at: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + m)), rows.column(0), pa.array(np.asarray(n, np.int64)), binary(ids, at), binary(term, cut), binary(tf, cut)], ["uid", "key", "n", "ids", "terms", "tf"])
+                uid += m
+
+    return docs.mapInArrow(run, "uid long, key long, n long, ids binary, terms binary, tf binary")
+
+
+def _count(tokens: DataFrame, kind: str = "<u4") -> Stats:
+    """Statistics of all documents; the driver gets one row a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(0, np.int64)
+        for batch in batches:
+            n = np.bincount(_ragged(batch.column(0), kind)[0])
+            df = np.pad(df, (0, max(0, len(n) - len(df))))
+            df[: len(n)] += n
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], ["term", "df"])
+
+    n, total = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    t = tokens.select("terms").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).orderBy("term").toPandas()
+    return Stats(n, total / max(n, 1), t["term"].to_numpy(np.int64), t["df"].to_numpy(np.int64))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_docs: int = 2048, shard_tokens: int = 1 << 21, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id and offset; with_ids adds the ids (little-endian uint32).
@@ -106,44 +288,110 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id:
     Every id of every document lies in exactly one piece.  window must be a
     power of two.  Null texts are empty and have the end id alone; null and
     repeated keys are packed like others; columns besides key and text are
-    ignored; an empty table gives no pieces.  A text longer than shard_tokens
-    is a shard of its own.
+    ignored; an empty table gives no pieces.  Rounds go on until what is left
+    fits shard_docs and shard_tokens, or is a single text.
     """
+    from tokenizers import Tokenizer
+
     if window & (window - 1):
         raise ValueError("window must be a power of two")
+    spark = docs.sparkSession
+    root, width = work_dir(spark, "packing"), partitions(spark)
+    kind = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
+    _encode(docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text"), tokenizer, end_id, kind).write.parquet(f"{root}/tokens", compression="zstd")
+    tokens = spark.read.parquet(f"{root}/tokens")
+    stats = _count(tokens, kind)
+    shared = spark.sparkContext.broadcast(stats)
+    n, total, groups, turn = stats.n, round(stats.n * stats.mean), [], 0
+    at = f"{root}/unused-0"
+    tokens.select("uid", F.xxhash64("uid", F.lit(0)).alias("h"), "n", "terms", "tf").write.parquet(at, compression="zstd")
+    unused = spark.read.parquet(at)
+    while n > 1 and (n > shard_docs or total > shard_tokens):
+        share = max(2, round(window * n / total))
+        seeds = unused.filter(F.pmod("h", F.lit(share)) == 0)
+        keep = 2 * share + 8
+        blocks = max(1, min(width, n // share // 64))
+        block = max(TILE, min(4 * TILE, n // share // blocks))
+        near = neighbours(seeds.repartition(max(blocks, n // share // block)), _files(at), share, shared, keep, block, kind)
+        best = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "seed"))
+        won = near.withColumn("best", best).filter("best = 1").select("seed", "uid", "score").join(unused.select("uid", "n"), "uid")
+        own = seeds.select(F.col("uid").alias("seed"), "uid", F.lit(float("inf")).alias("score"), "n")
+        order = Window.partitionBy("seed").orderBy(F.desc("score"), "uid")
+        room = F.first("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        taken = own.unionByName(won).select("seed", "uid", "n", F.row_number().over(order).alias("rank"), (before - room).alias("filled"), (F.ceil(room / window) * window - room).alias("room"))
+        taken = taken.filter("rank = 1 or filled < room").select("seed", "uid", "n", "rank")
+        taken.write.parquet(f"{root}/groups-{turn}")
+        groups.append(f"{root}/groups-{turn}")
+        taken = spark.read.parquet(groups[-1])
+        gone, spent = taken.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        n, total, turn = n - gone, total - spent, turn + 1
+        after = f"{root}/unused-{turn}"
+        unused.join(taken.select("uid"), "uid", "left_anti").select("uid", F.xxhash64("uid", F.lit(turn)).alias("h"), "n", "terms", "tf").write.parquet(after, compression="zstd")
+        _drop(at)
+        at, unused = after, spark.read.parquet(after)
+
+    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
+
+    def rows(pieces: list[tuple], number: int) -> Iterator[tuple]:
+        at = 0
+        for (k, ids), s, n in pieces:
+            x = ids[s : s + n]
+            yield (k, s, n, zlib.crc32(x), len(ids), number, at, *([x.tobytes()] if with_ids else ()))
+            at += n
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, keys, held, total = encoder(tokenizer), [], [], 0
-        number = TaskContext.get().partitionId() << 32
-
-        def flush() -> pa.RecordBatch:
-            nonlocal keys, held, total, number
-            rows = []
-            for seq in pack_shard(held, window):
-                at = 0
-                for d, s, n in seq:
-                    x = held[d][s : s + n]
-                    rows.append((keys[d], s, n, zlib.crc32(x), len(held[d]), number, at, *([x.tobytes()] if with_ids else ())))
-                    at += n
-                number += 1
-            kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
-            keys, held, total = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=False)], [k for k, _ in kinds[: len(rows[0])]])
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), kinds, strict=False)], [k for k, _ in kinds[: len(out[0])]])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, loose, out, group, now = TaskContext.get().partitionId() << 32, [], [], [], None
+
+        def windows(pieces: list[tuple]) -> list[tuple]:
+            """Writes full windows and returns the rest."""
+            nonlocal number
+            row, room = [], window
+            for d, s, n in pieces:
+                while n >= room:
+                    out.extend(rows([*row, (d, s, room)], number))
+                    row, s, n, room, number = [], s + room, n - room, window, number + 1
+                if n:
+                    row.append((d, s, n))
+                    room -= n
+            return row
+
+        def close() -> None:
+            nonlocal loose
+            loose = windows(loose + windows([(d, 0, len(d[1])) for d in group]))
+            group.clear()
 
         for batch in batches:
-            for rows, col in slices(batch):
-                ids, n = with_end(*enc.encode(col), end_id)
-                ids, at = ids.astype("<u4"), np.concatenate([[0], np.cumsum(n)])
-                for i, k in enumerate(rows.column(0).to_pylist()):
-                    if held and (len(held) >= shard_docs or total + n[i] > shard_tokens):
-                        yield flush()
-                    keys.append(k)
-                    held.append(ids[at[i] : at[i + 1]])
-                    total += int(n[i])
+            for g, k, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if g != now:
+                    close()
+                    now = g
+                group.append((k, np.frombuffer(ids, kind).astype("<u4")))
+            if out:
+                yield batch_of(out)
+                out.clear()
+        close()
+        for row in powers(loose):
+            out.extend(rows(row, number))
+            number += 1
+        if out:
+            yield batch_of(out)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(k, np.frombuffer(ids, kind).astype("<u4")) for b in batches for k, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         if held:
-            yield flush()
+            seqs = pack_shard([d[1] for d in held], window, shared.value)
+            yield batch_of([r for i, seq in enumerate(seqs) for r in rows([(held[d], s, n) for d, s, n in seq], (1 << 62) + i)])
 
-    return docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text").mapInArrow(pack, SCHEMA + ", ids binary" * with_ids)
+    schema = SCHEMA + ", ids binary" * with_ids
+    final = tokens.join(unused.select("uid"), "uid", "left_semi").select("uid", "key", "ids").coalesce(1).sortWithinPartitions("uid").select("key", "ids").mapInArrow(last, schema)
+    if not groups:
+        return final
+    placed = spark.read.parquet(*groups).join(tokens.select("uid", "key", "ids"), "uid").repartition(width, "seed").sortWithinPartitions("seed", "rank").select("seed", "key", "ids")
+    return placed.mapInArrow(emit, schema).unionByName(final)
 
 
 def op5_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
