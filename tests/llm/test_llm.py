@@ -145,6 +145,20 @@ def test_toxic_words_are_found(spark):
     assert {r.score for r in kneser_ney.score(d, labels.limit(0)).collect()} == {0.0}
 
 
+def test_rare_runs_are_kept_at_any_number(spark, monkeypatch):
+    n = 2_000_001
+    runs = spark.range(n).select((F.col("id") * 65_537).alias("run"), F.lit(1).cast("long").alias("n0"), F.lit(0).cast("long").alias("n1"))
+    monkeypatch.setattr(kneser_ney, "count_words", lambda rows: None)
+    monkeypatch.setattr(kneser_ney, "count_runs", lambda counted: runs)
+    model = kneser_ney.train(None)
+    assert len(model.runs) == n and model.counts.sum() == n and model.sums.sum() == n
+    keys = np.arange(n, dtype=np.int64) * 65_537
+    assert len(model.context) == len(np.unique(keys >> 8))
+    for k, (key, count, *_) in zip(range(5, 0, -1), model.lower, strict=True):
+        keys, want = np.unique(keys & ((1 << 8 * k) - 1), return_counts=True)
+        assert np.array_equal(key, keys) and np.array_equal(count, want)
+
+
 # ------------------------------------------------------------- 4: substrings
 
 

@@ -9,9 +9,9 @@ of 8 and 16 words, goes through a logistic curve fitted on labelled documents
 that the counts leave out.
 
 Counting covers every labelled document and is distributed (words, then runs,
-then continuations).  The model is a table of runs of six bytes; if more than
-``max_runs`` different ones occur, the rarest back off.  That bound is checked
-before the table is collected and sent to the tasks.
+then continuations).  The model is a table of every run of six bytes that occurs,
+whatever its count; it is collected and sent to the tasks, and grows with the
+number of different runs.
 """
 
 from __future__ import annotations
@@ -187,29 +187,20 @@ def count_runs(counted: DataFrame) -> DataFrame:
     return counted.mapInArrow(run, "run long, n0 long, n1 long").groupBy("run").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def train(rows: DataFrame, max_runs: int = 2_000_000) -> Model:
-    """The model of (text, label) rows."""
+def train(rows: DataFrame) -> Model:
+    """The model of (text, label) rows: every run, context and continuation."""
     runs = count_runs(count_words(rows)).persist(StorageLevel.MEMORY_AND_DISK)
-    n = runs.count()
-    least, sizes = 1, None
-    if n > max_runs:  # the smallest count cut-off that meets the bound
-        sizes = runs.groupBy(F.least(F.col("n0") + F.col("n1"), F.lit(1000)).alias("c")).count().orderBy("c").collect()
-        left = n
-        for c, k in sizes:
-            if left <= max_runs:
-                break
-            left, least = left - k, c + 1
-    top = runs.filter(F.col("n0") + F.col("n1") >= least).orderBy("run").toPandas()
+    top = runs.orderBy("run").toArrow()
     ctx = runs.groupBy(F.shiftright("run", 8).alias("c")).agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"))
-    ctx = ctx.filter(F.col("s0") + F.col("s1") >= least).orderBy("c").toPandas()
+    ctx = ctx.orderBy("c").toArrow()
+    num = lambda t, c: t[c].to_numpy().astype(np.int64)
     lower, now = [], runs.select("run")
     for k in range(N - 1, 0, -1):
         now = now.groupBy(F.col("run").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("run")).agg(F.count(F.lit(1)).alias("n"))
-        t = now.filter(F.col("n") >= least).orderBy("run").toPandas()
-        lower.append((t["run"].to_numpy(np.int64), t["n"].to_numpy(np.int64)))
+        t = now.orderBy("run").toArrow()
+        lower.append((num(t, "run"), num(t, "n")))
         now = now.select("run")
     runs.unpersist()
-    num = lambda t, c: t[c].to_numpy(np.int64)
     return Model(num(top, "run"), np.stack([num(top, "n0"), num(top, "n1")]), num(ctx, "c"), np.stack([num(ctx, "s0"), num(ctx, "s1")]), np.stack([num(ctx, "k0"), num(ctx, "k1")]), lower)
 
 
