@@ -35,3 +35,22 @@ def test_query_equals_its_sql(spark, con, name):
     assert sorted(d.columns) == sorted(cols)
     got = rows(d.columns, d.collect())
     assert got == want and want
+
+
+def test_excel_safe_whole_is_of_whole_texts(spark, tmp_path):
+    import hashlib
+    import re
+
+    texts = [None, "", "=1+1", "\x01@x", "a" * 60 + "\x00\x0b\x1f end", "é" * 30_000, "é" * 30_001, "-" + "b\x02" * 29_999, "+" + "c" * 40_000, "a\n\t=b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def cell(t):
+        t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", t)
+        t = t[:29_997] + "..." if len(t) > 30_000 else t
+        return hashlib.md5((("'" if t.startswith(("=", "+", "-", "@")) else "") + t).encode()).hexdigest()
+
+    want = [(i, None if t is None else cell(t)) for i, t in enumerate(texts)]
+    assert sorted(tuple(r) for r in catalog.queries()["excel_safe_whole"](spark, str(tmp_path)).collect()) == want
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(c.execute(catalog.oracle_sql()["excel_safe_whole"]).fetchall()) == want

@@ -246,6 +246,12 @@ def excel_safe(spark, d):
     return table(spark, d, "documents").select("doc_id", text.safe_cell(cut).alias("cell"))
 
 
+@query(r"""WITH c AS (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS t FROM documents), m AS (SELECT doc_id, CASE WHEN length(t) > 30000 THEN substr(t, 1, 29997) || '...' ELSE t END AS t FROM c)
+SELECT doc_id, md5(CASE WHEN substr(t, 1, 1) IN ('=', '+', '-', '@') THEN chr(39) || t ELSE t END) AS cell FROM m""")
+def excel_safe_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.safe_cell(F.col("text")).cast("binary")).alias("cell"))
+
+
 _WORDS = "['lakh', 'crore', 'k', 'million', 'sheep', '']"
 
 
