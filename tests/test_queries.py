@@ -54,3 +54,9 @@ def test_excel_safe_whole_is_of_whole_texts(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(c.execute(catalog.oracle_sql()["excel_safe_whole"]).fetchall()) == want
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no tables")
+def test_stored_lookup_all_asks_for_every_listing(spark, con):
+    got = catalog.queries()["stored_lookup_all"](spark, str(SF)).collect()
+    assert sorted(r.asked for r in got) == sorted(r[0] for r in con.execute("SELECT o_orderkey FROM orders").fetchall())

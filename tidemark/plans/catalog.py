@@ -133,6 +133,13 @@ def stored_lookup(spark, d):
     return listings.lookup(v, w).select("asked", "id")
 
 
+@query(_from(LISTINGS_SQL, ", W AS (SELECT 'p' || (id + id % 2) AS p, source, url, id FROM L) SELECT w.id AS asked, coalesce(a.id, b.id) AS id FROM W w LEFT JOIN L a ON 'p' || a.id = w.p LEFT JOIN L b ON b.source = w.source AND b.url = w.url"))
+def stored_lookup_all(spark, d):
+    v = view(spark, d).select("id", F.concat(F.lit("p"), "id").alias("fingerprint"), "source", F.col("url").alias("url_canonical"))
+    w = v.select(F.col("id").alias("asked"), F.concat(F.lit("p"), F.col("id") + F.col("id") % 2).alias("fingerprint"), "source", "url_canonical")
+    return listings.lookup(v, w).select("asked", "id")
+
+
 @query(_from(LISTINGS_SQL, "SELECT city, source, CASE WHEN count(*) = 0 THEN 0 ELSE cast(round_even(100.0 * count(phone) / count(*), 0) AS bigint) END AS pct FROM L GROUP BY city, source"))
 def percent_with_phone(spark, d):
     g = view(spark, d).groupBy("city", "source").agg(F.count("phone").alias("a"), F.count(F.lit(1)).alias("b"))
