@@ -159,6 +159,20 @@ def test_store_and_stream(spark, tmp_path):
         assert "T &amp;" in z.read("xl/worksheets/sheet1.xml").decode()
 
 
+def test_workbook_has_a_sheet_for_every_city(spark, tmp_path):
+    n = 10_003
+    d = spark.range(2 * n).select(
+        F.col("id"), F.concat(F.lit("c"), F.lpad((F.col("id") % n).cast("string"), 5, "0")).alias("city"), F.lit("s").alias("source"), F.lit("t").alias("title"), F.lit("d").alias("description"),
+        F.lit(1).cast("decimal(18,2)").alias("price"), F.lit(None).cast("string").alias("phone"), F.lit(date(2026, 9, 1)).alias("ad_date"), F.lit(NOW).alias("first_seen_at"), F.lit(NOW).alias("last_seen_at"),
+    )
+    assert workbook.export_workbook(d, str(tmp_path / "many.xlsx")) == 2 * n
+    with zipfile.ZipFile(tmp_path / "many.xlsx") as z:
+        assert z.read("xl/workbook.xml").decode().count("<sheet ") == n + 2
+        for k in (0, 5_000, n - 1):
+            sheet = z.read(f"xl/worksheets/sheet{k + 2}.xml").decode()
+            assert sheet.count(f">c{k:05d}<") == 2 and sheet.count("<row ") == 3
+
+
 def test_sources(spark, tmp_path):
     d = spark.createDataFrame([("u1", 200, "<title>x</title>rest", NOW), ("u2", 404, "", datetime(2026, 9, 1))], "url string, status int, text string, fetched_at timestamp")
     captures.write_cache(d, str(tmp_path / "c"))

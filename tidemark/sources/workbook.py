@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterable
+from itertools import chain, groupby, islice
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -84,8 +85,10 @@ def export_workbook(listings: DataFrame, path: str, city: str = "", since=None,
     if n > MOST_ROWS:
         raise ValueError(f"{n} listings do not fit a sheet")
     rows = safe_rows(d)
-    cities = [r[0] for r in d.select("city").distinct().orderBy("city").limit(10_000).collect()]
-    each = [(c, rows.columns, map(tuple, rows.filter(F.col("city") == safe_cell(F.lit(c))).toLocalIterator())) for c in cities]
+    at = rows.columns.index("city")
+    cities = [r[0] for r in rows.select("city").distinct().orderBy("city").collect()]
+    stream = groupby(map(tuple, rows.withColumn("_place", F.monotonically_increasing_id()).orderBy("city", "_place").drop("_place").toLocalIterator()), lambda r: r[at])
+    each = [(c, rows.columns, chain.from_iterable(g for _, g in islice(stream, 1))) for c in cities]
     s = summary_by_city(d)
     total = [("Total listings", n), ()]
     summary = [*total, tuple(s.columns), *[tuple(r) for r in s.collect()]]
