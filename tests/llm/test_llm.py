@@ -225,37 +225,124 @@ def test_encoder_equals_the_library(name):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-def test_packing_covers_every_id(spark):
+def check_pieces(out, rows, encode, window):
+    """Every id of every document once, and gapless sequences of powers of two;
+    (key, text) rows may repeat."""
+    want = Counter()
+    for key, text in rows:
+        ids = np.array([*encode(text or ""), 2], "<u4")
+        want[key, ids.tobytes()] += 1
+    by_key: dict = {}
+    for r in out:
+        by_key.setdefault(r.doc_id, []).append(r)
+        x = np.frombuffer(r.ids, "<u4")
+        assert r.length == len(x) and r.ids_crc32 == zlib.crc32(r.ids)
+    for key, mine in by_key.items():
+        texts = [t for (k, t), n in want.items() if k == key for _ in range(n)]
+        assert sum(len(r.ids) for r in mine) == sum(map(len, texts))
+        assert Counter((r.start, r.doc_tokens) for r in mine if not r.start) == Counter((0, len(t) // 4) for t in texts)
+        if len(texts) == 1:
+            mine = sorted(mine, key=lambda r: r.start)
+            assert b"".join(r.ids for r in mine) == texts[0]
+            assert [r.start for r in mine] == np.cumsum([0] + [r.length for r in mine])[:-1].tolist()
+        assert all(any(t[4 * r.start : 4 * (r.start + r.length)] == r.ids for t in texts) for r in mine)
+    assert set(by_key) == {k for k, _ in want}
+    seqs: dict = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for q in seqs.values():
+        q.sort()
+        assert [o for o, _ in q] == np.cumsum([0] + [n for _, n in q])[:-1].tolist()
+    full = [sum(n for _, n in q) for q in seqs.values()]
+    assert all(n <= window and n & (n - 1) == 0 for n in full)
+    assert sum(n < window for n in full) <= window.bit_length()  # only one window of all is not full
+
+
+@pytest.mark.parametrize("shard_tokens", [1 << 21, 2048])
+def test_packing_covers_every_id(spark, shard_tokens):
     from tokenizers import Tokenizer
 
     path = tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    rows = [r for r in edge_rows() if r[0] is not None and r[0] != 3] + [(3, "three", "s")]
-    out = lexical_packing.pack_documents(docs(spark, rows).withColumn("ids", F.lit(1)), path, window=256, shard_docs=5, with_ids=True).collect()
-    for key, text, _ in rows:
-        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
-        mine = sorted((r for r in out if r.doc_id == key), key=lambda r: r.start)
-        assert b"".join(r.ids for r in mine) == ids.tobytes()
-        assert all(r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length]) for r in mine)
-        assert [r.start for r in mine] == np.cumsum([0] + [r.length for r in mine])[:-1].tolist()
-    seqs: dict = {}
-    for r in out:
-        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for s in seqs.values():
-        s.sort()
-        assert [o for o, _ in s] == np.cumsum([0] + [n for _, n in s])[:-1].tolist()
-        total = sum(n for _, n in s)
-        assert total <= 256 and total & (total - 1) == 0
+    rng = random.Random(4)
+    rows = edge_rows() + [(100 + i, words(rng, rng.randrange(1, 300)), "s") for i in range(60)]
+    table = docs(spark, rows).withColumn("ids", F.lit(1)).withColumn("uid", F.lit("clash")).repartition(5)
+    out = lexical_packing.pack_documents(table, path, window=256, shard_tokens=shard_tokens, with_ids=True).collect()
+    check_pieces(out, [r[:2] for r in rows], lambda x: t.encode(x, add_special_tokens=False).ids, 256)
     assert lexical_packing.pack_documents(docs(spark, []), path).count() == 0
 
 
+def ragged(arrays):
+    return np.concatenate(arrays).astype("<u2"), np.cumsum([0] + [len(x) for x in arrays])
+
+
+def stats_of(arrays, terms):
+    df = np.bincount(np.concatenate([np.unique(x) for x in arrays]), minlength=terms)
+    return lexical_packing.Stats(len(arrays), np.mean([len(x) for x in arrays]), df)
+
+
 def test_packing_prefers_lexical_neighbours():
     rng = np.random.default_rng(2)
-    a = [rng.integers(0, 50, 20).astype("<u4") for _ in range(8)]
-    b = [rng.integers(100, 150, 20).astype("<u4") for _ in range(8)]
+    a = [rng.integers(0, 50, 20) for _ in range(8)]
+    b = [rng.integers(100, 150, 20) for _ in range(8)]
     mixed = [x for pair in zip(a, b, strict=True) for x in pair]
-    seqs = lexical_packing.pack_shard(mixed, 64)
-    assert {d % 2 for d, _, _ in seqs[0]} == {0}
+    seqs, rest = lexical_packing.pack_shard(*ragged(mixed), stats_of(mixed, 150), 64)
+    assert len(seqs) == 5 and not rest and {d % 2 for d, _, _ in seqs[0]} == {0}
+
+
+def test_packing_scores_equal_a_loop():
+    """Scores, and the choice of every neighbour, against plain BM25."""
+    rng = np.random.default_rng(3)
+    arrays = [rng.integers(0, 80, rng.integers(5, 60)) for _ in range(60)]
+    stats = stats_of(arrays, 80)
+    n, mean = len(arrays), np.mean([len(x) for x in arrays])
+    df = Counter(t for x in arrays for t in set(x.tolist()))
+
+    def brute(q, d):
+        tf = Counter(d.tolist())
+        return sum(np.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * tf[x] * 2.2 / (tf[x] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for x in set(q.tolist()) & set(tf))
+
+    index = lexical_packing.Index(*ragged(arrays), stats)
+    for q in arrays[:10]:
+        assert index.scores(q) == pytest.approx([brute(q, d) for d in arrays])
+    seqs, rest = lexical_packing.pack_shard(*ragged(arrays), stats, 128, share=0.75)
+    unused, seed = set(range(n)), None
+    for seq in seqs:
+        if seed is None:
+            seed = (min(unused), 0)
+            unused.discard(seed[0])
+        d, s, m = seq[0]
+        assert (d, s, m) == (*seed, len(arrays[seed[0]]) - seed[1])
+        q, room, seed = arrays[d][s:], 128 - m, None
+        order = sorted(unused, key=lambda u: (-round(brute(q, arrays[u]), 9), u))
+        for got, u in zip(seq[1:], order, strict=False):
+            take = min(room, len(arrays[u]))
+            assert got == (u, 0, take)
+            unused.discard(u)
+            room -= take
+            if take < len(arrays[u]):
+                seed = (u, take)
+        assert room == 0
+    assert sorted(rest) == sorted([*([seed] if seed else []), *((u, 0) for u in unused)])
+    packed = sum(p[2] for q in seqs for p in q)
+    assert 0.75 * sum(map(len, arrays)) <= packed < 0.75 * sum(map(len, arrays)) + 128
+
+
+def test_equal_texts_draw_the_same_terms():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 5000, 300)
+    near = base.copy()
+    near[rng.integers(0, 300, 15)] = rng.integers(0, 5000, 15)
+    arrays = [base, base, near, *(rng.integers(0, 5000, 300) for _ in range(200))]
+    stats, same, alike = stats_of(arrays, 5000), 0, 0
+    for turn in range(100):
+        key = lexical_packing.draw(*ragged(arrays), np.zeros(len(arrays), np.int64), stats.ranks(turn))
+        assert key[0] == key[1]
+        same += key[0] >> 48 == key[2] >> 48
+        alike += key[0] >> 48 == key[3] >> 48
+    a, b = set(base.tolist()), set(near.tolist())
+    jaccard = sum(stats.idf[list(a & b)]) / sum(stats.idf[list(a | b)])
+    assert abs(same / 100 - jaccard) < 0.12 and alike < 20
 
 
 def test_packing_searches_all_documents(spark):
@@ -264,7 +351,7 @@ def test_packing_searches_all_documents(spark):
     rng = random.Random(11)
     topics = [[f"{a}{b}" for b in ("ba", "de", "ki", "lo", "mu", "po", "ra", "su", "ti", "zo")] for a in ("al", "ber", "cor", "dun", "fer", "gol", "hin", "jor")]
     rows = [(i, " ".join(rng.choice(topics[i % 8]) for _ in range(20)), "s") for i in range(320)]
-    out = lexical_packing.pack_documents(docs(spark, rows).repartition(16, "doc_id"), path, window=256, shard_docs=16).collect()
+    out = lexical_packing.pack_documents(docs(spark, rows).repartition(16, "doc_id"), path, window=256, shard_tokens=2048).collect()
     assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
     seqs: dict = {}
     for r in out:
@@ -273,33 +360,19 @@ def test_packing_searches_all_documents(spark):
     assert same / len(out) > 0.6
 
 
-def test_packing_statistics_and_neighbours_are_of_all_documents(spark, tmp_path):
+def test_packing_statistics_are_of_all_documents(spark, monkeypatch):
     path = tokenizers.path("word_bpe_49k.json")
     rng = random.Random(12)
     rows = [(i, words(rng, rng.randrange(5, 40), 60), "s") for i in range(90)]
-    tokens = lexical_packing._encode(docs(spark, rows).selectExpr("doc_id as key", "text").repartition(7), path, 2)
-    tokens.withColumn("h", F.col("key")).write.parquet(str(tmp_path / "t"))
-    t = spark.read.parquet(str(tmp_path / "t"))
-    stats = lexical_packing._count(t)
-    got = t.collect()
-    ids = {r.uid: np.frombuffer(r.ids, "<u4") for r in got}
-    df = Counter(x for v in ids.values() for x in set(v.tolist()))
-    assert stats.n == 90 and stats.mean == pytest.approx(np.mean([len(v) for v in ids.values()]))
-    idf = {x: np.log1p((90 - n + 0.5) / (n + 0.5)) for x, n in df.items()}
-    assert all(stats.idf[x] == pytest.approx(v) for x, v in idf.items())
-
-    def brute(q, d):
-        tf = Counter(d.tolist())
-        return sum(idf[x] * tf[x] * 2.2 / (tf[x] + 1.2 * (0.25 + 0.75 * len(d) / stats.mean)) for x in set(q.tolist()) & set(tf))
-
-    near = lexical_packing.neighbours(t.filter("h % 5 = 0").repartition(3), lexical_packing._files(str(tmp_path / "t")), 5, spark.sparkContext.broadcast(stats), 6, 1024).collect()
-    mine: dict = {}
-    for r in near:
-        mine.setdefault(r.seed, []).append(r.score)
-    others = [r.uid for r in got if r.key % 5]
-    assert len(mine) == 18
-    for seed, scores in mine.items():
-        assert sorted(scores, reverse=True) == pytest.approx(sorted((brute(ids[seed], ids[u]) for u in others), reverse=True)[:6], rel=1e-4)
+    seen, plain = [], lexical_packing.statistics
+    monkeypatch.setattr(lexical_packing, "statistics", lambda *a: seen.append(plain(*a)) or seen[-1])
+    out = lexical_packing.pack_documents(docs(spark, rows).repartition(7), path, window=256, with_ids=True).collect()
+    ids: dict = {}
+    for r in sorted(out, key=lambda r: r.start):
+        ids.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    df = Counter(x for v in ids.values() for x in set(v))
+    assert seen[0].n == 90 and seen[0].mean == pytest.approx(np.mean([len(v) for v in ids.values()]))
+    assert all(seen[0].idf[x] == pytest.approx(np.log1p((90 - n + 0.5) / (n + 0.5))) for x, n in df.items())
 
 
 def test_perfect_hash():
@@ -315,17 +388,35 @@ def test_token_files_round_trip(spark, tmp_path):
     path = tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     rows = edge_rows()
-    manifest = token_files.write_shards(docs(spark, rows).withColumn("key", F.lit("clash")), str(tmp_path / "ids"), path, shards=3)
-    got = token_files.read_shards(spark, manifest, with_ids=True).orderBy("start").collect()
+    table = docs(spark, rows).withColumn("key", F.lit("clash"))
     want = [(k, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for k, x, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
-    assert [(r.doc_id, r.ids) for r in got] == want
-    assert [r.start for r in got] == np.cumsum([0] + [len(w) for _, w in want])[:-1].tolist()
-    assert all(r.ids_crc32 == zlib.crc32(np.array(w, "<u4")) for r, (_, w) in zip(got, want, strict=True))
-    shards = [token_files.Shard(p) for p, _, _ in manifest]
-    assert sum(len(s.get(3)) for s in shards) == 2 and sum(len(s.get(None)) for s in shards) == 1
-    assert not any(s.get(k) for s in shards for k in range(10_000, 10_200))
+    for most in ((1 << 20, 1 << 20), (2000, 3)):
+        manifest = token_files.write_shards(table, str(tmp_path / f"ids{most[0]}"), path, shards=3, shard_bytes=most[0], shard_docs=most[1])
+        assert len(manifest) <= 3 if most[1] > 3 else len(manifest) > 3
+        got = token_files.read_keys(table.select("doc_id"), manifest, with_ids=True).orderBy("start").collect()
+        assert [(r.doc_id, r.ids) for r in got] == want
+        assert [r.start for r in got] == np.cumsum([0] + [len(w) for _, w in want])[:-1].tolist()
+        assert all(r.ids_crc32 == zlib.crc32(np.array(w, "<u4")) for r, (_, w) in zip(got, want, strict=True))
+        part = spark.createDataFrame([(3,), (rows[0][0],), (10_001,)], "k long")
+        assert sorted(r.doc_id for r in token_files.read_keys(part, manifest).collect()) == sorted(k for k, _ in want if k in (3, rows[0][0]))
+        shards = [token_files.Shard(r["path"]) for r in manifest]
+        assert sum(len(s.get(3)) for s in shards) == 2 and sum(len(s.get(None)) for s in shards) == 1
+        assert not any(s.get(k) for s in shards for k in range(10_000, 10_200))
     assert token_files.write_shards(docs(spark, []), str(tmp_path / "none"), path) == []
-    assert token_files.read_shards(spark, []).count() == 0
+    assert token_files.read_keys(table.select("doc_id"), []).count() == 0
+
+
+def test_token_query_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t, before = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json")), 0
+    got = {r.doc_id: r for r in token_files.op9_token_files(spark, "/root/testdata/sf0.001").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    assert len(got) == len(rows)
+    for d in rows:
+        ids = np.array([*t.encode(d.text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[d.doc_id][1:] == (before, len(ids), zlib.crc32(ids.tobytes()))
+        before += len(ids)
 
 
 # ------------------------------------------------------------------ 6: rules

@@ -1,20 +1,25 @@
 """Lexical retrieval packing.
 
 BM25 over token ids, with document frequencies and the mean length of all
-documents.  In each round a hash picks about one seed for each window that the
-unused documents can fill.  Blocks of seeds stream every index shard, so a seed
-is compared with every unused document that is no seed; it keeps a list of its
-best ones.  A document goes to the seed that scores it highest, a seed takes
-what it won in order of score until its window is full, and the rest meets new
-seeds in the next round.  What fits one shard in the end is packed there, one
-seed after the other.
-
-Full groups are windows of their own.  Cut ends and groups that are not full
-follow each other in windows too; the end of each task is cut into sequences of
-powers of two, which need no padding.
-
-Tokens are written once to the shared work folder, and the terms of unused
-documents once a round.  The comparisons grow with the square of the input.
+documents.  A document's full windows stand alone; what is left of it (less
+than a window) is packed with lexical neighbours, in rounds over all that is
+still unused:
+
+* every text draws terms in proportion to their idf (consistent sampling: texts
+  draw the same term as often as their idf-weighted Jaccard similarity says),
+  and the drawn terms are its key; all unused texts are range-partitioned by key
+  and cut into shards of ``shard_tokens`` ids, so likely neighbours share one;
+* a shard builds an inverted index; a seed's BM25 scores for every unused text
+  of the shard give the neighbours that fill its window, best first; the one
+  that no longer fits is cut and its rest is the next seed;
+* when ``share`` of a shard's ids are packed, so that the last seeds still have
+  a choice, the rest goes on to the next round, which draws anew.
+
+What fits one shard in the end is packed there completely, and only the last
+window of all is not full: it is cut into sequences of powers of two, which need
+no padding.  Rounds shrink geometrically, so the work is linear in the input;
+each is written to the shared folder.  No text is held that is longer than a
+window except by the encoder.
 """
 
 from __future__ import annotations
@@ -24,102 +29,143 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import open_fs, partitions, slices, table, work_dir
+from tidemark.llm.common import partitions, slices, table, work_dir
 from tidemark.llm.textops import mix
-from tidemark.llm.tokens import encoder, with_end
+from tidemark.llm.tokens import CHUNK, encoder, with_end
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_U = np.uint64
 K1, B = 1.2, 0.75
-#: Seeds and documents of one score matrix.
-TILE = 1024
-#: Most terms scored by matrix product, the commonest; the others go by postings.
-DENSE = 1024
+#: Shards that one task works on, at most about.
+SHARDS_A_TASK = 32
+DRAWS = 3
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "uid", "draw", "df")
+_TYPES = (*[pa.int64()] * 7, pa.binary(), pa.int64(), pa.int64(), pa.binary())
+#: A row is a piece (sequence_id), a text that waits (uid), or a task's counts (df).
+_ROW = _PIECE + ", ids binary, uid long, draw long, df binary"
 
 
 class Stats:
     """Of all documents: their number, mean length and the idf of each term."""
 
-    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
-        self.n, self.mean = n, mean
-        self.idf = np.zeros(int(terms.max()) + 1 if len(terms) else 1)
-        self.idf[terms] = np.log1p((n - df + 0.5) / (df + 0.5))
-        often = np.argsort(-df, kind="stable")[:DENSE]
-        self.column = np.full(len(self.idf), -1, np.int32)
-        self.dense = int((df[often] > n / 64).sum())
-        self.column[terms[often[: self.dense]]] = np.arange(self.dense)
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean = n, max(mean, 1.0)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
 
     def weights(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
         return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
 
-
-class BM25:
-    """Inverted index of a shard; terms are token ids.  Without stats, the
-    shard's own count."""
-
-    def __init__(self, docs: list[np.ndarray], stats: Stats | None = None):
-        n = len(docs)
-        size = np.array([len(d) for d in docs], np.float64)
-        owner = np.repeat(np.arange(n), [len(d) for d in docs])
-        pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + owner, return_counts=True)
-        term, self.doc = pair // n, (pair % n).astype(np.int32)
-        self.terms, self.first, df = np.unique(term, return_index=True, return_counts=True)
-        self.last = self.first + df
-        self.weight = (stats or Stats(n, size.mean(), self.terms, df)).weights(term, tf, size[self.doc])
-        self.n = n
+    def ranks(self, turn: int) -> list[np.ndarray]:
+        """For each draw the place of every term in an exponential race at the
+        rate of its idf: the term of a text that comes first is drawn."""
+        term = np.arange(len(self.idf)).astype(_U)
+        out = []
+        for k in range(DRAWS):
+            u = (mix(term ^ mix(np.array([turn * DRAWS + k + 1], _U))) >> _U(11)).astype(np.float64) * 2.0**-53
+            rank = np.empty(len(term), np.int64)
+            rank[np.argsort(-np.log1p(-u) / np.maximum(self.idf, 1e-9), kind="stable")] = np.arange(len(term))
+            out.append(rank.astype(np.uint16 if len(term) <= 1 << 16 else np.uint32))
+        return out
+
+
+def draw(ids: np.ndarray, off: np.ndarray, uid: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
+    """Each text's drawn terms, then bits of its number, in one sortable key;
+    equal texts in any number are so spread over neighbouring shards."""
+    key = np.zeros(len(uid), _U)
+    for rank in ranks:
+        key = key << _U(16) | (np.minimum.reduceat(rank[ids], off[:-1]).astype(_U) & _U(0xFFFF))
+    key = key << _U(16) | mix(uid.astype(_U)) >> _U(48)
+    return (key ^ _U(1 << 63)).view(np.int64)
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of every run of n."""
+    upto = np.cumsum(n)
+    return np.repeat(first - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
+
+
+class Index:
+    """Inverted BM25 index of a shard."""
+
+    def __init__(self, ids: np.ndarray, off: np.ndarray, stats: Stats):
+        size = np.diff(off)
+        self.n, self.terms = len(size), len(stats.idf)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        order = np.argsort(ids, kind="stable")
+        t, d = ids[order], owner[order]
+        new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])]))
+        self.term, self.doc = t[new], d[new]
+        tf = np.diff(np.append(new, len(t)))
+        self.weight = stats.weights(self.term, tf, size[self.doc])
+        self._first()
+
+    def _first(self) -> None:
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=self.terms))])
+
+    def drop(self, unused: np.ndarray) -> None:
+        """Forgets the postings of used texts."""
+        stay = unused[self.doc]
+        self.term, self.doc, self.weight = self.term[stay], self.doc[stay], self.weight[stay]
+        self._first()
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        """Of every document of the shard for a query's terms."""
-        at = np.searchsorted(self.terms, np.unique(query))
-        a, n = self.first[at], self.last[at] - self.first[at]
-        upto = np.cumsum(n)
-        which = np.repeat(a - (upto - n), n) + np.arange(upto[-1])
+        """Of every text of the shard for a query's different terms."""
+        term = np.unique(query).astype(np.int64)
+        which = _runs(self.first[term], self.first[term + 1] - self.first[term])
         return np.bincount(self.doc[which], self.weight[which], self.n)
 
 
-def pack_shard(docs: list[np.ndarray], window: int = 4096, stats: Stats | None = None) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length); all but the last few are full."""
-    index, unused, out = BM25(docs, stats), np.ones(len(docs), bool), []
-    seed, start, first = None, 0, 0
-    while True:
+def pack_shard(ids: np.ndarray, off: np.ndarray, stats: Stats, window: int = 4096, share: float = 1.0) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
+    """(full sequences of (text, start, length), what is left as (text, start)).
+
+    No text may be longer than the window.  Seeds come in the order of the
+    shard; ties of scores too.  Stops when ``share`` of the ids are packed or
+    the rest fills no window."""
+    size = np.diff(off)
+    index, unused, out = Index(ids, off, stats), np.ones(len(size), bool), []
+    left, goal, open_, seed, start, first = int(size.sum()), (1 - share) * size.sum(), len(size), None, 0, 0
+    held = open_
+    while left >= window and left > goal:
         if seed is None:
-            while first < len(docs) and not unused[first]:
-                first += 1
-            if first == len(docs):
-                break
+            first += int(np.argmax(unused[first:]))
             seed, start = first, 0
             unused[seed] = False
-        n = len(docs[seed]) - start
-        while n >= window:
-            out.append([(seed, start, window)])
-            start, n = start + window, n - window
-        if not n:
-            seed = None
-            continue
-        row, room, own = [(seed, start, n)], window - n, seed
-        seed = None
-        open_ = np.flatnonzero(unused)
-        for d in open_[np.argsort(-index.scores(docs[own])[open_], kind="stable")] if len(open_) else ():
-            unused[d] = False
-            take = min(room, len(docs[d]))
-            row.append((int(d), 0, take))
-            room -= take
-            if not room:
-                if take < len(docs[d]):
-                    seed, start = int(d), take
-                break
+            open_ -= 1
+        n = int(size[seed]) - start
+        row, room = [(seed, start, n)], window - n
+        score = np.where(unused, index.scores(ids[off[seed] + start : off[seed + 1]]), -1.0) if room else None
+        seed, k = None, 32
+        while room:
+            k = min(k, open_)
+            best = np.argpartition(-score, k - 1)[:k] if k < len(score) else np.arange(len(score))
+            best = best[np.lexsort((best, -score[best]))]
+            for d in best[unused[best]].tolist():
+                take = min(room, int(size[d]))
+                row.append((d, 0, take))
+                unused[d] = False
+                open_ -= 1
+                room -= take
+                if not room:
+                    if take < size[d]:
+                        seed, start = d, take
+                    break
+            score[~unused] = -1.0
+            k *= 4
         out.append(row)
-    if out and sum(p[2] for p in out[-1]) < window:
-        out += powers(out.pop())
-    return out
+        left -= window
+        if 2 * open_ < held:
+            index.drop(unused)
+            held = open_
+    rest = [(int(d), 0) for d in np.flatnonzero(unused)]
+    return out, ([(seed, start)] if seed is not None else []) + rest
 
 
 def powers(pieces: list[tuple]) -> list[list[tuple]]:
-    """(document, start, length) pieces cut into sequences of powers of two."""
+    """(text, start, length) pieces cut into sequences of powers of two."""
     out, row, pieces = [], [], list(pieces)
     left = sum(p[2] for p in pieces)
     room = 1 << (left.bit_length() - 1) if left else 0
@@ -136,160 +182,162 @@ def powers(pieces: list[tuple]) -> list[list[tuple]]:
     return out
 
 
-def _ragged(col: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """(values of all rows, number of each) of a binary column."""
-    col = col.cast(pa.large_binary())
-    off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-    width = np.dtype(dtype).itemsize
-    data = col.buffers()[2]
-    return np.frombuffer(data, dtype, (off[-1] - off[0]) // width, off[0]) if data is not None and off[-1] > off[0] else np.empty(0, dtype), np.diff(off) // width
-
-
-class Tile:
-    """Up to TILE seeds, and the best documents that they have met so far."""
-
-    def __init__(self, uid: np.ndarray, term: np.ndarray, count: np.ndarray, stats: Stats, keep: int):
-        self.uid, self.keep = uid, keep
-        seed = np.repeat(np.arange(len(uid)), count)
-        col = stats.column[term]
-        self.dense = np.zeros((len(uid), stats.dense), np.float32)
-        self.dense[seed[col >= 0], col[col >= 0]] = 1
-        self.seed, self.term = seed[col < 0], term[col < 0]
-        self.least = np.zeros(len(uid))
-        self.row, self.score, self.doc = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-
-    def meet(self, shard: Shard) -> None:
-        s, d = len(self.uid), len(shard.uid)
-        a, n = shard.first[self.term], shard.many[self.term]
-        upto = np.cumsum(n)
-        which = np.repeat(a - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
-        rare = np.bincount(np.repeat(self.seed, n) * d + shard.doc[which], shard.weight[which], s * d).reshape(s, d)
-        score = (self.dense @ shard.dense) + rare
-        row, at = np.nonzero((score >= self.least[:, None]) & (score > 0))
-        row, score, doc = np.concatenate([self.row, row]), np.concatenate([self.score, score[row, at]]), np.concatenate([self.doc, shard.uid[at]])
-        tie = mix((doc ^ mix(self.uid.view(np.uint64))[row].view(np.int64)).view(np.uint64))  # copies score alike: each seed prefers others
-        order = np.lexsort((tie, -score, row))
-        row = row[order]
-        have, first, n = np.unique(row, return_index=True, return_counts=True)
-        rank = np.arange(len(row)) - np.repeat(first, n)
-        good = rank < self.keep
-        self.row, self.score, self.doc = row[good], score[order][good], doc[order][good]
-        full = n >= self.keep
-        self.least[have[full]] = score[order][first[full] + self.keep - 1]
-
-
-class Shard:
-    """Weights of up to TILE documents: a matrix for common terms, postings for the others."""
-
-    def __init__(self, uid: np.ndarray, size: np.ndarray, term: np.ndarray, tf: np.ndarray, count: np.ndarray, stats: Stats):
-        self.uid = uid
-        doc = np.repeat(np.arange(len(uid)), count)
-        weight = stats.weights(term, tf, size[doc])
-        col = stats.column[term]
-        often = col >= 0
-        self.dense = np.zeros((stats.dense, len(uid)), np.float32)
-        self.dense[col[often], doc[often]] = weight[often]
-        order = np.argsort(term[~often], kind="stable")
-        self.doc, self.weight = doc[~often][order], weight[~often][order]
-        self.many = np.bincount(term[~often], minlength=len(stats.idf))
-        self.first = np.cumsum(self.many) - self.many
-
-
-def neighbours(seeds: DataFrame, files: list[str], share: int, stats, keep: int, block: int, kind: str = "<u4") -> DataFrame:
-    """(seed, uid, score): each seed's best documents among all in files that are no seeds."""
-
-    def shards() -> Iterator[Shard]:
-        for path in files:
-            fs, p = open_fs(path)
-            with fs.open_input_file(p) as f:
-                for batch in pq.ParquetFile(f).iter_batches(TILE, columns=["uid", "h", "n", "terms", "tf"]):
-                    batch = batch.filter(pa.array(batch.column("h").to_numpy() % share != 0))
-                    if len(batch):
-                        term, count = _ragged(batch.column("terms"), kind)
-                        yield Shard(batch.column("uid").to_numpy(), batch.column("n").to_numpy(), term, _ragged(batch.column("tf"), "<u4")[0], count, stats.value)
+def _ragged(cols: list[pa.Array], dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, offsets) of binary columns, one after the other."""
+    parts, sizes = [], [np.zeros(1, np.int64)]
+    for col in cols:
+        col = col.cast(pa.large_binary())
+        off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+        width = np.dtype(dtype).itemsize
+        if off[-1] > off[0]:
+            parts.append(np.frombuffer(col.buffers()[2], dtype, (off[-1] - off[0]) // width, off[0]))
+        sizes.append(np.diff(off) // width)
+    return np.concatenate(parts) if parts else np.empty(0, dtype), np.cumsum(np.concatenate(sizes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for shard in shards():
-                for t in held:
-                    t.meet(shard)
-            for t in held:
-                yield pa.RecordBatch.from_arrays([pa.array(t.uid[t.row]), pa.array(t.doc), pa.array(t.score)], ["seed", "uid", "score"])
+def _batch(cols: dict[str, pa.Array]) -> pa.RecordBatch:
+    n = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([cols[c].cast(t) if c in cols else pa.nulls(n, t) for c, t in zip(_NAMES, _TYPES, strict=True)], list(_NAMES))
 
-        for batch in batches:
-            for at in range(0, len(batch), TILE):
-                part = batch.slice(at, TILE)
-                held.append(Tile(part.column(0).to_numpy(), *_ragged(part.column(1), kind), stats.value, keep))
-                size += len(part)
-                if size >= block:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
 
-    return seeds.select("uid", "terms").mapInArrow(run, "seed long, uid long, score double")
+class _Pieces:
+    """Rows of pieces, with sequence numbers of one task."""
 
+    def __init__(self, turn: int, with_ids: bool):
+        self.number, self.with_ids, self.rows = turn << 56 | TaskContext.get().partitionId() << 32, with_ids, []
 
-def _files(path: str) -> list[str]:
-    from pyarrow import fs as pafs
+    def add(self, pieces: list[tuple[int | None, int, np.ndarray, int]]) -> None:
+        """One sequence of (doc_id, start, ids, tokens of the document)."""
+        at = 0
+        for key, start, ids, n in pieces:
+            x = ids.astype("<u4").tobytes()
+            self.rows.append((key, start, len(ids), zlib.crc32(x), n, self.number, at, x if self.with_ids else None))
+            at += len(ids)
+        self.number += 1
 
-    fs, p = open_fs(path)
-    head = path[: len(path) - len(p)] if path.endswith(p) else ""
-    return sorted(head + x.path for x in fs.get_file_info(pafs.FileSelector(p)) if x.path.endswith(".parquet") and x.size)
+    def batch(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield _batch({c: pa.array(x, t) for c, t, x in zip(_NAMES, _TYPES, zip(*self.rows, strict=True), strict=False)})
+            self.rows = []
 
 
-def _drop(path: str) -> None:
-    fs, p = open_fs(path)
-    fs.delete_dir(p)
+def _binary(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    return pa.array([ids[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())
 
 
-def _encode(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "<u4") -> DataFrame:
-    """(uid, key, n, ids, terms, tf) of every row; ids and terms are of kind, tf is "<u4"."""
+def _start(tokenizer: str, end_id: int, kind: str, terms: int, window: int, with_ids: bool):
+    """Encodes; gives full windows of single documents, rests, and the counts of
+    all documents of the task: number, ids, and documents with each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, uid = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        enc, uid, out = encoder(tokenizer), TaskContext.get().partitionId() << 40, _Pieces(0, with_ids)
+        count = np.zeros(terms + 2, np.int64)
         for batch in batches:
-            for rows, col in slices(batch):
+            for rows, col in slices(batch, limit=CHUNK):
                 ids, n = with_end(*enc.encode(col), end_id)
-                ids, at, m = ids.astype(kind), np.concatenate([[0], np.cumsum(n)]), len(n)
-                span = int(ids.max()) + 1
-                pair, tf = np.unique(np.repeat(np.arange(m), n) * span + ids.astype(np.int64), return_counts=True)
-                cut, term, tf = np.searchsorted(pair, np.arange(m + 1) * span), (pair % span).astype(kind), tf.astype("<u4")
-                binary = lambda x, at: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + m)), rows.column(0), pa.array(np.asarray(n, np.int64)), binary(ids, at), binary(term, cut), binary(tf, cut)], ["uid", "key", "n", "ids", "terms", "tf"])
+                ids, m = ids.astype(kind), len(n)
+                off = np.concatenate([[0], np.cumsum(n)])
+                order = np.argsort(ids, kind="stable")
+                t, d = ids[order], np.repeat(np.arange(m, dtype=np.int32), n)[order]
+                new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])
+                count += np.concatenate([[m, len(ids)], np.bincount(t[new], minlength=terms)])
+                keys, full = rows.column(0), n // window
+                for i in np.flatnonzero(full):
+                    for s in range(0, int(full[i]) * window, window):
+                        out.add([(keys[int(i)].as_py(), s, ids[off[i] + s : off[i] + s + window], int(n[i]))])
+                yield from out.batch()
+                rest = np.flatnonzero(n % window)
+                yield _batch({"doc_id": keys.take(pa.array(rest)), "start": pa.array(full[rest] * window), "doc_tokens": pa.array(n[rest]), "ids": _binary(ids, off[rest] + full[rest] * window, off[rest + 1]), "uid": pa.array(uid + rest)})
                 uid += m
+        yield _batch({"df": pa.array([count.astype("<i8").tobytes()], pa.binary())})
+
+    return run
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1, np.int64)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            total = total + np.frombuffer(x, "<i8")
+    yield pa.RecordBatch.from_pydict({"term": pa.array(np.arange(len(total))), "n": pa.array(total)})
+
 
-    return docs.mapInArrow(run, "uid long, key long, n long, ids binary, terms binary, tf binary")
+def statistics(rows: DataFrame, terms: int) -> Stats:
+    """Sums the counts of all tasks; one row a term reaches the driver."""
+    n = rows.filter("df is not null").select("df").mapInArrow(_sum, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy("term").toPandas()["n"].to_numpy()
+    count = np.zeros(terms + 2, np.int64)
+    count[: len(n)] = n
+    return Stats(int(count[0]), count[1] / max(count[0], 1), count[2:])
 
 
-def _count(tokens: DataFrame, kind: str = "<u4") -> Stats:
-    """Statistics of all documents; the driver gets one row a term."""
+def _draw(shared, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value.ranks(1)
+        for batch in batches:
+            if len(batch):
+                uid = batch.column(4).to_numpy()
+                key = draw(*_ragged([batch.column(3)], kind), uid, ranks)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], [*batch.schema.names, "draw"])
+
+    return run
+
+
+def _round(shared, kind: str, turn: int, window: int, shard_tokens: int, share: float, with_ids: bool):
+    """Packs the shards of one task; rows come in the order of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, np.int64)
+        stats, out = shared.value, _Pieces(turn, with_ids)
+        ranks = stats.ranks(turn + 1)
+
+        def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, off = _ragged([b.column(3) for b in held], kind)
+            key, at, total, uid = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1, 2, 4))
+            starts, totals, keys = at.to_numpy(), total.to_numpy(), key.to_pylist()
+            full, rest = pack_shard(ids, off, stats, window, share)
+            piece = lambda d, s, n: (keys[d], int(starts[d]) + s, ids[off[d] + s : off[d] + s + n], int(totals[d]))
+            for row in full:
+                out.add([piece(*p) for p in row])
+            if share >= 1:
+                for row in powers([(d, s, int(off[d + 1] - off[d]) - s) for d, s in rest]):
+                    out.add([piece(*p) for p in row])
+            yield from out.batch()
+            if share < 1 and rest:
+                d, s = np.array(rest, np.int64).T
+                a, b = off[d] + s, off[d + 1]
+                again = uid.to_numpy()[d]
+                left = np.concatenate([[0], np.cumsum(b - a)])
+                yield _batch({"doc_id": key.take(pa.array(d)), "start": pa.array(starts[d] + s), "doc_tokens": pa.array(totals[d]), "ids": _binary(ids, a, b), "uid": pa.array(again), "draw": pa.array(draw(ids[_runs(a, b - a)], left, again, ranks))})
+
+        held, size = [], 0
+        width = np.dtype(kind).itemsize
         for batch in batches:
-            n = np.bincount(_ragged(batch.column(0), kind)[0])
-            df = np.pad(df, (0, max(0, len(n) - len(df))))
-            df[: len(n)] += n
-        term = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], ["term", "df"])
+            n = np.cumsum(np.diff(_ragged([batch.column(3)], "u1")[1]) // width)
+            at = 0
+            while at < len(batch):
+                base = int(n[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(n, base + shard_tokens - size, "right")))
+                held.append(batch.slice(at, to - at))
+                size += int(n[min(to, len(n)) - 1]) - base
+                at = to
+                if size >= shard_tokens - window:
+                    yield from pack(held)
+                    held, size = [], 0
+        if held:
+            yield from pack(held)
 
-    n, total = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    t = tokens.select("terms").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).orderBy("term").toPandas()
-    return Stats(n, total / max(n, 1), t["term"].to_numpy(np.int64), t["df"].to_numpy(np.int64))
+    return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_docs: int = 2048, shard_tokens: int = 1 << 21, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 1 << 21, share: float = 0.75, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id and offset; with_ids adds the ids (little-endian uint32).
 
     Every id of every document lies in exactly one piece.  window must be a
     power of two.  Null texts are empty and have the end id alone; null and
-    repeated keys are packed like others; columns besides key and text are
-    ignored; an empty table gives no pieces.  Rounds go on until what is left
-    fits shard_docs and shard_tokens, or is a single text.
+    repeated keys are packed like others, each row a document of its own; very
+    long texts fill windows of their own; ties of scores go to the text that
+    stands first in its shard; columns besides key and text are ignored; an
+    empty table gives no pieces.
     """
     from tokenizers import Tokenizer
 
@@ -297,104 +345,34 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id:
         raise ValueError("window must be a power of two")
     spark = docs.sparkSession
     root, width = work_dir(spark, "packing"), partitions(spark)
-    kind = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
-    _encode(docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text"), tokenizer, end_id, kind).write.parquet(f"{root}/tokens", compression="zstd")
-    tokens = spark.read.parquet(f"{root}/tokens")
-    stats = _count(tokens, kind)
-    shared = spark.sparkContext.broadcast(stats)
-    n, total, groups, turn = stats.n, round(stats.n * stats.mean), [], 0
-    at = f"{root}/unused-0"
-    tokens.select("uid", F.xxhash64("uid", F.lit(0)).alias("h"), "n", "terms", "tf").write.parquet(at, compression="zstd")
-    unused = spark.read.parquet(at)
-    while n > 1 and (n > shard_docs or total > shard_tokens):
-        share = max(2, round(window * n / total))
-        seeds = unused.filter(F.pmod("h", F.lit(share)) == 0)
-        keep = 2 * share + 8
-        blocks = max(1, min(width, n // share // 64))
-        block = max(TILE, min(4 * TILE, n // share // blocks))
-        near = neighbours(seeds.repartition(max(blocks, n // share // block)), _files(at), share, shared, keep, block, kind)
-        best = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "seed"))
-        won = near.withColumn("best", best).filter("best = 1").select("seed", "uid", "score").join(unused.select("uid", "n"), "uid")
-        own = seeds.select(F.col("uid").alias("seed"), "uid", F.lit(float("inf")).alias("score"), "n")
-        order = Window.partitionBy("seed").orderBy(F.desc("score"), "uid")
-        room = F.first("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        taken = own.unionByName(won).select("seed", "uid", "n", F.row_number().over(order).alias("rank"), (before - room).alias("filled"), (F.ceil(room / window) * window - room).alias("room"))
-        taken = taken.filter("rank = 1 or filled < room").select("seed", "uid", "n", "rank")
-        taken.write.parquet(f"{root}/groups-{turn}")
-        groups.append(f"{root}/groups-{turn}")
-        taken = spark.read.parquet(groups[-1])
-        gone, spent = taken.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        n, total, turn = n - gone, total - spent, turn + 1
-        after = f"{root}/unused-{turn}"
-        unused.join(taken.select("uid"), "uid", "left_anti").select("uid", F.xxhash64("uid", F.lit(turn)).alias("h"), "n", "terms", "tf").write.parquet(after, compression="zstd")
-        _drop(at)
-        at, unused = after, spark.read.parquet(after)
-
-    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
-
-    def rows(pieces: list[tuple], number: int) -> Iterator[tuple]:
-        at = 0
-        for (k, ids), s, n in pieces:
-            x = ids[s : s + n]
-            yield (k, s, n, zlib.crc32(x), len(ids), number, at, *([x.tobytes()] if with_ids else ()))
-            at += n
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), kinds, strict=False)], [k for k, _ in kinds[: len(out[0])]])
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, loose, out, group, now = TaskContext.get().partitionId() << 32, [], [], [], None
-
-        def windows(pieces: list[tuple]) -> list[tuple]:
-            """Writes full windows and returns the rest."""
-            nonlocal number
-            row, room = [], window
-            for d, s, n in pieces:
-                while n >= room:
-                    out.extend(rows([*row, (d, s, room)], number))
-                    row, s, n, room, number = [], s + room, n - room, window, number + 1
-                if n:
-                    row.append((d, s, n))
-                    room -= n
-            return row
-
-        def close() -> None:
-            nonlocal loose
-            loose = windows(loose + windows([(d, 0, len(d[1])) for d in group]))
-            group.clear()
-
-        for batch in batches:
-            for g, k, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if g != now:
-                    close()
-                    now = g
-                group.append((k, np.frombuffer(ids, kind).astype("<u4")))
-            if out:
-                yield batch_of(out)
-                out.clear()
-        close()
-        for row in powers(loose):
-            out.extend(rows(row, number))
-            number += 1
-        if out:
-            yield batch_of(out)
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(k, np.frombuffer(ids, kind).astype("<u4")) for b in batches for k, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        if held:
-            seqs = pack_shard([d[1] for d in held], window, shared.value)
-            yield batch_of([r for i, seq in enumerate(seqs) for r in rows([(held[d], s, n) for d, s, n in seq], (1 << 62) + i)])
-
-    schema = SCHEMA + ", ids binary" * with_ids
-    final = tokens.join(unused.select("uid"), "uid", "left_semi").select("uid", "key", "ids").coalesce(1).sortWithinPartitions("uid").select("key", "ids").mapInArrow(last, schema)
-    if not groups:
-        return final
-    placed = spark.read.parquet(*groups).join(tokens.select("uid", "key", "ids"), "uid").repartition(width, "seed").sortWithinPartitions("seed", "rank").select("seed", "key", "ids")
-    return placed.mapInArrow(emit, schema).unionByName(final)
+    terms = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
+    kind = "<u2" if terms <= 1 << 16 else "<u4"
+    rows = docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text")
+    rows.mapInArrow(_start(tokenizer, end_id, kind, terms, window, with_ids), _ROW).write.parquet(f"{root}/0", compression="zstd")
+    done = [f"{root}/0"]
+    now = spark.read.schema(_ROW).parquet(done[0])
+    shared = spark.sparkContext.broadcast(statistics(now, terms))
+    waits = ["doc_id", "start", "doc_tokens", "ids", "uid"]
+    rest = now.filter("uid is not null").select(*waits).mapInArrow(_draw(shared, kind), "doc_id long, start long, doc_tokens long, ids binary, uid long, draw long")
+    size = F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)) / np.dtype(kind).itemsize
+    left, before, turn = now.filter("uid is not null").agg(size).first()[0], 0, 0
+    while left:
+        turn += 1
+        shards = max(1, int(left // shard_tokens))
+        last = shards == 1 or left == before
+        before = left
+        tasks = 1 if last else max(min(width, shards), -(-shards // SHARDS_A_TASK))
+        dealt = rest.coalesce(1) if last else rest.repartitionByRange(tasks, "draw")
+        dealt.sortWithinPartitions("draw", "uid", "start").select(*waits).mapInArrow(_round(shared, kind, turn, window, 2 * shard_tokens if last else shard_tokens, 1.0 if last else share, with_ids), _ROW).write.parquet(f"{root}/{turn}", compression="zstd")
+        done.append(f"{root}/{turn}")
+        rest = spark.read.schema(_ROW).parquet(done[-1]).filter("uid is not null").select(*waits, "draw")
+        left = 0 if last else rest.agg(size).first()[0]
+    pieces = spark.read.schema(_ROW).parquet(*done).filter("sequence_id is not null")
+    return pieces.select(*[c.split()[0] for c in _PIECE.split(", ")], *["ids"] * with_ids)
 
 
 def op5_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in windows of 4096."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
