@@ -94,13 +94,13 @@ class Index:
     def __init__(self, ids: np.ndarray, off: np.ndarray, stats: Stats):
         size = np.diff(off)
         self.n, self.terms = len(size), len(stats.idf)
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        owner = np.repeat(np.arange(self.n, dtype=np.uint16 if self.n <= 1 << 16 else np.uint32), size)
         order = np.argsort(ids, kind="stable")
         t, d = ids[order], owner[order]
         new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])]))
         self.term, self.doc = t[new], d[new]
         tf = np.diff(np.append(new, len(t)))
-        self.weight = stats.weights(self.term, tf, size[self.doc])
+        self.weight = stats.weights(self.term, tf, size[self.doc]).astype(np.float32)
         self._first()
 
     def _first(self) -> None:
@@ -114,9 +114,11 @@ class Index:
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """Of every text of the shard for a query's different terms."""
-        term = np.unique(query).astype(np.int64)
-        which = _runs(self.first[term], self.first[term + 1] - self.first[term])
-        return np.bincount(self.doc[which], self.weight[which], self.n)
+        term = np.unique(query)
+        runs = [slice(a, b) for a, b in zip(self.first[term].tolist(), self.first[term + 1].tolist(), strict=True) if a < b]
+        if not runs:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.n)
 
 
 def pack_shard(ids: np.ndarray, off: np.ndarray, stats: Stats, window: int = 4096, share: float = 1.0) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
@@ -157,7 +159,7 @@ def pack_shard(ids: np.ndarray, off: np.ndarray, stats: Stats, window: int = 409
             k *= 4
         out.append(row)
         left -= window
-        if 2 * open_ < held:
+        if 5 * open_ < 4 * held:
             index.drop(unused)
             held = open_
     rest = [(int(d), 0) for d in np.flatnonzero(unused)]
@@ -328,7 +330,7 @@ def _round(shared, kind: str, turn: int, window: int, shard_tokens: int, share:
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 1 << 21, share: float = 0.75, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 1 << 21, share: float = 0.9, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id and offset; with_ids adds the ids (little-endian uint32).
 

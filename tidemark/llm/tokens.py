@@ -87,7 +87,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.at, self.n, self.hit = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.at, self.n, self.hit = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool)
         self.flat = np.empty(0, np.uint32)
 
     def _odd(self, col: pa.Array) -> np.ndarray:
@@ -121,8 +121,9 @@ class Encoder:
         their bytes, and a byte is one character of the vocabulary, so lengths
         tell which ids are whose."""
         cuts = [c.decode() for c in new]
-        line = "\0".join(self._pieces(cuts)).encode().decode("latin1").translate(self.chars)
-        ids = np.array(self.core.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
+        pieces = self._pieces(cuts)
+        lines = ["\0".join(pieces[i : i + 500]).encode().decode("latin1").translate(self.chars) for i in range(0, len(pieces), 500)]
+        ids = np.array([x for e in self.core.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], np.int64)
         solid = [len(c.translate(None, b" \t\n\r\x0b\x0c")) for c in new] if self.style == "word" else [len(c) for c in new]
         ends = np.cumsum(solid)
         upto = np.concatenate([[0], np.cumsum(self.size[ids])])
@@ -138,7 +139,7 @@ class Encoder:
         if len(self.key) + len(key) > self.cache:
             stay = np.flatnonzero(self.hit)
             stay = stay[: max(0, self.cache // 2)]
-            n_, upto = self.n[stay], np.cumsum(self.n[stay])
+            n_, upto = self.n[stay], np.cumsum(self.n[stay], dtype=np.int32)
             self.flat = self.flat[np.repeat(self.at[stay] - (upto - n_), n_) + np.arange(upto[-1] if len(upto) else 0)]
             self.key, self.check, self.n, self.at, self.hit = self.key[stay], self.check[stay], n_, upto - n_, np.zeros(len(stay), bool)
         at = len(self.flat) + at
@@ -159,12 +160,13 @@ class Encoder:
         text, o = raw(one)
         a, b = o[:-1], o[1:]
         key, check = hash_spans(text, a, b), hash_spans(text[::-1], len(text) - b, len(text) - a)
-        at = np.searchsorted(self.key, key)
+        at, order = np.empty(len(key), np.int64), np.argsort(key)
+        at[order] = np.searchsorted(self.key, key[order])  # in order, so the search stays in cache
         at[at == len(self.key)] = 0
         held = (self.key[at] == key) & (self.check[at] == check) if len(self.key) else np.zeros(len(key), bool)
         self.hit[at[held]] = True
         new = np.flatnonzero(~held)
-        n, place = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        n, place = np.zeros(len(key), np.int32), np.zeros(len(key), np.int32)
         n[held], place[held] = self.n[at[held]], self.at[at[held]]
         parts, flat = [], self.flat
         for i in range(0, len(new), 4000):
@@ -176,8 +178,10 @@ class Encoder:
             place[new] = len(flat) + np.cumsum(n[new]) - n[new]
             flat = np.concatenate([flat, ids])
         many = n[which]
-        upto = np.cumsum(many)
-        out = flat[np.repeat(place[which] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)]
+        upto = np.cumsum(many, dtype=np.int32)
+        at_ = np.repeat(place[which] - (upto - many), many)
+        at_ += np.arange(len(at_), dtype=np.int32)
+        out = flat[at_]
         if parts:
             alone = new[self.key[at[new]] != key[new]] if len(self.key) else new
             self._keep(key[alone], check[alone], ids, place[alone] - (len(flat) - len(ids)), n[alone])
