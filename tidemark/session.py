@@ -17,9 +17,16 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+def on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """A checkpoint folder: ``spark.checkpoint.dir``, or a temporary one where
     that is unset (one machine, tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not root and not on_one_machine(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidemark-"))
