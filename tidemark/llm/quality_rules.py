@@ -17,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, table
+from tidemark.llm.common import WORD, hold, table
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -37,29 +37,48 @@ def _solid(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
+def _repeat_words(gram: str) -> Column:
+    """Words that lie in windows found twice or more, from the array of the
+    hashes of all windows.  Positions are only sorted where a hash repeats."""
+    g = F.col(gram)
+    order = F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def covered(rows: Column) -> Column:
+        def twin(v: Column, k: Column) -> Column:
+            same = lambda j: F.coalesce(F.get(rows, j)["h"] == v["h"], F.lit(False))
+            return F.when(same(k - 1) | same(k + 1), v["i"])
+
+        at = F.sort_array(F.filter(F.transform(rows, twin), lambda x: x.isNotNull()))
+        step = lambda acc, p: F.struct(p.alias("last"), (acc["total"] + F.least(F.lit(5), p - acc["last"])).alias("total"))
+        return F.aggregate(at, F.struct(F.lit(-9).alias("last"), F.lit(0).alias("total")), step, lambda acc: acc["total"])
+
+    once = F.get(F.transform(F.array(order), covered), 0)
+    return F.when(F.size(F.array_distinct(g)) < F.size(g), once).otherwise(F.lit(0))
+
+
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
-    base_failed.  Null texts count as empty."""
+    base_failed.  Null texts count as empty.
+
+    Words and windows are held as 64-bit hashes, so a text of any length costs
+    a few numbers a word beside itself.
+    """
     cols = [c for c in docs.columns if not c.startswith("qr_")]
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(*cols, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("qr_words"), F.filter(_lines(t), _solid).alias("qr_lines"))
+    words = F.transform(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    lines = F.transform(F.filter(_lines(t), _solid), lambda x: F.xxhash64(x))
+    d = docs.select(*cols, words.alias("qr_words"), lines.alias("qr_lines"))
     d = d.withColumn("qr_n", F.size("qr_words"))
-    gram = F.when(F.col("qr_n") >= 6, F.transform(F.sequence(F.lit(1), F.greatest(F.col("qr_n") - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("qr_words", i, 5))))
-    d = d.withColumn("qr_grams", F.coalesce(gram, F.array().cast("array<string>")))
-    twice = F.size(F.array_distinct("qr_grams")) < F.size("qr_grams")
-    d = d.withColumn("qr_sorted", F.when(twice, F.array_sort(F.transform("qr_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-    none = F.array().cast("array<int>")
-    pairs = F.zip_with("qr_sorted", F.slice("qr_sorted", F.lit(2), F.greatest(F.size("qr_sorted"), F.lit(0))), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])).otherwise(none))
-    at = F.array_sort(F.array_distinct(F.flatten(pairs)))
-    step = lambda acc, p: F.struct(p.alias("last"), (acc["total"] + F.least(F.lit(5), p - acc["last"])).alias("total"))
-    covered = F.aggregate(at, F.struct(F.lit(-9).alias("last"), F.lit(0).alias("total")), step, lambda acc: acc["total"])
+    window = lambda i: F.xxhash64(*[F.get("qr_words", i + j) for j in range(5)])
+    gram = F.when(F.col("qr_n") >= 6, F.transform(F.sequence(F.lit(0), F.greatest(F.col("qr_n") - 5, F.lit(0))), window))
+    d = d.withColumn("qr_grams", F.coalesce(gram, F.array().cast("array<bigint>")))
     d = d.select(
         *[F.col(c) for c in cols],
         F.col("qr_n").cast("long").alias("qr_n_words"),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("qr_word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("qr_n_symbols"),
         (F.size("qr_lines") - F.size(F.array_distinct("qr_lines"))).cast("long").alias("qr_n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("qr_n_repeat_words"),
+        _repeat_words("qr_grams").cast("long").alias("qr_n_repeat_words"),
     )
     return d.withColumn("qr_base_failed", (F.col("qr_n_words") < 10) | (100 * F.col("qr_n_repeat_words") > 20 * F.col("qr_n_words")))
 
@@ -85,7 +104,7 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min
     Repeated rows and ids are judged row by row.  Columns that begin with
     ``qr_`` are replaced, all others kept.  An empty table gives no rows.
     """
-    hot = frequent_lines(docs, host, text, min_docs, max_share).persist(StorageLevel.MEMORY_AND_DISK)
+    hot = hold(frequent_lines(docs, host, text, min_docs, max_share), StorageLevel.MEMORY_AND_DISK)
     n, m = hot.agg(F.coalesce(F.sum(F.size("qr_hot")), F.lit(0)), F.count(F.lit(1))).first()
     small = 8 * n + 64 * m <= BROADCAST_BYTES
     d = base_rules(docs, text).withColumn("qr_host", F.to_json(F.array(host)))
