@@ -21,16 +21,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, table
+from tidemark.llm.common import hold, partitions, table
 from tidemark.llm.groups import components
 
 BLOCKS = 4
-#: Vectors in a chunk.
-CHUNK = 2048
+#: Vectors in a chunk; a task holds two, with their block's coordinates.
+CHUNK = 8192
 
 
 @lru_cache(maxsize=16)
@@ -56,7 +55,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _cells(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rep, n, mark = (batch.column(i).to_numpy() for i in (0, 1, 3))
             v = batch.column(2)
             size = v.value_lengths().to_numpy()
             flat, off = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(size)])
@@ -75,8 +74,8 @@ def _cells(cosine: float):
                 again = np.repeat(np.arange(len(at)), len(cols))
                 raw = pa.array([r.tobytes() for r in x], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(b), dim, np.int32)), pa.array(b.astype(np.int32)), pa.array(cx.astype(np.int32)), pa.array(cy.astype(np.int32)), pa.array(rep[at][again]), pa.array(n[at][again]), raw.take(pa.array(again))],
-                    ["dim", "blk", "cx", "cy", "rep", "n", "vec"],
+                    [pa.array(np.full(len(b), dim, np.int32)), pa.array(b.astype(np.int32)), pa.array(cx.astype(np.int32)), pa.array(cy.astype(np.int32)), pa.array(rep[at][again]), pa.array(mark[at][again]), pa.array(n[at][again]), raw.take(pa.array(again))],
+                    ["dim", "blk", "cx", "cy", "rep", "mark", "n", "vec"],
                 )
 
     return run
@@ -155,13 +154,13 @@ def _join(cosine: float):
             if len(t) < 2:
                 return
             dim, block, kind, vc = (t[c][0].as_py() for c in ("dim", "blk", "kind", "vc"))
-            rep, n, side = t["rep"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy()
+            rep, mark, n, side = (t[c].to_numpy() for c in ("rep", "mark", "n", "side"))
             x = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(-1, dim)
             scale = np.abs(x).max(1, keepdims=True)
             links, root = link_chunk(x / scale, n, side, kind == 1 and vc == 0, block, cosine)
             some = np.flatnonzero(links)
             if len(some):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(rep[some]), "b": pa.array(rep[root[some]]), "n": pa.array(links[some])})
+                yield pa.RecordBatch.from_pydict({"ar": pa.array(rep[some]), "am": pa.array(mark[some]), "br": pa.array(rep[root[some]]), "bm": pa.array(mark[root[some]]), "n": pa.array(links[some])})
 
         last = None
         for batch in batches:
@@ -189,9 +188,11 @@ def similarity_join(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     key that links reach, itself included; kept marks it.  Vectors that are
     null, zero, or hold null or non-finite components link with nothing;
     vectors link only with those of their dimension.  Rows with equal vectors
-    link with each other, repeated keys included.  A null key links with
-    nothing and has a null component and is kept.  Other columns are ignored;
-    an empty table gives no rows.
+    link with each other, repeated keys included; rows that repeat a key with
+    other vectors are rows of their own, each with its own links.  A null key
+    links with nothing and has a null component and is kept.  A cosine that
+    equals the limit links.  Other columns are ignored; an empty table gives no
+    rows.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -199,8 +200,9 @@ def similarity_join(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     v = v.withColumn("fine", F.coalesce(fine, F.lit(False)))
     good = v.filter("fine")
     classes = good.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    # Two classes may have the same smallest key where keys repeat; a class is then known by its key alone.
-    cells = classes.select("rep", "n", "v").mapInArrow(_cells(cosine), "dim int, blk int, cx int, cy int, rep long, n long, vec binary").persist(StorageLevel.DISK_ONLY)
+    # A class is known by its smallest key and a hash of its vector: keys may repeat.
+    classes = classes.withColumn("mark", F.xxhash64("v"))
+    cells = hold(classes.select("rep", "n", "v", "mark").mapInArrow(_cells(cosine), "dim int, blk int, cx int, cy int, rep long, mark long, n long, vec binary"))
     cell = ["dim", "blk", "cx", "cy"]
     ahead = [(1, -1), (1, 0), (1, 1), (0, 1)]
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ahead]))
@@ -209,18 +211,20 @@ def similarity_join(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     visits = moved(counts).groupBy(*cell).agg(F.sum("nh").alias("nv"))
     chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(c), F.lit(0)) / chunk)).cast("int")
     sizes = counts.join(visits, cell, "left").select(*cell, chunks("nh").alias("nbh"), chunks("nv").alias("nbv"))
-    part = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "rep", "vec"), F.col(c).cast("long")).cast("int")
+    part = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "rep", "mark"), F.col(c).cast("long")).cast("int")
     home = cells.join(sizes, cell).withColumn("own", part(1, "nbh"))
-    with_visits = home.withColumn("vc", F.explode(F.sequence(F.lit(0), F.col("nbv") - 1))).select(*cell, F.lit(1).alias("kind"), F.col("own").alias("hc"), "vc", F.lit(0).alias("side"), "rep", "n", "vec")
+    with_visits = home.withColumn("vc", F.explode(F.sequence(F.lit(0), F.col("nbv") - 1))).select(*cell, F.lit(1).alias("kind"), F.col("own").alias("hc"), "vc", F.lit(0).alias("side"), "rep", "mark", "n", "vec")
     across = home.filter("nbh > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nbh") - 1))).filter("own <> other")
-    across = across.select(*cell, F.lit(0).alias("kind"), F.least("own", "other").alias("hc"), F.greatest("own", "other").alias("vc"), F.when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "rep", "n", "vec")
+    across = across.select(*cell, F.lit(0).alias("kind"), F.least("own", "other").alias("hc"), F.greatest("own", "other").alias("vc"), F.when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "rep", "mark", "n", "vec")
     guests = moved(cells).join(sizes, cell).withColumn("vc", part(2, "nbv")).withColumn("hc", F.explode(F.sequence(F.lit(0), F.col("nbh") - 1)))
-    guests = guests.select(*cell, F.lit(1).alias("kind"), "hc", "vc", F.lit(1).alias("side"), "rep", "n", "vec")
+    guests = guests.select(*cell, F.lit(1).alias("kind"), "hc", "vc", F.lit(1).alias("side"), "rep", "mark", "n", "vec")
     tasks = with_visits.unionByName(across).unionByName(guests)
-    found = tasks.repartition(partitions(spark), *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_join(cosine), "a long, b long, n long").persist(StorageLevel.DISK_ONLY)
-    linked = components(found.select("a", "b"))
-    sums = found.groupBy("a").agg(F.sum("n").alias("links"))
-    per = classes.select("v", "rep", "n").join(sums.withColumnRenamed("a", "rep"), "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+    found = hold(tasks.repartition(partitions(spark), *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_join(cosine), "ar long, am long, br long, bm long, n long"))
+    # Classes compare by their keys first, so the smallest of a component has its smallest key.
+    linked = components(found.select(F.struct(F.col("ar").alias("rep"), F.col("am").alias("mark")).alias("a"), F.struct(F.col("br").alias("rep"), F.col("bm").alias("mark")).alias("b")))
+    linked = linked.select("node.rep", "node.mark", F.col("component.rep").alias("component"))
+    sums = found.groupBy(F.col("ar").alias("rep"), F.col("am").alias("mark")).agg(F.sum("n").alias("links"))
+    per = classes.select("v", "rep", "mark", "n").join(sums, ["rep", "mark"], "left").join(linked, ["rep", "mark"], "left")
     out = v.join(per.select(F.col("v").alias("w"), "rep", "n", "links", "component"), F.col("fine") & (F.col("v") == F.col("w")), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     out = out.select(F.col("id").alias(key), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).alias("n_links"), component.alias("component_id"))
