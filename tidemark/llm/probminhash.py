@@ -24,7 +24,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, slices, table
+from tidemark.llm.common import hold, partitions, slices, table
 from tidemark.llm.groups import Forest, components
 from tidemark.llm.textops import mix, shingles, word_hashes
 
@@ -33,6 +33,8 @@ _C = _U(0x9E3779B97F4A7C15)
 WORDS = 5
 BANDS, ROWS = 32, 6
 SIMILARITY = 0.8
+#: Texts with more copies than one row in so many are handed their class by broadcast.
+HOT_GROUPS = 2000
 #: A task compares blocks of at most about this many texts and shingles.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1000, 1_000_000
 
@@ -190,13 +192,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     n_parts = partitions(spark)
     d = docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text")
-    sketch = d.mapInArrow(_sketch, "doc_id long, d0 long, d1 long, size long, bands array<long>").persist(StorageLevel.DISK_ONLY)
+    sketch = hold(d.mapInArrow(_sketch, "doc_id long, d0 long, d1 long, size long, bands array<long>"))
     some = sketch.filter("size > 0 and doc_id is not null")
-    reps = some.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
+    reps = some.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     one = some.join(reps.select(F.col("rep").alias("doc_id"), "d0", "d1"), ["doc_id", "d0", "d1"]).dropDuplicates(["doc_id", "d0", "d1"])
     banded = one.select(F.col("doc_id").alias("rep"), "size", F.explode("bands").alias("h"))
     shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    member = banded.join(shared, "h").persist(StorageLevel.DISK_ONLY)
+    member = hold(banded.join(shared, "h"))
     sums = member.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
     buckets = sums.groupBy("c", "total", "x", "y").agg(F.min("h").alias("h"))  # buckets of the same texts once
     blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK_TEXTS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
@@ -208,9 +210,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = d.join(tasks, d["doc_id"] == tasks["rep"]).select("h", "i", "j", "rep", "side", "text")
     links = texts.repartition(n_parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "rep").mapInArrow(_verify, "a long, b long")
     found = components(links)
-    out = sketch.select("doc_id", "d0", "d1", "size").join(reps, ["d0", "d1"], "left")
-    out = out.join(found, out["rep"] == found["node"], "left")
-    class_id = F.when(F.col("size") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+    # A text with very many copies hands its class to them by broadcast: at most HOT_GROUPS rows.
+    per = hold(reps.join(found, reps["rep"] == found["node"], "left").select("d0", "d1", "n", F.coalesce("component", "rep").alias("class")), StorageLevel.MEMORY_AND_DISK)
+    many = F.col("n") > max(1000, sketch.count() // HOT_GROUPS)
+    each = sketch.select("doc_id", "d0", "d1", "size").join(F.broadcast(per.filter(many).select("d0", "d1", F.col("class").alias("hot"))), ["d0", "d1"], "left")
+    rest = each.filter("hot is null").join(per.filter(~many).select("d0", "d1", "class"), ["d0", "d1"], "left")
+    out = each.filter("hot is not null").withColumn("class", F.col("hot")).unionByName(rest)
+    class_id = F.when(F.col("size") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))
     class_id = F.when(F.col("doc_id").isNotNull(), class_id)
     out = out.select("doc_id", class_id.alias("class_id"), F.col("size").alias("n_shingles"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
@@ -219,7 +225,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class; the columns of the input.  Rows that repeat
     an id are one document, so one of them stays."""
-    found = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").persist(StorageLevel.DISK_ONLY)
+    found = hold(near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id"))
     ids = found.distinct()
     out = docs.join(ids, "doc_id", "left_semi")
     if found.count() > ids.count():
