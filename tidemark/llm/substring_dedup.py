@@ -17,6 +17,7 @@ themselves, so no shard grows with one passage.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,7 +207,23 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _apply():
+_SOLID = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut_ranges(text: bytes, edges: np.ndarray) -> bytes:
+    """A text without the words of the ranges [a, b), each with the white space
+    that follows it; all other white space stays."""
+    at = [m.span() for m in _SOLID.finditer(text)]
+    out, done = [], 0
+    for a, b in edges.tolist():
+        if b == len(at):  # to the end: with the white space before
+            return b"".join([*out, text[done : at[a - 1][1] if a else 0]])
+        out.append(text[done : at[a][0]])
+        done = at[b][0]
+    return b"".join([*out, text[done:]])
+
+
+def _apply(spaces: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, col in slices(batch):
@@ -216,7 +233,7 @@ def _apply():
                     w = raw_text.encode().split()
                     total.append(len(w))
                     if not parts:
-                        kept.append(b" ".join(w).decode())
+                        kept.append(raw_text if spaces else b" ".join(w).decode())
                         gone.append(0)
                         spans.append([])
                         continue
@@ -234,6 +251,9 @@ def _apply():
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(np.int8), [0]])))
                     spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
                     gone.append(int(cover.sum()))
+                    if spaces:
+                        kept.append(cut_ranges(raw_text.encode(), edge.reshape(-1, 2)).decode())
+                        continue
                     kept.append(b" ".join([x for x, c in zip(w, cover, strict=True) if not c]).decode() if gone[-1] else b" ".join(w).decode())
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 rest = [piece.column(i) for i in range(5, piece.num_columns)]
@@ -243,9 +263,9 @@ def _apply():
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds sd_words, sd_removed, sd_text (the kept words joined by a space) and
-    sd_spans (removed word ranges) to every row.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spaces: bool = False) -> DataFrame:
+    """Adds sd_words, sd_removed, sd_text (the kept words joined by a space; with
+    ``spaces`` the text as it was, less the removed ranges) and sd_spans (removed word ranges) to every row.
 
     Every word is removed that a window covers whose words also start earlier:
     in a smaller key, or in the same document at an earlier word; windows are
@@ -272,16 +292,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     all_ = d.join(parts, ["ord", "th"], "left").join(found, ["ord", "th"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + ["sd_words long, sd_removed long, sd_text string, sd_spans array<struct<start:bigint,end:bigint>>"])
-    out = all_.select("ord", "th", "text", F.transform("parts", lambda p: p["at"]).alias("parts"), "found", *rest).mapInArrow(_apply(), schema)
+    out = all_.select("ord", "th", "text", F.transform("parts", lambda p: p["at"]).alias("parts"), "found", *rest).mapInArrow(_apply(spaces), schema)
     return out.select(*[F.col(f"sd_{c}").alias(c) for c in cols if c != text], "sd_words", "sd_removed", "sd_text", "sd_spans")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """Documents without their repeated words, the columns of documents.  A
-    text that loses nothing stays as it is, white space included."""
-    d = remove_repeats(docs.withColumn("was", F.col("text")))
-    text = F.when(F.col("sd_removed") == 0, F.col("was")).otherwise(F.col("sd_text"))
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    """Documents without their repeated words, the columns of documents; line
+    breaks and other white space around what stays are kept.  Null texts become
+    empty; documents that lose all their words stay, with what white space they
+    had; repeated rows, ties and empty tables as in remove_repeats."""
+    d = remove_repeats(docs, spaces=True)
+    new = {"text": F.col("sd_text"), "n_chars": F.length("sd_text").cast("long")}
     return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
