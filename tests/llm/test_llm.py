@@ -193,6 +193,13 @@ def brute_repeats(rows):
     return sorted(out)
 
 
+def test_cut_ranges_keeps_other_white_space():
+    cut = lambda t, *r: substring_dedup.cut_ranges(t, np.array(r).reshape(-1, 2))
+    assert cut(b" a b\nc\td\n", (1, 2)) == b" a c\td\n"
+    assert cut(b" a b\nc\td\n", (0, 1), (2, 4)) == b" b"
+    assert cut(b" a b ", (0, 2)) == b"" and cut(b"a", (0, 1)) == b"" and cut(b"a\n\nb c", (0, 1)) == b"b c"
+
+
 @pytest.mark.parametrize("hot", [5000, 2])
 def test_repeats_match_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
@@ -465,6 +472,14 @@ def test_join_matches_brute_force(spark):
     assert embedding_dedup.similarity_join(d.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_a_key_have_their_own_links(spark):
+    x, y, z = ([1.0 if i == k else 0.0 for i in range(8)] for k in range(3))
+    near = [1.0, 0.1] + [0.0] * 6
+    rows = [(1, x), (1, y), (2, near), (3, [0.0, 1.0, 0.1] + [0.0] * 5), (4, z), (4, z), (5, x)]
+    got = sorted(tuple(r) for r in embedding_dedup.similarity_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 2, 1, False)]
+
+
 def rows_of(v):
     return [float(a) for a in v]
 

@@ -7,9 +7,12 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import on_one_machine
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,19 +24,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder is made
-    and set as the checkpoint folder of the session.
+    Only where that is unset and the master is local (tests, one machine) a
+    temporary folder is made and set as the checkpoint folder of the session; a
+    cluster would lose what one of its machines holds.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
         if not root:
+            if not on_one_machine(spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="tidemark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+_HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame, level: StorageLevel = StorageLevel.DISK_ONLY) -> DataFrame:
+    """Persists a frame that a lazy result reads, until ``release``."""
+    _HELD.append(df.persist(level))
+    return df
+
+
+def release() -> None:
+    """Gives up what was held for results that have been written by now."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

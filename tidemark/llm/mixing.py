@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, word_count
+from tidemark.llm.common import hold, table, word_count
 
 MAX_PATTERNS = 100_000
 BUCKET_BITS = 12
@@ -134,7 +134,7 @@ def mix_sources(
         F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))).alias("mix_pattern"),
         order.alias("mix_order"),
     ).withColumn("mix_bucket", F.shiftright("mix_order", 63 - BUCKET_BITS))
-    sums = docs.groupBy("mix_pattern", "mix_bucket").agg(F.sum("mix_size").alias("words")).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = hold(docs.groupBy("mix_pattern", "mix_bucket").agg(F.sum("mix_size").alias("words")), StorageLevel.MEMORY_AND_DISK)
     rows = sums.groupBy("mix_pattern").agg(F.sum("words").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -183,7 +183,7 @@ def take_mix(docs: DataFrame) -> DataFrame:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")).persist(StorageLevel.MEMORY_AND_DISK)
+    docs = hold(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), StorageLevel.MEMORY_AND_DISK)
     mixed, plan = mix_sources(docs, F.array("source"), F.col("size"), F.col("doc_id"))
     rows = [(p, int(plan["sizes"][m[0]]), float(plan["targets"][m[0]])) for p, m in plan["members"].items()]
     known = spark.createDataFrame(rows, "mix_pattern string, source_size long, target double")
