@@ -21,7 +21,17 @@ def run(spark, fn, values):
 def test_clean_text(spark):
     got = run(spark, text.clean_text, ["<p>Luxury <b>house</b> for sale</p>", "Beds &amp; Wardrobes", "A&nbsp;B", "2 < 3 rooms", None, "", "a<br/>b<br>\n <br>c", "x​y z  \t w", "&lt;b&gt;"])
     assert got == ["Luxury house for sale", "Beds & Wardrobes", "A B", "2 < 3 rooms", "", "", "a\nb\n\nc", "xy z w", "<b>"]
-    assert run(spark, lambda c: text.clean_text(c, every=True), ["&eacute;&#233;&hearts; a"]) == ["éé♥ a"]
+    assert run(spark, text.clean_text, ["caf&eacute; &#233;&hearts; &#8217; a"]) == ["café é♥ ’ a"]
+
+
+def test_entities_are_those_of_html(spark):
+    import html
+    import random
+
+    rng = random.Random(5)
+    bits = ["&", "&amp;", "&amp", "&lt", "&eacute;", "&eacute", "&notit;", "&notin;", "&#", "&#x", "&#233;", "&#xe9", "&#x1F600;", "&#0;", "&#128;", "&#129;", "&#55296;", "&#1114112;", "&#99999999999999999999;", "&#00000000065;", "&#xFFFFFFFFFFFF;", "&#11;", "&#13;", "&#65534;", "&bogus;", "&CounterClockwiseContourIntegral;", "&nbsp", ";", "a", " ", "é", "1", "x"]
+    texts = bits + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 7))) for _ in range(600)]
+    assert run(spark, text.decode_entities, texts) == [html.unescape(t) for t in texts]
 
 
 @pytest.mark.parametrize(
@@ -40,7 +50,13 @@ def test_parse_ad_date(spark):
         "Sep 19, 2026": date(2026, 9, 19), "25 December 2020": date(2020, 12, 25), "Financing available": None, "": None, "2 months ago": date(2026, 7, 21), "a year ago": date(2025, 9, 19), "2026-13-40": None,
     }
     assert run(spark, lambda c: dates.parse_ad_date(c, NOW), list(pairs)) == list(pairs.values())
-    assert run(spark, lambda c: dates.parse_ad_date(c, NOW, loose=True), ["Posted 14/03/2026", "no date", None]) == [date(2026, 3, 14), None, None]
+    pairs = {
+        "Posted 14/03/2026": date(2026, 3, 14), "no date": None, None: None, "12/09/2026": date(2026, 12, 9), "2026/09/12": date(2026, 9, 12), "12-09-2026": date(2026, 12, 9), "2026-09-01 10:00 AM": date(2026, 9, 1),
+        "12.09.2026": date(2026, 12, 9), "25/12/19": date(2019, 12, 25), "12/25/99": date(1999, 12, 25), "Posted on 14 March 2026, 5 pm": date(2026, 3, 14), "14-Mar-2026": date(2026, 3, 14), "Mar-14-2026 10:30": date(2026, 3, 14),
+        "March 2026": None, "May": None, "2026 March 3": date(2026, 3, 3), "9/12": date(2026, 9, 12), "12/25": date(2025, 12, 25), "Sat, 12 Sep 2026 08:00:00 GMT": date(2026, 9, 12), "3rd of June": date(2026, 6, 3), "40/40/2026": None, "Feb 30, 2026": None, "2026-13-45": None, "the 1st Sept. 2025": date(2025, 9, 1),
+    }
+    got = dict(zip(pairs, run(spark, lambda c: dates.parse_ad_date(c, NOW), list(pairs)), strict=True))
+    assert got == pairs
 
 
 def test_phones(spark):
@@ -63,7 +79,13 @@ def test_names(spark):
     assert run(spark, text.url_slug, ["D.G. Khan", "Khairpur Mir's", "Café é"]) == ["d-g-khan", "khairpur-mir-s", "cafe-e"]
     a, b, c, d, e, f = run(spark, text.match_key, ["Dera Ghazi Khan", "dera-ghazi-khan", "Nowshera (Cantt)", "Nowshera", "Mirpur", "Mirpur Khas"])
     assert a == b and c == d and e != f
-    assert len(text.MARKED) == len(text.PLAIN)
+    import random
+    import unicodedata
+
+    rng = random.Random(6)
+    names = ["".join(rng.choice("aZ éŁøßÑộǆﬁÅｆḰ²½ٱ你") for _ in range(8)) for _ in range(200)]
+    plain = [unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().replace("12", "") for n in names]
+    assert [x.replace("12", "") for x in run(spark, text.fold, names)] == plain
 
 
 def test_cells(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import crawlcut, merge, pages, places, planning, validate
 from tidemark.schema import RECORD
 from tidemark.sources import captures, dims, workbook
+from tidemark.operators.graph import components
 from tidemark.sources.store import Store
 from tidemark.streaming import ingest
 
@@ -42,6 +43,72 @@ def test_url_changes_stay_one_row(spark):
     assert sorted(r.touched for r in out) == [1, 3] and sorted(r.id for r in out) == [1, 2]
 
 
+def test_ads_without_a_url_stay_apart(spark):
+    rows = [record(1, url=None), record(2, url=""), record(3, url=None), record(4, url="", source_listing_id=None), record(4, url=None, source_listing_id=None, seq=1), record(5, url=None, source_listing_id="", title="Other")]
+    out = {r.title: r for r in merge.upsert(None, frame(spark, rows)).collect()}
+    assert {t: r.touched for t, r in out.items()} == {"Car 1": 1, "Car 2": 1, "Car 3": 1, "Car 4": 2, "Other": 1}
+    assert out["Car 2"].fingerprint == "olx:id:2" and out["Car 4"].fingerprint.startswith("olx:hash:")
+
+
+def test_rows_are_stored_stripped(spark):
+    rows = [record(1, city=" Lahore ", area=None, title="\tCar\n", description=None, seller_name="  "), record(2, area=" Gulberg ", seller_name=" Ali ")]
+    one, two = merge.upsert(None, frame(spark, rows)).orderBy("source_listing_id").collect()
+    assert (one.city, one.area, one.title, one.description, one.seller_name) == ("Lahore", "", "Car", "", None)
+    assert (two.area, two.seller_name) == ("Gulberg", "Ali")
+
+
+def test_upsert_equals_one_at_a_time(spark):
+    """Batches against a store that takes one sighting after the other."""
+    rng = random.Random(9)
+    stored: dict = {}
+    old = None
+    for batch in range(3):
+        rows = []
+        for i in range(60):
+            n = rng.randrange(15)
+            rows.append(record(n, seq=batch * 100 + i, source=rng.choice(["olx", "zameen"]), area=rng.choice([None, "", "A", " B "]), description=rng.choice(["", "x", "long text", "other txt"]), phone=rng.choice([None, "+92"]), seller_name=rng.choice([None, "", "Ali"]), price=rng.choice([None, 5, 7]), title=f"T{i}", seen_at=datetime(2026, 9, 1 + batch, 0, i), url=rng.choice([f"https://s.example/{n}", None])))
+        want = {"inserted": 0, "updated": 0}
+        for r in rows:
+            new = {"area": (r["area"] or "").strip(), "description": r["description"], "phone": r["phone"], "seller_name": r["seller_name"] or None, "price": r["price"], "title": r["title"], "last": r["seen_at"]}
+            was = stored.get((r["source"], r["source_listing_id"]))
+            if was is None:
+                want["inserted"] += 1
+                stored[r["source"], r["source_listing_id"]] = new | {"first": r["seen_at"]}
+                continue
+            want["updated"] += 1
+            if len(new["description"]) < len(was["description"]):
+                new["description"] = was["description"]
+            for c in ("area", "phone", "seller_name", "price"):
+                if new[c] in (None, "") and was[c] is not None:
+                    new[c] = was[c]
+            was.update(new)
+        out = merge.upsert(old, frame(spark, rows)).checkpoint()
+        counts = merge.batch_counts(out).first()
+        assert (counts.inserted, counts.updated) == (want["inserted"], want["updated"])
+        got = {(r.source, r.source_listing_id): {"area": r.area, "description": r.description, "phone": r.phone, "seller_name": r.seller_name, "price": r.price, "title": r.title, "last": r.last_seen_at, "first": r.first_seen_at} for r in out.collect()}
+        assert got == stored
+        old = out.drop("action", "touched")
+    assert old.select("id").distinct().count() == len(stored) == old.agg(F.max("id")).first()[0]
+
+
+def test_untouched_rows_stay_as_they_are(spark):
+    old = merge.upsert(None, frame(spark, [record(1), record(2), record(3)])).drop("action", "touched").checkpoint()
+    out = merge.upsert(old, frame(spark, [record(2, title="New", seq=5), record(4, seq=6)])).checkpoint()
+    assert {r.title: (r.action, r.touched) for r in out.collect()} == {"Car 1": ("kept", 0), "Car 3": ("kept", 0), "New": ("updated", 1), "Car 4": ("inserted", 1)}
+    keep = lambda d: sorted(map(str, d.filter("title in ('Car 1', 'Car 3')").select(sorted(old.columns)).collect()))
+    assert keep(out) == keep(old)
+    assert merge.upsert(old, frame(spark, [record(2, seq=5)]), rest=False).count() == 1
+    assert merge.upsert(old, frame(spark, [])).count() == 3
+
+
+def test_components_of_a_long_chain(spark):
+    n = 200
+    links = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(n)] + [("x", "y"), ("z", "z"), ("y", "x")], "a string, b string")
+    got = dict(components(links).collect())
+    assert got == {f"n{i:04d}": "n0000" for i in range(n + 1)} | {"x": "x", "y": "x", "z": "z"}
+    assert components(links.limit(0)).count() == 0
+
+
 def test_fold_is_a_sequential_fold(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(40), i, rng.choice(["", "a", "bb", "cc", "ddd"]), rng.choice([None, "", "p", "q"]), rng.choice("xyz")) for i in range(400)]
@@ -159,6 +226,39 @@ def test_store_and_stream(spark, tmp_path):
         assert "T &amp;" in z.read("xl/worksheets/sheet1.xml").decode()
 
 
+def test_store_survives_crashes_and_rivals(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.init() == ["listings", "runs", "rejects", "outcomes"] and store.init() == [] and store.tables() == ["listings", "runs", "rejects", "outcomes"]
+    store.ingest(frame(spark, [record(i) for i in range(100)] + [record(200, city="")]), NOW.date())
+    # A writer that died within its pointer leaves the table as it was.
+    at = store._pointers("listings")[-1]
+    (tmp_path / "s" / "listings" / "_pointers" / f"{at + 1:012d}").write_text("3 v-none/_b=3\n")
+    assert store.read("listings").count() == 100
+    before = {p for _, p in store._current("listings")}
+    assert store.ingest(frame(spark, [record(5, title="New", seq=1), record(300, city=" ")]), NOW.date()) == {"inserted": 0, "updated": 1}
+    after = {p for _, p in store._current("listings")}
+    assert len(before - after) == 1 and len(after - before) == 1  # one bucket was written anew
+    assert store.read("listings").count() == 100 and store.read("listings").filter("title = 'New'").count() == 1
+    assert len(store._current("rejects")) == 2 and store.read("rejects").count() == 2
+    with pytest.raises(Exception, match="exist"):
+        store._pointers = lambda name: []
+        store._publish("listings", [])
+    del store._pointers
+    store.compact("listings")
+    assert store.read("listings").count() == 100
+
+
+def test_runs_are_noted(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.start_run(["olx"], ["Lahore", "Multan"], NOW) == 1
+    (r,) = store.runs().collect()
+    assert r.finished_at is None and r.cities == "Lahore,Multan" and r.inserted == 0
+    store.finish_run(1, {"inserted": 3, "errors": 1}, "done", NOW)
+    assert store.start_run(["zameen"], [], NOW) == 2
+    one, two = store.runs().orderBy("id").collect()
+    assert (one.started_at, one.finished_at, one.inserted, one.updated, one.errors, one.notes) == (NOW, NOW, 3, 0, 1, "done") and two.finished_at is None
+
+
 def test_workbook_has_a_sheet_for_every_city(spark, tmp_path):
     n = 10_003
     d = spark.range(2 * n).select(

@@ -8,8 +8,12 @@ own, before the others.
 
 Entities are connected components over a source's listing ids and canonical
 URLs, so an ad that changes its URL, or is seen without its id, stays one row
-(a lookup one sighting at a time would split it).  The fingerprint is made
-anew from the merged id.
+(a lookup one sighting at a time would split it).  A sighting without a URL is
+known by its id alone, one without either by the hash of its content.  The
+fingerprint is made anew from the merged id.
+
+Only stored rows that share an id or a URL with a sighting take part; the
+others are neither linked nor folded.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import strip
 from tidemark.functions.urls import canonical_url, fingerprint
-from tidemark.session import ensure_checkpoints
+from tidemark.operators.graph import components
 
 LAST = ("city", "category", "title", "price_currency", "price_raw", "url")
 STICKY = ("price", "phone", "seller_name", "ad_date", "source_listing_id", "area")
@@ -32,34 +37,48 @@ def last(c: str, seq: Column) -> Column:
 
 def sticky(c: str, seq: Column) -> Column:
     """The last that is neither null nor empty; '' if only that was said."""
-    given = F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), seq)
-    value = F.max_by(F.when(given.isNotNull(), F.col(c)), given)
-    return value
+    text = F.col(c).cast("string")
+    best = F.max_by(F.col(c), F.when(text != "", seq))
+    return F.coalesce(best, F.max_by(F.col(c), F.when(text == "", seq)))
 
 
 def longest(c: str, seq: Column) -> Column:
     return F.max_by(F.col(c), F.struct(F.length(F.coalesce(F.col(c), F.lit(""))), seq))
 
 
+def to_row(s: DataFrame) -> DataFrame:
+    """Sightings as they are stored: white space off the ends of city, area,
+    title, description and seller; a missing area or description is '', an
+    empty seller is null."""
+    new = {c: strip(F.col(c)) for c in ("city", "title")} | {c: strip(F.coalesce(F.col(c), F.lit(""))) for c in ("area", "description")}
+    new["seller_name"] = F.nullif(strip(F.col("seller_name")), F.lit(""))
+    return s.withColumns({c: x for c, x in new.items() if c in s.columns})
+
+
+def _names(s: DataFrame) -> DataFrame:
+    """Adds _u, _i and _h: the names that rows of one entity share."""
+    name = lambda kind, c: F.concat_ws("\x1f", "source", F.lit(kind), c)
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    mark = fingerprint(F.col("source"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("city"), F.col("category"), F.col("title"), F.col("price_raw"))
+    return s.withColumns({"_u": F.when(some("url") & some("url_canonical"), name("u", F.col("url_canonical"))), "_i": F.when(some("source_listing_id"), name("i", F.col("source_listing_id")))}).withColumn("_h", F.when(F.col("_u").isNull() & F.col("_i").isNull(), name("h", mark)))
+
+
 def entities(s: DataFrame) -> DataFrame:
     """Adds ``entity``: the same for rows of a source that share a listing id
     or a canonical URL, directly or through others."""
-    ensure_checkpoints(s.sparkSession)
-    s = s.withColumn("_u", F.concat_ws("\x1f", "source", F.lit("u"), "url_canonical"))
-    s = s.withColumn("_i", F.when(F.coalesce("source_listing_id", F.lit("")) != "", F.concat_ws("\x1f", "source", F.lit("i"), "source_listing_id")))
-    pairs = s.filter("_i is not null").select("_u", "_i").distinct()
-    label = pairs.select(F.col("_u").alias("n")).union(pairs.select("_i")).distinct().withColumn("c", F.col("n"))
-    # Components are tiny (an ad's few URLs and ids): smallest label by rounds.
-    both = pairs.select(F.col("_u").alias("a"), F.col("_i").alias("b"))
-    both = both.union(both.select("b", "a")).persist()
-    while True:
-        low = both.join(label, both["b"] == label["n"]).groupBy("a").agg(F.min("c").alias("m"))
-        new = label.join(low, label["n"] == low["a"], "left").select("n", F.least("c", F.coalesce("m", "c")).alias("c")).checkpoint()
-        moved = new.join(label.withColumnRenamed("c", "old"), "n").filter("c <> old").limit(1).count()
-        label = new
-        if not moved:
-            break
-    return s.join(label, s["_u"] == label["n"], "left").withColumn("entity", F.coalesce("c", "_u")).drop("_u", "_i", "n", "c")
+    s = _names(s)
+    links = s.filter("_u is not null and _i is not null").select(F.col("_u").alias("a"), F.col("_i").alias("b")).distinct()
+    s = s.withColumn("_n", F.coalesce("_i", "_u", "_h"))
+    return s.join(components(links).withColumnRenamed("node", "_n"), "_n", "left").withColumn("entity", F.coalesce("component", "_n")).drop("_u", "_i", "_h", "_n", "component")
+
+
+def touched(existing: DataFrame, sightings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored rows that share an id, URL or content hash with a sighting, all others)."""
+    new = _names(sightings)
+    names = new.select("_u").union(new.select("_i")).union(new.select("_h")).filter("_u is not null").distinct().withColumnRenamed("_u", "_n")
+    old = _names(existing)
+    hit = old.select("id", F.explode(F.array("_u", "_i", "_h")).alias("_n")).join(names, "_n", "left_semi").select("id").distinct()
+    return existing.join(hit, "id", "left_semi"), existing.join(hit, "id", "left_anti")
 
 
 def fold(s: DataFrame, seq: str = "seq", seen: str = "seen_at", key: str = "entity") -> DataFrame:
@@ -67,24 +86,26 @@ def fold(s: DataFrame, seq: str = "seq", seen: str = "seen_at", key: str = "enti
     o = F.col(seq)
     cols = [last(c, o).alias(c) for c in LAST if c in s.columns]
     cols += [sticky(c, o).alias(c) for c in STICKY if c in s.columns]
-    cols += [longest("description", o).alias("description"), F.min_by("url_canonical", o).alias("url_canonical"), F.min_by(seen, o).alias("first_seen_at"), F.max_by(seen, o).alias("last_seen_at"), F.max_by(seen, o).alias("scraped_at"), F.count(F.lit(1)).alias("sightings")]
+    cols += [longest("description", o).alias("description"), F.min_by("url_canonical", F.when(F.col("url_canonical").isNotNull(), o)).alias("url_canonical"), F.min_by(seen, o).alias("first_seen_at"), F.max_by(seen, o).alias("last_seen_at"), F.max_by(seen, o).alias("scraped_at"), F.count(F.lit(1)).alias("sightings")]
     return s.groupBy(key, "source").agg(*cols)
 
 
-def upsert(existing: DataFrame | None, sightings: DataFrame) -> DataFrame:
+def upsert(existing: DataFrame | None, sightings: DataFrame, rest: bool = True) -> DataFrame:
     """The new snapshot, with ``action`` (inserted, updated or kept) and
     ``touched`` (sightings folded in).  Sightings have the columns of a record,
-    ``seq`` and ``seen_at``; ids continue after the largest stored one."""
-    s = sightings.withColumn("url_canonical", canonical_url(F.col("url"))).withColumn("_old", F.lit(None).cast("long")).withColumn("_first", F.col("seen_at"))
+    ``seq`` and ``seen_at``; ids continue after the largest stored one.  Without
+    ``rest``, stored rows that no sighting touches are left out."""
+    s = to_row(sightings).withColumn("url_canonical", canonical_url(F.col("url"))).withColumn("_old", F.lit(None).cast("long")).withColumn("_first", F.col("seen_at"))
+    kept = None
     if existing is not None:
-        old = existing.withColumns({"seq": F.lit(-1).cast("long"), "seen_at": F.col("last_seen_at"), "_old": F.col("id"), "_first": F.col("first_seen_at")})
+        old, kept = touched(existing, s)
+        old = old.withColumns({"seq": F.lit(-1).cast("long"), "seen_at": F.col("last_seen_at"), "_old": F.col("id"), "_first": F.col("first_seen_at")})
         s = s.unionByName(old.select(*[F.col(c) if c in old.columns else F.lit(None).alias(c) for c in s.columns]))
     s = entities(s)
     extra = s.groupBy("entity", "source").agg(F.min("_old").alias("_old"), F.min_by("_first", "seq").alias("_first"), F.count_if(F.col("_old").isNull()).alias("touched"))
     m = fold(s).join(extra, ["entity", "source"])
     m = m.withColumn("first_seen_at", F.col("_first")).withColumn("fingerprint", fingerprint(F.col("source"), F.col("source_listing_id"), F.col("url"), F.col("city"), F.col("category"), F.col("title"), F.col("price_raw")))
-    action = F.when(F.col("_old").isNull(), "inserted").when(F.col("touched") > 0, "updated").otherwise("kept")
-    m = m.withColumn("action", action)
+    m = m.withColumn("action", F.when(F.col("_old").isNull(), "inserted").otherwise("updated"))
     # New ids by range of entity: counts by partition give the offsets, no single task sorts all rows.
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if existing is not None else 0
     new = m.filter("_old is null").repartitionByRange("entity").sortWithinPartitions("entity").withColumn("_p", F.spark_partition_id()).checkpoint()
@@ -93,9 +114,14 @@ def upsert(existing: DataFrame | None, sightings: DataFrame) -> DataFrame:
     for p, n in sizes:
         before.append((p, at))
         at += n
+    # One row a partition, so their number bounds what is broadcast.
     offsets = m.sparkSession.createDataFrame(before or [(-1, start)], "_p int, _before long")
     new = new.join(F.broadcast(offsets), "_p").withColumn("id", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("entity"))).drop("_p", "_before")
-    return new.unionByName(m.filter("_old is not null").withColumn("id", F.col("_old"))).drop("_old", "_first", "entity", "sightings")
+    out = new.unionByName(m.filter("_old is not null").withColumn("id", F.col("_old"))).drop("_old", "_first", "entity", "sightings")
+    if kept is None or not rest:
+        return out
+    more = {"action": F.lit("kept"), "touched": F.lit(0).cast("long")}
+    return out.unionByName(kept.select(*[more[c].alias(c) if c in more else F.col(c).cast(out.schema[c].dataType).alias(c) if c in kept.columns else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns]))
 
 
 def batch_counts(actions: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from tidemark.functions.dates import parse_ad_date
 from tidemark.functions.money import parse_price
 from tidemark.functions.phone import phone_policy, published_phone
 from tidemark.functions.text import city_slug, clean_text, let
+from tidemark.schema import RECORD
 
 _HIT = (
     "struct<externalID:string,id:string,title:string,description:string,slug:string,price:string,extraFields:struct<price:string>,"
@@ -136,6 +137,12 @@ def zameen_index(captures: DataFrame, now: datetime, collect_phone: bool = True)
 READERS: dict[str, Callable[[DataFrame, datetime], DataFrame]] = {"olx": olx_index, "pakwheels": pakwheels_index, "zameen": zameen_index}
 
 
+#: Columns of a record, as store and validation take it.
+RECORD_COLUMNS = tuple(f.strip().split()[0] for f in RECORD.replace("(38,6)", "").split(","))
+#: Sources whose ads have readable pages of their own.
+DETAILED = ("olx", "pakwheels", "zameen")
+
+
 def register(source: str, reader: Callable[[DataFrame, datetime], DataFrame]) -> None:
     READERS[source] = reader
 

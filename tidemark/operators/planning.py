@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.places import find_city
+
 
 def unknown(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return asked.join(known.select(key), key, "left_anti")
@@ -16,6 +18,20 @@ def require_known(asked: DataFrame, known: DataFrame, key: str, what: str) -> No
         raise ValueError(f"unknown {what}: {', '.join(rows)}")
 
 
+def choose_cities(cities: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """The enabled cities, or those that names or aliases ask for, enabled or
+    not, in list order; raises for names that no city has.  The result's enabled
+    is true throughout."""
+    if not only:
+        return cities.filter("enabled")
+    asked = cities.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(only)], "asked string")
+    found = find_city(cities, asked).collect()  # one row a name asked for
+    missing = sorted(r.asked.strip() for r in found if r.name is None)
+    if missing:
+        raise ValueError(f"unknown cities: {', '.join(missing)}")
+    return cities.filter(F.col("name").isin([r.name for r in found])).withColumn("enabled", F.lit(True))
+
+
 def plan_units(cities: DataFrame, categories: DataFrame, selections: dict[str, list[str]] | None = None, sources: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
     """(unit_no, city, source, category) in city order.
 
@@ -27,6 +43,7 @@ def plan_units(cities: DataFrame, categories: DataFrame, selections: dict[str, l
     spark = cities.sparkSession
     low = F.lower("key")
     if selections is not None:
+        require_known(spark.createDataFrame([(s,) for s in selections] or [], "source string"), categories.distinct(), "source", "sources")
         rows = [(s, i, k.strip().lower()) for i, (s, ks) in enumerate(selections.items()) for k in (ks or ["*"])]
         want = spark.createDataFrame(rows, "source string, _s int, _k string")
         chosen = categories.filter("enabled").join(F.broadcast(want), "source").filter((F.col("_k") == "*") | (low == F.col("_k"))).dropDuplicates(["source", "key"])

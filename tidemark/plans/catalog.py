@@ -230,15 +230,9 @@ def cache_names(spark, d):
     return table(spark, d, "pages").select("page_id", urls.cache_name(F.col("url")).alias("name"))
 
 
-def _entities_sql(c: str) -> str:
-    for k, v in text.ENTITIES.items():
-        c = f"replace({c}, '{k.replace(chr(39), chr(39) * 2)}', '{v.replace(chr(39), chr(39) * 2)}')"
-    return c
-
-
-_CLEAN = (
-    r"regexp_replace(regexp_replace(regexp_replace(translate(replace(%s, chr(8203), ''), chr(160), ' '), '[ \t\r\f\x0B]+', ' ', 'g'), '\n\s*\n\s*', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-    % _entities_sql(r"regexp_replace(regexp_replace(%s, '(?i)<\s*(?:br|/p|/div|/li|/tr|/h[1-6])\s*/?\s*>', chr(10), 'g'), '<[a-zA-Z/!][^>]*>', '', 'g')")
+_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(translate(replace(%s, chr(8203), ''), chr(160), ' '), '[ \t\r\f\x0B]+', ' ', 'g'), '\n\s*\n\s*', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')""" % (
+    r"""regexp_replace(replace(replace(replace(replace(replace(replace(%s, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')"""
+    % r"""regexp_replace(regexp_replace(%s, '(?i)<\s*(?:br|/p|/div|/li|/tr|/h[1-6])\s*/?\s*>', chr(10), 'g'), '<[a-zA-Z/!][^>]*>', '', 'g')"""
 )
 
 

@@ -1,24 +1,42 @@
-"""Tables as snapshot folders: a writer fills a new folder and then moves the
-pointer, so readers see the old table or the new one, never a mixture."""
+"""Tables as lists of folders under numbered pointers.
+
+A writer fills new folders and then creates the next pointer, which lists the
+folders that make up the table; the highest complete pointer counts, so readers
+see the old table or the new one, never a mixture, and a crash leaves the old
+one.  Two writers cannot take the same number: the second one fails.
+
+Listings are kept in buckets by id.  A batch rewrites the buckets of the stored
+rows that it changes; rows that are new are added beside the others.  Rejects,
+runs and outcomes are only ever appended to.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark import schema as S
 from tidemark.functions.text import clean_text
-from tidemark.operators.merge import check_unique, upsert
+from tidemark.functions.urls import canonical_url
+from tidemark.operators.merge import check_unique, to_row, touched, upsert
 from tidemark.operators.validate import split_valid
 
 TABLES = {"listings": S.LISTINGS, "runs": S.RUNS, "rejects": S.REJECTS, "outcomes": S.OUTCOMES}
+BUCKETS = 64
+
+
+def bucket(key: Column) -> Column:
+    return F.pmod(key, F.lit(BUCKETS)).cast("int")
 
 
 class Store:
-    """Snapshots of the tables under one root, on any file system Spark reads."""
+    """The tables under one root, on any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -27,54 +45,91 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(p.toString()).first()[0]
-
-    def tables(self) -> list[str]:
-        return [n for n in TABLES if self._current(n)]
+    def _pointers(self, name: str) -> list[int]:
+        fs, p = self._fs(f"{self.root}/{name}/_pointers")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def _current(self, name: str) -> list[tuple[int, str]] | None:
+        """(bucket, folder) pairs of the highest complete pointer; bucket -1: none."""
+        for n in reversed(self._pointers(name)):
+            lines = [r[0] for r in self.spark.read.text(f"{self.root}/{name}/_pointers/{n:012d}").collect()]
+            if lines and lines[-1] == "end":
+                return [(int(b), at) for b, at in (x.split(" ", 1) for x in lines[:-1])]
+        return None
+
+    def _publish(self, name: str, parts: Iterable[tuple[int, str]]) -> None:
+        number = max(self._pointers(name), default=0) + 1
+        fs, p = self._fs(f"{self.root}/{name}/_pointers/{number:012d}")
+        out = fs.create(p, False)  # fails where another writer has taken the number
+        out.write(bytearray("".join(f"{b} {at}\n" for b, at in parts).encode() + b"end\n"))
+        out.close()
 
-    def read(self, name: str) -> DataFrame:
-        """The current snapshot; columns that it lacks are null."""
-        at = self._current(name)
-        if at is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        d = self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{name}/{at}")
+    def _fill(self, name: str, df: DataFrame) -> list[tuple[int, str]]:
+        """Writes rows to a new folder; gives its parts."""
+        at = f"v-{uuid.uuid4().hex}"
+        if name != "listings":
+            df.write.parquet(f"{self.root}/{name}/{at}")
+            return [(-1, at)]
+        df.withColumn("_b", bucket(F.col("id"))).write.partitionBy("_b").parquet(f"{self.root}/{name}/{at}")
+        fs, p = self._fs(f"{self.root}/{name}/{at}")
+        found = [f.getPath().getName() for f in fs.listStatus(p)]
+        return [(int(f[3:]), f"{at}/{f}") for f in sorted(found) if f.startswith("_b=")]
+
+    def _open(self, name: str, folders: list[str]) -> DataFrame:
+        d = self.spark.createDataFrame([], TABLES[name]) if not folders else self.spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{name}/{at}" for at in folders])
         for f in StructType.fromDDL(TABLES[name]).fields:
             if f.name not in d.columns:
                 d = d.withColumn(f.name, F.lit(None).cast(f.dataType))
         return d
 
-    def write(self, name: str, df: DataFrame, partition: str | None = None) -> None:
-        at = f"v-{uuid.uuid4().hex}"
-        w = df.write
-        (w.partitionBy(partition) if partition else w).parquet(f"{self.root}/{name}/{at}")
-        fs, p = self._fs(f"{self.root}/{name}/.next-{at}")
-        out = fs.create(p, True)
-        out.write(bytearray(at.encode()))
-        out.close()
-        _, cur = self._fs(f"{self.root}/{name}/CURRENT")
-        fs.delete(cur, False)
-        fs.rename(p, cur)
+    def tables(self) -> list[str]:
+        return [n for n in TABLES if self._current(n) is not None]
+
+    def read(self, name: str) -> DataFrame:
+        """The current table; columns that it lacks are null."""
+        return self._open(name, [at for _, at in self._current(name) or []])
+
+    def write(self, name: str, df: DataFrame) -> None:
+        self._publish(name, self._fill(name, df))
 
     def append(self, name: str, df: DataFrame) -> None:
         cols = [f.name for f in StructType.fromDDL(TABLES[name]).fields if f.name in df.columns]
-        self.write(name, self.read(name).select(*cols).unionByName(df.select(*cols)))
+        parts = self._fill(name, df.select(*cols))
+        self._publish(name, [*(self._current(name) or []), *parts])
+
+    def compact(self, name: str) -> None:
+        """One folder a bucket again."""
+        self.write(name, self.read(name))
+
+    def init(self) -> list[str]:
+        """Creates the tables that are not there yet; gives their names."""
+        new = [n for n in TABLES if self._current(n) is None]
+        for n in new:
+            self._publish(n, [])
+        return new
 
     def ingest(self, sightings: DataFrame, today) -> dict[str, int]:
         """Validates, merges and stores sightings; rejects go to their table."""
         good, bad = split_valid(sightings, today)
-        self.append("rejects", bad.withColumn("rejected_at", F.current_timestamp()))
-        old = self.read("listings") if self._current("listings") else None
-        merged = upsert(old, good).persist()
+        bad = bad.withColumn("rejected_at", F.current_timestamp()).persist(StorageLevel.MEMORY_AND_DISK)
+        refused = bad.count()
+        if refused:
+            self.append("rejects", bad)
+        bad.unpersist()
+        parts = self._current("listings") or []
+        old = self._open("listings", [at for _, at in parts])
+        merged = upsert(old, good, rest=False).persist(StorageLevel.MEMORY_AND_DISK)
         new = (F.col("action") == "inserted").cast("long")
         row = merged.agg(F.coalesce(F.sum(new), F.lit(0)), F.coalesce(F.sum(F.col("touched") - new), F.lit(0))).first()
         types = {f.name: f.dataType for f in StructType.fromDDL(S.LISTINGS).fields}
         table = merged.select(*[F.col(c).cast(t).alias(c) if c in merged.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()])
         check_unique(table)
-        self.write("listings", table)
+        gone = touched(old, to_row(good).withColumn("url_canonical", canonical_url(F.col("url"))))[0].select("id").persist(StorageLevel.MEMORY_AND_DISK)
+        stale = {r[0] for r in gone.select(bucket(F.col("id"))).distinct().collect()}  # BUCKETS at most
+        beside = self._open("listings", [at for b, at in parts if b in stale]).join(gone, "id", "left_anti").select(*types)
+        fresh = self._fill("listings", table.unionByName(beside))
+        self._publish("listings", [p for p in parts if p[0] not in stale] + fresh)
+        gone.unpersist()
         merged.unpersist()
         return {"inserted": row[0], "updated": row[1]}
 
@@ -87,3 +142,26 @@ class Store:
         if changed:
             self.write("listings", d.withColumns(new))
         return changed
+
+    # ---------------------------------------------------------------- run audit
+
+    def start_run(self, sources: list[str], cities: list[str], now: datetime) -> int:
+        """Notes that a run began; its id."""
+        number = (self.read("runs").agg(F.max("id")).first()[0] or 0) + 1
+        self._note(number, now, None, sources, cities, {}, None)
+        return number
+
+    def finish_run(self, number: int, stats: dict[str, int], notes: str, now: datetime) -> None:
+        began = self.runs().filter(F.col("id") == number).first()
+        self._note(number, began.started_at, now, began.sources.split(","), began.cities.split(","), stats, notes)
+
+    def _note(self, number: int, began: datetime, ended: datetime | None, sources: list[str], cities: list[str], stats: dict[str, int], notes: str | None) -> None:
+        row = (number, began, ended, ",".join(sources), ",".join(cities), *(stats.get(c, 0) for c in ("inserted", "updated", "skipped", "errors")), notes)
+        self.append("runs", self.spark.createDataFrame([row], S.RUNS))
+
+    def runs(self) -> DataFrame:
+        """One row a run: its last note."""
+        d = self.read("runs")
+        whole = F.struct(*[c for c in d.columns if c != "id"])
+        return d.groupBy("id").agg(F.max_by(whole, F.struct(F.col("finished_at").isNotNull(), "finished_at")).alias("r")).select("id", "r.*")
+
