@@ -17,7 +17,6 @@ themselves, so no shard grows with one passage.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import partitions, slices, table
 from tidemark.llm.fm_index import FMIndex
-from tidemark.llm.textops import mix, word_hashes
+from tidemark.llm.textops import mix, raw, word_hashes, words
 
 WINDOW = 20
 RUN = 6
@@ -207,58 +206,59 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-_SOLID = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def cut_ranges(text: bytes, edges: np.ndarray) -> bytes:
-    """A text without the words of the ranges [a, b), each with the white space
-    that follows it; all other white space stays."""
-    at = [m.span() for m in _SOLID.finditer(text)]
-    out, done = [], 0
+def cut_ranges(text: np.ndarray, start: np.ndarray, end: np.ndarray, edges: np.ndarray) -> bytes:
+    """A text (bytes; its words lie at start..end) without the words of the
+    ranges [a, b), each with the white space that follows it, or at the end of
+    the text that before it; all other white space stays."""
+    keep = np.ones(len(text), bool)
     for a, b in edges.tolist():
-        if b == len(at):  # to the end: with the white space before
-            return b"".join([*out, text[done : at[a - 1][1] if a else 0]])
-        out.append(text[done : at[a][0]])
-        done = at[b][0]
-    return b"".join([*out, text[done:]])
+        if b < len(start):
+            keep[start[a] : start[b]] = False
+        else:
+            keep[end[a - 1] if a else 0 :] = False
+    return text[keep].tobytes()
 
 
 def _apply(spaces: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for piece, col in slices(batch):
                 kept, total, gone, spans = [], [], [], []
-                for text, parts, found in zip(col, piece.column(3).to_pylist(), piece.column(4).to_pylist(), strict=True):
-                    raw_text = text.as_py()
-                    w = raw_text.encode().split()
-                    total.append(len(w))
-                    if not parts:
-                        kept.append(raw_text if spaces else b" ".join(w).decode())
-                        gone.append(0)
-                        spans.append([])
-                        continue
-                    again = np.zeros(len(w) + 1, bool)
-                    for p in parts:
-                        again[p >> 16 : (p >> 16) + (p & 0xFFFF)] = True
-                    for p in found or ():
-                        first, n = p["at"] >> 16, p["at"] & 0xFFFF
-                        again[first : first + n] = np.unpackbits(np.frombuffer(p["flags"], np.uint8), count=n, bitorder="little")
-                    step = np.zeros(len(w) + 1, np.int64)
-                    at = np.flatnonzero(again)
-                    step[at] += 1
-                    np.subtract.at(step, np.minimum(at + WINDOW, len(w)), 1)
-                    cover = np.cumsum(step)[:-1] > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(np.int8), [0]])))
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
-                    gone.append(int(cover.sum()))
+                data, off = raw(col)
+                start, end, row = words(data, off)
+                first = np.searchsorted(row, np.arange(len(col) + 1))
+                for i, (parts, found) in enumerate(zip(piece.column(3), piece.column(4), strict=True)):
+                    n = int(first[i + 1] - first[i])
+                    text = data[off[i] : off[i + 1]]
+                    total.append(n)
+                    edge = np.empty((0, 2), np.int64)
+                    if parts.is_valid and len(parts):
+                        again = np.zeros(n + 1, bool)
+                        for p in parts.values.to_numpy().tolist():
+                            again[p >> 16 : (p >> 16) + (p & 0xFFFF)] = True
+                        for p in found.as_py() or ():
+                            at, m = p["at"] >> 16, p["at"] & 0xFFFF
+                            again[at : at + m] = np.unpackbits(np.frombuffer(p["flags"], np.uint8), count=m, bitorder="little")
+                        step = np.zeros(n + 1, np.int32)
+                        at = np.flatnonzero(again)
+                        step[at] += 1
+                        np.subtract.at(step, np.minimum(at + WINDOW, n), 1)
+                        cover = np.cumsum(step)[:-1] > 0
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(np.int8), [0]]))).reshape(-1, 2)
+                    gone.append(int((edge[:, 1] - edge[:, 0]).sum()))
+                    spans.append([{"start": int(a), "end": int(b)} for a, b in edge])
                     if spaces:
-                        kept.append(cut_ranges(raw_text.encode(), edge.reshape(-1, 2)).decode())
-                        continue
-                    kept.append(b" ".join([x for x, c in zip(w, cover, strict=True) if not c]).decode() if gone[-1] else b" ".join(w).decode())
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                        a, b = first[i], first[i + 1]
+                        kept.append(cut_ranges(text, start[a:b] - off[i], end[a:b] - off[i], edge) if len(edge) else text.tobytes())
+                    elif not len(edge):
+                        kept.append(b" ".join(text.tobytes().split()))
+                    else:
+                        w, at = text.tobytes().split(), np.concatenate([[0], edge.ravel(), [n]]).reshape(-1, 2)
+                        kept.append(b" ".join([x for a, b in at.tolist() for x in w[a:b]]))
                 rest = [piece.column(i) for i in range(5, piece.num_columns)]
                 names = [piece.schema.field(i).name for i in range(5, piece.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], [*names, "sd_words", "sd_removed", "sd_text", "sd_spans"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, kind)], [*names, "sd_words", "sd_removed", "sd_text", "sd_spans"])
 
     return run
 
