@@ -154,3 +154,13 @@ def carry_coverage(cities: DataFrame, previous: DataFrame, dropped: DataFrame) -
 
 def duplicate_names(cities: DataFrame) -> DataFrame:
     return cities.groupBy(F.lower("name").alias("name")).count().filter("count > 1")
+
+
+def report(cities: DataFrame) -> DataFrame:
+    """(kind, key, state, n): cities by province, and by site whether they are
+    covered, are not, or were not checked."""
+    by = cities.groupBy(F.col("province").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("province").alias("kind"), "key", F.lit(None).cast("string").alias("state"), "n")
+    each = cities.select(F.explode("coverage").alias("key", "covered"))
+    state = F.when(F.col("covered").isNull(), "unchecked").when(F.col("covered"), "true").otherwise("false")
+    sites = each.groupBy("key", state.alias("state")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("coverage").alias("kind"), "key", "state", "n")
+    return by.unionByName(sites)

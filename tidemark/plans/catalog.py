@@ -25,11 +25,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    """Registers the queries of the other modules too."""
+    from tidemark.plans import catalog_pages, catalog_store  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return {k: f for k, (f, _) in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return {k: s for k, (_, s) in _Q.items() if s}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +31,9 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         if not root and not on_one_machine(sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidemark-"))
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that executors share."""
+    ensure_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
