@@ -573,6 +573,9 @@ def test_archive_round_trip(spark, tmp_path):
     head, block = records[2].split(b"\r\n\r\n", 1)
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response") and block == "<p>é</p>".encode() + b"\r\n\r\n" and b"%0A" in head
     assert spark.read.parquet(str(tmp_path / "a" / "payloads")).count() == 3
+    for r in warc.parse_records(warc.rebuild(a)).collect():
+        body = next((h or "") for i, _, h in rows if i == r.key).encode() if r.record_type == "response" else b""
+        assert (bytes(r.r_block), r.r_type, r.r_refers_to, r.r_digest, r.r_exact) == (body, r.record_type, r.refers_to, r.payload_digest, True)
     warc.write_archive(d, str(tmp_path / "b"), min_bytes=10)
     assert {r.key: r.record_type for r in warc.read_archive(spark, str(tmp_path / "b")).collect()}[1] == "response"
     warc.write_archive(d.limit(0), str(tmp_path / "c"))

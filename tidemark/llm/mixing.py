@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import hold, table, word_count
 
-MAX_PATTERNS = 100_000
+#: Patterns that the driver routes, at about 1 KB each; more of them are refused, never dropped.
+MAX_PATTERNS = 1_000_000
 BUCKET_BITS = 12
 
 
@@ -44,59 +45,76 @@ def water_fill(sizes: dict, weights: dict, total: float, cap: float) -> dict:
     return out
 
 
+class _Network:
+    """Largest flow from node 0 to node 1 by levels and blocking flows."""
+
+    def __init__(self, nodes: int):
+        self.head: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        for x, y, c in ((a, b, room), (b, a, 0)):
+            self.head[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(c)
+        return len(self.to) - 2
+
+    def _levels(self) -> list[int]:
+        level, queue = [-1] * len(self.head), deque([0])
+        level[0] = 0
+        while queue:
+            x = queue.popleft()
+            for e in self.head[x]:
+                if self.room[e] and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[x] + 1
+                    queue.append(self.to[e])
+        return level
+
+    def fill(self) -> None:
+        while (level := self._levels())[1] >= 0:
+            at, path, x = [0] * len(self.head), [], 0
+            while True:
+                if x == 1:
+                    push = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= push
+                        self.room[e ^ 1] += push
+                    path = path[: next(i for i, e in enumerate(path) if not self.room[e])]
+                    x = self.to[path[-1]] if path else 0
+                elif at[x] < len(self.head[x]):
+                    e = self.head[x][at[x]]
+                    if self.room[e] and level[self.to[e]] == level[x] + 1:
+                        path.append(e)
+                        x = self.to[e]
+                    else:
+                        at[x] += 1
+                elif path:
+                    x = self.to[path.pop() ^ 1]
+                    at[x] += 1
+                else:
+                    break
+
+
 def route(patterns: dict[str, int], members: dict[str, list], quota: dict, max_repeats: int) -> dict[str, int]:
-    """Min-cost flow by successive shortest paths.  Patterns feed the quotas
-    of their sources; pass r over a pattern costs r (convex).  Returns the
-    words taken from each pattern."""
-    nodes: dict = {"S": 0, "T": 1}
-    for p in patterns:
-        nodes["p", p] = len(nodes)
-    for s in quota:
-        nodes["q", s] = len(nodes)
-    head: list[list[int]] = [[] for _ in nodes]
-    to, cap, cost = [], [], []
-
-    def arc(a, b, c, w):
-        for x, y, z, v in ((a, b, c, w), (b, a, 0, -w)):
-            head[x].append(len(to))
-            to.append(y)
-            cap.append(z)
-            cost.append(v)
-
-    for p, size in patterns.items():
-        for r in range(max_repeats):
-            arc(0, nodes["p", p], size, r + 1)
+    """Min-cost flow.  Patterns feed the quotas of their sources; pass r over a
+    pattern costs r (convex).  As only passes cost, the cheapest flow fills all
+    it can with first passes, then with second ones, and so on: a largest flow
+    after each pass is opened.  Returns the words taken from each pattern."""
+    place = {s: 2 + i for i, s in enumerate(quota)}
+    net = _Network(2 + len(place) + len(patterns))
+    feed = {}
+    for i, (p, size) in enumerate(patterns.items(), 2 + len(place)):
+        feed[p] = net.arc(0, i, 0)
         for s in members[p]:
-            arc(nodes["p", p], nodes["q", s], max_repeats * size, 0)
+            net.arc(i, place[s], max_repeats * size)
     for s, q in quota.items():
-        arc(nodes["q", s], 1, q, 0)
-    while True:
-        dist, by, queue, queued = {0: 0}, {}, deque([0]), {0}
-        while queue:
-            x = queue.popleft()
-            queued.discard(x)
-            for e in head[x]:
-                if cap[e] > 0 and dist[x] + cost[e] < dist.get(to[e], 1 << 60):
-                    dist[to[e]] = dist[x] + cost[e]
-                    by[to[e]] = e
-                    if to[e] not in queued:
-                        queued.add(to[e])
-                        queue.append(to[e])
-        if 1 not in dist:
-            break
-        push, x = 1 << 62, 1
-        while x:
-            push = min(push, cap[by[x]])
-            x = to[by[x] ^ 1]
-        x = 1
-        while x:
-            cap[by[x]] -= push
-            cap[by[x] ^ 1] += push
-            x = to[by[x] ^ 1]
-    taken = {}
-    for p in patterns:
-        taken[p] = sum(cap[e ^ 1] for e in head[nodes["p", p]] if to[e] != 0 and e % 2 == 0)
-    return taken
+        net.arc(place[s], 1, q)
+    for _ in range(max_repeats):
+        for p, size in patterns.items():
+            net.room[feed[p]] += size
+        net.fill()
+    return {p: net.room[e + 1] for p, e in feed.items()}
 
 
 def mix_sources(

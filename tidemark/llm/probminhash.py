@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 #: Texts with more copies than one row in so many are handed their class by broadcast.
 HOT_GROUPS = 2000
 #: A task compares blocks of at most about this many texts and shingles.
-BLOCK_TEXTS, BLOCK_SHINGLES = 1000, 1_000_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 1000, 500_000
 
 
 def weighted_shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

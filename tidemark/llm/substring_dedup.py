@@ -283,12 +283,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     rest = [c for c in d.columns if c not in ("ord", "th", "text")]
     marks = d.select("ord", "th", "text").mapInArrow(_mark, "low long, ord long, th long, at long, hits long")
     shared = marks.groupBy("low").agg(F.sum("hits").alias("c")).filter("c > 1").select("low", (F.col("c") > HOT).alias("hot"))
-    parts = marks.join(shared, "low").groupBy("ord", "th").agg(F.collect_list(F.struct("low", "at", "hot")).alias("parts"))
+    parts = marks.join(shared, "low").groupBy("ord", "th").agg(F.collect_set(F.struct("low", "at", "hot")).alias("parts"))
     # Both joins below read the same columns, so the texts are shuffled once and the exchange is reused.
     known = d.join(parts, ["ord", "th"]).select("ord", "th", "text", "parts", *rest)
     segs = known.mapInArrow(_cut, "key long, seg string, ord long, th long, at long")
     flags = segs.repartition(n, "key").sortWithinPartitions("key", "seg", "ord", "th", "at").mapInArrow(_search, "ord long, th long, at long, flags binary")
-    found = flags.groupBy("ord", "th").agg(F.collect_list(F.struct("at", "flags")).alias("found"))
+    found = flags.groupBy("ord", "th").agg(F.collect_set(F.struct("at", "flags")).alias("found"))
     all_ = d.join(parts, ["ord", "th"], "left").join(found, ["ord", "th"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + ["sd_words long, sd_removed long, sd_text string, sd_spans array<struct<start:bigint,end:bigint>>"])

@@ -58,28 +58,52 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: key, header, record_type, refers_to, payload,
-    payload_bytes, payload_digest, and verified (the stored bytes have the
-    digest they are stored under).  Columns that are not used cost nothing: the
-    payload column is pruned before the join."""
+    """One row per record: key, header, record_type, refers_to, payload_bytes,
+    payload_digest, verified (the stored bytes have the digest they are stored
+    under), and block: the payload of a response, nothing for a revisit.
+
+    A payload goes to its responses alone, so one that very many records revisit
+    is not copied to each of them; they meet its length and digests only.
+    """
     p = spark.read.parquet(f"{path}/payloads").select("digest", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), (F.sha2("payload", 256) == F.col("digest")).alias("verified"))
     r = spark.read.parquet(f"{path}/records")
     grab = lambda pattern: F.nullif(F.regexp_extract("header", pattern, 1), F.lit(""))
     r = r.select("key", "header", "digest", grab(r"\r\nWARC-Type: (\w+)\r\n").alias("record_type"), grab(r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>\r\n").cast("long").alias("refers_to"))
-    return r.join(p, "digest")
+    whole = r.filter("record_type = 'response'").join(p, "digest").withColumnRenamed("payload", "block")
+    again = r.filter("record_type = 'revisit'").join(p.drop("payload"), "digest").withColumn("block", F.lit(b""))
+    return whole.unionByName(again)
 
 
 def rebuild(archive: DataFrame) -> DataFrame:
-    """The original records: (key, record) with exact bytes."""
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return archive.select("key", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    """The original records, exact bytes, in the column ``record``."""
+    return archive.withColumn("record", F.concat(F.encode("header", "UTF-8"), F.col("block"), F.lit(b"\r\n\r\n")))
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """What the bytes of records say: adds r_type, r_refers_to, r_digest, r_block
+    (as many bytes as the header says) and r_exact (header, block and the two
+    line ends are all there is)."""
+    # The header ends at the first empty line; it has no other.
+    head = F.concat(F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1), F.lit("\r\n\r\n"))
+    d = records.withColumn("r_head", head)
+    say = lambda name, value: F.nullif(F.regexp_extract("r_head", rf"\r\n{name}: {value}\r\n", 1), F.lit(""))
+    size = say("Content-Length", r"(\d+)").cast("int")
+    d = d.withColumns({"r_type": say("WARC-Type", r"(\w+)"), "r_refers_to": say("WARC-Refers-To", r"<urn:page:(-?\d+)>").cast("long"), "r_digest": say("WARC-Payload-Digest", r"sha1:(\w+)"), "r_size": size})
+    block = F.substring("record", F.octet_length("r_head") + 1, F.col("r_size"))
+    return d.withColumns({"r_block": block, "r_exact": F.octet_length("record") == F.octet_length("r_head") + F.col("r_size") + 4}).drop("r_head", "r_size")
 
 
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, rebuilt from the archive; a response's length and
+    digest are those of the block in its record."""
     path = work_dir(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    a = read_archive(spark, path)
-    return a.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    d = parse_records(rebuild(read_archive(spark, path)))
+    own = F.col("r_type") == "response"
+    n = F.when(own, F.octet_length("r_block").cast("long")).otherwise(F.col("payload_bytes"))
+    digest = F.when(own, base32_sha1(F.col("r_block"))).otherwise(F.col("r_digest"))
+    fine = F.col("verified") & F.col("r_exact") & (digest == F.col("payload_digest")) & (digest == F.col("r_digest"))
+    return d.select(F.col("key").alias("page_id"), n.alias("payload_bytes"), digest.alias("payload_digest"), F.col("r_type").alias("record_type"), F.col("r_refers_to").alias("refers_to"), fine.alias("verified"))
 
 
 OP10_SQL = r"""
