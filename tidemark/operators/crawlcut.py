@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.bounded import before
+
 
 def dedup(ads: DataFrame) -> DataFrame:
     """The first sighting of each key in a unit."""
@@ -68,11 +70,8 @@ def empty_stop(pages: DataFrame) -> DataFrame:
 
 
 def run_cap(units: DataFrame, cap: int, order: str = "unit_no", stored: str = "stored") -> DataFrame:
-    """Units that run: those before which fewer than ``cap`` rows were stored.
-
-    A unit is one row, so the running sum is over units, not over listings."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return units.withColumn("_before", F.coalesce(F.sum(stored).over(w), F.lit(0))).filter(F.col("_before") < cap).drop("_before")
+    """Units that run: those before which fewer than ``cap`` rows were stored."""
+    return before(units, [order], stored, "_before").filter(F.col("_before") < cap).drop("_before")
 
 
 def carry_forward(df: DataFrame, column: str, order: str, by: list[str] | None = None) -> Column:
@@ -83,9 +82,11 @@ def carry_forward(df: DataFrame, column: str, order: str, by: list[str] | None =
 def coverage(ads: DataFrame, places: int = 5) -> DataFrame:
     """Per unit: pages read, own and foreign ads, ads out of the window, and the
     first few different foreign places in the order they came."""
-    foreign = F.when(~F.col("own"), F.struct("rn", "place"))
-    names = F.array_distinct(F.transform(F.array_sort(F.collect_list(foreign)), lambda s: s["place"]))
-    return ads.groupBy("unit").agg(F.countDistinct("page").alias("pages_read"), F.count_if("own").alias("own_ads"), F.count_if(~F.col("own")).alias("foreign_ads"), F.count_if(F.col("own") & ~F.col("inw")).alias("out_of_window"), F.slice(names, 1, places).alias("foreign_places"))
+    first = ads.filter(~F.col("own") & F.col("place").isNotNull()).groupBy("unit", "place").agg(F.min("rn").alias("rn"))
+    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("unit").orderBy("rn"))).filter(F.col("_r") <= places)
+    names = first.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "place"))), lambda s: s["place"]).alias("foreign_places"))
+    sums = ads.groupBy("unit").agg(F.countDistinct("page").alias("pages_read"), F.count_if("own").alias("own_ads"), F.count_if(~F.col("own")).alias("foreign_ads"), F.count_if(F.col("own") & ~F.col("inw")).alias("out_of_window"))
+    return sums.join(names, "unit", "left").withColumn("foreign_places", F.coalesce("foreign_places", F.array().cast("array<string>")))
 
 
 def outcome(units: DataFrame) -> DataFrame:

@@ -26,6 +26,15 @@ _HIT = (
     f"createdAt:string,updatedAt:string,location:{LEVELS}>"
 )
 
+# How the sites write their links to ads and two lines of a table.
+AD_LINK = r"(?i)/item/([^/?#]*?)-iid-(\d+)"
+USED_LINK = r"(?i)/(?:used-cars|used-bikes)/[^/?#]*?-(\d{5,})(?:[/?#]|$)"
+USED_TOWN = r"(?i)-for-sale-in-(.+?)-\d{5,}(?:[/?#]|$)"
+PROPERTY_LINK = r"(?i)/Property/[^\s\"']*?-(\d{5,})(?:-\d+)*\.html"
+LAST_UPDATED = r"(?i)Last Updated:\s*([A-Za-z]{3,9}\s+\d{1,2},\s*\d{4})"
+AD_REF = r"(?i)Ad Ref\s*#\s*(\d+)"
+
+
 def _none() -> Column:
     return F.lit(None).cast("string")
 
@@ -94,7 +103,7 @@ def olx_index(captures: DataFrame, now: datetime, collect_phone: bool = True) ->
     ).filter("coalesce(source_listing_id, '') <> '' and title <> ''")
     d = d.withColumns({"price": F.col("p.amount"), "price_currency": F.col("p.currency"), "price_raw": F.col("p.raw"), "phone": phone_policy(_none(), [F.col("description"), F.col("title")], collect_phone)}).drop("p")
     links = captures.join(d.select(F.col("page_url").alias("url")).distinct(), "url", "left_anti").select("*", F.posexplode(anchors(F.col("text"))).alias("pos", "a"))
-    pattern = r"(?i)/item/([^/?#]*?)-iid-(\d+)"
+    pattern = AD_LINK
     shown = clean_text(F.regexp_replace("a.inner", "<[^>]+>", " "))
     from_slug = F.initcap(F.replace(F.regexp_extract("a.href", pattern, 1), F.lit("-"), F.lit(" ")))
     e = links.filter(F.col("a.href").rlike(pattern)).select(F.lit("olx").alias("source"), F.regexp_extract("a.href", pattern, 2).alias("source_listing_id"), "city", "category", F.coalesce(F.nullif(shown, F.lit("")), from_slug).alias("title"), absolute(F.col("base_url"), F.col("a.href")).alias("url"), F.col("url").alias("page_url"), "pos")
@@ -107,9 +116,9 @@ def pakwheels_index(captures: DataFrame, now: datetime, collect_phone: bool = Tr
     a = anchors(F.col("text"))
     named = F.filter(a, lambda x: x["attrs"].rlike(r"(?i)\bclass\s*=\s*[\"'][^\"']*\bcar-name\b"))
     links = s.select("*", F.posexplode(F.when(F.size(named) > 0, named).otherwise(a)).alias("pos", "a"))
-    pattern = r"(?i)/(?:used-cars|used-bikes)/[^/?#]*?-(\d{5,})(?:[/?#]|$)"
+    pattern = USED_LINK
     title = clean_text(F.coalesce(attr(F.col("a.attrs"), "title"), F.regexp_replace("a.inner", "<[^>]+>", " ")))
-    town = F.nullif(F.regexp_extract("a.href", r"(?i)-for-sale-in-(.+?)-\d{5,}(?:[/?#]|$)", 1), F.lit(""))
+    town = F.nullif(F.regexp_extract("a.href", USED_TOWN, 1), F.lit(""))
     d = links.filter(F.col("a.href").rlike(pattern)).select(F.lit("pakwheels").alias("source"), F.regexp_extract("a.href", pattern, 1).alias("source_listing_id"), "city", "category", title.alias("title"), absolute(F.col("base_url"), F.col("a.href")).alias("url"), F.array_compact(F.array(F.replace(town, F.lit("-"), F.lit(" ")))).alias("located_in"), F.col("url").alias("page_url"), "pos")
     d = _once(d).filter("title <> ''")
     offer = lambda x, k: F.coalesce(F.get_json_object(x, f"$.offers.{k}"), F.get_json_object(x, f"$.offers[0].{k}"))
@@ -124,7 +133,7 @@ def zameen_index(captures: DataFrame, now: datetime, collect_phone: bool = True)
     s = captures.withColumn("_state", window_json(F.col("text"), "state"))
     links = s.select("*", F.posexplode(anchors(F.col("text"))).alias("pos", "a"))
     own = F.col("a.href").startswith("/Property/") | F.startswith("a.href", F.concat(F.rtrim("base_url", F.lit("/")), F.lit("/Property/")))
-    pattern = r"(?i)/Property/[^\s\"']*?-(\d{5,})(?:-\d+)*\.html"
+    pattern = PROPERTY_LINK
     ident = F.regexp_extract("a.href", pattern, 1)
     title = clean_text(F.coalesce(attr(F.col("a.attrs"), "title"), attr(F.col("a.attrs"), "aria-label"), F.regexp_replace("a.inner", "<[^>]+>", " ")))
     d = links.filter(own & F.col("a.href").rlike(pattern)).select(F.lit("zameen").alias("source"), ident.alias("source_listing_id"), "city", "category", F.coalesce(F.nullif(title, F.lit("")), F.concat(F.lit("Zameen listing "), ident)).alias("title"), absolute(F.col("base_url"), F.col("a.href")).alias("url"), F.col("url").alias("page_url"), "pos")
@@ -165,9 +174,9 @@ def details(captures: DataFrame, source: str, now: datetime) -> DataFrame:
         cols = {"title": F.when(F.col("ad").isNotNull(), empty(clean_text(F.col("ad.title")))).otherwise(empty(clean_text(ld("$.name")))), "description": F.when(F.col("ad").isNotNull(), empty(clean_text(F.col("ad.description")))).otherwise(empty(clean_text(ld("$.description")))), "p": p, "currency": _none(), "ad_date": parse_ad_date(F.coalesce(empty(F.col("ad.createdAt")), F.col("ad.updatedAt")), now), "seller_name": _seller("ad"), "area": empty(area_of(F.col("ad.location"))), "source_listing_id": F.when(F.col("ad").isNotNull(), empty(F.col("ad.externalID"))).otherwise(empty(ld("$.sku"))), "phone": _none()}
     elif source == "pakwheels":
         spec = first_text(F.col("text"), r"""(?is)id=["']scroll_car_detail["'][^>]*>(.*?)</(?:ul|table|section)>""", r"""(?is)id=["']scroll_car_detail["'][^>]*>(.*)$""")
-        day = parse_ad_date(empty(F.regexp_extract(spec, r"(?i)Last Updated:\s*([A-Za-z]{3,9}\s+\d{1,2},\s*\d{4})", 1)), now)
+        day = parse_ad_date(empty(F.regexp_extract(spec, LAST_UPDATED, 1)), now)
         seller = css(r"""(?is)class=["'][^"']*owner-detail[^"']*["'].*?<meta[^>]*itemprop=["']name["'][^>]*content=["']([^"']*)["']""", r"""(?is)class=["'][^"']*owner-detail[^"']*["'].*?<h5[^>]*>(.*?)</h5>""")
-        cols = {"title": empty(clean_text(ld("$.name"))), "description": F.coalesce(empty(clean_text(ld("$.description"))), text_css), "p": parse_price(F.coalesce(offer("price"), price_css)), "currency": offer("priceCurrency"), "ad_date": day, "seller_name": F.when(F.length(seller) <= 80, seller), "area": _none(), "source_listing_id": empty(F.regexp_extract(spec, r"(?i)Ad Ref\s*#\s*(\d+)", 1)), "phone": _none()}
+        cols = {"title": empty(clean_text(ld("$.name"))), "description": F.coalesce(empty(clean_text(ld("$.description"))), text_css), "p": parse_price(F.coalesce(offer("price"), price_css)), "currency": offer("priceCurrency"), "ad_date": day, "seller_name": F.when(F.length(seller) <= 80, seller), "area": _none(), "source_listing_id": empty(F.regexp_extract(spec, AD_REF, 1)), "phone": _none()}
     else:
         key = lambda *k: find_first_key(F.col("state"), *k)
         data = lambda k: F.coalesce(F.get_json_object("state", f"$.property.data.{k}"), F.when(F.get_json_object("state", "$.property.data").isNull(), F.get_json_object("state", f"$.{k}")))

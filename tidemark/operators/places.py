@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.blobs import window_json
 from tidemark.functions.text import city_keys, junk_name, match_key
+from tidemark.operators.bounded import small
 
 # Slugs and ids under which two sources file the provinces.
 SLUG_PROVINCES = {
@@ -17,6 +18,11 @@ ID_PROVINCES = {"1522": "Punjab", "1523": "Sindh", "1524": "Balochistan", "1525"
 # Gazetteer provinces and the codes of seats of administration.
 GAZETTEER_PROVINCES = {"08": "Islamabad Capital Territory", "05": "Sindh", "04": "Punjab", "03": "Khyber Pakhtunkhwa", "07": "Gilgit-Baltistan", "02": "Balochistan", "06": "Azad Jammu & Kashmir"}
 SEATS = ("PPLC", "PPLA", "PPLA2", "PPLA3")
+# The host of the location sitemap, and the title of a page that
+# is scoped to a city.
+SITEMAP_HOST = r"olx\.com\.pk"
+TITLE = r"(?i)<title>\s*([^<]*?)\s*</title>"
+TITLE_CITY = r"(?i)\bfor sale in\s+(.+?)\s*(?:\||$)"
 EXCLUDED = ("malal", "fata", "waziristan", "makran", "modeltown", "sharifabad", "malircantonment", "kurkalisindhpakistan")
 
 
@@ -24,11 +30,11 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[c]
 
 
-def sitemap_locations(pages: DataFrame, text: str = "text", source: str = "olx") -> DataFrame:
+def sitemap_locations(pages: DataFrame, text: str = "text", source: str = "olx", host: str = SITEMAP_HOST) -> DataFrame:
     """Cities and localities of a location sitemap in document order.  Ids of
     seven digits from 20 are provinces, which hold for what follows, from 40
     cities; longer ids from 10 are localities; others are left out."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"(?i)/([a-z0-9\-]+_g\d+)"), F.lit(1))
+    found = F.regexp_extract_all(F.col(text), F.lit(rf"(?i){host}/([a-z0-9\-]+_g\d+)"), F.lit(1))
     d = pages.withColumn("doc", F.monotonically_increasing_id()).select("doc", F.posexplode(found).alias("pos", "identifier"))
     d = d.withColumns({"slug": F.regexp_extract("identifier", r"^(.*)_g\d+$", 1), "num": F.regexp_extract("identifier", r"_g(\d+)$", 1)})
     kind = F.when((F.length("num") == 7) & F.col("num").startswith("20"), "province").when((F.length("num") == 7) & F.col("num").startswith("40"), "city").when((F.length("num") > 7) & F.col("num").startswith("10"), "locality")
@@ -54,7 +60,7 @@ def resolve(cities: DataFrame, locations: DataFrame) -> DataFrame:
     j = keys.join(loc, "_key").filter(F.coalesce("_want", F.lit("")).isin("") | F.col("province").isNull() | (F.col("province") == F.col("_want")))
     rank = F.row_number().over(Window.partitionBy("city", "source").orderBy(F.when(F.col("level") == "city", 0).otherwise(1), "pos"))
     best = j.withColumn("_r", rank).filter("_r = 1").select("city", "source", "identifier", F.col("name").alias("matched"))
-    want = cities.select(F.col("name").alias("city")).crossJoin(F.broadcast(locations.select("source").distinct()))
+    want = cities.select(F.col("name").alias("city")).crossJoin(small(locations.select("source").distinct(), 1000, "sources"))
     out = want.join(best, ["city", "source"], "left")
     return out.withColumn("status", F.when(F.col("identifier").isNotNull(), "resolved").otherwise("unsupported"))
 
@@ -100,8 +106,7 @@ def in_city(located_in: Column, keys: Column) -> Column:
 def page_city(text: Column) -> Column:
     """The city a listing page is scoped to, from its title; null if none or
     the whole country."""
-    title = F.regexp_extract(text, r"(?i)<title>\s*([^<]*?)\s*</title>", 1)
-    city = F.trim(F.regexp_extract(title, r"(?i)\bfor sale in\s+(.+?)\s*(?:\||$)", 1))
+    city = F.trim(F.regexp_extract(F.regexp_extract(text, TITLE, 1), TITLE_CITY, 1))
     return F.when(~match_key(city).isin("pakistan", ""), city)
 
 
@@ -123,15 +128,15 @@ def build_cities(places: DataFrame, merges: DataFrame, alternates: DataFrame) ->
     site_b's, site_a's and the gazetteer's name is shown; two towns of one name
     in different provinces must be kept apart by the caller's key."""
     alias = merges.select(F.col("name").alias("canon"), F.explode("variants").alias("v")).select(match_key(F.col("v")).alias("_k"), match_key(F.col("canon")).alias("_to"), "canon")
-    p = places.withColumn("_k", match_key(F.col("name"))).join(F.broadcast(alias.select("_k", "_to")), "_k", "left").withColumn("key", F.coalesce("_to", "_k"))
+    p = places.withColumn("_k", match_key(F.col("name"))).join(alias.select("_k", "_to"), "_k", "left").withColumn("key", F.coalesce("_to", "_k"))
     pick = lambda c, s: F.max_by(F.when(F.col("source") == s, F.col(c)), F.when(F.col("source") == s, F.col("pos")))
     e = p.groupBy("key").agg(*[pick(c, s).alias(f"{s}_{c}") for s in ("gazetteer", "site_a", "site_b") for c in ("name", "province")], *[pick(c, "gazetteer").alias(c) for c in ("lat", "lon", "population")])
     e = e.withColumn("province", F.coalesce("site_a_province", "site_b_province", "gazetteer_province")).filter("province is not null")
     other = F.col("gazetteer_province").isNotNull() & (F.col("gazetteer_province") != F.col("province"))
     e = e.withColumns({"lat": F.when(~other, F.col("lat")), "lon": F.when(~other, F.col("lon")), "population": F.when(~other, F.coalesce("population", F.lit(0))).otherwise(F.lit(0))})
     canon = merges.select(match_key(F.col("name")).alias("key"), F.col("name").alias("canon"), F.col("variants").alias("_m"))
-    e = e.join(F.broadcast(canon), "key", "left").withColumn("name", F.coalesce("canon", "site_b_name", "site_a_name", "gazetteer_name"))
-    e = e.join(F.broadcast(alternates.select("name", F.col("variants").alias("_a"))), "name", "left")
+    e = e.join(canon, "key", "left").withColumn("name", F.coalesce("canon", "site_b_name", "site_a_name", "gazetteer_name"))
+    e = e.join(alternates.select("name", F.col("variants").alias("_a")), "name", "left")
     none = F.array().cast("array<string>")
     names = F.array_union(F.array_union(F.array_compact(F.array("gazetteer_name", "site_a_name", "site_b_name")), F.coalesce("_m", none)), F.coalesce("_a", none))
     e = e.withColumn("aliases", F.array_sort(F.filter(names, lambda n: match_key(n) != match_key(F.col("name")))))

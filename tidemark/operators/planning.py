@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.bounded import before, small
 from tidemark.operators.places import find_city
 
 
@@ -46,12 +47,12 @@ def plan_units(cities: DataFrame, categories: DataFrame, selections: dict[str, l
         require_known(spark.createDataFrame([(s,) for s in selections] or [], "source string"), categories.distinct(), "source", "sources")
         rows = [(s, i, k.strip().lower()) for i, (s, ks) in enumerate(selections.items()) for k in (ks or ["*"])]
         want = spark.createDataFrame(rows, "source string, _s int, _k string")
-        chosen = categories.filter("enabled").join(F.broadcast(want), "source").filter((F.col("_k") == "*") | (low == F.col("_k"))).dropDuplicates(["source", "key"])
+        chosen = categories.filter("enabled").join(small(want, 100_000, "selected categories"), "source").filter((F.col("_k") == "*") | (low == F.col("_k"))).dropDuplicates(["source", "key"])
     else:
         chosen = categories.filter(F.col("source").isin([s.strip().lower() for s in sources])) if sources else categories.filter("enabled")
         chosen = chosen.filter(low.isin([k.strip().lower() for k in keys])) if keys else chosen
         chosen = chosen.withColumn("_s", F.lit(0))
     c = cities.filter("enabled").select(F.col("name").alias("city"), F.col("pos").alias("_c"))
-    units = c.crossJoin(F.broadcast(chosen.select("source", F.col("key").alias("category"), "_s", F.col("pos").alias("_k"))))
-    n = F.row_number().over(Window.orderBy("_c", "_s", "_k"))
-    return units.select(n.cast("long").alias("unit_no"), "city", "source", "category")
+    units = c.crossJoin(small(chosen.select("source", F.col("key").alias("category"), "_s", F.col("pos").alias("_k")), 100_000, "categories"))
+    units = before(units.withColumn("_one", F.lit(1)), ["_c", "_s", "_k", "city", "source", "category"], "_one", "_n")
+    return units.select((F.col("_n") + 1).cast("long").alias("unit_no"), "city", "source", "category")

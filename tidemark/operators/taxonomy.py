@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import humanize
+from tidemark.operators.places import SITEMAP_HOST
 
 
 def flatten_tree(states: DataFrame, column: str = "state", depth: int = 12) -> DataFrame:
@@ -44,9 +45,9 @@ def shortest(c: Column) -> Column:
     return F.min_by(c, F.struct(F.length(c), c))
 
 
-def sitemap_categories(pages: DataFrame, text: str = "text") -> DataFrame:
+def sitemap_categories(pages: DataFrame, text: str = "text", host: str = SITEMAP_HOST) -> DataFrame:
     """Categories of a sitemap: one slug an id; slugs that ids share get it."""
-    found = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?i)/([a-z0-9\-]+_c\d+)"), F.lit(1)))
+    found = F.explode(F.regexp_extract_all(F.col(text), F.lit(rf"(?i){host}/([a-z0-9\-]+_c\d+)"), F.lit(1)))
     d = pages.select(found.alias("m")).select(F.lower(F.regexp_extract("m", r"(?i)^(.*)_c\d+$", 1)).alias("slug"), F.regexp_extract("m", r"(?i)_c(\d+)$", 1).cast("long").alias("id"))
     d = d.groupBy("id").agg(shortest(F.col("slug")).alias("slug"))
     d = d.withColumn("_s", F.count(F.lit(1)).over(Window.partitionBy("slug")) > 1)
@@ -58,6 +59,6 @@ def merge_curated(synced: DataFrame, curated: DataFrame) -> DataFrame:
     """All synced categories, flagged where curated has their id; then the
     curated ones whose id was not synced."""
     flag = curated.filter("category_id is not null").select("category_id").distinct().withColumn("curated", F.lit(True))
-    a = synced.join(F.broadcast(flag), "category_id", "left").withColumn("curated", F.coalesce("curated", F.lit(False)))
+    a = synced.join(flag, "category_id", "left").withColumn("curated", F.coalesce("curated", F.lit(False)))
     b = curated.join(synced.select("category_id"), "category_id", "left_anti").withColumn("curated", F.lit(True))
     return a.unionByName(b, allowMissingColumns=True)

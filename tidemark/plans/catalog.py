@@ -330,7 +330,7 @@ def normalize_digits(spark, d):
 # ----------------------------------------------------------------------- merge
 
 _FOLD = """SELECT entity, arg_max(title, seq) AS title, arg_max(description, row(length(description), seq)) AS description, arg_max(price, CASE WHEN price IS NOT NULL THEN seq END) AS price,
- arg_max(phone, CASE WHEN phone <> '' THEN seq END) AS phone, arg_min(url_canonical, seq) AS url_canonical, arg_min(seen_at, seq) AS first_seen_at, arg_max(seen_at, seq) AS last_seen_at, count(*) AS sightings FROM V GROUP BY entity"""
+ coalesce(arg_max(phone, CASE WHEN phone <> '' THEN seq END), CASE WHEN bool_or(phone = '') THEN '' END) AS phone, arg_min(url_canonical, seq) AS url_canonical, arg_min(seen_at, seq) AS first_seen_at, arg_max(seen_at, seq) AS last_seen_at, count(*) AS sightings FROM V GROUP BY entity"""
 
 
 @query(_from(SIGHTINGS_SQL, _FOLD))
@@ -558,13 +558,13 @@ def tree_flatten(spark, d):
 @query("""SELECT * FROM (VALUES ('tablets', 'Tablets', '1455'), ('houses-c1719', 'Houses (c1719)', '1719'), ('houses-c1721', 'Houses (c1721)', '1721')) AS t(key, label, category_id)""")
 def sitemap_categories(spark, d):
     xml = "".join(f"<loc>https://site.example/{s}</loc>" for s in ("apple-tablets_c1455", "tablets_c1455", "houses_c1719", "houses_c1721"))
-    return taxonomy.sitemap_categories(spark.createDataFrame([(xml,)], "text string")).select("key", "label", "category_id")
+    return taxonomy.sitemap_categories(spark.createDataFrame([(xml,)], "text string"), host=r"site\.example").select("key", "label", "category_id")
 
 
 @query("""SELECT * FROM (VALUES ('Kotli', 'kotli_g4060001', 'Punjab', 'city'), ('Kotli', 'kotli_g4060002', 'Azad Jammu & Kashmir', 'city'), ('Far Town', 'far-town_g1000000000000001', 'Azad Jammu & Kashmir', 'locality')) AS t(name, identifier, province, level)""")
 def sitemap_locations(spark, d):
     xml = " ".join(f"https://site.example/{s}" for s in ("punjab_g2003006", "kotli_g4060001", "somewhere_g5000001", "azad-kashmir_g2003007", "kotli_g4060002", "moon_g2009999", "far-town_g1000000000000001"))
-    return places.sitemap_locations(spark.createDataFrame([(xml,)], "text string")).select("name", "identifier", "province", "level")
+    return places.sitemap_locations(spark.createDataFrame([(xml,)], "text string"), host=r"site\.example").select("name", "identifier", "province", "level")
 
 
 @query("SELECT n_name AS city, i::BIGINT AS page, 'https://site.example/' || lower(n_name) || CASE WHEN i = 1 THEN '' ELSE '?page=' || i END AS url FROM nation CROSS JOIN range(1, 4) AS r(i)")
