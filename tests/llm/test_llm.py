@@ -446,6 +446,22 @@ def test_rules_edges(spark):
     assert quality_rules.quality_rules(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few", [32, 1])
+def test_repeated_words_match_a_loop(spark, monkeypatch, few):
+    monkeypatch.setattr(quality_rules, "FEW", few)
+    rng = random.Random(15)
+    texts = [words(rng, rng.randrange(60), rng.choice([2, 5, 400])) for _ in range(150)] + [words(rng, 30) + " " + t for t in ["a b c d e f " * 3, "x " * 40, ""]] + ["p q r s t u p q r s t", None]
+
+    def loop(t):
+        w = (t or "").split()
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        n = Counter(grams)
+        return len({i + j for i, g in enumerate(grams) if n[g] > 1 for j in range(5)})
+
+    out = quality_rules.base_rules(docs(spark, [(i, t, "h") for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.qr_n_repeat_words for r in out} == {i: loop(t) for i, t in enumerate(texts)}
+
+
 def test_copies_count_once(spark):
     text = "\n".join(words(random.Random(i), 20) for i in range(3))
     out = quality_rules.quality_rules(docs(spark, [(i, text, "h") for i in range(50)])).collect()

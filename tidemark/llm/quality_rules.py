@@ -21,6 +21,8 @@ from tidemark.llm.common import WORD, hold, table
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: Repeated windows of a text that are looked for in place.
+FEW = 32
 #: Lists of frequent lines up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -39,21 +41,36 @@ def _solid(line: Column) -> Column:
 
 def _repeat_words(gram: str) -> Column:
     """Words that lie in windows found twice or more, from the array of the
-    hashes of all windows.  Positions are only sorted where a hash repeats."""
+    hashes of all windows.
+
+    Sorted hashes show which repeat.  Up to ``FEW`` of them are looked for in
+    place, in a few bytes a word; where more repeat, windows are sorted with
+    their positions.  Both ways give the same number."""
     g = F.col(gram)
-    order = F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.lit(False)
+
+    def count(at: Column) -> Column:  # ascending positions
+        step = lambda acc, p: F.struct(p.alias("last"), (acc["total"] + F.least(F.lit(5), p - acc["last"])).alias("total"))
+        return F.aggregate(at, F.struct(F.lit(-9).alias("last"), F.lit(0).alias("total")), step, lambda acc: acc["total"])
 
-    def covered(rows: Column) -> Column:
+    def twins(rows: Column) -> Column:  # of windows sorted with their positions
         def twin(v: Column, k: Column) -> Column:
-            same = lambda j: F.coalesce(F.get(rows, j)["h"] == v["h"], F.lit(False))
+            same = lambda j: F.coalesce(F.get(rows, j)["h"] == v["h"], none)
             return F.when(same(k - 1) | same(k + 1), v["i"])
 
-        at = F.sort_array(F.filter(F.transform(rows, twin), lambda x: x.isNotNull()))
-        step = lambda acc, p: F.struct(p.alias("last"), (acc["total"] + F.least(F.lit(5), p - acc["last"])).alias("total"))
-        return F.aggregate(at, F.struct(F.lit(-9).alias("last"), F.lit(0).alias("total")), step, lambda acc: acc["total"])
+        return F.sort_array(F.filter(F.transform(rows, twin), lambda x: x.isNotNull()))
+
+    def covered(again: Column) -> Column:
+        few = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains(again, F.get(g, i)))
+        many = F.get(F.transform(F.array(F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))), twins), 0)
+        return count(F.when(F.size(again) <= FEW, few).otherwise(many))
+
+    def repeated(hashes: Column) -> Column:
+        return F.array_distinct(F.filter(hashes, lambda h, i: F.coalesce(F.get(hashes, i - 1) == h, none)))
 
-    once = F.get(F.transform(F.array(order), covered), 0)
-    return F.when(F.size(F.array_distinct(g)) < F.size(g), once).otherwise(F.lit(0))
+    again = F.get(F.transform(F.array(F.sort_array(g)), repeated), 0)
+    found = F.get(F.transform(F.array(again), covered), 0)
+    return F.when(F.size(F.array_distinct(g)) < F.size(g), found).otherwise(F.lit(0))
 
 
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -100,7 +117,8 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min
     """All rules: adds the base columns, qr_text (the text without its frequent
     lines), qr_left (its words) and qr_kept.
 
-    Null and empty texts have no words and are rejected by the base rules.
+    Null and empty texts have no words and are rejected by the base rules; a text
+    of any length is judged whole.  A line at the limit stays.
     Repeated rows and ids are judged row by row.  Columns that begin with
     ``qr_`` are replaced, all others kept.  An empty table gives no rows.
     """
@@ -121,13 +139,16 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", min
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Documents that pass, without their frequent lines; columns of documents."""
+    """Documents that pass, without their frequent lines; columns of documents.
+    Null and empty texts go; repeated rows, ties, long texts and empty tables are
+    treated as in quality_rules."""
     d = quality_rules(docs).filter("qr_kept")
     new = {"text": F.col("qr_text"), "n_chars": F.length("qr_text").cast("long")}
     return d.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict for every whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     d = quality_rules(docs)
     return d.select("doc_id", *[F.col(f"qr_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")], F.col("qr_left").alias("n_left"))
