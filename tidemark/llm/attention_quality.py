@@ -6,7 +6,7 @@ maps it to a hidden vector, gated attention weighs the passages of a document,
 and the weighted representation is classified.  Only document labels are used.
 
 The network is fitted on the driver on a bounded sample of labelled documents
-(``sample`` is the bound, drawn by hash); scoring reads every passage of every
+(``sample`` and ``passages`` are the bounds, drawn by hash); scoring reads every passage of every
 text in one pass without a shuffle.
 """
 
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, table
+from tidemark.llm.common import slices, table, word_count
 from tidemark.llm.labelled import held_out, with_labels
 from tidemark.llm.textops import mix, word_hashes
 
@@ -120,7 +120,8 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
     ``owner`` gives each passage's bag, ascending; every bag has a passage."""
     rng = np.random.default_rng(seed)
     f = x.shape[1]
-    w = {"mean": x.mean(0), "std": x.std(0) + 1e-3, "W": rng.normal(0, f**-0.5, (f, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, hidden**-0.5, (hidden, gate)), "U": rng.normal(0, hidden**-0.5, (hidden, gate)), "a": rng.normal(0, gate**-0.5, gate), "c": rng.normal(0, hidden**-0.5, hidden), "d": np.array(0.0)}
+    middle, spread = (x.mean(0), x.std(0)) if len(x) else (np.zeros(f), np.ones(f))
+    w = {"mean": middle, "std": spread + 1e-3, "W": rng.normal(0, f**-0.5, (f, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, hidden**-0.5, (hidden, gate)), "U": rng.normal(0, hidden**-0.5, (hidden, gate)), "a": rng.normal(0, gate**-0.5, gate), "c": rng.normal(0, hidden**-0.5, hidden), "d": np.array(0.0)}
     rate = np.clip(y.mean(), 0.01, 0.99) if len(y) else 0.5
     w["d"] = np.array(np.log(rate / (1 - rate)))
     if not len(y) or y.min() == y.max():
@@ -151,12 +152,17 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, rest: int = 2, sample: int = 8000, key: str = "doc_id") -> dict:
-    """Weights learned from at most about ``sample`` labelled documents, drawn
-    by a hash of their keys.  Without labels every score is 0.5."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, rest: int = 2, sample: int = 8000, passages: int = 200_000, key: str = "doc_id") -> dict:
+    """Weights learned from at most about ``sample`` labelled documents with at
+    most about ``passages`` passages, drawn by hashes of their keys; whole texts,
+    at 0.5 KB a passage.  Without labels every score is 0.5."""
     n = labels.count()
     part = labels if n <= sample else labels.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-    rows = with_labels(docs, part, label, folds, rest, key).select("text", "label")
+    rows = with_labels(docs, part, label, folds, rest, key)
+    total = rows.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.ceil(word_count(F.col("text")) / PASSAGE))), F.lit(0))).first()[0]
+    if total > passages:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("passages"), key), F.lit(1 << 20)) < int((1 << 20) * passages / total))
+    rows = rows.select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     found = rows.mapInArrow(run, "x binary, label int").collect()
     found.sort(key=lambda r: (r.label, bytes(r.x)))  # tasks may end in any order
     if not found:
-        return fit(np.zeros((0, N_FEATURES)), np.zeros(0, int), np.zeros(0)) | {"mean": np.zeros(N_FEATURES), "std": np.ones(N_FEATURES)}
+        return fit(np.zeros((0, N_FEATURES)), np.zeros(0, int), np.zeros(0))
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in found]
     return fit(np.concatenate(bags).astype(np.float64), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array([r.label for r in found], float))
 
@@ -176,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 def score(docs: DataFrame, weights: dict, key: str = "doc_id") -> DataFrame:
     """(key, score, n_passages, top_passage, top_weight) of every whole text.
 
-    Null and empty texts are scored as one passage of zeros.  Repeated rows
+    Null and empty texts are scored as one passage of zeros; every passage of a
+    long text counts; of equally heavy passages the first is the top.  Repeated rows
     are scored alike; the key may be null; columns besides key and text are
     ignored; an empty table gives no rows."""
 
@@ -198,6 +205,7 @@ def score(docs: DataFrame, weights: dict, key: str = "doc_id") -> DataFrame:
 
 
 def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text; rows of the held-out fold teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = train(docs, table(spark, sf_dir, "labels"))
     out = score(docs, weights)
