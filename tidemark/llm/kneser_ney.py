@@ -194,12 +194,13 @@ def train(rows: DataFrame) -> Model:
     ctx = runs.groupBy(F.shiftright("run", 8).alias("c")).agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"))
     ctx = ctx.orderBy("c").toArrow()
     num = lambda t, c: t[c].to_numpy().astype(np.int64)
-    lower, now = [], runs.select("run")
-    for k in range(N - 1, 0, -1):
-        now = now.groupBy(F.col("run").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("run")).agg(F.count(F.lit(1)).alias("n"))
-        t = now.orderBy("run").toArrow()
-        lower.append((num(t, "run"), num(t, "n")))
-        now = now.select("run")
+    # All shorter levels at once: a run of k bytes counts the different runs of k + 1 that end in it.
+    end = lambda k: F.col("run").bitwiseAND(F.lit((1 << 8 * k) - 1)) if k < N else F.col("run")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), end(k + 1).alias("long"), end(k).alias("short")) for k in range(1, N)]))
+    ends = runs.select(each.alias("e")).select("e.*").distinct().groupBy("k", "short").agg(F.count(F.lit(1)).alias("n")).orderBy("k", "short").toArrow()
+    k, short, n = (num(ends, c) for c in ("k", "short", "n"))
+    cut = np.searchsorted(k, np.arange(1, N + 1))
+    lower = [(short[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]) for i in range(N - 2, -1, -1)]
     runs.unpersist()
     return Model(num(top, "run"), np.stack([num(top, "n0"), num(top, "n1")]), num(ctx, "c"), np.stack([num(ctx, "s0"), num(ctx, "s1")]), np.stack([num(ctx, "k0"), num(ctx, "k1")]), lower)
 
@@ -237,7 +238,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
     A fifth of the rows that may be learned (at most about ``calibration``)
     fit the curve; the counts leave that fifth out.  Null and empty texts have
-    ratio 0 and are scored so.  Without labels of both classes every score is
+    ratio 0 and are scored so; every word of a long text counts; a score at the
+    limit of a verdict is above it.  Without labels of both classes every score is
     0.  Repeated rows score alike; null keys are kept; other columns are
     ignored; an empty table gives no rows.
     """
@@ -262,6 +264,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
 
 def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; rows of the held-out fold teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "llr")
