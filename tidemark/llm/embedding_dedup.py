@@ -232,6 +232,7 @@ def similarity_join(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
 
 def op7_embedding_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
     return similarity_join(table(spark, sf_dir, "embeddings"))
 
 

@@ -136,7 +136,7 @@ def mix_sources(
     document of a share is cut to fill it to the word; otherwise documents are
     taken whole and the share is met to within half a document.
 
-    Empty texts have size 0 and take 0; rows that repeat an id share its place
+    Empty texts have size 0 and take 0; a text of any length is one number here; rows that repeat an id share its place
     in the order; columns of the input are kept (names beginning with ``mix_``
     are replaced).  An empty table gives an empty result.
 
@@ -193,7 +193,10 @@ def mix_sources(
 
 def take_mix(docs: DataFrame) -> DataFrame:
     """The documents that a mix takes, whole, as often as it takes them; the
-    columns of the input."""
+    columns of the input.  A null source is a source of its own; null and empty
+    texts are never taken, as they have no words; rows that repeat an id stand at
+    one place of the order, ties by size; a very long text is taken only where
+    at least half of it fits its source's share; an empty table gives no rows."""
     cols = docs.columns
     mixed, _ = mix_sources(docs, F.array("source"), word_count(F.col("text")), F.col("doc_id"), cut=False)
     copies = F.when(F.col("mix_size") > 0, (F.col("mix_taken") / F.col("mix_size")).cast("int")).otherwise(F.lit(0))
@@ -201,6 +204,7 @@ def take_mix(docs: DataFrame) -> DataFrame:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
     docs = hold(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), StorageLevel.MEMORY_AND_DISK)
     mixed, plan = mix_sources(docs, F.array("source"), F.col("size"), F.col("doc_id"))
     rows = [(p, int(plan["sizes"][m[0]]), float(plan["targets"][m[0]])) for p, m in plan["members"].items()]

@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links reach; kept marks it.
 
     Null texts count as empty; texts without words link with nothing, so each
-    is a class of its own.  Rows that repeat an id are one document.  A null id
+    is a class of its own.  Every shingle of a long text counts.  A similarity
+    that equals the limit links.  Rows that repeat an id are one document.  A null id
     has a null class and is kept.  Columns besides key and text are ignored; an
     empty table gives no rows.
     """
@@ -234,4 +235,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op8_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -307,6 +307,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without words that windows of 20 repeat."""
     d = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.col("sd_words").alias("n_words"), F.col("sd_removed").alias("n_removed"), F.sha2(F.col("sd_text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -30,7 +30,9 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     the largest key is a response and the others revisit it; smaller payloads
     are all responses.  A null body is empty.  Rows that repeat the largest
     key are all responses; a null key sorts lowest.  Null URLs give an empty
-    target.  Other columns are ignored.
+    target.  A payload of any length is one row of one file.  Rows that repeat a
+    key share a record id, as the key is all that names a record.  Other columns
+    are ignored; an empty table gives empty tables.
     """
     rows = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
