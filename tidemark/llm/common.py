@@ -52,7 +52,9 @@ def hold(df: DataFrame, level: StorageLevel = StorageLevel.DISK_ONLY) -> DataFra
 def release() -> None:
     """Gives up what was held for results that have been written by now."""
     while _HELD:
-        _HELD.pop().unpersist()
+        df = _HELD.pop()
+        if df.sparkSession.sparkContext._jsc is not None:  # its session has not ended
+            df.unpersist()
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
