@@ -45,11 +45,12 @@ class RunStats:
         return self.inserted + self.updated
 
 
-def read_ads(captures: DataFrame, now: datetime, collect_phone: bool = True) -> DataFrame:
-    """The ads of all captures, each by the reader of its source, with unit_no,
-    page, rn (order in the unit), key and own."""
+def read_ads(captures: DataFrame, now: datetime, collect_phone: bool = True, sources: list[str] | None = None) -> DataFrame:
+    """The ads of all captures, each by the reader of its source (of all sources,
+    or of those named), with unit_no, page, rn (order in the unit), key and own."""
     found = None
-    for source, reader in pages.READERS.items():
+    for source in pages.READERS if sources is None else sources:
+        reader = pages.READERS[source]
         mine = captures.filter(F.col("source") == source)
         ads = reader(mine, now, collect_phone)
         found = ads if found is None else found.unionByName(ads)
@@ -117,7 +118,10 @@ def collect(
     c = c.join(units, ["city", "source", "category"]).join(known.select(F.col("name").alias("city"), "keys"), "city")
     read = usable(c).checkpoint()
     good = read.filter("stop is null")
-    ads = read_ads(crawlcut.page_cap(good, page_cap), now, collect_phone)
+    planned = sorted(r[0] for r in units.select("source").distinct().collect())
+    if not planned:
+        raise ValueError("the plan has no units")
+    ads = read_ads(crawlcut.page_cap(good, page_cap), now, collect_phone, planned)
     ads = validate.date_window(ads, start, end, keep_undated).withColumn("inw", F.col("verdict") == "in").checkpoint()
     seen = crawlcut.stale_stop(ads, stale)
     if barren:
@@ -128,8 +132,8 @@ def collect(
         running = crawlcut.run_cap(per, run_cap).select("unit_no")
         kept, seen, units = (d.join(running, "unit_no", "left_semi") for d in (kept, seen, units))
     kept = kept.checkpoint()
-    number = store.start_run(sorted(r[0] for r in units.select("source").distinct().collect()), [r[0] for r in known.orderBy("pos").select("name").collect()], now)
-    full = complete(kept, detail_pages, now, collect_phone)
+    number = store.start_run(planned, [r[0] for r in known.orderBy("pos").select("name").collect()], now)
+    full = complete(kept, detail_pages, now, collect_phone, planned)
     judged = full.select(*[F.col(x) for x in pages.RECORD_COLUMNS], (F.col("unit_no") * F.lit(1 << 40) + F.col("rn")).alias("seq"), F.lit(now).cast("timestamp").alias("seen_at")).checkpoint()
     good_rows, bad_rows = validate.split_valid(judged, now.date())
     stats = RunStats(skipped=bad_rows.count())
@@ -146,12 +150,12 @@ def collect(
     return stats
 
 
-def complete(ads: DataFrame, detail_pages: DataFrame | None, now: datetime, collect_phone: bool) -> DataFrame:
+def complete(ads: DataFrame, detail_pages: DataFrame | None, now: datetime, collect_phone: bool, sources: list[str]) -> DataFrame:
     """Ads whose description is short, with what their own pages add."""
     if detail_pages is None:
         return ads
     out = ads.filter(~pages.needs_detail())
-    for source in pages.READERS:
+    for source in sources:
         mine = ads.filter(pages.needs_detail() & (F.col("source") == source))
         if source in pages.DETAILED:
             found = pages.details(detail_pages.filter(F.col("source") == source).dropDuplicates(["url"]), source, now)
