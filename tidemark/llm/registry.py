@@ -15,6 +15,7 @@ _OPS = {
     "op8_probminhash_dedup": "probminhash",
     "op9_token_files": "token_files",
     "op10_warc_archive": "warc",
+    "op12_lyndon_runs": "periodic_runs",
 }
 
 
