@@ -602,7 +602,7 @@ def test_archive_round_trip(spark, tmp_path):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op4_substring_dedup", "op6_line_frequency", "op7_embedding_pigeonhole", "op10_warc_archive"])
+@pytest.mark.parametrize("name", ["op4_substring_dedup", "op6_line_frequency", "op7_embedding_pigeonhole", "op10_warc_archive", "op11_source_divergence", "op13_sampled_shards"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 

@@ -15,7 +15,9 @@ _OPS = {
     "op8_probminhash_dedup": "probminhash",
     "op9_token_files": "token_files",
     "op10_warc_archive": "warc",
+    "op11_source_divergence": "divergence",
     "op12_lyndon_runs": "periodic_runs",
+    "op13_sampled_shards": "sharding",
 }
 
 
@@ -24,11 +26,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.llm import embedding_dedup, quality_rules, substring_dedup, warc
+    from tidemark.llm import divergence, embedding_dedup, quality_rules, sharding, substring_dedup, warc
 
     return {
         "op4_substring_dedup": substring_dedup.OP4_SQL,
         "op6_line_frequency": quality_rules.OP6_SQL,
         "op7_embedding_pigeonhole": embedding_dedup.OP7_SQL,
         "op10_warc_archive": warc.OP10_SQL,
+        "op11_source_divergence": divergence.OP11_SQL,
+        "op13_sampled_shards": sharding.OP13_SQL,
     }
