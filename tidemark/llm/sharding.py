@@ -28,6 +28,8 @@ from tidemark.llm.common import partitions, shared_root, table, work_dir
 
 #: Sampled keys a range.
 OVERSAMPLE = 40
+#: A range has about so many bytes at most, however large the input.
+RANGE_BYTES = 32 << 20
 #: A group of equal texts is cut only where it is larger than this part of a shard.
 GROUP_PART = 32
 
@@ -112,8 +114,8 @@ def split_points(keys: DataFrame, ranges: int, large: set[int], rounds: int = 12
     return splitters, [(r.part, r.n, r.size) for r in sums]
 
 
-def plan_shards(docs: DataFrame, shards: int, text: str, key: str, ranges: int) -> tuple[Splitters, list[tuple[int, int, list[tuple[int, int]]]]]:
-    """The splitters, and for each range that has records its number, the records
+def plan_shards(docs: DataFrame, shards: int, text: str, key: str, ranges: int | None) -> tuple[Splitters, list[tuple[int, int, list[tuple[int, int]]]]]:
+    """The splitters (for ``ranges`` ranges, or as many as the bytes ask for), and for each range that has records its number, the records
     before it and the (first record, shard) of every shard in it."""
     spark = docs.sparkSession
     shared_root(spark)
@@ -122,6 +124,7 @@ def plan_shards(docs: DataFrame, shards: int, text: str, key: str, ranges: int)
     keys = d.groupBy("key", "h", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("i", F.coalesce("key", F.lit(_LOWEST))).checkpoint()
     much = F.col("copies") * F.col("size")
     total = keys.agg(F.coalesce(F.sum(much), F.lit(0))).first()[0]
+    ranges = ranges or max(8 * shards, partitions(spark), total // RANGE_BYTES)
     # Groups above a part of all bytes: shards * GROUP_PART rows at most.
     large = {r[0] for r in keys.groupBy("h").agg(F.sum(much).alias("s")).filter(F.col("s") * shards * GROUP_PART > total).select("h").collect()}
     splitters, sums = split_points(keys, ranges, large)
@@ -168,12 +171,11 @@ def assign_shards(docs: DataFrame, shards: int = 8, text: str = "text", key: str
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    ranges = ranges or max(8 * shards, partitions(spark))
     cols = [c for c in docs.columns if not c.startswith("sh_")]
     splitters, found = plan_shards(docs, shards, text, key, ranges)
     known = spark.createDataFrame(found or [(-1, 0, [])], "part long, rows_before long, cuts array<struct<first: long, shard: int>>")  # one row a range
     rows = docs.select(F.struct(*cols).alias("row"), digest(F.col(text)).alias("h"), F.col(key).cast("long").alias("key")).withColumn("i", F.coalesce("key", F.lit(_LOWEST)))
-    rows = _ranged(rows, splitters).repartition(max(ranges, partitions(spark)), "part")
+    rows = _ranged(rows, splitters).repartition(max(len(found), partitions(spark)), "part")
     order = Window.partitionBy("part").orderBy("h", "i", F.col("key").asc_nulls_first())
     rows = rows.withColumn("n", F.row_number().over(order)).join(F.broadcast(known), "part").withColumn("nth", F.col("rows_before") + F.col("n") - 1)
     cut = F.element_at(F.filter("cuts", lambda c: c["first"] <= F.col("nth")), -1)
