@@ -8,7 +8,8 @@ a count of zero, and terms that occur only correct it,
 
 * a term of a, whatever b has: f(p, q0) - f(p0, q0), and likewise for b.  This
   depends on the count alone, so counts that are equal are taken together;
-* a term of both, from its postings: f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0).
+* a term of both, from its postings: f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0);
+  counts that are equal are taken together here too.
 
 All of it is whole-number arithmetic in 64 bits; where that does not suffice
 (10^15 words of a language and more), Spark raises.
@@ -55,7 +56,8 @@ def terms_of(text: str) -> Counter:
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents that have them.
+    """(lang, source, term, n, docs): occurrences, and documents that have them, as
+    each task has gathered them.
 
     Nulls in the three columns are ''.  Every language and source that occurs also
     has a row with a null term.  Every row is a document."""
@@ -84,8 +86,19 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
                     held, size = {}, 0
         yield from flush(held)
 
-    found = d.mapInArrow(read, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return d.mapInArrow(read, "lang string, source string, term string, n long, docs long")
+
+
+def term_index(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+    """(lang, term, docs, n, postings): in how many documents of the language a term
+    is, how often, and how often in each source.
+
+    Counts are shuffled once, by language and term: a term has at most one row a
+    source and task by then, and at most one posting a source in the end.  The row of
+    a language with a null term has all its sources, with counts of zero."""
+    d = term_counts(docs, lang, source, text).repartition("lang", "term")
+    d = d.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return d.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("postings"))
 
 
 def share(count: Column, total: Column) -> Column:
@@ -126,33 +139,35 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     0.  Other columns are not read; an empty table gives no rows.
     """
     shared_root(docs.sparkSession)
-    counts = term_counts(docs, lang, source, text).checkpoint()
-    vocabulary = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("all_docs")).filter(F.col("all_docs") >= least_docs).drop("all_docs")
-    postings = counts.filter("term is not null").drop("docs").join(vocabulary, ["lang", "term"]).checkpoint()
-    # Sums by source, one row each; a language's are sums of these and of its different terms.
-    sizes = postings.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    groups = counts.filter("term is null").select("lang", "source").join(sizes, ["lang", "source"], "left").na.fill(0, ["size"])
-    langs = postings.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("lang_size"))
-    groups = groups.join(langs, "lang", "left").na.fill(0, ["v", "lang_size"])
-    total = F.nullif(F.col("size") + F.col("v"), F.lit(0))
-    groups = groups.withColumn("p0", share(F.lit(0), total)).checkpoint()
+    index = term_index(docs, lang, source, text).checkpoint()
+    kept = index.filter(F.col("term").isNotNull() & (F.col("docs") >= least_docs))
+    each = kept.select("lang", "term", F.col("n").alias("all_n"), F.explode("postings").alias("x")).select("lang", "term", "all_n", "x.*")
+    sizes = each.groupBy("lang", "source").agg(F.sum("n").alias("size"))
+    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("lang_size"))
+    groups = index.filter("term is null").select("lang", F.explode("postings.source").alias("source")).join(sizes, ["lang", "source"], "left")
+    groups = groups.join(langs, "lang", "left").na.fill(0, ["size", "v", "lang_size"])
+    total = F.nullif(F.col("size") + F.col("v"), F.lit(0))  # nothing is counted in a language that keeps no term
+    groups = groups.select("lang", "source", total.alias("total"), share(F.lit(0), total).alias("p0"), "v", "lang_size").checkpoint()
     many = groups.count()
+    small = (lambda g: F.broadcast(g)) if many <= BROADCAST_GROUPS else (lambda g: g)
+    at = lambda name: small(groups.select("lang", F.col("source").alias(name), F.col("total").alias(f"{name}_total"), F.col("p0").alias(f"{name}_p0")))
+    flip = lambda a, b, there, back: F.explode(F.array(F.struct(a.alias("source"), b.alias("item"), there.alias("value")), F.struct(b.alias("source"), a.alias("item"), back.alias("value"))))
 
-    each = postings.join(F.broadcast(groups) if many <= BROADCAST_GROUPS else groups, ["lang", "source"]).withColumn("p", share(F.col("n"), total))
     base = _others(groups, groups, many).select("lang", "source", F.col("other").alias("item"), F.coalesce(F.col("v") * gap(F.col("p0"), F.col("other_p0")), F.lit(0)).alias("value"))
-    alike = each.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("times"))
+    alike = each.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("times")).join(small(groups.select("lang", "source", "total", "p0")), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total")))
     p, p0, q0 = F.col("p"), F.col("p0"), F.col("other_p0")
-    there, back = F.col("times") * (gap(p, q0) - gap(p0, q0)), F.col("times") * (gap(q0, p) - gap(q0, p0))
-    both_ways = F.explode(F.array(F.struct(F.col("source").alias("a"), F.col("other").alias("b"), there.alias("x")), F.struct(F.col("other").alias("a"), F.col("source").alias("b"), back.alias("x"))))
-    single = _others(alike, groups, many).select("lang", both_ways.alias("c")).select("lang", F.col("c.a").alias("source"), F.col("c.b").alias("item"), F.col("c.x").alias("value"))
-    o = each.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0"))
-    shared = each.select("lang", "term", "source", "p", "p0").join(o, ["lang", "term"]).filter("source <> item")
-    q, q0 = F.col("q"), F.col("q0")
-    double = shared.select("lang", "source", "item", (gap(p, q) - gap(p, q0) - gap(p0, q) + gap(p0, q0)).alias("value"))
+    single = _others(alike, groups, many).select("lang", flip(F.col("source"), F.col("other"), F.col("times") * (gap(p, q0) - gap(p0, q0)), F.col("times") * (gap(q0, p) - gap(q0, p0))).alias("c")).select("lang", "c.*")
+    both = kept.select("lang", "postings", F.explode("postings").alias("x")).select("lang", "x", F.explode("postings").alias("y")).filter("x.source < y.source")
+    both = both.groupBy("lang", F.col("x.source").alias("a"), F.col("y.source").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("times"))
+    both = both.join(at("a"), ["lang", "a"]).join(at("b"), ["lang", "b"]).withColumns({"p": share(F.col("n"), F.col("a_total")), "q": share(F.col("m"), F.col("b_total"))})
+    p, q, p0, q0 = F.col("p"), F.col("q"), F.col("a_p0"), F.col("b_p0")
+    corrected = lambda p, q, p0, q0: F.col("times") * (gap(p, q) - gap(p, q0) - gap(p0, q) + gap(p0, q0))
+    double = both.select("lang", flip(F.col("a"), F.col("b"), corrected(p, q, p0, q0), corrected(q, p, q0, p0)).alias("c")).select("lang", "c.*")
     pairs = reduce(DataFrame.unionByName, (base, single.filter("value <> 0"), double.filter("value <> 0"))).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
-    whole = share(F.col("all_n"), F.col("lang_size") + F.col("v"))
-    more = each.withColumn("q", whole).filter("p > q").select("lang", "source", F.col("term").alias("item"), gap(p, F.col("q")).alias("value"))
+    each = each.join(small(groups.select("lang", "source", "total", "v", "lang_size")), ["lang", "source"])
+    p, q = share(F.col("n"), F.col("total")), share(F.col("all_n"), F.col("lang_size") + F.col("v"))
+    more = each.withColumns({"p": p, "q": q}).filter("p > q").select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     cols = ("lang", "source", "part", "item", "value", "rank")
     ranked = lambda d, part: d.withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit(part))
