@@ -232,12 +232,12 @@ def test_store_survives_crashes_and_rivals(spark, tmp_path):
     store.ingest(frame(spark, [record(i) for i in range(100)] + [record(200, city="")]), NOW.date())
     # A writer that died within its pointer leaves the table as it was.
     at = store._pointers("listings")[-1]
-    (tmp_path / "s" / "listings" / "_pointers" / f"{at + 1:012d}").write_text("3 v-none/_b=3\n")
+    (tmp_path / "s" / "listings" / "_pointers" / f"{at + 1:012d}").write_text('{"kind": "last", "id": 9}\n')
     assert store.read("listings").count() == 100
-    before = {p for _, p in store._current("listings")}
+    before = {p.at for p in store.state().parts}
     assert store.ingest(frame(spark, [record(5, title="New", seq=1), record(300, city=" ")]), NOW.date()) == {"inserted": 0, "updated": 1}
-    after = {p for _, p in store._current("listings")}
-    assert len(before - after) == 1 and len(after - before) == 1  # one bucket was written anew
+    after = {p.at for p in store.state().parts}
+    assert len(before - after) == 1 and len(after - before) == 1  # one cell was written anew
     assert store.read("listings").count() == 100 and store.read("listings").filter("title = 'New'").count() == 1
     assert len(store._current("rejects")) == 2 and store.read("rejects").count() == 2
     with pytest.raises(Exception, match="exist"):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import strip
 from tidemark.functions.urls import canonical_url, fingerprint
 from tidemark.operators.graph import components
+from tidemark.session import ensure_checkpoints
 
 LAST = ("city", "category", "title", "price_currency", "price_raw", "url")
 STICKY = ("price", "phone", "seller_name", "ad_date", "source_listing_id", "area")
@@ -65,19 +66,32 @@ def _names(s: DataFrame) -> DataFrame:
 
 def entities(s: DataFrame) -> DataFrame:
     """Adds ``entity``: the same for rows of a source that share a listing id
-    or a canonical URL, directly or through others."""
+    or a canonical URL, directly or through others.
+
+    Nearly every id has one URL and the other way round; such pairs are entities as
+    they are.  Only ids and URLs that have several of the other kind go through the
+    rounds of ``components``."""
     s = _names(s)
-    links = s.filter("_u is not null and _i is not null").select(F.col("_u").alias("a"), F.col("_i").alias("b")).distinct()
-    s = s.withColumn("_n", F.coalesce("_i", "_u", "_h"))
-    return s.join(components(links).withColumnRenamed("node", "_n"), "_n", "left").withColumn("entity", F.coalesce("component", "_n")).drop("_u", "_i", "_h", "_n", "component")
+    pairs = s.filter("_u is not null and _i is not null").select("_u", "_i").distinct().checkpoint()
+    several = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(c)
+    by_url, by_id = several("_u").checkpoint(), several("_i").checkpoint()
+    # A pair is settled if neither of its ends is in another one.
+    alone = pairs.join(by_url, "_u", "left_anti").join(by_id, "_i", "left_anti").select(F.col("_u").alias("node"), F.col("_i").alias("component"))
+    links = pairs.join(by_url, "_u", "left_semi").union(pairs.join(by_id, "_i", "left_semi").select("_u", "_i")).select(F.col("_u").alias("a"), F.col("_i").alias("b"))
+    known = alone if by_url.isEmpty() and by_id.isEmpty() else components(links).unionByName(alone)
+    s = s.withColumn("_n", F.when(F.col("_u").isNull(), F.coalesce("_i", "_h")).otherwise(F.col("_u")))
+    s = s.join(known.withColumnRenamed("node", "_n"), "_n", "left").withColumn("entity", F.coalesce("component", "_n"))
+    return s.drop("_u", "_i", "_h", "_n", "component")
+
+
+def all_names(s: DataFrame, *cols: str) -> DataFrame:
+    """(name, cols) for every name of every row: what rows of one entity share."""
+    return _names(s).select(*cols, F.explode(F.array_compact(F.array("_u", "_i", "_h"))).alias("name"))
 
 
 def touched(existing: DataFrame, sightings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stored rows that share an id, URL or content hash with a sighting, all others)."""
-    new = _names(sightings)
-    names = new.select("_u").union(new.select("_i")).union(new.select("_h")).filter("_u is not null").distinct().withColumnRenamed("_u", "_n")
-    old = _names(existing)
-    hit = old.select("id", F.explode(F.array("_u", "_i", "_h")).alias("_n")).join(names, "_n", "left_semi").select("id").distinct()
+    hit = all_names(existing, "id").join(all_names(sightings).distinct(), "name", "left_semi").select("id").distinct()
     return existing.join(hit, "id", "left_semi"), existing.join(hit, "id", "left_anti")
 
 
@@ -90,35 +104,49 @@ def fold(s: DataFrame, seq: str = "seq", seen: str = "seen_at", key: str = "enti
     return s.groupBy(key, "source").agg(*cols)
 
 
-def upsert(existing: DataFrame | None, sightings: DataFrame, rest: bool = True) -> DataFrame:
+def stored_form(sightings: DataFrame) -> DataFrame:
+    """Sightings as they are stored, with their canonical URL."""
+    return to_row(sightings).withColumn("url_canonical", canonical_url(F.col("url")))
+
+
+def upsert(existing: DataFrame | None, sightings: DataFrame, rest: bool = True, last_id: int | None = None) -> DataFrame:
     """The new snapshot, with ``action`` (inserted, updated or kept) and
     ``touched`` (sightings folded in).  Sightings have the columns of a record,
-    ``seq`` and ``seen_at``; ids continue after the largest stored one.  Without
-    ``rest``, stored rows that no sighting touches are left out."""
-    s = to_row(sightings).withColumn("url_canonical", canonical_url(F.col("url"))).withColumn("_old", F.lit(None).cast("long")).withColumn("_first", F.col("seen_at"))
+    ``seq`` and ``seen_at``, in any form or in that of ``stored_form``; ids continue after ``last_id``, by default the largest
+    stored one.  Without ``rest``, stored rows that no sighting touches are left
+    out, and ``replaces`` lists the ids of the stored rows that went into each."""
+    ensure_checkpoints(sightings.sparkSession)
+    # Read by several steps: made once.
+    s = sightings if "url_canonical" in sightings.columns else stored_form(sightings).checkpoint()
+    s = s.withColumn("_old", F.lit(None).cast("long")).withColumn("_first", F.col("seen_at"))
     kept = None
     if existing is not None:
         old, kept = touched(existing, s)
         old = old.withColumns({"seq": F.lit(-1).cast("long"), "seen_at": F.col("last_seen_at"), "_old": F.col("id"), "_first": F.col("first_seen_at")})
         s = s.unionByName(old.select(*[F.col(c) if c in old.columns else F.lit(None).alias(c) for c in s.columns]))
     s = entities(s)
-    extra = s.groupBy("entity", "source").agg(F.min("_old").alias("_old"), F.min_by("_first", "seq").alias("_first"), F.count_if(F.col("_old").isNull()).alias("touched"))
+    extra = s.groupBy("entity", "source").agg(F.min("_old").alias("_old"), F.min_by("_first", "seq").alias("_first"), F.count_if(F.col("_old").isNull()).alias("touched"), F.collect_set("_old").alias("replaces"))
     m = fold(s).join(extra, ["entity", "source"])
     m = m.withColumn("first_seen_at", F.col("_first")).withColumn("fingerprint", fingerprint(F.col("source"), F.col("source_listing_id"), F.col("url"), F.col("city"), F.col("category"), F.col("title"), F.col("price_raw")))
-    m = m.withColumn("action", F.when(F.col("_old").isNull(), "inserted").otherwise("updated"))
+    # Folded once: the new rows are numbered from it, the others come out of it.
+    m = m.withColumn("action", F.when(F.col("_old").isNull(), "inserted").otherwise("updated")).checkpoint()
     # New ids by range of entity: counts by partition give the offsets, no single task sorts all rows.
-    start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if existing is not None else 0
+    if last_id is None:
+        last_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if existing is not None else 0
     new = m.filter("_old is null").repartitionByRange("entity").sortWithinPartitions("entity").withColumn("_p", F.spark_partition_id()).checkpoint()
     sizes = sorted((r[0], r[1]) for r in new.groupBy("_p").count().collect())
-    before, at = [], start
+    before, at = [], last_id
     for p, n in sizes:
         before.append((p, at))
         at += n
     # One row a partition, so their number bounds what is broadcast.
-    offsets = m.sparkSession.createDataFrame(before or [(-1, start)], "_p int, _before long")
+    offsets = m.sparkSession.createDataFrame(before or [(-1, last_id)], "_p int, _before long")
     new = new.join(F.broadcast(offsets), "_p").withColumn("id", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("entity"))).drop("_p", "_before")
     out = new.unionByName(m.filter("_old is not null").withColumn("id", F.col("_old"))).drop("_old", "_first", "entity", "sightings")
-    if kept is None or not rest:
+    if not rest:
+        return out
+    out = out.drop("replaces")
+    if kept is None:
         return out
     more = {"action": F.lit("kept"), "touched": F.lit(0).cast("long")}
     return out.unionByName(kept.select(*[more[c].alias(c) if c in more else F.col(c).cast(out.schema[c].dataType).alias(c) if c in kept.columns else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns]))

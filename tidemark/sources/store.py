@@ -5,15 +5,25 @@ folders that make up the table; the highest complete pointer counts, so readers
 see the old table or the new one, never a mixture, and a crash leaves the old
 one.  Two writers cannot take the same number: the second one fails.
 
-Listings are kept in buckets by id.  A batch rewrites the buckets of the stored
-rows that it changes; rows that are new are added beside the others.  Rejects,
-runs and outcomes are only ever appended to.
+Listings lie in cells (``layout``): a search by source and city opens only the
+folders whose first and last city admit it.  Beside them lies an index of keys: the
+hash of every name (listing id, canonical URL or content) with the id and the cell
+of its row, in buckets by hash and sorted within.  A batch opens the buckets of its
+own names, and then the cells where these say that a row may be; of the rest of the
+table nothing is read.  It rewrites the cells of the rows that it changes and adds
+new rows beside the others.  Entries of the index are only added: one that has become
+false names a cell in vain, as do two names with one hash; names are compared
+themselves before rows are merged.
+
+Rejects, runs and outcomes are only ever appended to.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterable
+from collections import Counter
+from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
 from pyspark import StorageLevel
@@ -23,23 +33,68 @@ from pyspark.sql.types import StructType
 
 from tidemark import schema as S
 from tidemark.functions.text import clean_text
-from tidemark.functions.urls import canonical_url
-from tidemark.operators.merge import check_unique, to_row, touched, upsert
+from tidemark.operators import listings as L
+from tidemark.operators.merge import all_names, check_unique, stored_form, upsert
 from tidemark.operators.validate import split_valid
+from tidemark.session import ensure_checkpoints
+from tidemark.sources.layout import CELL_ROWS, Cell, Part, cells_for, lines, placed, plan_cells, towns
 
 TABLES = {"listings": S.LISTINGS, "runs": S.RUNS, "rejects": S.REJECTS, "outcomes": S.OUTCOMES}
-BUCKETS = 64
+#: Buckets of the index of keys.
+KEY_BUCKETS = 64
+#: Folders of one slice of a cell before ``compact`` makes them one.
+MOST_PARTS = 8
 
+_KEYS = "k long, id long, cell int, slice int"
 
-def bucket(key: Column) -> Column:
-    return F.pmod(key, F.lit(BUCKETS)).cast("int")
+
+@dataclass(frozen=True)
+class Keys:
+    """A folder of one bucket of the index."""
+
+    bucket: int
+    at: str
+
+
+@dataclass
+class State:
+    """What a pointer of the listings says."""
+
+    cells: list[Cell] = field(default_factory=list)
+    parts: list[Part] = field(default_factory=list)
+    keys: list[Keys] = field(default_factory=list)
+    last_id: int = 0
+
+    def lines(self) -> list[dict]:
+        return [{"kind": "last", "id": self.last_id}, *lines(self.cells, self.parts), *({"kind": "keys"} | asdict(k) for k in self.keys)]
+
+    @classmethod
+    def of(cls, said: list[dict]) -> State:
+        out = cls()
+        kinds = {"cell": (out.cells, Cell), "part": (out.parts, Part), "keys": (out.keys, Keys)}
+        for x in said:
+            kind = x.pop("kind")
+            if kind == "last":
+                out.last_id = x["id"]
+            else:
+                to, make = kinds[kind]
+                to.append(make(**x))
+        return out
+
+
+def _key(name: Column) -> Column:
+    return F.xxhash64(name)
+
+
+def _bucket(k: Column) -> Column:
+    return F.pmod(k, F.lit(KEY_BUCKETS)).cast("int")
 
 
 class Store:
     """The tables under one root, on any file system that Spark reads."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, cell_rows: int = CELL_ROWS):
+        self.spark, self.root, self.cell_rows = spark, root.rstrip("/"), cell_rows
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,32 +104,21 @@ class Store:
         fs, p = self._fs(f"{self.root}/{name}/_pointers")
         return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
 
-    def _current(self, name: str) -> list[tuple[int, str]] | None:
-        """(bucket, folder) pairs of the highest complete pointer; bucket -1: none."""
+    def _current(self, name: str) -> list[dict] | None:
+        """What the highest complete pointer says, None if there is none."""
         for n in reversed(self._pointers(name)):
-            lines = [r[0] for r in self.spark.read.text(f"{self.root}/{name}/_pointers/{n:012d}").collect()]
-            if lines and lines[-1] == "end":
-                return [(int(b), at) for b, at in (x.split(" ", 1) for x in lines[:-1])]
+            said = [r[0] for r in self.spark.read.text(f"{self.root}/{name}/_pointers/{n:012d}").collect()]
+            if said and said[-1] == "end":
+                return [json.loads(x) for x in said[:-1]]
         return None
 
-    def _publish(self, name: str, parts: Iterable[tuple[int, str]]) -> None:
+    def _publish(self, name: str, said: list[dict]) -> None:
         number = max(self._pointers(name), default=0) + 1
         fs, p = self._fs(f"{self.root}/{name}/_pointers/{number:012d}")
         out = fs.create(p, False)  # fails where another writer has taken the number
-        out.write(bytearray("".join(f"{b} {at}\n" for b, at in parts).encode() + b"end\n"))
+        out.write(bytearray("".join(json.dumps(x) + "\n" for x in said).encode() + b"end\n"))
         out.close()
 
-    def _fill(self, name: str, df: DataFrame) -> list[tuple[int, str]]:
-        """Writes rows to a new folder; gives its parts."""
-        at = f"v-{uuid.uuid4().hex}"
-        if name != "listings":
-            df.write.parquet(f"{self.root}/{name}/{at}")
-            return [(-1, at)]
-        df.withColumn("_b", bucket(F.col("id"))).write.partitionBy("_b").parquet(f"{self.root}/{name}/{at}")
-        fs, p = self._fs(f"{self.root}/{name}/{at}")
-        found = [f.getPath().getName() for f in fs.listStatus(p)]
-        return [(int(f[3:]), f"{at}/{f}") for f in sorted(found) if f.startswith("_b=")]
-
     def _open(self, name: str, folders: list[str]) -> DataFrame:
         d = self.spark.createDataFrame([], TABLES[name]) if not folders else self.spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{name}/{at}" for at in folders])
         for f in StructType.fromDDL(TABLES[name]).fields:
@@ -82,66 +126,173 @@ class Store:
                 d = d.withColumn(f.name, F.lit(None).cast(f.dataType))
         return d
 
+    def _folders(self, name: str, at: str, column: str) -> list[str]:
+        fs, p = self._fs(f"{self.root}/{name}/{at}")
+        return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith(f"{column}="))
+
     def tables(self) -> list[str]:
         return [n for n in TABLES if self._current(n) is not None]
 
-    def read(self, name: str) -> DataFrame:
-        """The current table; columns that it lacks are null."""
-        return self._open(name, [at for _, at in self._current(name) or []])
+    def init(self) -> list[str]:
+        """Creates the tables that are not there yet; gives their names."""
+        new = [n for n in TABLES if self._current(n) is None]
+        for n in new:
+            self._publish(n, [])
+        return new
+
+    def read(self, name: str, source: str = "", city: str = "") -> DataFrame:
+        """The current table; columns that it lacks are null.  Of listings, source
+        and city pass over the folders that cannot hold them."""
+        if name != "listings":
+            return self._open(name, [x["at"] for x in self._current(name) or []])
+        state = self.state()
+        cell = {c.number: c for c in state.cells}
+        return self._open(name, [p.at for p in state.parts if p.may_hold(cell[p.cell], source, city)])
+
+    def search(self, *, city: str = "", source: str = "", **filters) -> DataFrame:
+        """``listings.search`` over the folders that may hold what it asks for."""
+        return L.search(self.read("listings", source, city), city=city, source=source, **filters)
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """Stored rows that share a listing id, a canonical URL or their content with a
+        record, from the cells that the index names."""
+        state, wanted = self.state(), stored_form(wanted)
+        hits = self._hits(state, wanted)
+        found = {tuple(r) for r in hits.select("cell", "slice").distinct().collect()}  # a cell's slices at most
+        old = self._open("listings", [p.at for p in state.parts if (p.cell, p.slice) in found])
+        return old.join(all_names(old, "id").join(all_names(wanted).distinct(), "name", "left_semi").select("id").distinct(), "id", "left_semi")
 
     def write(self, name: str, df: DataFrame) -> None:
-        self._publish(name, self._fill(name, df))
+        """The table anew; listings with new cells and a new index."""
+        if name != "listings":
+            self._publish(name, [self._fill(name, df)])
+            return
+        found = towns(df)
+        cells = plan_cells(found, self.cell_rows)
+        parts, keys = self._fill_cells(df, df, cells, found)
+        self._publish(name, State(cells, parts, keys, df.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]).lines())
 
     def append(self, name: str, df: DataFrame) -> None:
         cols = [f.name for f in StructType.fromDDL(TABLES[name]).fields if f.name in df.columns]
-        parts = self._fill(name, df.select(*cols))
-        self._publish(name, [*(self._current(name) or []), *parts])
+        self._publish(name, [*(self._current(name) or []), self._fill(name, df.select(*cols))])
 
-    def compact(self, name: str) -> None:
-        """One folder a bucket again."""
-        self.write(name, self.read(name))
+    def _fill(self, name: str, df: DataFrame) -> dict:
+        at = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{at}")
+        return {"at": at}
 
-    def init(self) -> list[str]:
-        """Creates the tables that are not there yet; gives their names."""
-        new = [n for n in TABLES if self._current(n) is None]
-        for n in new:
-            self._publish(n, [])
-        return new
+    # ----------------------------------------------------------------- listings
+
+    def state(self) -> State:
+        return State.of(self._current("listings") or [])
+
+    def _fill_cells(self, df: DataFrame, indexed: DataFrame | None, cells: list[Cell], found: list) -> tuple[list[Part], list[Keys]]:
+        """Writes rows to new folders, and the keys of those that are to be indexed."""
+        at = f"v-{uuid.uuid4().hex}"
+        order = ("_cell", "_slice", "city", "id")
+        placed(df, cells, found).repartition("_cell", "_slice").sortWithinPartitions(*order).write.partitionBy("_cell", "_slice").parquet(f"{self.root}/listings/{at}")
+        parts = []
+        if self._folders("listings", at, "_cell"):
+            name = F.coalesce("city", F.lit(""))
+            d = self.spark.read.parquet(f"{self.root}/listings/{at}")
+            for r in d.groupBy("_cell", "_slice").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("low"), F.max(name).alias("high")).collect():  # one row a folder
+                parts.append(Part(r._cell, r._slice, f"{at}/_cell={r._cell}/_slice={r._slice}", r.n, r.low, r.high))
+        if indexed is None:
+            return parts, []
+        k = all_names(placed(indexed, cells, found), "id", "_cell", "_slice").select(_key(F.col("name")).alias("k"), "id", F.col("_cell").alias("cell"), F.col("_slice").alias("slice"))
+        k.withColumn("_kb", _bucket(F.col("k"))).repartition("_kb").sortWithinPartitions("_kb", "k").write.partitionBy("_kb").parquet(f"{self.root}/listings/{at}-keys")
+        return parts, [Keys(int(f[4:]), f"{at}-keys/{f}") for f in self._folders("listings", f"{at}-keys", "_kb")]
+
+    def _hits(self, state: State, records: DataFrame) -> DataFrame:
+        """(id, cell, slice) of the entries of the index that have the hash of a
+        name of the records."""
+        ensure_checkpoints(self.spark)
+        wanted = all_names(records).select(_key(F.col("name")).alias("k")).distinct().checkpoint()
+        buckets = {r[0] for r in wanted.select(_bucket(F.col("k"))).distinct().collect()}  # KEY_BUCKETS at most
+        at = [f"{self.root}/listings/{k.at}" for k in state.keys if k.bucket in buckets]
+        if not at:
+            return self.spark.createDataFrame([], "id long, cell int, slice int")
+        return self.spark.read.schema(_KEYS).parquet(*at).join(wanted, "k", "left_semi").select("id", "cell", "slice").distinct()
 
     def ingest(self, sightings: DataFrame, today) -> dict[str, int]:
         """Validates, merges and stores sightings; rejects go to their table."""
+        ensure_checkpoints(self.spark)
         good, bad = split_valid(sightings, today)
         bad = bad.withColumn("rejected_at", F.current_timestamp()).persist(StorageLevel.MEMORY_AND_DISK)
         refused = bad.count()
         if refused:
             self.append("rejects", bad)
         bad.unpersist()
-        parts = self._current("listings") or []
-        old = self._open("listings", [at for _, at in parts])
-        merged = upsert(old, good, rest=False).persist(StorageLevel.MEMORY_AND_DISK)
+        state, good = self.state(), stored_form(good).checkpoint()
+        hits = self._hits(state, good).persist(StorageLevel.MEMORY_AND_DISK)
+        near = {(r.cell, r.slice) for r in hits.select("cell", "slice").distinct().collect()}  # a cell's slices at most
+        old = self._open("listings", [p.at for p in state.parts if (p.cell, p.slice) in near])
+        merged = upsert(old, good, rest=False, last_id=state.last_id).persist(StorageLevel.MEMORY_AND_DISK)
         new = (F.col("action") == "inserted").cast("long")
-        row = merged.agg(F.coalesce(F.sum(new), F.lit(0)), F.coalesce(F.sum(F.col("touched") - new), F.lit(0))).first()
+        row = merged.agg(F.coalesce(F.sum(new), F.lit(0)), F.coalesce(F.sum(F.col("touched") - new), F.lit(0)), F.max("id")).first()
         types = {f.name: f.dataType for f in StructType.fromDDL(S.LISTINGS).fields}
         table = merged.select(*[F.col(c).cast(t).alias(c) if c in merged.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()])
         check_unique(table)
-        gone = touched(old, to_row(good).withColumn("url_canonical", canonical_url(F.col("url"))))[0].select("id").persist(StorageLevel.MEMORY_AND_DISK)
-        stale = {r[0] for r in gone.select(bucket(F.col("id"))).distinct().collect()}  # BUCKETS at most
-        beside = self._open("listings", [at for b, at in parts if b in stale]).join(gone, "id", "left_anti").select(*types)
-        fresh = self._fill("listings", table.unionByName(beside))
-        self._publish("listings", [p for p in parts if p[0] not in stale] + fresh)
-        gone.unpersist()
+        gone = merged.select(F.explode("replaces").alias("id"))
+        stale = {(r.cell, r.slice) for r in hits.join(gone, "id", "left_semi").select("cell", "slice").distinct().collect()}
+        beside = self._open("listings", [p.at for p in state.parts if (p.cell, p.slice) in stale]).join(gone, "id", "left_anti").select(*types)
+        rows = table.unionByName(beside)
+        found = towns(rows)
+        cells = cells_for(state.cells, found, self.cell_rows)
+        parts, keys = self._fill_cells(rows, table, cells, found)
+        kept = [p for p in state.parts if (p.cell, p.slice) not in stale]
+        self._publish("listings", State(cells, kept + parts, state.keys + keys, max(state.last_id, row[2] or 0)).lines())
+        hits.unpersist()
         merged.unpersist()
         return {"inserted": row[0], "updated": row[1]}
 
+    def compact(self, name: str, most: int = MOST_PARTS) -> int:
+        """Makes one folder of slices that have more than ``most``, and splits cells
+        that have outgrown twice their size; how many cells were written anew.  Other
+        tables are written as one folder."""
+        if name != "listings":
+            self.write(name, self.read(name))
+            return 1
+        state = self.state()
+        folders = Counter((p.cell, p.slice) for p in state.parts)
+        rows: Counter = Counter()
+        for p in state.parts:
+            rows[p.cell] += p.rows
+        size = {c.number: c.slices * self.cell_rows for c in state.cells}
+        grown = {c for c, n in rows.items() if n > 2 * size[c]}
+        picked = grown | {c for (c, _), n in folders.items() if n > most}
+        if not picked:
+            return 0
+        d = self._open("listings", [p.at for p in state.parts if p.cell in picked])
+        found = towns(d)
+        cells = list(state.cells)
+        for c in [c for c in state.cells if c.number in grown]:
+            after = min((x.start for x in state.cells if x.source == c.source and x.start > c.start), default=None)
+            mine = [t for t in found if t[0] == c.source and t[1] >= c.start and (after is None or t[1] < after)]
+            cells.remove(c)
+            cells += plan_cells(mine, self.cell_rows, 1 + max(x.number for x in [*cells, c]), c.start)
+        parts, keys = self._fill_cells(d, d if grown else None, cells, found)
+        self._publish(name, State(cells, [p for p in state.parts if p.cell not in picked] + parts, state.keys + keys, state.last_id).lines())
+        return len(picked)
+
     def clean_texts(self) -> int:
-        """Rewrites titles and descriptions that still hold markup; how many changed."""
+        """Rewrites titles and descriptions that still hold markup, in the cells where
+        there are any; how many rows changed."""
+        state = self.state()
         d = self.read("listings")
         dirty = lambda c: F.col(c).like("%<%") | F.col(c).like("%&%;%")
         new = {c: F.when(dirty(c), clean_text(F.col(c))).otherwise(F.col(c)) for c in ("title", "description")}
-        changed = d.filter(~(F.col("title").eqNullSafe(new["title"]) & F.col("description").eqNullSafe(new["description"]))).count()
-        if changed:
-            self.write("listings", d.withColumns(new))
-        return changed
+        changed = d.filter(~(F.col("title").eqNullSafe(new["title"]) & F.col("description").eqNullSafe(new["description"])))
+        found = towns(changed)
+        n = sum(t[2] for t in found)
+        if n:
+            marks = placed(changed.select("id", "source", "city"), state.cells, found).select("_cell", "_slice").distinct()
+            stale = {tuple(r) for r in marks.collect()}  # a cell's slices at most
+            rows = self._open("listings", [p.at for p in state.parts if (p.cell, p.slice) in stale]).withColumns(new)
+            # A row without id and URL is known by its content, which changes here.
+            parts, keys = self._fill_cells(rows, rows, state.cells, towns(rows))
+            self._publish("listings", State(state.cells, [p for p in state.parts if (p.cell, p.slice) not in stale] + parts, state.keys + keys, state.last_id).lines())
+        return n
 
     # ---------------------------------------------------------------- run audit
 
