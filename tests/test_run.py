@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import threading
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import planning
 from tidemark.plans import run
@@ -57,6 +58,7 @@ def test_run_collects_every_unit(spark, tmp_path, world):
     assert store.read("rejects").first().reasons == "title is implausibly long"
     done = {r.city: r for r in store.read("outcomes").collect()}
     assert {c: r.status for c, r in done.items()} == {"Lahore": "completed", "Multan": "unsupported", "Kotli": "failed"}
+    assert (done["Lahore"].pages_read, done["Lahore"].out_of_window, done["Lahore"].dated, done["Lahore"].budget_spent) == (2, 1, True, False)
     assert done["Lahore"].foreign_ads == 3 and "Sialkot, Daska" in done["Lahore"].reason and done["Multan"].reason == "no such page" and done["Kotli"].reason == "robots rules"
     (noted,) = store.runs().collect()
     assert (noted.sources, noted.cities, noted.inserted, noted.skipped, noted.errors) == ("olx", "Lahore,Multan,Kotli", 2, 1, 1) and noted.finished_at == NOW
@@ -81,6 +83,20 @@ def test_run_limits_and_named_cities(spark, tmp_path, world):
     assert {r.city: r.reason for r in s.read("outcomes").collect()} == {"Multan": "no ads in Multan for this category; 1 ad(s) from other places (Lahore) were left out", "Kotli": "no page was captured"}
 
 
+def test_run_ends_at_an_empty_page_and_counts_what_it_read(spark, tmp_path, world):
+    """An ad beyond an empty page is not read; foreign ads beyond the stop are not counted; a
+    page that fails later ends the unit early."""
+    cities, categories, captures = world
+    rows = [("Lahore", 1, page((1, "Lahore")), 200, True), ("Lahore", 2, page(), 200, True), ("Lahore", 3, page((2, "Lahore")), 200, True)]
+    rows += [("Multan", 1, page((5, "Multan"), (6, "Lahore")), 200, True), ("Multan", 2, page((5, "Multan")), 200, True), ("Multan", 3, page((5, "Multan")), 200, True), ("Multan", 4, page((7, "Daska")), 200, True)]
+    rows += [("Kotli", 1, page((8, "Kotli")), 200, True), ("Kotli", 2, "", 503, True), ("Kotli", 3, page((9, "Kotli")), 200, True)]
+    store = Store(spark, str(tmp_path / "s"))
+    assert run.collect(store, cities, categories, captures(rows), NOW).per_city == {"Lahore": 1, "Multan": 1, "Kotli": 1}
+    done = {r.city: r for r in store.read("outcomes").collect()}
+    assert {c: (r.pages_read, r.foreign_ads, r.listings) for c, r in done.items()} == {"Lahore": (1, 0, 1), "Multan": (1, 1, 1), "Kotli": (1, 0, 1)}
+    assert done["Kotli"].reason == "stopped early at page 2: status 503" and done["Lahore"].reason == ""
+
+
 def test_short_ads_are_completed(spark, tmp_path, world):
     cities, categories, captures = world
     text = page((1, "Lahore", {"description": "short"}), (2, "Lahore"))
@@ -89,6 +105,10 @@ def test_short_ads_are_completed(spark, tmp_path, world):
     store = Store(spark, str(tmp_path / "s"))
     assert run.collect(store, cities, categories, captures([("Lahore", 1, text, 200, True)]), NOW, only=["Lahore"], detail_pages=pages).inserted == 2
     assert {r.source_listing_id: r.title for r in store.read("listings").collect()} == {"1": "Full title", "2": "Car 2"}
+    # Read again a day later, the stored ad is fresh, so its own page is left alone.
+    newer = pages.withColumn("text", F.replace("text", F.lit("Full title"), F.lit("Newer title")))
+    run.collect(store, cities, categories, captures([("Lahore", 1, text, 200, True)]), NOW + timedelta(days=1), only=["Lahore"], detail_pages=newer)
+    assert {r.source_listing_id: r.title for r in store.read("listings").collect()} == {"1": "Car 1", "2": "Car 2"}
 
 
 def test_disabled_cities_by_name(spark, world):

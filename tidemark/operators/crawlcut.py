@@ -33,15 +33,31 @@ def fresh(ads: DataFrame) -> DataFrame:
     return ads.withColumn("fresh", F.col("own") & (F.row_number().over(w) == 1))
 
 
+def _stale_ends(pages: DataFrame, patience: int) -> DataFrame:
+    """(unit, cut): the page that is the ``patience``-th stale one in a row."""
+    pages = pages.withColumn("_island", F.sum((~F.col("stale")).cast("int")).over(Window.partitionBy("unit").orderBy("page")))
+    length = F.count_if("stale").over(Window.partitionBy("unit", "_island").orderBy("page"))
+    return pages.withColumn("_len", length).filter(F.col("stale") & (F.col("_len") >= patience)).groupBy("unit").agg(F.min("page").alias("cut"))
+
+
+def _barren_ends(pages: DataFrame, patience: int) -> DataFrame:
+    """(unit, cut): the page that is the ``patience``-th with nothing in the window
+    (n = 0) in a row; stale pages neither count nor end a row."""
+    live = pages.filter("not stale")
+    live = live.withColumn("_island", F.sum((F.col("n") > 0).cast("int")).over(Window.partitionBy("unit").orderBy("page")))
+    live = live.withColumn("_len", F.count_if(F.col("n") == 0).over(Window.partitionBy("unit", "_island").orderBy("page")))
+    return live.filter((F.col("n") == 0) & (F.col("_len") >= patience)).groupBy("unit").agg(F.min("page").alias("cut"))
+
+
+def _by_page(ads: DataFrame) -> DataFrame:
+    n = F.count_if(F.col("own") & F.col("inw")) if "inw" in ads.columns else F.lit(1)
+    return ads.groupBy("unit", "page").agg((~F.bool_or("fresh")).alias("stale"), n.alias("n"))
+
+
 def stale_stop(ads: DataFrame, patience: int = 2) -> DataFrame:
     """Fresh ads of the pages before ``patience`` pages in a row had none."""
     f = fresh(ads)
-    pages = f.groupBy("unit", "page").agg((~F.bool_or("fresh")).alias("stale"))
-    w = Window.partitionBy("unit").orderBy("page")
-    run = F.sum((~F.col("stale")).cast("int")).over(w)
-    pages = pages.withColumn("_island", run)
-    length = F.count_if("stale").over(Window.partitionBy("unit", "_island").orderBy("page"))
-    cut = pages.withColumn("_len", length).filter(F.col("stale") & (F.col("_len") >= patience)).groupBy("unit").agg(F.min("page").alias("cut"))
+    cut = _stale_ends(_by_page(f), patience)
     return f.join(cut, "unit", "left").filter(F.col("fresh") & (F.col("cut").isNull() | (F.col("page") < F.col("cut")))).drop("fresh", "cut")
 
 
@@ -51,14 +67,48 @@ def barren_stop(ads: DataFrame, patience: int) -> DataFrame:
     f = fresh(ads)
     if not patience:
         return f.filter("fresh").drop("fresh")
-    pages = f.groupBy("unit", "page").agg(F.bool_or("fresh").alias("live"), F.count_if(F.col("own") & F.col("inw")).alias("n")).filter("live")
-    w = Window.partitionBy("unit").orderBy("page")
-    pages = pages.withColumn("_island", F.sum((F.col("n") > 0).cast("int")).over(w))
-    pages = pages.withColumn("_len", F.count_if(F.col("n") == 0).over(Window.partitionBy("unit", "_island").orderBy("page")))
-    cut = pages.filter((F.col("n") == 0) & (F.col("_len") >= patience)).groupBy("unit").agg(F.min("page").alias("cut"))
+    cut = _barren_ends(_by_page(f), patience)
     return f.join(cut, "unit", "left").filter(F.col("fresh") & (F.col("cut").isNull() | (F.col("page") <= F.col("cut")))).drop("fresh", "cut")
 
 
+def walk(pages: DataFrame, ads: DataFrame, *, stale: int = 2, barren: int = 0, most: int | None = None, places: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Every unit read page by page until a rule ends it: the ads that come out of
+    it, and what was seen on the way, one row a unit that has pages.
+
+    pages: unit, page and n, the ads on it; the first page without ads ends a unit
+    and is not counted.  A page is read to its end once it has been begun, but for
+    the ``most``-th ad in the window, after which nothing is read.  Ads that come
+    out are fresh (``fresh``); those outside the window are among them, with inw
+    false.  pages_read is the last page that had a fresh ad; foreign ads of stale
+    pages count, those of pages that were never reached do not.
+    """
+    end = pages.filter("n = 0").groupBy("unit").agg(F.min("page").alias("_end"))
+    f = fresh(ads.join(end, "unit", "left").filter(F.col("_end").isNull() | (F.col("page") < F.col("_end"))).drop("_end"))
+    each = _by_page(f)
+    cut = _stale_ends(each, stale)
+    if barren:
+        cut = cut.union(_barren_ends(each, barren))
+    f = f.join(cut.groupBy("unit").agg(F.min("cut").alias("_cut")), "unit", "left").filter(F.col("_cut").isNull() | (F.col("page") <= F.col("_cut"))).drop("_cut")
+    none = F.lit(None).cast("long")
+    f = f.withColumns({"_stop": none, "_stop_page": none})
+    if most:
+        upto = Window.partitionBy("unit").orderBy("rn")
+        made = F.count_if(F.col("fresh") & F.col("inw")).over(upto)
+        spent = f.withColumn("_made", made).filter(F.col("fresh") & F.col("inw") & (F.col("_made") == most)).select("unit", F.col("rn").alias("_r"), F.col("page").alias("_p"))
+        f = f.join(spent, "unit", "left").withColumns({"_stop": F.col("_r").cast("long"), "_stop_page": F.col("_p").cast("long")}).drop("_r", "_p")
+    reached = F.col("_stop").isNull() | (F.col("page") <= F.col("_stop_page"))
+    out = F.col("fresh") & (F.col("_stop").isNull() | (F.col("rn") <= F.col("_stop")))
+    seen = f.filter(reached)
+    sums = seen.groupBy("unit").agg(
+        F.coalesce(F.max(F.when(F.col("fresh"), F.col("page"))), F.lit(0)).cast("long").alias("pages_read"), F.count_if(~F.col("own")).alias("foreign_ads"), F.count_if(out & F.col("inw")).alias("produced"),
+        F.count_if(out & ~F.col("inw")).alias("out_of_window"), F.bool_or(F.col("_stop").isNotNull()).alias("budget_spent"), F.max("page").cast("long").alias("last_page"),
+    )
+    units = pages.groupBy("unit").agg(F.min_by("n", "page").alias("_first")).join(sums, "unit", "left").join(_first_places(seen, places), "unit", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("pages_read", "foreign_ads", "produced", "out_of_window", "last_page")}
+    units = units.withColumns(zero | {"budget_spent": F.coalesce("budget_spent", F.lit(False)), "foreign_places": F.coalesce("foreign_places", F.array().cast("array<string>")), "no_ads": F.col("_first") == 0}).drop("_first")
+    return f.filter(out).drop("_stop", "_stop_page"), units
+
+
 def page_cap(ads: DataFrame, cap: int | None = None, hard: int = 20_000) -> DataFrame:
     return ads.filter(F.col("page") <= min(cap or hard, hard))
 
@@ -79,14 +129,18 @@ def carry_forward(df: DataFrame, column: str, order: str, by: list[str] | None =
     return F.last(column, ignorenulls=True).over(Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def _first_places(ads: DataFrame, places: int) -> DataFrame:
+    """(unit, foreign_places): the first few different ones in the order they came."""
+    first = ads.filter(~F.col("own") & F.col("place").isNotNull()).groupBy("unit", "place").agg(F.min("rn").alias("rn"))
+    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("unit").orderBy("rn", "place"))).filter(F.col("_r") <= places)
+    return first.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "place"))), lambda s: s["place"]).alias("foreign_places"))
+
+
 def coverage(ads: DataFrame, places: int = 5) -> DataFrame:
     """Per unit: pages read, own and foreign ads, ads out of the window, and the
     first few different foreign places in the order they came."""
-    first = ads.filter(~F.col("own") & F.col("place").isNotNull()).groupBy("unit", "place").agg(F.min("rn").alias("rn"))
-    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("unit").orderBy("rn"))).filter(F.col("_r") <= places)
-    names = first.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "place"))), lambda s: s["place"]).alias("foreign_places"))
     sums = ads.groupBy("unit").agg(F.countDistinct("page").alias("pages_read"), F.count_if("own").alias("own_ads"), F.count_if(~F.col("own")).alias("foreign_ads"), F.count_if(F.col("own") & ~F.col("inw")).alias("out_of_window"))
-    return sums.join(names, "unit", "left").withColumn("foreign_places", F.coalesce("foreign_places", F.array().cast("array<string>")))
+    return sums.join(_first_places(ads, places), "unit", "left").withColumn("foreign_places", F.coalesce("foreign_places", F.array().cast("array<string>")))
 
 
 def outcome(units: DataFrame) -> DataFrame:

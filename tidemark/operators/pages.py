@@ -204,7 +204,12 @@ def complete(stubs: DataFrame, detail: DataFrame, source: str, collect_phone: bo
     return j.withColumns({"description": F.coalesce("description", F.lit("")), "area": F.coalesce("area", F.lit(""))}).select(*stubs.columns)
 
 
-def needs_detail(least: int = 80) -> Column:
+# A description shorter than this asks for the ad's own page.
+SHORT_TEXT = 80
+SHORT = {"olx": 40}
+
+
+def needs_detail(least: int = SHORT_TEXT) -> Column:
     return F.length(F.coalesce("description", F.lit(""))) < least
 
 

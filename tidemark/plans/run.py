@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import city_keys, match_key
-from tidemark.operators import crawlcut, pages, places, planning, validate
+from tidemark.operators import crawlcut, merge, pages, places, planning, validate
 from tidemark.session import ensure_checkpoints
 from tidemark.sources.store import Store
 
@@ -58,12 +58,13 @@ def read_ads(captures: DataFrame, now: datetime, collect_phone: bool = True, sou
     at = captures.select("unit_no", "page", "source", "city", "category", F.col("url").alias("page_url"), "keys")
     j = found.join(at, ["page_url", "source", "city", "category"])
     key = F.coalesce(F.nullif("source_listing_id", F.lit("")), "url")
-    return j.withColumns({"unit": F.col("unit_no"), "rn": F.col("page") * _PER_PAGE + F.col("pos"), "key": key, "own": places.in_city(F.col("located_in"), F.col("keys")), "place": F.get("located_in", F.size("located_in") - 1)}).drop("keys")
+    return j.withColumns({"unit": F.col("unit_no"), "rn": F.col("page") * _PER_PAGE + F.col("pos"), "key": key, "own": places.in_city(F.col("located_in"), F.col("keys")), "place": F.get("located_in", F.lit(0))}).drop("keys")
 
 
 def usable(captures: DataFrame) -> DataFrame:
     """Adds ``stop`` (unsupported: no such page 1; failed: page 1 or robots) to
-    the pages of every unit, and leaves out pages from the first missing one on."""
+    the pages of every unit and ``early`` (why it ended on a later page), and leaves
+    out pages from the first missing one on."""
     c = captures
     missing = F.coalesce("status", F.lit(200)) == 404
     broken = ~F.coalesce("status", F.lit(200)).isin(200, 404)
@@ -74,7 +75,9 @@ def usable(captures: DataFrame) -> DataFrame:
     astray = (F.col("source") == "pakwheels") & ~F.coalesce(scoped, F.lit(False))
     verdict = F.when(banned, "failed: robots rules").when(broken & first, F.concat(F.lit("failed: status "), F.col("status"))).when(missing & first, "unsupported: no such page").when(astray & first, "unsupported: the page is not of this city")
     stop = c.groupBy("unit_no").agg(F.min_by(verdict, F.when(verdict.isNotNull(), F.col("page"))).alias("stop"))
-    ends = c.filter(missing | broken | banned).groupBy("unit_no").agg(F.min("page").alias("_end"))
+    bad = c.filter(missing | broken | banned)
+    early = F.when(broken & ~first, F.concat(F.lit("stopped early at page "), F.col("page").cast("string"), F.lit(": status "), F.col("status").cast("string")))
+    ends = bad.groupBy("unit_no").agg(F.min("page").alias("_end"), F.min_by(F.coalesce(early, F.lit("")), "page").alias("early"))
     return c.join(stop, "unit_no").join(ends, "unit_no", "left").filter(F.col("_end").isNull() | (F.col("page") < F.col("_end")) | (F.col("page") == 1)).drop("_end")
 
 
@@ -121,19 +124,22 @@ def collect(
     planned = sorted(r[0] for r in units.select("source").distinct().collect())
     if not planned:
         raise ValueError("the plan has no units")
-    ads = read_ads(crawlcut.page_cap(good, page_cap), now, collect_phone, planned)
-    ads = validate.date_window(ads, start, end, keep_undated).withColumn("inw", F.col("verdict") == "in").checkpoint()
-    seen = crawlcut.stale_stop(ads, stale)
-    if barren:
-        seen = seen.join(crawlcut.barren_stop(ads, barren).select("unit", "page", "rn"), ["unit", "page", "rn"], "left_semi")
-    kept = crawlcut.limit(seen.filter("inw"), limit)
+    asked = crawlcut.page_cap(good, page_cap)
+    ads = read_ads(asked, now, collect_phone, planned)
+    dated = bool(start or end)
+    # An undated ad counts as in the window while pages are read; later it is judged.
+    ads = validate.date_window(ads, start, end, keep_undated).withColumn("inw", F.col("verdict") != "filtered").checkpoint()
+    on_page = ads.groupBy("unit", "page").agg(F.count(F.lit(1)).alias("n"))
+    on_page = asked.select(F.col("unit_no").alias("unit"), "page").distinct().join(on_page, ["unit", "page"], "left").na.fill(0, ["n"])
+    seen, cover = crawlcut.walk(on_page, ads, stale=stale, barren=barren if dated else 0, most=limit)
+    seen, cover = seen.checkpoint(), cover.checkpoint()
+    kept = seen.filter("verdict = 'in'")
     if run_cap:
         per = units.join(kept.groupBy("unit_no").agg(F.count(F.lit(1)).alias("stored")), "unit_no", "left").na.fill(0, ["stored"])
         running = crawlcut.run_cap(per, run_cap).select("unit_no")
         kept, seen, units = (d.join(running, "unit_no", "left_semi") for d in (kept, seen, units))
-    kept = kept.checkpoint()
     number = store.start_run(planned, [r[0] for r in known.orderBy("pos").select("name").collect()], now)
-    full = complete(kept, detail_pages, now, collect_phone, planned)
+    full = complete(kept, detail_pages, now, collect_phone, planned, store)
     judged = full.select(*[F.col(x) for x in pages.RECORD_COLUMNS], (F.col("unit_no") * F.lit(1 << 40) + F.col("rn")).alias("seq"), F.lit(now).cast("timestamp").alias("seen_at")).checkpoint()
     good_rows, bad_rows = validate.split_valid(judged, now.date())
     stats = RunStats(skipped=bad_rows.count())
@@ -142,7 +148,7 @@ def collect(
     tally = seen.agg(F.count_if(F.col("verdict") == "filtered"), F.count_if(F.col("verdict") == "undated")).first()
     stats.filtered, stats.undated = tally[0], tally[1]
     stats.per_city = {r[0]: r[1] for r in good_rows.groupBy("city").count().collect()}  # one row a city
-    done = outcomes(units, read, ads, kept).checkpoint()
+    done = outcomes(units, read, cover, kept, dated, page_cap).checkpoint()
     by = {r[0]: r[1] for r in done.groupBy("status").count().collect()}
     stats.errors, stats.unsupported = by.get("failed", 0), by.get("unsupported", 0)
     store.append("outcomes", done)
@@ -150,31 +156,46 @@ def collect(
     return stats
 
 
-def complete(ads: DataFrame, detail_pages: DataFrame | None, now: datetime, collect_phone: bool, sources: list[str]) -> DataFrame:
-    """Ads whose description is short, with what their own pages add."""
+def complete(ads: DataFrame, detail_pages: DataFrame | None, now: datetime, collect_phone: bool, sources: list[str], store: Store | None = None) -> DataFrame:
+    """Ads whose description is short for their source, with what their own pages
+    add; an ad that is stored and was read in the last days is left as it is."""
     if detail_pages is None:
         return ads
-    out = ads.filter(~pages.needs_detail())
+    wanted = F.lit(False)
+    for source in sources:
+        if source in pages.DETAILED:
+            wanted = wanted | ((F.col("source") == source) & pages.needs_detail(pages.SHORT.get(source, pages.SHORT_TEXT)))
+    ads = ads.withColumn("_short", wanted)
+    if store is not None:
+        new = store.lookup(ads.filter("_short")).filter(~pages.stale_detail(now))
+        names = merge.all_names(new).distinct()
+        known = merge.all_names(merge.stored_form(ads.filter("_short")), "unit", "rn").join(names, "name", "left_semi").select("unit", "rn").distinct()
+        ads = ads.join(known.withColumn("_known", F.lit(True)), ["unit", "rn"], "left").withColumn("_short", F.col("_short") & F.col("_known").isNull()).drop("_known")
+    out = ads.filter(~F.col("_short")).drop("_short")
     for source in sources:
-        mine = ads.filter(pages.needs_detail() & (F.col("source") == source))
         if source in pages.DETAILED:
             found = pages.details(detail_pages.filter(F.col("source") == source).dropDuplicates(["url"]), source, now)
-            mine = pages.complete(mine, found, source, collect_phone)
-        out = out.unionByName(mine)
+            out = out.unionByName(pages.complete(ads.filter(F.col("_short") & (F.col("source") == source)).drop("_short"), found, source, collect_phone))
     return out
 
 
-def outcomes(units: DataFrame, read: DataFrame, ads: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row a unit: status, why, the page it was searched on, and counts."""
-    first = read.groupBy("unit_no").agg(F.min_by("url", "page").alias("search_url"), F.max("stop").alias("stop"))
-    cover = crawlcut.coverage(ads, 3).withColumnRenamed("unit", "unit_no")
+def outcomes(units: DataFrame, read: DataFrame, cover: DataFrame, kept: DataFrame, dated: bool, page_cap: int | None) -> DataFrame:
+    """One row a unit: status, why, the page it was searched on, and what was read."""
+    first = read.groupBy("unit_no").agg(F.min_by("url", "page").alias("search_url"), F.max("stop").alias("stop"), F.max("early").alias("early"))
     stored = kept.groupBy("unit_no").agg(F.count(F.lit(1)).alias("listings"))
-    u = units.join(first, "unit_no", "left").join(cover, "unit_no", "left").join(stored, "unit_no", "left").na.fill(0, ["listings", "pages_read", "foreign_ads", "out_of_window"])
+    counts = ("listings", "pages_read", "foreign_ads", "out_of_window")
+    u = units.join(first, "unit_no", "left").join(cover.withColumnRenamed("unit", "unit_no"), "unit_no", "left").join(stored, "unit_no", "left").na.fill(0, list(counts))
     stop = F.when(F.col("search_url").isNull(), "failed: no page was captured").otherwise(F.col("stop"))
     part = lambda kind: F.when(stop.startswith(kind), F.substring(stop, len(kind) + 3, 200)).otherwise("")
     u = crawlcut.outcome(u.withColumns({"error": F.coalesce(part("failed"), F.lit("")), "unsupported": F.coalesce(part("unsupported"), F.lit(""))}))
-    names = F.array_join(F.coalesce("foreign_places", F.array().cast("array<string>")), ", ")
+    names = F.array_join(F.slice(F.coalesce("foreign_places", F.array().cast("array<string>")), 1, 3), ", ")
     foreign: Column = F.when(F.col("foreign_ads") > 0, F.concat(F.col("foreign_ads").cast("string"), F.lit(" ad(s) from other places ("), names, F.lit(") were left out")))
-    head = F.when(F.col("listings") == 0, F.when(F.col("out_of_window") > 0, F.concat(F.lit("0 listings kept - "), F.col("out_of_window").cast("string"), F.lit(" ad(s) fell outside the date range"))).otherwise(F.concat(F.lit("no ads in "), F.col("city"), F.lit(" for this category"))))
-    reason = F.when(F.col("status") == "completed", F.concat_ws("; ", head, foreign)).otherwise(F.col("reason"))
-    return u.select("city", "source", "category", "status", reason.alias("reason"), "search_url", F.lit(None).cast("string").alias("matched"), F.col("pages_read").cast("long"), F.col("listings").cast("long"), F.col("foreign_ads").cast("long"))
+    head = F.when(F.coalesce("no_ads", F.lit(False)), "the site returned no ads for this city and category")
+    head = head.when(F.col("listings") == 0, F.when(F.col("out_of_window") > 0, F.concat(F.lit("0 listings kept - "), F.col("out_of_window").cast("string"), F.lit(" ad(s) fell outside the date range"))).otherwise(F.concat(F.lit("no ads in "), F.col("city"), F.lit(" for this category"))))
+    reason = F.when(F.col("status") == "completed", F.concat_ws("; ", F.nullif(F.coalesce("early", F.lit("")), F.lit("")), head, foreign)).otherwise(F.col("reason"))
+    budget = F.lit(page_cap).cast("long")
+    done = F.col("status") == "completed"
+    return u.select(
+        "city", "source", "category", "status", reason.alias("reason"), "search_url", F.lit(None).cast("string").alias("matched"), *[F.when(done, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("pages_read", "listings", "foreign_ads", "out_of_window")],
+        budget.alias("page_budget"), F.lit(dated).alias("dated"), (done & F.coalesce("budget_spent", F.lit(False))).alias("budget_spent"),
+    )

@@ -13,7 +13,7 @@ LISTINGS = (
 RUNS = "id long, started_at timestamp, finished_at timestamp, sources string, cities string, inserted long, updated long, skipped long, errors long, notes string"
 REJECTS = "source string, url string, reasons string, payload string, rejected_at timestamp"
 CAPTURES = "url string, status int, text string, fetched_at timestamp"
-OUTCOMES = "city string, source string, category string, status string, reason string, search_url string, matched string, pages_read long, listings long, foreign_ads long"
+OUTCOMES = "city string, source string, category string, status string, reason string, search_url string, matched string, pages_read long, listings long, foreign_ads long, out_of_window long, page_budget long, dated boolean, budget_spent boolean"
 LOCATIONS = "source string, name string, identifier string, province string, level string, pos long"
 
 #: Columns of a record as a collector hands it over.
