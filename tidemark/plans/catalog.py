@@ -133,13 +133,6 @@ def export_preview(spark, d):
     return view(spark, d).select("id", "city", "title", text.preview(F.col("description"), 20).alias("taste"))
 
 
-@query(_from(LISTINGS_SQL, ", W AS (SELECT 'p' || (id + id % 2) AS p, id FROM L WHERE id % 5 = 0) SELECT w.id AS asked, coalesce(a.id, b.id) AS id FROM W w LEFT JOIN L a ON 'p' || a.id = w.p LEFT JOIN L b ON b.id = w.id"))
-def stored_lookup(spark, d):
-    v = view(spark, d).select("id", F.concat(F.lit("p"), "id").alias("fingerprint"), "source", F.col("url").alias("url_canonical"))
-    w = v.filter("id % 5 = 0").select(F.col("id").alias("asked"), F.concat(F.lit("p"), F.col("id") + F.col("id") % 2).alias("fingerprint"), "source", "url_canonical")
-    return listings.lookup(v, w).select("asked", "id")
-
-
 @query(_from(LISTINGS_SQL, ", W AS (SELECT 'p' || (id + id % 2) AS p, source, url, id FROM L) SELECT w.id AS asked, coalesce(a.id, b.id) AS id FROM W w LEFT JOIN L a ON 'p' || a.id = w.p LEFT JOIN L b ON b.source = w.source AND b.url = w.url"))
 def stored_lookup_all(spark, d):
     v = view(spark, d).select("id", F.concat(F.lit("p"), "id").alias("fingerprint"), "source", F.col("url").alias("url_canonical"))
@@ -248,12 +241,6 @@ def clean_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(text.clean_text(F.col("html")).cast("binary")).alias("cleaned"))
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1 + doc_id % 5), '^[=+\-@]') THEN '''' ELSE '' END || substr(text, (1 + doc_id % 5)::BIGINT, 40) AS cell FROM documents")
-def excel_safe(spark, d):
-    cut = F.expr("substring(text, cast(1 + doc_id % 5 as int), 40)")
-    return table(spark, d, "documents").select("doc_id", text.safe_cell(cut).alias("cell"))
-
-
 @query(r"""WITH c AS (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS t FROM documents), m AS (SELECT doc_id, CASE WHEN length(t) > 30000 THEN substr(t, 1, 29997) || '...' ELSE t END AS t FROM c)
 SELECT doc_id, md5(CASE WHEN substr(t, 1, 1) IN ('=', '+', '-', '@') THEN chr(39) || t ELSE t END) AS cell FROM m""")
 def excel_safe_whole(spark, d):
@@ -382,6 +369,33 @@ def barren_stop(spark, d):
     return crawlcut.barren_stop(unit_ads(spark, d), 2).select("unit", "page", "rn", "key")
 
 
+_WALK = """, P AS (SELECT unit, page, CASE WHEN (unit + page * 7) % 13 = 0 THEN 0 ELSE count(*) END AS n FROM G GROUP BY unit, page),
+X AS (SELECT unit, min(page) AS e FROM P WHERE n = 0 GROUP BY unit),
+A AS (SELECT G.*, own AND row_number() OVER (PARTITION BY G.unit, key, own ORDER BY rn) = 1 AS fresh FROM G LEFT JOIN X ON G.unit = X.unit WHERE e IS NULL OR page < e),
+S AS (SELECT unit, page, NOT bool_or(fresh) AS stale, count(*) FILTER (own AND inw) AS n FROM A GROUP BY unit, page),
+C AS (SELECT unit, min(page) AS cut FROM (SELECT *, lag(stale) OVER (PARTITION BY unit ORDER BY page) AS p FROM S) WHERE stale AND p GROUP BY unit),
+I AS (SELECT *, sum((n > 0)::INT) OVER (PARTITION BY unit ORDER BY page) AS island FROM S WHERE NOT stale),
+R AS (SELECT *, count(*) FILTER (n = 0) OVER (PARTITION BY unit, island ORDER BY page) AS run FROM I),
+B AS (SELECT unit, min(page) AS idle FROM R WHERE n = 0 AND run >= 3 GROUP BY unit),
+W AS (SELECT A.*, count(*) FILTER (fresh AND inw) OVER (PARTITION BY A.unit ORDER BY rn) AS made FROM A LEFT JOIN C ON A.unit = C.unit LEFT JOIN B ON A.unit = B.unit WHERE page <= coalesce(least(cut, idle), page)),
+K AS (SELECT unit, rn AS r, page AS p FROM W WHERE fresh AND inw AND made = 4),
+Z AS (SELECT W.*, r, fresh AND rn <= coalesce(r, rn) AS given FROM W LEFT JOIN K ON W.unit = K.unit WHERE page <= coalesce(p, page)),
+V AS (SELECT unit, string_agg(place, ',' ORDER BY rn, place) AS places FROM (SELECT unit, place, min(rn) AS rn, row_number() OVER (PARTITION BY unit ORDER BY min(rn), place) AS k FROM Z WHERE NOT own GROUP BY unit, place) WHERE k <= 5 GROUP BY unit),
+T AS (SELECT unit, coalesce(max(page) FILTER (fresh), 0) AS pages_read, count(*) FILTER (NOT own) AS foreign_ads, count(*) FILTER (given AND inw) AS produced, count(*) FILTER (given AND NOT inw) AS out_of_window, max(page) AS last_page, bool_or(r IS NOT NULL) AS budget_spent FROM Z GROUP BY unit)
+SELECT U.unit, coalesce(pages_read, 0)::BIGINT AS pages_read, coalesce(foreign_ads, 0)::BIGINT AS foreign_ads, coalesce(produced, 0)::BIGINT AS produced, coalesce(out_of_window, 0)::BIGINT AS out_of_window, coalesce(last_page, 0)::BIGINT AS last_page, coalesce(budget_spent, false) AS budget_spent, coalesce(places, '') AS places
+FROM (SELECT DISTINCT unit FROM P) AS U LEFT JOIN T ON U.unit = T.unit LEFT JOIN V ON U.unit = V.unit"""
+
+
+@query(_from(UNITS_SQL, _WALK))
+def unit_walk(spark, d):
+    """What is seen of every unit until an empty page, stale or barren pages or its limit end it."""
+    ads = unit_ads(spark, d)
+    empty = (F.col("unit") + F.col("page") * 7) % 13 == 0
+    on_page = ads.groupBy("unit", "page").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.when(empty, 0).otherwise(F.col("n")))
+    seen = crawlcut.walk(on_page, ads, stale=2, barren=3, most=4)[1]
+    return seen.select("unit", "pages_read", "foreign_ads", "produced", "out_of_window", "last_page", "budget_spent", F.array_join("foreign_places", ",").alias("places"))
+
+
 @query(_from(UNITS_SQL, "SELECT unit, rn FROM G WHERE page <= 3"))
 def page_cap(spark, d):
     return crawlcut.page_cap(unit_ads(spark, d), 3).select("unit", "rn")

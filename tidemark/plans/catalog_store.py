@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import listings, merge, places, validate
 from tidemark.plans.catalog import _DIRTY_SQL, NOW, _dirty, _from, query
-from tidemark.plans.views import LISTINGS_SQL, listings as view, table
+from tidemark.plans.views import LISTINGS_SQL, UNITS_SQL, listings as view, table, unit_ads
 from tidemark.session import work_folder
-from tidemark.sources import workbook
+from tidemark.sources import page_cache, workbook
 from tidemark.sources.store import Store
-from tidemark.streaming import ingest as stream
+from tidemark.streaming import collect, ingest as stream
 
 # --------------------------------------------------------------------- merges
 
@@ -126,6 +126,51 @@ def stream_resightings(spark, d):
     return spark.read.parquet(f"{at}/out").select("source", "url")
 
 
+@query(_from(LISTINGS_SQL, "SELECT id, city, title FROM L WHERE city = (SELECT min(n_name) FROM nation) AND source = 'building'"))
+def stored_city_search(spark, d):
+    """A search by city and source in a store of small cells: it opens the cells that may hold the city."""
+    store = Store(spark, work_folder(spark, "store"), cell_rows=500)
+    v = view(spark, d)
+    store.write("listings", v.withColumn("url_canonical", F.col("url")))
+    first = table(spark, d, "nation").agg(F.min("n_name")).first()[0]
+    return store.search(city=first, source="building").select("id", "city", "title")
+
+
+@query(_from(_SEEN, "SELECT 'olx:id:' || k AS fingerprint, CASE WHEN k % 3 = 0 THEN 'New Title 1' ELSE 'Title 1' END AS title, coalesce(max(nullif(trim(coalesce(area, '')), '')), '') AS area, arg_max(description, length(description) * 2 + i) AS description FROM S WHERE k % 4 <> 0 GROUP BY k"))
+def store_batches(spark, d):
+    """Two batches; the second sees a third of the ads again, found by the index of keys."""
+    store = Store(spark, work_folder(spark, "store"), cell_rows=2000)
+    s = _seen(spark, d).filter("url is not null")
+    store.ingest(s, NOW.date())
+    again = s.filter((F.col("seq") % 2 == 1) & (F.col("source_listing_id").cast("long") % 3 == 0))
+    store.ingest(again.withColumn("title", F.concat(F.lit("New "), "title")), NOW.date())
+    return store.read("listings").select("fingerprint", "title", "area", "description")
+
+
+@query(_from(UNITS_SQL, ", S AS (SELECT unit, page, NOT bool_or(fresh) AS stale FROM F GROUP BY unit, page), C AS (SELECT unit, min(page) AS cut FROM (SELECT *, lag(stale) OVER (PARTITION BY unit ORDER BY page) AS p FROM S) WHERE stale AND p GROUP BY unit) SELECT unit, page, rn FROM F LEFT JOIN C USING (unit) WHERE fresh AND (cut IS NULL OR page < cut)"))
+def stream_walk(spark, d):
+    """Units' pages as a stream of several batches, out of order: the ads that come out."""
+    at = work_folder(spark, "walk")
+    ad = F.struct("rn", F.col("key").cast("string").alias("key"), "own", "inw")
+    pages = unit_ads(spark, d).groupBy("unit", "page").agg(F.to_json(F.array_sort(F.collect_list(ad))).alias("ads")).select(F.col("unit").cast("long").alias("unit"), "page", "ads")
+    pages.repartition(4, "page").write.parquet(f"{at}/in")
+    s = spark.readStream.schema(collect.PAGE).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    w = collect.walk_stream(s).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
+    w.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("unit long, page long, rn long").parquet(f"{at}/out")
+
+
+@query("SELECT url, md5(html) AS md5 FROM pages WHERE page_id % 48 < 24")
+def page_cache_source(spark, d):
+    """Pages cached a file a URL, fetched page_id modulo 48 hours ago, read with a day to live."""
+    page_cache.register(spark)
+    hours = F.make_dt_interval(hours=(F.col("page_id") % 48).cast("int"))
+    at = work_folder(spark, "cache")
+    c = table(spark, d, "pages").select("url", F.lit(200).alias("status"), F.col("html").alias("text"), (F.lit(NOW).cast("timestamp") - hours).alias("fetched_at"))
+    c.write.format("page_cache").mode("append").save(at)
+    return spark.read.format("page_cache").options(ttl_hours=24, now=NOW.isoformat()).load(at).select("url", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 # -------------------------------------------------------------------- exports
 
 

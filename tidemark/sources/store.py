@@ -167,6 +167,7 @@ class Store:
         if name != "listings":
             self._publish(name, [self._fill(name, df)])
             return
+        df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(S.LISTINGS).fields])
         found = towns(df)
         cells = plan_cells(found, self.cell_rows)
         parts, keys = self._fill_cells(df, df, cells, found)
