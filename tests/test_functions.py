@@ -74,6 +74,26 @@ def test_urls(spark):
     assert run(spark, lambda c: urls.canonical_url(urls.canonical_url(c)), ["https://www.x.y/z/?q=1"]) == ["https://x.y/z?q=1"]
 
 
+def test_canonical_urls_of_escaped_parameters(spark):
+    """Parameters of random bytes and escapes, against the standard library's reading."""
+    import random
+    import re
+    from urllib.parse import parse_qsl, urlencode
+
+    rng = random.Random(5)
+    bits = ["a", "B", "~", "*", "-", "_", ".", "+", " ", "%20", "%2B", "%2b", "%zz", "%", "%C3%A9", "%c3%a9", "é", "%FF", "%E4", "/", ":", "%26", "%3D", "=", "ref", "utm_x", "日", "%41", "'", "(", "%7E", "%2A"]
+    word = lambda n: "".join(rng.choice(bits) for _ in range(rng.randrange(n)))
+    queries = ["&".join(rng.choice([word(3) + "=" + word(4), word(2), "ref=x", "%72ef=1", "u%74m_a=1", "gclid=%20"]) for _ in range(rng.randrange(1, 5))) for _ in range(600)]
+
+    def plain(q):
+        kept = sorted((k, v) for k, v in parse_qsl(q.rstrip()) if not re.match(urls.TRACKING, k, re.I))
+        return "https://s.example/p" + ("?" + urlencode(kept) if kept else "")
+
+    once = run(spark, urls.canonical_url, [f"https://www.S.example/p/?{q}" for q in queries])
+    assert once == [plain(q) for q in queries]
+    assert run(spark, urls.canonical_url, once) == once
+
+
 def test_names(spark):
     assert run(spark, text.humanize, ["tv-video-audio", "it-networking", "arts-and-crafts"]) == ["TV Video Audio", "IT Networking", "Arts and Crafts"]
     assert run(spark, text.url_slug, ["D.G. Khan", "Khairpur Mir's", "Café é"]) == ["d-g-khan", "khairpur-mir-s", "cafe-e"]
