@@ -53,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near", near), ("repeats", repeats), ("mix", mix), ("pack", pack)]
 
-#: Tokenizing and retrieval have no SQL; tests compare with a brute-force version.
+#: Tokenizing and retrieval have no SQL; a test holds every stage and run() against plain Python.
 ORACLE_SQL = None
 
 

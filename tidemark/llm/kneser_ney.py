@@ -71,8 +71,7 @@ def spell(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 class Model:
     """Log-likelihood ratios from counts.  runs: sorted runs of N bytes with
-    their counts by class; all: (sums, kinds) by class and context of all runs,
-    pruned ones included."""
+    their counts by class; all: (sums, kinds) by class and context of all runs."""
 
     def __init__(self, runs: np.ndarray, counts: np.ndarray, context: np.ndarray, sums: np.ndarray, kinds: np.ndarray, lower: list[tuple[np.ndarray, np.ndarray]]):
         self.runs, self.context, self.lower = runs, context, []

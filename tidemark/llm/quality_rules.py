@@ -8,7 +8,8 @@ documents that keep less than half of their words are rejected.
 
 The lines above the limit are at most ``1 / max_share`` times a host's mean
 number of lines per document, so one short list per host is joined back to the
-texts: no document is shuffled.
+texts: while the lists are small (``BROADCAST_BYTES``) no document is shuffled, and
+where they are not, documents are joined by host.
 """
 
 from __future__ import annotations
