@@ -53,8 +53,9 @@ def state_cities(pages: DataFrame, text: str = "text", source: str = "zameen") -
 
 
 def resolve(cities: DataFrame, locations: DataFrame) -> DataFrame:
-    """Each city's location: same key, no other known province, cities before
-    localities, then document order.  Cities without one are unsupported."""
+    """Each city's location: what an override pins (``pins``, a map from source to
+    identifier, where cities have it), else same key, no other known province, cities
+    before localities, then document order.  Cities without one are unsupported."""
     keys = cities.select(F.col("name").alias("city"), F.col("province").alias("_want"), F.explode(city_keys(F.col("name"), F.col("aliases"))).alias("_key"))
     loc = locations.withColumn("_key", match_key(F.col("name")))
     j = keys.join(loc, "_key").filter(F.coalesce("_want", F.lit("")).isin("") | F.col("province").isNull() | (F.col("province") == F.col("_want")))
@@ -62,6 +63,9 @@ def resolve(cities: DataFrame, locations: DataFrame) -> DataFrame:
     best = j.withColumn("_r", rank).filter("_r = 1").select("city", "source", "identifier", F.col("name").alias("matched"))
     want = cities.select(F.col("name").alias("city")).crossJoin(small(locations.select("source").distinct(), 1000, "sources"))
     out = want.join(best, ["city", "source"], "left")
+    if "pins" in cities.columns:
+        pinned = cities.select(F.col("name").alias("city"), F.explode("pins").alias("source", "_pin"))
+        out = out.join(pinned, ["city", "source"], "left").withColumn("identifier", F.coalesce("_pin", "identifier")).withColumn("matched", F.when(F.col("_pin").isNull(), F.col("matched")).otherwise(F.col("city"))).drop("_pin")
     return out.withColumn("status", F.when(F.col("identifier").isNotNull(), "resolved").otherwise("unsupported"))
 
 
@@ -118,24 +122,43 @@ def gazetteer(rows: DataFrame, min_population: int = 50_000) -> DataFrame:
     return d.filter(~junk_name(F.col("name")) & ~match_key(F.col("name")).isin(*EXCLUDED)).select("name", "province", "lat", "lon", "population")
 
 
-def build_cities(places: DataFrame, merges: DataFrame, alternates: DataFrame) -> DataFrame:
+def _towns(places: DataFrame, display: DataFrame | None) -> DataFrame:
+    """Adds ``town`` to places with a key: the province, where the key names several
+    towns.  It does where one site has it in two provinces, or ``display`` names it."""
+    listed = places.filter(F.col("source").isin("site_a", "site_b") & F.col("province").isNotNull()).groupBy("key", "source", "province").agg(F.count(F.lit(1)).alias("n"))
+    torn = listed.groupBy("key", "source").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key").distinct()
+    # A place that does not say belongs to the town that is listed most.
+    most = listed.join(torn, "key", "left_semi").groupBy("key", "province").agg(F.sum("n").alias("n")).groupBy("key").agg(F.min_by("province", F.struct(-F.col("n"), F.col("province"))).alias("_most"))
+    p = places.join(most, "key", "left").withColumn("town", F.when(F.col("_most").isNotNull(), F.coalesce("province", "_most"))).drop("_most")
+    if display is None:
+        return p.withColumn("display", F.lit(None).cast("string"))
+    named = display.select(match_key(F.col("name")).alias("key"), "province", F.col("shown").alias("display")).groupBy("key", "province").agg(F.min("display").alias("display"))
+    return p.join(named, ["key", "province"], "left").withColumn("town", F.coalesce("town", F.when(F.col("display").isNotNull(), F.col("province"))))
+
+
+def build_cities(places: DataFrame, merges: DataFrame, alternates: DataFrame, display: DataFrame | None = None) -> DataFrame:
     """The master list from three sources.
 
     places: source (gazetteer, site_a, site_b), name, province, lat, lon,
     population, pos.  merges and alternates: name, variants (arrays).  The last
     row of a source and key counts; the sites' province wins over the
     gazetteer's, whose place is dropped where they differ; a merge name, then
-    site_b's, site_a's and the gazetteer's name is shown; two towns of one name
-    in different provinces must be kept apart by the caller's key."""
+    site_b's, site_a's and the gazetteer's name is shown.
+
+    Where a site lists a name in several provinces, each is a town of its own, with
+    the places of that province; it is shown with the province in brackets, or as
+    ``display`` (name, province, shown) says, which also sets towns apart by itself."""
     alias = merges.select(F.col("name").alias("canon"), F.explode("variants").alias("v")).select(match_key(F.col("v")).alias("_k"), match_key(F.col("canon")).alias("_to"), "canon")
     p = places.withColumn("_k", match_key(F.col("name"))).join(alias.select("_k", "_to"), "_k", "left").withColumn("key", F.coalesce("_to", "_k"))
+    p = _towns(p, display)
     pick = lambda c, s: F.max_by(F.when(F.col("source") == s, F.col(c)), F.when(F.col("source") == s, F.col("pos")))
-    e = p.groupBy("key").agg(*[pick(c, s).alias(f"{s}_{c}") for s in ("gazetteer", "site_a", "site_b") for c in ("name", "province")], *[pick(c, "gazetteer").alias(c) for c in ("lat", "lon", "population")])
-    e = e.withColumn("province", F.coalesce("site_a_province", "site_b_province", "gazetteer_province")).filter("province is not null")
+    e = p.groupBy("key", "town").agg(F.max("display").alias("display"), *[pick(c, s).alias(f"{s}_{c}") for s in ("gazetteer", "site_a", "site_b") for c in ("name", "province")], *[pick(c, "gazetteer").alias(c) for c in ("lat", "lon", "population")])
+    e = e.withColumn("province", F.coalesce("town", "site_a_province", "site_b_province", "gazetteer_province")).filter("province is not null")
     other = F.col("gazetteer_province").isNotNull() & (F.col("gazetteer_province") != F.col("province"))
     e = e.withColumns({"lat": F.when(~other, F.col("lat")), "lon": F.when(~other, F.col("lon")), "population": F.when(~other, F.coalesce("population", F.lit(0))).otherwise(F.lit(0))})
     canon = merges.select(match_key(F.col("name")).alias("key"), F.col("name").alias("canon"), F.col("variants").alias("_m"))
     e = e.join(canon, "key", "left").withColumn("name", F.coalesce("canon", "site_b_name", "site_a_name", "gazetteer_name"))
+    e = e.withColumn("name", F.coalesce("display", F.when(F.col("town").isNotNull(), F.concat("name", F.lit(" ("), "town", F.lit(")"))), "name"))
     e = e.join(alternates.select("name", F.col("variants").alias("_a")), "name", "left")
     none = F.array().cast("array<string>")
     names = F.array_union(F.array_union(F.array_compact(F.array("gazetteer_name", "site_a_name", "site_b_name")), F.coalesce("_m", none)), F.coalesce("_a", none))

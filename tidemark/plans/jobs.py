@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 
 from pyspark import InheritableThread
 from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
 
 #: Lines of a job's log, and finished jobs, that are remembered.
 LOG_LINES, HISTORY = 500, 25
@@ -21,14 +22,57 @@ class Job:
         self.started_at, self.finished_at = datetime.now(timezone.utc), None
         self.result, self.error, self.lines = None, "", deque(maxlen=LOG_LINES)
         self.cancelled = threading.Event()
+        self.guard, self.said = threading.Lock(), 0
+        self.done, self.total, self.label, self.rows = 0, 0, "starting", 0
 
     def log(self, line: str) -> None:
-        self.lines.append(line)
+        with self.guard:
+            self.lines.append(line)
+            self.said += 1
 
-    def status(self, tail: int = 50) -> dict:
-        """What a page shows; the newest lines last."""
-        lines = list(self.lines)
-        return {"id": self.id, "state": self.state, "params": self.params, "started_at": self.started_at, "finished_at": self.finished_at, "result": self.result, "error": self.error, "log": lines[-tail:] if tail > 0 else []}
+    def progress(self, done: int, total: int, label: str) -> None:
+        """How far the work is; ``plans.run.collect`` reports its steps to it."""
+        self.done, self.total, self.label = done, total, label
+
+    def status(self, tail: int = 50, offset: int | None = None) -> dict:
+        """What a page shows; the newest lines last.
+
+        Lines are numbered from 0 as they are logged.  With ``offset``, all remembered
+        lines from that number on are given: ``log_from`` is the number of the first of
+        them, which is larger than asked where older ones have been forgotten, and
+        ``log_next`` the offset to ask for next."""
+        with self.guard:
+            lines, said = list(self.lines), self.said
+        if offset is not None:
+            lines = lines[max(offset - (said - len(lines)), 0) :]
+        else:
+            lines = lines[-tail:] if tail > 0 else []
+        percent = round(100 * self.done / self.total) if self.total else 0
+        return {
+            "id": self.id, "state": self.state, "params": self.params, "started_at": self.started_at, "finished_at": self.finished_at, "result": self.result, "error": self.error,
+            "progress": {"done": self.done, "total": self.total, "label": self.label, "percent": percent, "rows": self.rows}, "log": lines, "log_from": said - len(lines), "log_next": said,
+        }
+
+
+class Batches(StreamingQueryListener):
+    """Notes the batches of the session's streams in the job that runs."""
+
+    def __init__(self, job: Job):
+        self.job = job
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 (Spark's names)
+        self.job.log(f"stream {event.name or event.id} started")
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.job.rows += p.numInputRows
+        self.job.log(f"stream {p.name or p.id} batch {p.batchId}: {p.numInputRows} rows")
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.job.log(f"stream {event.id} ended" + (" with an error" if event.exception else ""))
 
 
 class Jobs:
@@ -49,11 +93,14 @@ class Jobs:
 
     def _work(self, job: Job, work: Callable[[Job], dict]) -> None:
         self.spark.sparkContext.setJobGroup(job.id, "collect run", interruptOnCancel=True)
+        batches = Batches(job)
+        self.spark.streams.addListener(batches)
         try:
             job.result = work(job)
             job.state = "cancelled" if job.cancelled.is_set() else "completed"
         except Exception as e:  # a job's failure is its state
             job.state, job.error = ("cancelled", "") if job.cancelled.is_set() else ("failed", f"{type(e).__name__}: {e}".split("\n")[0])
+        self.spark.streams.removeListener(batches)
         job.finished_at = datetime.now(timezone.utc)
         with self.lock:
             self.done.appendleft(job)
@@ -69,6 +116,16 @@ class Jobs:
         self.spark.sparkContext.cancelJobGroup(ident)
         return True
 
+    def tasks(self, ident: str) -> dict[str, int]:
+        """Tasks that the active Spark jobs of a run have done, and all of them."""
+        tracker, done, total = self.spark.sparkContext.statusTracker(), 0, 0
+        for number in tracker.getJobIdsForGroup(ident):
+            job = tracker.getJobInfo(number)
+            for stage in (tracker.getStageInfo(x) for x in job.stageIds) if job and job.status == "RUNNING" else ():
+                if stage is not None:
+                    done, total = done + stage.numCompletedTasks, total + stage.numTasks
+        return {"done": done, "total": total}
+
     def list(self) -> list[dict]:
         """Newest first, the running one at the head."""
         with self.lock:

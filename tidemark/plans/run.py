@@ -8,6 +8,7 @@ reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
@@ -19,6 +20,8 @@ from tidemark.operators import crawlcut, merge, pages, places, planning, validat
 from tidemark.session import ensure_checkpoints
 from tidemark.sources.store import Store
 
+#: What a run tells of its progress before each step, and at its end.
+STEPS = ("planning units", "reading pages", "reading ads", "walking units", "completing ads", "storing ads", "noting outcomes", "done")
 #: Ads of one page are numbered below this.
 _PER_PAGE = 1_000_000
 
@@ -102,6 +105,7 @@ def collect(
     run_cap: int | None = None,
     collect_phone: bool = True,
     detail_pages: DataFrame | None = None,
+    on_progress: Callable[[int, int, str], None] | None = None,
 ) -> RunStats:
     """Runs all units of the plan over captured pages and notes the run.
 
@@ -109,9 +113,18 @@ def collect(
     status and allowed.  detail_pages: source, url, text of ads' own pages; they
     complete ads whose description is short.  A unit without captures has
     failed.  run_cap ends the run before the first unit at which so many ads
-    have been kept.
+    have been kept.  on_progress is told of every step: how many are done, how many
+    there are, and what comes next; units are all worked on at once.
     """
     ensure_checkpoints(store.spark)
+    steps = iter(enumerate(STEPS))
+
+    def step() -> None:
+        done, label = next(steps)
+        if on_progress is not None:
+            on_progress(done, len(STEPS) - 1, label)
+
+    step()
     known = planning.choose_cities(cities, only).withColumn("keys", city_keys(F.col("name"), F.col("aliases")))
     units = planning.plan_units(known, categories, selections, sources, keys)
     c = captures
@@ -119,7 +132,9 @@ def collect(
         if name not in c.columns:
             c = c.withColumn(name, F.lit(None).cast(kind))
     c = c.join(units, ["city", "source", "category"]).join(known.select(F.col("name").alias("city"), "keys"), "city")
+    step()
     read = usable(c).checkpoint()
+    step()
     good = read.filter("stop is null")
     planned = sorted(r[0] for r in units.select("source").distinct().collect())
     if not planned:
@@ -129,6 +144,7 @@ def collect(
     dated = bool(start or end)
     # An undated ad counts as in the window while pages are read; later it is judged.
     ads = validate.date_window(ads, start, end, keep_undated).withColumn("inw", F.col("verdict") != "filtered").checkpoint()
+    step()
     on_page = ads.groupBy("unit", "page").agg(F.count(F.lit(1)).alias("n"))
     on_page = asked.select(F.col("unit_no").alias("unit"), "page").distinct().join(on_page, ["unit", "page"], "left").na.fill(0, ["n"])
     seen, cover = crawlcut.walk(on_page, ads, stale=stale, barren=barren if dated else 0, most=limit)
@@ -138,13 +154,16 @@ def collect(
         per = units.join(kept.groupBy("unit_no").agg(F.count(F.lit(1)).alias("stored")), "unit_no", "left").na.fill(0, ["stored"])
         running = crawlcut.run_cap(per, run_cap).select("unit_no")
         kept, seen, units = (d.join(running, "unit_no", "left_semi") for d in (kept, seen, units))
+    step()
     number = store.start_run(planned, [r[0] for r in known.orderBy("pos").select("name").collect()], now)
     full = complete(kept, detail_pages, now, collect_phone, planned, store)
     judged = full.select(*[F.col(x) for x in pages.RECORD_COLUMNS], (F.col("unit_no") * F.lit(1 << 40) + F.col("rn")).alias("seq"), F.lit(now).cast("timestamp").alias("seen_at")).checkpoint()
     good_rows, bad_rows = validate.split_valid(judged, now.date())
     stats = RunStats(skipped=bad_rows.count())
+    step()
     counts = store.ingest(judged, now.date())
     stats.inserted, stats.updated = counts["inserted"], counts["updated"]
+    step()
     tally = seen.agg(F.count_if(F.col("verdict") == "filtered"), F.count_if(F.col("verdict") == "undated")).first()
     stats.filtered, stats.undated = tally[0], tally[1]
     stats.per_city = {r[0]: r[1] for r in good_rows.groupBy("city").count().collect()}  # one row a city
@@ -153,6 +172,7 @@ def collect(
     stats.errors, stats.unsupported = by.get("failed", 0), by.get("unsupported", 0)
     store.append("outcomes", done)
     store.finish_run(number, stats.as_dict(), "; ".join(f"{k} {v}" for k, v in sorted(by.items())), now)
+    step()
     return stats
 
 
