@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import planning
 from tidemark.plans import run
-from tidemark.plans.jobs import HISTORY, LOG_LINES, Jobs
+from tidemark.plans.jobs import HISTORY, LOG_LINES, Job, Jobs
 from tidemark.sources.store import Store
 
 NOW = datetime(2026, 9, 19, 12)
@@ -145,3 +146,46 @@ def test_jobs(spark):
     for _ in range(HISTORY):
         jobs.start(lambda j: {}).thread.join(60)
     assert len(jobs.list()) == HISTORY and jobs.get(job.id) is None
+
+
+def test_logs_are_read_from_an_offset(spark):
+    """By offsets, every line is read once, also after the oldest have been forgotten."""
+    job, got, at = Job({}), [], 0
+    for burst in (3, LOG_LINES - 1, 2, 0, LOG_LINES):
+        for _ in range(burst):
+            job.log(f"line {job.said}")
+        s = job.status(offset=at)
+        assert s["log_from"] == at and s["log_next"] == at + burst
+        got, at = got + s["log"], s["log_next"]
+    assert got == [f"line {i}" for i in range(2 * LOG_LINES + 4)]
+    assert job.status(offset=at)["log"] == [] and job.status(offset=at + 9)["log"] == []
+    late = job.status(offset=5)
+    assert late["log_from"] == LOG_LINES + 4 and len(late["log"]) == LOG_LINES
+    assert job.status(2)["log_from"] == 2 * LOG_LINES + 2
+    job.progress(1, 8, "x")
+    assert job.status()["progress"]["percent"] == 12
+
+
+def test_a_run_and_a_stream_report_progress(spark, tmp_path, world):
+    cities, categories, captures = world
+    store, seen = Store(spark, str(tmp_path / "s")), []
+    work = lambda job: run.collect(store, cities, categories, captures([("Lahore", 1, page((1, "Lahore")), 200, True)]), NOW, on_progress=lambda *p: (seen.append(p), job.progress(*p))).as_dict()
+    jobs = Jobs(spark)
+    job = jobs.start(work)
+    job.thread.join(300)
+    assert job.state == "completed" and job.result["inserted"] == 1
+    assert seen == [(i, len(run.STEPS) - 1, label) for i, label in enumerate(run.STEPS)]
+    assert job.status()["progress"] | {"rows": 0} == {"done": 7, "total": 7, "label": "done", "percent": 100, "rows": 0} and jobs.tasks(job.id) == {"done": 0, "total": 0}
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+
+    def stream(job):
+        q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.queryName("five").format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):  # events come after the query has ended
+            if job.rows:
+                return {}
+            time.sleep(0.1)
+
+    job = jobs.start(stream)
+    job.thread.join(120)
+    assert job.status()["progress"]["rows"] == 5 and any("five batch 0: 5 rows" in x for x in job.status()["log"])

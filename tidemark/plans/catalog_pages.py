@@ -3,6 +3,10 @@ dimension files and the places that they fill."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -189,6 +193,32 @@ def gazetteer_cities(spark, d):
     return places.gazetteer(dims.gazetteer(spark, at)).select("name", "province", "population")
 
 
+@query(f"SELECT name, CASE WHEN admin = '04' THEN 'Punjab' END AS province, population FROM ({_GAZETTEER}) WHERE country = 'PK' AND (code = 'PPLA' OR population >= 50000) AND c_custkey % 7 > 2")
+def gazetteer_archives(spark, d):
+    """The same places, packed into archives beside a file that is not asked for."""
+    k = F.col("c_custkey")
+    e = F.lit("")
+    name = F.when(k % 7 == 0, _say("Chak ", k)).when(k % 7 == 1, _say("Green Housing Society ", k)).when(k % 7 == 2, "Fata").otherwise(_say("Town ", k))
+    line = [k.cast("string"), _say("Written ", name), name, e, F.lit("31.5"), F.lit("74.3"), F.lit("P"), F.when(k % 5 == 0, "PPLA").otherwise("PPL"), F.when(k % 11 == 0, "IN").otherwise("PK"), e, F.when(k % 2 == 0, "04").otherwise("99"), e, e, e, (k * 1000).cast("string"), e, e, e, e]
+    at = work_folder(spark, "gazetteer-archives")
+    rows = table(spark, d, "customer").select(F.concat_ws("\t", *line).alias("value"))
+    files = rows.repartition(4, "value").mapInArrow(_zipped, "content binary")
+    # Archives are bytes of a table here; a collector has them as files.
+    files.write.parquet(at)
+    return places.gazetteer(dims.places_in(dims.unzipped_lines(spark.read.parquet(at), "places.txt"))).select("name", "province", "population")
+
+
+def _zipped(parts):
+    """One archive a partition."""
+    kept = io.BytesIO()
+    with zipfile.ZipFile(kept, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("readme.txt", "not places")
+        with z.open("places.txt", "w") as f:
+            for part in parts:
+                f.write("".join(f"{x}\n" for x in part.column("value").to_pylist()).encode())
+    yield pa.RecordBatch.from_arrays([pa.array([kept.getvalue()], pa.binary())], ["content"])
+
+
 @query("SELECT n_name AS name, r_name AS province, lower(n_name) AS alias FROM nation JOIN region ON n_regionkey = r_regionkey")
 def city_file(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -205,6 +235,45 @@ def settings_units(spark, d):
     return planning.plan_units(cities, dims.source_categories(spark, config)).select("city", "source", "category")
 
 
+_TOWN_OF = "SELECT n_name, r_name, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@query(f"""SELECT n_name || CASE WHEN k % 2 = 0 THEN ' (' || r_name || ')' ELSE '' END AS name, r_name AS province, k * 1000 AS population FROM ({_TOWN_OF})
+UNION ALL SELECT CASE WHEN k % 4 = 0 THEN 'Far ' || n_name ELSE n_name || ' (Elsewhere)' END, 'Elsewhere', 0 FROM ({_TOWN_OF}) WHERE k % 2 = 0""")
+def towns_apart(spark, d):
+    """A site has every other name in two provinces; a fourth of those are shown under a name of their own."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    none = F.lit(None)
+    row = lambda s, name, province, pop, pos: n.select(F.lit(s).alias("source"), name.alias("name"), province.cast("string").alias("province"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), pop.cast("long").alias("population"), pos.cast("long").alias("pos"), k.alias("k"))
+    g = row("gazetteer", F.lower("n_name"), F.col("r_name"), k * 1000, k)
+    a = row("site_a", F.col("n_name"), F.col("r_name"), none, k).union(row("site_a", F.col("n_name"), F.lit("Elsewhere"), none, k + 100).filter("k % 2 = 0"))
+    b = row("site_b", F.col("n_name"), F.col("r_name"), none, k).filter("k % 3 = 0").union(row("site_b", F.col("n_name"), none, none, k).filter("k % 3 = 1"))
+    empty = n.select(F.col("n_name").alias("name"), F.array().cast("array<string>").alias("variants")).limit(0)
+    shown = n.filter(k % 4 == 0).select(F.col("n_name").alias("name"), F.lit("Elsewhere").alias("province"), F.concat(F.lit("Far "), "n_name").alias("shown"))
+    return places.build_cities(g.union(a).union(b).drop("k"), empty, empty, shown).select("name", "province", "population")
+
+
+@query("""SELECT n_name AS city, c.source, c.category, CASE WHEN c.source = 'olx' AND n_nationkey % 5 = 0 THEN 'pin-' || n_nationkey ELSE c.source || '-' || n_nationkey END AS identifier
+FROM nation CROSS JOIN (VALUES ('olx', 'cars'), ('olx', 'bikes'), ('zameen', 'homes')) AS c(source, category) WHERE n_nationkey % 10 <> 5
+UNION ALL SELECT 'New ' || r_name, c.source, c.category, NULL FROM region CROSS JOIN (VALUES ('olx', 'cars'), ('olx', 'bikes'), ('zameen', 'homes')) AS c(source, category)""")
+def configured_units(spark, d):
+    """A master list, overrides and settings as files: what is searched, and under which identifier."""
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    at = work_folder(spark, "configuration")
+    each = F.struct(F.col("n_name").alias("name"), F.array(_say(F.col("n_name"), " Town")).alias("aliases"))
+    n.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct(k, each.alias("e")))), lambda x: x["e"]).alias("cities"))).alias("value")).write.text(f"{at}/cities.json")
+    changed = n.filter(k % 5 == 0).select(_say("  - name: ", F.lower("n_name"), " town\n    olx_location_id: pin-", k, F.when(k % 10 == 5, "\n    enabled: false").otherwise("")).alias("value"))
+    added = table(spark, d, "region").select(_say("  - name: New ", F.col("r_name")).alias("value"))
+    spark.createDataFrame([("cities:",)], "value string").union(changed).union(added).coalesce(1).write.text(f"{at}/cities.yml")
+    found = ["sources:", "  olx:", "    categories:", "      - key: cars", "      - key: bikes", "  zameen:", "    categories: [{key: homes}]", "  pakwheels:", "    enabled: false", "    categories: [{key: used}]"]
+    spark.createDataFrame([("\n".join(found),)], "value string").write.text(f"{at}/settings.yml")
+    cities, categories, _ = dims.configuration(spark, at)
+    site = lambda s: n.select(F.lit(s).alias("source"), F.col("n_name").alias("name"), _say(f"{s}-", k).alias("identifier"), F.lit(None).cast("string").alias("province"), F.lit("city").alias("level"), k.cast("long").alias("pos"))
+    units = planning.plan_units(cities, categories)
+    return units.join(places.resolve(cities, site("olx").union(site("zameen"))), ["city", "source"]).select("city", "source", "category", "identifier")
+
+
 @query("SELECT n_name AS city, (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS place FROM nation")
 def picker_cities(spark, d):
     cities = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"))

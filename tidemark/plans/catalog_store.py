@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import listings, merge, places, validate
+from tidemark.operators import listings, merge, places, replay, validate
 from tidemark.plans.catalog import _DIRTY_SQL, NOW, _dirty, _from, query
 from tidemark.plans.views import LISTINGS_SQL, UNITS_SQL, listings as view, table, unit_ads
 from tidemark.session import work_folder
@@ -58,6 +58,31 @@ def upsert_onto_stored(spark, d):
     return merge.upsert(old, again).select(*_SEEN_COLUMNS, F.col("price").cast("decimal(18,2)").alias("price"), "action")
 
 
+#: Up to five sightings an order: with its id at u, then at v, without it at v, without it at u, with it at w.
+_REPLAYED = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 < 4 THEN 'olx:id:' || o_orderkey ELSE 'olx:url:https://s.example/u' || o_orderkey END AS fingerprint, 'https://s.example/u' || o_orderkey AS url_canonical,
+ 'https://s.example/' || CASE WHEN o_orderkey % 6 IN (2, 3) THEN 'v' ELSE 'u' END || o_orderkey AS url, least(o_orderkey % 6, 5) AS n FROM orders WHERE o_orderkey % 6 > 0"""
+
+
+@query(f"""SELECT fingerprint, url_canonical, url, CASE WHEN n >= 4 THEN 3 WHEN n >= 2 THEN 2 ELSE 1 END::BIGINT AS touched, false AS conflict FROM ({_REPLAYED})
+UNION ALL SELECT 'olx:url:https://s.example/v' || k, 'https://s.example/v' || k, 'https://s.example/v' || k, 1, false FROM ({_REPLAYED}) WHERE n >= 3
+UNION ALL SELECT 'olx:id:' || k, 'https://s.example/w' || k, 'https://s.example/w' || k, 1, true FROM ({_REPLAYED}) WHERE n >= 5""")
+def replay_rows(spark, d):
+    """Ads whose URLs change, one sighting at a time: a row more where the id is away, a conflict where it comes back."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(5)))).filter(F.col("i") <= k % 6)
+    i = F.col("i")
+    place = F.when(i.isin(1, 4), "u").when(i.isin(2, 3), "v").otherwise("w")
+    none = F.lit(None).cast("string")
+    s = o.select(
+        F.lit("olx").alias("source"), F.when(i.isin(1, 2, 5), k.cast("string")).alias("source_listing_id"), *[F.lit("x").alias(c) for c in ("city", "area", "category", "title", "description")], F.lit(None).cast("decimal(38,6)").alias("price"),
+        F.lit("PKR").alias("price_currency"), F.lit("").alias("price_raw"), none.alias("phone"), none.alias("seller_name"), F.lit(None).cast("date").alias("ad_date"), F.concat(F.lit("https://s.example/"), place, k.cast("string")).alias("url"),
+        F.array().cast("array<string>").alias("located_in"), (k * 8 + i).alias("seq"), F.lit(NOW).cast("timestamp").alias("seen_at"),
+    )
+    rows, bad = replay.replay(None, s)
+    cols = ("fingerprint", "url_canonical", "url")
+    return rows.select(*cols, "touched", F.lit(False).alias("conflict")).union(bad.select(*cols, F.lit(1).cast("long").alias("touched"), F.lit(True).alias("conflict")))
+
+
 @query("SELECT 'olx:id:' || c_custkey AS fingerprint, 'City ' || (c_custkey % 5) AS city, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'A' END AS area, c_name AS title, '' AS description, CASE WHEN c_custkey % 3 <> 0 THEN 'S' END AS seller_name FROM customer")
 def stored_fields(spark, d):
     """How a record's fields are stored: stripped, blanks by column."""

@@ -38,31 +38,36 @@ def categories(spark: SparkSession, path: str) -> DataFrame:
     return _list(spark, path, "categories", CATEGORY)
 
 
-def unzipped_lines(spark: SparkSession, path: str, member: str, batch: int = 10_000) -> DataFrame:
-    """``value``: the lines of one member of every archive under a path, as UTF-8.
+def unzipped_lines(archives: DataFrame, member: str, batch: int = 10_000) -> DataFrame:
+    """``value``: the lines of one member of every archive (``content``, bytes), as UTF-8.
 
-    An archive is one row of bytes of at most 2 GB; what is in it is unpacked as it is read,
-    ``batch`` lines at a time.  An archive without the member is an error."""
+    An archive is a value of at most 2 GB; what is in it is unpacked as it is read,
+    ``batch`` lines at a time.  An archive without the member is an error; a null is none."""
 
     def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for content in part.column("content"):
+                if not content.is_valid:
+                    continue
                 with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z, z.open(member) as raw:
                     text = io.TextIOWrapper(raw, "utf-8", newline="\n")
                     while lines := [x.rstrip("\r\n") for x in itertools.islice(text, batch)]:
                         yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "value string")
+    return archives.select("content").mapInArrow(unpack, "value string")
+
+
+def places_in(lines: DataFrame) -> DataFrame:
+    """Tab-separated places under their plain names, where they have one."""
+    d = lines.filter("value <> ''").select(F.from_csv("value", GAZETTEER, {"sep": "\t", "quote": ""}).alias("r")).select("r.*")
+    return d.select(F.coalesce("ascii", "name").alias("name"), F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "code", "country", "admin", "population")
 
 
 def gazetteer(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
-    """Tab-separated places under their plain names, where they have one: of unpacked
-    files or, by name, of a member of archives."""
+    """Places of unpacked files or, by name, of a member of every archive under the path."""
     if member is None:
-        d = spark.read.schema(GAZETTEER).option("sep", "\t").option("quote", "").csv(path)
-    else:
-        d = unzipped_lines(spark, path, member).filter("value <> ''").select(F.from_csv("value", GAZETTEER, {"sep": "\t", "quote": ""}).alias("r")).select("r.*")
-    return d.select(F.coalesce("ascii", "name").alias("name"), F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "code", "country", "admin", "population")
+        return places_in(spark.read.text(path))
+    return places_in(unzipped_lines(spark.read.format("binaryFile").load(path), member))
 
 
 def settings(path: str) -> dict:
