@@ -43,6 +43,29 @@ def window_json(text: Column, variable: str) -> Column:
     return run(text)
 
 
+def window_parts(text: Column, variable: str, *paths: tuple[str, ...]) -> Column:
+    """array<string>: the JSON at each path of keys of window.<variable>, null where it
+    is absent; null without the object.  What is not asked for is not written again."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str) -> list[str | None] | None:
+            v = _balanced(t, variable)
+            if not isinstance(v, dict):
+                return None
+            out: list[str | None] = []
+            for path in paths:
+                at: Any = v
+                for k in path:
+                    at = at.get(k) if isinstance(at, dict) else None
+                out.append(None if at is None else at if isinstance(at, str) else json.dumps(at, ensure_ascii=False))
+            return out
+
+        return s.map(one, na_action="ignore")
+
+    return run(text)
+
+
 def _linked(text: str) -> list[dict]:
     out: list[dict] = []
     for raw in _SCRIPT.findall(text):

@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.blobs import LEVELS, area_of, find_first_key, jsonld, jsonld_of_type, places_of, window_json
+from tidemark.functions.blobs import LEVELS, area_of, find_first_key, jsonld, jsonld_of_type, places_of, window_json, window_parts
 from tidemark.functions.dates import parse_ad_date
 from tidemark.functions.money import parse_price
 from tidemark.functions.phone import phone_policy, published_phone
@@ -90,24 +90,38 @@ def _once(d: DataFrame) -> DataFrame:
 
 
 def olx_index(captures: DataFrame, now: datetime, collect_phone: bool = True) -> DataFrame:
-    """The ads in the page's state; where it has none, its links to ads."""
-    s = captures.withColumn("_state", window_json(F.col("text"), "state"))
-    hits = s.select("*", F.posexplode(F.from_json(F.get_json_object("_state", "$.algolia.content.hits"), f"array<{_HIT}>")).alias("pos", "ad"))
-    ident = F.coalesce(F.nullif("ad.externalID", F.lit("")), F.nullif("ad.id", F.lit("")))
-    title, text = clean_text(F.col("ad.title")), clean_text(F.col("ad.description"))
-    slug = F.coalesce(F.nullif("ad.slug", F.lit("")), F.substring(city_slug(title), 1, 80))
-    d = hits.select(
-        F.lit("olx").alias("source"), ident.alias("source_listing_id"), "city", "category", title.alias("title"), text.alias("description"), _price("ad").alias("p"), _seller("ad").alias("seller_name"),
-        area_of(F.col("ad.location")).alias("area"), places_of(F.col("ad.location")).alias("located_in"), parse_ad_date(F.coalesce(F.nullif("ad.createdAt", F.lit("")), F.col("ad.updatedAt")), now).alias("ad_date"),
-        F.concat(F.rtrim("base_url", F.lit("/")), F.lit("/item/"), slug, F.lit("-iid-"), ident).alias("url"), F.col("url").alias("page_url"), "pos",
-    ).filter("coalesce(source_listing_id, '') <> '' and title <> ''")
-    d = d.withColumns({"price": F.col("p.amount"), "price_currency": F.col("p.currency"), "price_raw": F.col("p.raw"), "phone": phone_policy(_none(), [F.col("description"), F.col("title")], collect_phone)}).drop("p")
-    links = captures.join(d.select(F.col("page_url").alias("url")).distinct(), "url", "left_anti").select("*", F.posexplode(anchors(F.col("text"))).alias("pos", "a"))
-    pattern = AD_LINK
+    """The ads in the page's state; where it has none, its links to ads, each once.
+
+    A page is read once, and its ads come out of one generator: no shuffle."""
+    name = lambda x: clean_text(x["title"])
+    number = lambda x: F.coalesce(F.nullif(x["externalID"], F.lit("")), F.nullif(x["id"], F.lit("")), F.lit(""))
+    hits = F.from_json(F.get(window_parts(F.col("text"), "state", ("algolia", "content", "hits")), 0), f"array<{_HIT}>")
+    s = captures.withColumn("_hits", F.transform(hits, lambda h: F.struct(h.alias("ad"), number(h).alias("ident"), name(h).alias("title"))))
+    s = s.withColumn("_good", F.exists(F.coalesce("_hits", F.array().cast(s.schema["_hits"].dataType)), lambda h: (h["ident"] != "") & (h["title"] != "")))
+    links = F.filter(anchors(F.col("text")), lambda a: a["href"].rlike(AD_LINK))
+    links = F.transform(links, lambda a: F.struct(F.regexp_extract(a["href"], AD_LINK, 2).alias("ident"), a.alias("a")))
+    first = let(links, lambda all: F.filter(all, lambda x, i: F.array_position(F.transform(all, lambda y: y["ident"]), x["ident"]) == i + 1))
+    kind = s.schema["_hits"].dataType.elementType
+    none = lambda t: F.lit(None).cast(t)
+    link = "struct<href:string,attrs:string,inner:string>"
+    from_state = F.transform("_hits", lambda h: F.struct(h["ident"].alias("ident"), h["ad"].alias("ad"), h["title"].alias("title"), none(link).alias("a")))
+    from_links = F.transform(first, lambda x: F.struct(x["ident"].alias("ident"), none(kind["ad"].dataType).alias("ad"), none("string").alias("title"), x["a"].alias("a")))
+    d = s.select("city", "category", "base_url", F.col("url").alias("page_url"), F.posexplode(F.when(F.col("_good"), from_state).otherwise(from_links)).alias("pos", "x")).select("*", "x.*")
+    linked = F.col("a").isNotNull()
+    d = d.filter(linked | ((F.col("ident") != "") & (F.col("title") != "")))
     shown = clean_text(F.regexp_replace("a.inner", "<[^>]+>", " "))
-    from_slug = F.initcap(F.replace(F.regexp_extract("a.href", pattern, 1), F.lit("-"), F.lit(" ")))
-    e = links.filter(F.col("a.href").rlike(pattern)).select(F.lit("olx").alias("source"), F.regexp_extract("a.href", pattern, 2).alias("source_listing_id"), "city", "category", F.coalesce(F.nullif(shown, F.lit("")), from_slug).alias("title"), absolute(F.col("base_url"), F.col("a.href")).alias("url"), F.col("url").alias("page_url"), "pos")
-    return _finish(d).unionByName(_finish(_once(e)))
+    from_slug = F.initcap(F.replace(F.regexp_extract("a.href", AD_LINK, 1), F.lit("-"), F.lit(" ")))
+    slug = F.coalesce(F.nullif("ad.slug", F.lit("")), F.substring(city_slug(F.col("title")), 1, 80))
+    own = lambda c, other=None: F.when(~linked, c).otherwise(other if other is not None else F.lit(""))
+    d = d.select(
+        F.lit("olx").alias("source"), F.col("ident").alias("source_listing_id"), "city", "category", own(F.col("title"), F.coalesce(F.nullif(shown, F.lit("")), from_slug)).alias("title"), own(clean_text(F.col("ad.description"))).alias("description"),
+        _price("ad").alias("p"), _seller("ad").alias("seller_name"), own(area_of(F.col("ad.location"))).alias("area"), own(places_of(F.col("ad.location")), F.array().cast("array<string>")).alias("located_in"),
+        parse_ad_date(F.coalesce(F.nullif("ad.createdAt", F.lit("")), F.col("ad.updatedAt")), now).alias("ad_date"),
+        own(F.concat(F.rtrim("base_url", F.lit("/")), F.lit("/item/"), slug, F.lit("-iid-"), "ident"), absolute(F.col("base_url"), F.col("a.href"))).alias("url"), "page_url", "pos", linked.alias("_linked"),
+    )
+    price = {"price": F.col("p.amount"), "price_currency": F.coalesce(F.when(~F.col("_linked"), F.col("p.currency")), F.lit("PKR")), "price_raw": F.when(~F.col("_linked"), F.col("p.raw")).otherwise("")}
+    said = F.when(~F.col("_linked"), phone_policy(_none(), [F.col("description"), F.col("title")], collect_phone))
+    return _finish(d.withColumns(price | {"phone": said}).drop("p", "_linked"))
 
 
 def pakwheels_index(captures: DataFrame, now: datetime, collect_phone: bool = True) -> DataFrame:
