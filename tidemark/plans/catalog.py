@@ -562,23 +562,45 @@ def published_phone(spark, d):
     return table(spark, d, "nation").select("n_nationkey", phone.published_phone(k % 3 == 0, none, F.lit("123"), F.array(none), F.array(n), none).alias("phone"))
 
 
-@query("""SELECT * FROM (VALUES ('cars', 'Cars', '84', 'Vehicles', 1), ('vehicles', 'Vehicles', '5', 'Vehicles', 0), ('houses-c1719', 'Houses (Sale)', '1719', 'Sale', 1), ('houses-c1721', 'Houses (Rent)', '1721', 'Rent', 1)) AS t(key, label, category_id, "group", level)""")
-def tree_flatten(spark, d):
-    blob = """{"categories":{"data":[{"name":"Vehicles","slug":"vehicles","externalID":"5","children":[{"name":"Cars","slug":"cars","externalID":"84"},{"name":"Again","slug":"cars","externalID":"84"}]},
-{"name":"Sale","children":[{"name":"Houses","slug":"houses","externalID":"1719"}]},{"name":"Rent","children":[{"name":"Houses","slug":"houses","externalID":"1721"}]}]}}"""
-    return taxonomy.flatten_tree(spark.createDataFrame([(blob,)], "state string")).select("key", "label", "category_id", "group", "level")
+_TREES = """T AS (SELECT p_brand AS brand, p_partkey AS k, 'size-' || p_size AS slug, 'Size ' || p_size AS label, count(*) OVER (PARTITION BY p_size) AS n FROM part)"""
 
 
-@query("""SELECT * FROM (VALUES ('tablets', 'Tablets', '1455'), ('houses-c1719', 'Houses (c1719)', '1719'), ('houses-c1721', 'Houses (c1721)', '1721')) AS t(key, label, category_id)""")
+@query(_from(_TREES, """SELECT DISTINCT lower(brand) AS key, brand AS label, 'b' || brand AS category_id, brand AS "group", 0 AS level FROM T
+UNION ALL SELECT CASE WHEN n > 1 THEN slug || '-cp' || k ELSE slug END, CASE WHEN n > 1 THEN label || ' (' || brand || ')' ELSE label END, 'p' || k, brand, 1 FROM T
+UNION ALL SELECT 'leaf-' || k, 'Leaf', 'l' || k, brand, 2 FROM T WHERE k % 2 = 0"""))
+def tree_flatten(spark, d):
+    """A page a part: its brand, with the part's size under it and a leaf under every other one; nodes without an id or a slug are walked through."""
+    p, k = table(spark, d, "part"), F.col("p_partkey").cast("string")
+    leaf = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(',"children":[{"name":"","slug":"no"},{"name":"Leaf","slug":"leaf-'), k, F.lit('","externalID":"l'), k, F.lit('"}]'))).otherwise("")
+    size = F.col("p_size").cast("string")
+    child = F.concat(F.lit('{"name":"Size '), size, F.lit('","slug":"Size-'), size, F.lit('","externalID":"p'), k, F.lit('"'), leaf, F.lit("}"))
+    state = F.concat(F.lit('{"categories":{"data":[{"name":"'), "p_brand", F.lit('","slug":"'), "p_brand", F.lit('","externalID":"b'), "p_brand", F.lit('","children":['), child, F.lit(","), child, F.lit("]}]}}"))
+    return taxonomy.flatten_tree(p.select(state.alias("state"))).select("key", "label", "category_id", "group", "level")
+
+
+@query("""WITH m AS (SELECT DISTINCT p_size AS id, lower(regexp_replace(p_type, ' ', '-', 'g')) AS slug FROM part), c AS (SELECT id, arg_min(slug, row(length(slug), slug)) AS slug FROM m GROUP BY id),
+n AS (SELECT *, count(*) OVER (PARTITION BY slug) > 1 AS shared, array_to_string(list_transform(string_split(slug, '-'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS label FROM c)
+SELECT CASE WHEN shared THEN slug || '-c' || id ELSE slug END AS key, CASE WHEN shared THEN label || ' (c' || id || ')' ELSE label END AS label, cast(id AS varchar) AS category_id FROM n""")
 def sitemap_categories(spark, d):
-    xml = "".join(f"<loc>https://site.example/{s}</loc>" for s in ("apple-tablets_c1455", "tablets_c1455", "houses_c1719", "houses_c1721"))
-    return taxonomy.sitemap_categories(spark.createDataFrame([(xml,)], "text string"), host=r"site\.example").select("key", "label", "category_id")
+    """A sitemap a part: its type as slug and its size as id, so ids have many slugs."""
+    xml = F.concat(F.lit("<loc>https://site.example/"), F.replace("p_type", F.lit(" "), F.lit("-")), F.lit("_c"), F.col("p_size").cast("string"), F.lit("</loc><loc>https://site.example/about</loc>"))
+    return taxonomy.sitemap_categories(table(spark, d, "part").select(xml.alias("text")), host=r"site\.example").select("key", "label", "category_id")
+
+
+_SITEMAP = "SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'Punjab' WHEN 1 THEN 'Azad Jammu & Kashmir' END AS p FROM supplier"
 
 
-@query("""SELECT * FROM (VALUES ('Kotli', 'kotli_g4060001', 'Punjab', 'city'), ('Kotli', 'kotli_g4060002', 'Azad Jammu & Kashmir', 'city'), ('Far Town', 'far-town_g1000000000000001', 'Azad Jammu & Kashmir', 'locality')) AS t(name, identifier, province, level)""")
+@query(f"""SELECT 'Old Town ' || k AS name, 'old-town-' || k || '_g40' || lpad(cast(k % 100000 AS varchar), 5, '0') AS identifier, p AS province, 'city' AS level FROM ({_SITEMAP})
+UNION ALL SELECT 'Far ' || k, 'far-' || k || '_g10' || lpad(cast(k AS varchar), 14, '0'), coalesce(p, 'Sindh'), 'locality' FROM ({_SITEMAP})""")
 def sitemap_locations(spark, d):
-    xml = " ".join(f"https://site.example/{s}" for s in ("punjab_g2003006", "kotli_g4060001", "somewhere_g5000001", "azad-kashmir_g2003007", "kotli_g4060002", "moon_g2009999", "far-town_g1000000000000001"))
-    return places.sitemap_locations(spark.createDataFrame([(xml,)], "text string"), host=r"site\.example").select("name", "identifier", "province", "level")
+    """A sitemap a supplier: a province (or one that nobody knows), a city, what is neither; then perhaps another province, and a locality."""
+    k = F.col("s_suppkey")
+    at = lambda slug, number: F.concat(F.lit("https://site.example/"), slug if not isinstance(slug, str) else F.lit(slug), F.lit("_g"), number if not isinstance(number, str) else F.lit(number), F.lit(" "))
+    head = F.when(k % 3 == 0, at("punjab", "2003006")).when(k % 3 == 1, at("azad-kashmir", "2003007")).otherwise(at("moon", "2009999"))
+    word = lambda w: F.concat(F.lit(w), k.cast("string"))
+    later = F.when(k % 3 == 2, at("sindh", "2003008")).otherwise("")
+    xml = F.concat(head, at(word("old-town-"), F.concat(F.lit("40"), F.lpad((k % 100000).cast("string"), 5, "0"))), at("somewhere", "5000001"), later, at(word("far-"), F.concat(F.lit("10"), F.lpad(k.cast("string"), 14, "0"))))
+    return places.sitemap_locations(table(spark, d, "supplier").select(xml.alias("text")), host=r"site\.example").select("name", "identifier", "province", "level")
 
 
 @query("SELECT n_name AS city, i::BIGINT AS page, 'https://site.example/' || lower(n_name) || CASE WHEN i = 1 THEN '' ELSE '?page=' || i END AS url FROM nation CROSS JOIN range(1, 4) AS r(i)")

@@ -113,11 +113,18 @@ def stored_texts_cleaned(spark, d):
     return store.read("listings").select("id", "title", "description")
 
 
-@query("SELECT * FROM (VALUES ('listings', 0::BIGINT), ('runs', 0::BIGINT), ('rejects', 0::BIGINT), ('outcomes', 0::BIGINT)) AS t(name, n)")
+@query("SELECT 'listings' AS name, count(*) AS n, 0::BIGINT AS with_area FROM orders UNION ALL SELECT * FROM (VALUES ('runs', 0::BIGINT, 0::BIGINT), ('rejects', 0::BIGINT, 0::BIGINT), ('outcomes', 0::BIGINT, 0::BIGINT)) AS t(name, n, w)")
 def store_init(spark, d):
+    """A store whose listings were written before they had an area: the other tables are added, the column is null."""
     store = Store(spark, work_folder(spark, "store"))
+    store.write("listings", table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("olx").alias("source"), F.col("o_orderkey").cast("string").alias("title")))
     store.init()
-    return spark.createDataFrame([(n, store.read(n).count()) for n in store.tables()], "name string, n long")
+    sizes = None
+    for n in store.tables():
+        t = store.read(n)
+        one = t.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), (F.count("area") if "area" in t.columns else F.lit(0)).cast("long").alias("with_area"))
+        sizes = one if sizes is None else sizes.unionByName(one)
+    return sizes
 
 
 @query("SELECT 1::BIGINT AS id, 'olx,zameen' AS sources, n_name AS cities, (SELECT count(*) FROM orders) AS inserted, 2::BIGINT AS errors, 'done' AS notes FROM nation WHERE n_nationkey = 0 UNION ALL SELECT 2, 'olx', '', 0, 0, NULL")
