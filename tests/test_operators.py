@@ -285,3 +285,15 @@ def test_sources(spark, tmp_path):
     assert dims.cities(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "g.txt").write_text("\t".join(["1", "Lahore", "", "", "31.5", "74.3", "P", "PPLA", "PK", "", "04", "", "", "", "9", "", "", "", ""]) + "\n")
     assert places.gazetteer(dims.gazetteer(spark, str(tmp_path / "g.txt"))).first().province == "Punjab"
+
+
+def test_a_registered_source_may_say_how_its_pages_are_scoped(spark):
+    d = spark.createDataFrame([("new", "<h1>Lahore</h1>"), ("new", "<h1>Multan</h1>"), ("new", None), ("olx", "<h1>Multan</h1>"), ("pakwheels", "<title>Cars for sale in Lahore | x</title>"), ("pakwheels", "<title>Cars for sale in Pakistan | x</title>")], "source string, text string")
+    pages.register("new", pages.olx_index, lambda t: F.regexp_extract(t, "<h1>(.*?)</h1>", 1))
+    try:
+        got = d.select(pages.astray(F.col("source"), F.col("text"), F.array(F.lit("lahore")))).collect()
+        assert [r[0] for r in got] == [False, True, True, False, False, True]
+        pages.register("new", pages.olx_index)
+        assert "new" not in pages.SCOPES and pages.READERS["new"] is pages.olx_index
+    finally:
+        del pages.READERS["new"]

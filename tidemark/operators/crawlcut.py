@@ -153,3 +153,21 @@ def outcome(units: DataFrame) -> DataFrame:
 def next_pages(base: Column, first: int, last: int, pattern: str) -> Column:
     """URLs of pages first..last; page 1 is the plain URL."""
     return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda p: F.when(p == 1, base).otherwise(F.concat(base, F.format_string(pattern, p))))
+
+
+# How the sources address a page of a city's category.
+ADDRESSES = {"olx": "%1$s/%2$s/%3$s/?page=%4$s", "pakwheels": "%1$s/%3$s/ct_%2$s/?page=%4$s", "zameen": "%1$s/%3$s/%2$s-%4$s.html"}
+#: Sources whose first page has a plain address.
+PLAIN_FIRST = ("olx",)
+
+
+def index_url(source: Column, base: Column, identifier: Column, path: Column, page: Column) -> Column:
+    """The address of a page; null for other sources, or where a part is unknown."""
+    out = F.lit(None).cast("string")
+    for name, pattern in ADDRESSES.items():
+        url = F.format_string(pattern, base, identifier, path, page.cast("string"))
+        if name in PLAIN_FIRST:
+            url = F.when(page == 1, F.regexp_replace(url, r"\?page=1$", "")).otherwise(url)
+        out = F.when(source == name, url).otherwise(out)
+    known = base.isNotNull() & identifier.isNotNull() & path.isNotNull() & page.isNotNull()
+    return F.when(known, out)

@@ -17,7 +17,8 @@ from tidemark.functions.blobs import LEVELS, area_of, find_first_key, jsonld, js
 from tidemark.functions.dates import parse_ad_date
 from tidemark.functions.money import parse_price
 from tidemark.functions.phone import phone_policy, published_phone
-from tidemark.functions.text import city_slug, clean_text, let
+from tidemark.functions.text import city_slug, clean_text, let, match_key
+from tidemark.operators.places import page_city
 from tidemark.schema import RECORD
 
 _HIT = (
@@ -166,8 +167,26 @@ RECORD_COLUMNS = tuple(f.strip().split()[0] for f in RECORD.replace("(38,6)", ""
 DETAILED = ("olx", "pakwheels", "zameen")
 
 
-def register(source: str, reader: Callable[[DataFrame, datetime], DataFrame]) -> None:
+#: Sources that answer an unknown city with the whole country's ads: the city that a
+#: page of theirs says it is of.
+SCOPES: dict[str, Callable[[Column], Column]] = {"pakwheels": page_city}
+
+
+def register(source: str, reader: Callable[[DataFrame, datetime], DataFrame], scope: Callable[[Column], Column] | None = None) -> None:
+    """A source's reader and, where its pages have to be of the city asked for, how they say which it is."""
     READERS[source] = reader
+    SCOPES.pop(source, None)
+    if scope is not None:
+        SCOPES[source] = scope
+
+
+def astray(source: Column, text: Column, keys: Column) -> Column:
+    """Whether a page of a scoped source is of none of the names."""
+    out = F.lit(False)
+    for name, scope in SCOPES.items():
+        of = F.array_contains(keys, match_key(F.coalesce(scope(text), F.lit(""))))
+        out = F.when(source == name, ~F.coalesce(of, F.lit(False))).otherwise(out)
+    return out
 
 
 def details(captures: DataFrame, source: str, now: datetime) -> DataFrame:

@@ -607,3 +607,14 @@ def sitemap_locations(spark, d):
 def page_urls(spark, d):
     u = crawlcut.next_pages(F.concat(F.lit("https://site.example/"), F.lower("n_name")), 1, 3, "?page=%d")
     return table(spark, d, "nation").select(F.col("n_name").alias("city"), F.posexplode(u).alias("p", "url")).select("city", (F.col("p") + 1).cast("long").alias("page"), "url")
+
+
+@query("""SELECT s_suppkey, s AS source, i::BIGINT AS page, CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s = 'olx' THEN 'https://site.example/c' || s_suppkey || '/cars/' || CASE WHEN i > 1 THEN '?page=' || i ELSE '' END
+ WHEN s = 'pakwheels' THEN 'https://site.example/cars/ct_c' || s_suppkey || '/?page=' || i WHEN s = 'zameen' THEN 'https://site.example/cars/c' || s_suppkey || '-' || i || '.html' END AS url
+FROM supplier CROSS JOIN (VALUES ('olx'), ('pakwheels'), ('zameen'), ('other')) AS t(s) CROSS JOIN range(1, 4) AS r(i)""")
+def index_urls(spark, d):
+    """Three pages of every source; every tenth place has no identifier."""
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier").select("s_suppkey", F.when(k % 10 != 0, F.concat(F.lit("c"), k.cast("string"))).alias("ident"), F.explode(F.array(*[F.lit(x) for x in ("olx", "pakwheels", "zameen", "other")])).alias("source"))
+    s = s.select("*", F.explode(F.sequence(F.lit(1), F.lit(3)).cast("array<long>")).alias("page"))
+    return s.select("s_suppkey", "source", "page", crawlcut.index_url(F.col("source"), F.lit("https://site.example"), F.col("ident"), F.lit("cars"), F.col("page")).alias("url"))

@@ -15,7 +15,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import city_keys, match_key
+from tidemark.functions.text import city_keys
 from tidemark.operators import crawlcut, merge, pages, places, planning, validate
 from tidemark.session import ensure_checkpoints
 from tidemark.sources.store import Store
@@ -73,9 +73,7 @@ def usable(captures: DataFrame) -> DataFrame:
     broken = ~F.coalesce("status", F.lit(200)).isin(200, 404)
     banned = ~F.coalesce("allowed", F.lit(True))
     first = F.col("page") == 1
-    # This site answers an unknown city with the whole country's ads.
-    scoped = F.array_contains("keys", match_key(F.coalesce(places.page_city(F.col("text")), F.lit(""))))
-    astray = (F.col("source") == "pakwheels") & ~F.coalesce(scoped, F.lit(False))
+    astray = pages.astray(F.col("source"), F.col("text"), F.col("keys"))
     verdict = F.when(banned, "failed: robots rules").when(broken & first, F.concat(F.lit("failed: status "), F.col("status"))).when(missing & first, "unsupported: no such page").when(astray & first, "unsupported: the page is not of this city")
     stop = c.groupBy("unit_no").agg(F.min_by(verdict, F.when(verdict.isNotNull(), F.col("page"))).alias("stop"))
     bad = c.filter(missing | broken | banned)

@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tidemark.functions.text import match_key
-from tidemark.operators import places, validate
-from tidemark.operators.pages import RECORD_COLUMNS
+from tidemark.operators import validate
+from tidemark.operators.pages import RECORD_COLUMNS, astray as astray_page
 from tidemark.plans.run import read_ads
 from tidemark.schema import RECORD
 from tidemark.sources.store import Store
@@ -103,8 +102,7 @@ def page_rows(captures: DataFrame, units: DataFrame, cities: DataFrame, sources:
     """One row a captured page of a planned unit; a page that is missing, failed, is
     forbidden or is not of the city (page 1) has no ads."""
     c = captures.join(F.broadcast(units.select("unit_no", "city", "source", "category")), ["city", "source", "category"]).join(F.broadcast(cities.select(F.col("name").alias("city"), "keys")), "city")
-    scoped = F.array_contains("keys", match_key(F.coalesce(places.page_city(F.col("text")), F.lit(""))))
-    astray = (F.col("source") == "pakwheels") & (F.col("page") == 1) & ~F.coalesce(scoped, F.lit(False))
+    astray = (F.col("page") == 1) & astray_page(F.col("source"), F.col("text"), F.col("keys"))
     good = c.filter((F.coalesce("status", F.lit(200)) == 200) & F.coalesce("allowed", F.lit(True)) & ~astray)
     ads = validate.date_window(read_ads(good, now, collect_phone, sources), start, end)
     ad = F.struct("rn", F.col("key"), "own", (F.col("verdict") != "filtered").alias("inw"), F.struct(*RECORD_COLUMNS).alias("ad"))
