@@ -500,6 +500,15 @@ def test_rows_that_repeat_a_key_have_their_own_links(spark):
     assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 2, 1, False)]
 
 
+def test_more_chunks_are_no_more_shuffle(spark):
+    rng = np.random.default_rng(6)
+    d = spark.createDataFrame([(i, rows_of(x)) for i, x in enumerate(rng.normal(size=(1500, 32)))], "vec_id long, embedding array<float>").checkpoint()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert embedding_dedup.similarity_join(d, chunk=25).filter("kept and n_links = 0").count() == 1500
+    assert written() - before < 4 * 1500 * 32 * 4
+
+
 def rows_of(v):
     return [float(a) for a in v]
 
