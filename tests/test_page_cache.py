@@ -44,3 +44,20 @@ def test_page_cache_reads_what_was_written(spark, tmp_path):
     since = spark.read.format("page_cache").option("corrupt", True).load(str(root)).filter(F.col("fetched_at") >= F.lit(datetime(2026, 9, 19, 10, tzinfo=UTC)))
     assert since.count() == sum(t.hour >= 10 for _, _, _, t in rows)
     assert spark.read.format("page_cache").load(str(tmp_path / "none")).count() == 0
+
+
+def test_every_page_of_a_url_that_repeats(spark, tmp_path):
+    """Twice one URL, once with one text: three rows, as the SQL has them; written again, no more."""
+    from tidemark.plans.catalog_store import page_cache_source
+
+    rows = [(1, "https://s.example/a", "x"), (2, "https://s.example/a", "y"), (49, "https://s.example/a", "x"), (3, "https://s.example/b", "z"), (30, "https://s.example/b", "old")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = page_cache_source(spark, str(tmp_path)).groupBy("url").count().collect()
+    assert sorted(map(tuple, got)) == [("https://s.example/a", 3), ("https://s.example/b", 1)]
+
+    root = str(tmp_path / "cache")
+    c = spark.createDataFrame(rows, "capture string, url string, text string").withColumns({"status": F.lit(200), "fetched_at": F.lit(NOW)})
+    for _ in range(2):
+        c.write.format("page_cache").mode("append").save(root)
+    one = spark.read.format("page_cache").load(root).filter("url = 'https://s.example/a'")
+    assert sorted(r.text for r in one.collect()) == ["x", "x", "y"] and one.rdd.getNumPartitions() == 1

@@ -1,12 +1,15 @@
-"""The page cache as a Spark source and sink: one JSON file a URL.
+"""The page cache as a Spark source and sink: one JSON file a URL, or a capture of it.
 
     spark.dataSource.register(PageCache)
     spark.read.format("page_cache").option("ttl_hours", 24).option("now", ...).load(root)
     captures.write.format("page_cache").mode("append").save(root)
 
 A file is named by the SHA-256 of its URL, in one of 256 folders by its first two
-digits, so folders are listed in parallel by the tasks that read them.  A filter on
-``url`` opens that URL's file alone; one on ``fetched_at`` (or a time to live) passes
+digits, so folders are listed in parallel by the tasks that read them.  A URL that is
+written again replaces its entry.  Rows with a column ``capture`` (any text that tells
+captures of a URL apart) are all kept: their files lie in a folder of the URL, named by
+the capture, so a task that is run again writes the same ones.  A filter on
+``url`` opens that URL's files alone; one on ``fetched_at`` (or a time to live) passes
 over files that were last written before it, for a page is written after it was
 fetched.  Files that are no whole entry are left out of the rows, and counted in
 ``corrupt`` rows where the option ``corrupt`` asks for them.
@@ -37,10 +40,10 @@ def _open(root: str):
     return at, path.rstrip("/")
 
 
-def name_of(url: str) -> str:
-    """Where a URL's file is, under the root."""
+def name_of(url: str, capture: str | None = None) -> str:
+    """Where the file of a URL, or of one of its captures, is, under the root."""
     h = hashlib.sha256(url.encode()).hexdigest()
-    return f"{h[:2]}/{h}.json"
+    return f"{h[:2]}/{h}.json" if capture is None else f"{h[:2]}/{h}/{hashlib.sha256(capture.encode()).hexdigest()}.json"
 
 
 def _aware(t: datetime) -> datetime:
@@ -49,7 +52,7 @@ def _aware(t: datetime) -> datetime:
 
 @dataclass
 class _Folders(InputPartition):
-    names: list[str]  # folders, or one file
+    names: list[str]  # folders, or one URL's file
 
 
 class _Reader(DataSourceReader):
@@ -87,10 +90,9 @@ class _Reader(DataSourceReader):
 
         at, root = _open(self.root)
         for name in partition.names:
-            if name.endswith(".json"):
-                files = [f for f in at.get_file_info([f"{root}/{name}"]) if f.type == fs.FileType.File]
-            else:
-                files = [f for f in at.get_file_info(fs.FileSelector(f"{root}/{name}", allow_not_found=True)) if f.type == fs.FileType.File and f.path.endswith(".json")]
+            files = at.get_file_info([f"{root}/{name}"]) if name.endswith(".json") else []
+            files += at.get_file_info(fs.FileSelector(f"{root}/{name.removesuffix('.json')}", allow_not_found=True, recursive=True))
+            files = [f for f in files if f.type == fs.FileType.File and f.path.endswith(".json")]
             for f in sorted(files, key=lambda f: f.path):
                 if self.since is not None and f.mtime is not None and _aware(f.mtime) < self.since:
                     continue  # written before, so fetched before
@@ -106,9 +108,9 @@ class _Reader(DataSourceReader):
         try:
             with at.open_input_stream(path) as f:
                 x = json.loads(f.read().decode())
-            if f"{x['url']}" and path.endswith(name_of(x["url"])):
+            if f"{x['url']}" and path.endswith(name_of(x["url"], x.get("capture"))):
                 return x["url"], x.get("status"), x.get("text"), _aware(datetime.fromisoformat(x["fetched_at"])), None
-        except (ValueError, KeyError, TypeError):  # no JSON, no entry
+        except (ValueError, KeyError, TypeError, AttributeError):  # no JSON, no entry
             pass
         return None, None, None, None, path
 
@@ -124,11 +126,13 @@ class _Writer(DataSourceWriter):
         at, root = _open(self.root)
         for r in rows:
             x = dict(zip(self.columns, r, strict=True))
-            name = name_of(x["url"])
-            at.create_dir(f"{root}/{name[:2]}")
+            capture = None if x.get("capture") is None else str(x["capture"])
+            name = name_of(x["url"], capture)
+            at.create_dir(f"{root}/{name}".rpartition("/")[0])
             part = f"{root}/{name}.{uuid.uuid4().hex}.part"
             with at.open_output_stream(part) as f:
-                f.write(json.dumps({"url": x["url"], "status": x["status"], "text": x["text"], "fetched_at": _aware(x["fetched_at"]).isoformat()}).encode())
+                entry = {"url": x["url"], "status": x["status"], "text": x["text"], "fetched_at": _aware(x["fetched_at"]).isoformat()}
+                f.write(json.dumps(entry if capture is None else entry | {"capture": capture}).encode())
             at.move(part, f"{root}/{name}")
         return WriterCommitMessage()
 
