@@ -297,3 +297,16 @@ def test_a_registered_source_may_say_how_its_pages_are_scoped(spark):
         assert "new" not in pages.SCOPES and pages.READERS["new"] is pages.olx_index
     finally:
         del pages.READERS["new"]
+
+
+def test_ids_with_urls_of_their_own_need_no_rounds(spark, monkeypatch):
+    """An id at two URLs is settled, and a sighting without it finds it; a URL of two ids still joins them."""
+    rows = [("a", "1", "u"), ("a", "1", "v"), ("a", None, "v"), ("a", "2", None), ("a", None, "w"), ("b", "1", "u")]
+    d = spark.createDataFrame([(*r, "c", "k", "t", "p", n) for n, r in enumerate(rows)], "source string, source_listing_id string, url string, city string, category string, title string, price_raw string, n int").withColumn("url_canonical", F.col("url"))
+    with monkeypatch.context() as m:
+        m.setattr(merge, "components", None)
+        e = {r.n: r.entity for r in merge.entities(d).collect()}
+    assert e[0] == e[1] == e[2] and len({e[k] for k in (0, 3, 4, 5)}) == 4
+    more = d.limit(1).withColumns({"source": F.lit("a"), "source_listing_id": F.lit("2"), "url": F.lit("v"), "url_canonical": F.lit("v"), "n": F.lit(9)})
+    e = {r.n: r.entity for r in merge.entities(d.unionByName(more)).collect()}
+    assert len({e[k] for k in (0, 1, 2, 3, 9)}) == 1 and len({e[k] for k in (0, 4, 5)}) == 3

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 TRACKING = r"^(utm_|gclid|fbclid|referrer|campaign|_ga|msclkid|igshid)|^ref$"
 
 
+# A URL that is canonical as it stands: nothing to lower, cut off or sort.
+PLAIN = r"^[a-z][a-z0-9+.\-]*://(?!www\.)[a-z0-9.:\-]+/[^?#]*[^?#/ ]\z"
+
+
 def _decoded(part: Column) -> Column:
     """A name or value of a query: + is a blank, a percent sign that begins no escape is
     itself, bytes that are no UTF-8 become U+FFFD."""
@@ -34,7 +38,7 @@ def canonical_url(url: Column) -> Column:
     kept = F.array_sort(F.filter(read, lambda p: ~F.lower(p["k"]).rlike(TRACKING)))
     query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     base = F.concat(F.when(scheme == "", F.lit("https")).otherwise(scheme), F.lit("://"), host, F.when(path == "", F.lit("/")).otherwise(path))
-    return F.when(query != "", F.concat(base, F.lit("?"), query)).otherwise(base)
+    return F.when(url.rlike(PLAIN), url).when(u.contains("?"), F.concat_ws("?", base, F.nullif(query, F.lit("")))).otherwise(base)
 
 
 def content_hash(*parts: Column) -> Column:

@@ -20,11 +20,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip
 from tidemark.functions.urls import canonical_url, fingerprint
+from tidemark.operators.bounded import numbered
 from tidemark.operators.graph import components
 from tidemark.session import ensure_checkpoints
 
@@ -32,27 +33,28 @@ LAST = ("city", "category", "title", "price_currency", "price_raw", "url")
 STICKY = ("price", "phone", "seller_name", "ad_date", "source_listing_id", "area")
 
 
-def last(c: str, seq: Column) -> Column:
-    return F.max_by(F.col(c), seq)
-
-
-def sticky(c: str, seq: Column) -> Column:
+def sticky(c: str, seq: Column, text: bool) -> Column:
     """The last that is neither null nor empty; '' if only that was said."""
-    text = F.col(c).cast("string")
-    best = F.max_by(F.col(c), F.when(text != "", seq))
-    return F.coalesce(best, F.max_by(F.col(c), F.when(text == "", seq)))
+    if not text:
+        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), seq))
+    return F.coalesce(F.max_by(F.col(c), F.when(F.col(c) != "", seq)), F.when(F.bool_or(F.col(c) == ""), F.lit("")))
 
 
 def longest(c: str, seq: Column) -> Column:
     return F.max_by(F.col(c), F.struct(F.length(F.coalesce(F.col(c), F.lit(""))), seq))
 
 
+def _ends(c: Column) -> Column:
+    """``strip``, where an end is white."""
+    return F.when(strip(F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))) != F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1)), strip(c)).otherwise(c)
+
+
 def to_row(s: DataFrame) -> DataFrame:
     """Sightings as they are stored: white space off the ends of city, area,
     title, description and seller; a missing area or description is '', an
     empty seller is null."""
-    new = {c: strip(F.col(c)) for c in ("city", "title")} | {c: strip(F.coalesce(F.col(c), F.lit(""))) for c in ("area", "description")}
-    new["seller_name"] = F.nullif(strip(F.col("seller_name")), F.lit(""))
+    new = {c: _ends(F.col(c)) for c in ("city", "title")} | {c: _ends(F.coalesce(F.col(c), F.lit(""))) for c in ("area", "description")}
+    new["seller_name"] = F.nullif(_ends(F.col("seller_name")), F.lit(""))
     return s.withColumns({c: x for c, x in new.items() if c in s.columns})
 
 
@@ -68,17 +70,21 @@ def entities(s: DataFrame) -> DataFrame:
     """Adds ``entity``: the same for rows of a source that share a listing id
     or a canonical URL, directly or through others.
 
-    Nearly every id has one URL and the other way round; such pairs are entities as
-    they are.  Only ids and URLs that have several of the other kind go through the
-    rounds of ``components``."""
+    Nearly every URL has one id.  Where all have, an id with its URLs is an entity as it
+    is, and only rows without their id look it up.  Otherwise ids whose URLs are all
+    theirs alone are settled too, and the others go through the rounds of
+    ``components``."""
     s = _names(s)
     pairs = s.filter("_u is not null and _i is not null").select("_u", "_i").distinct().checkpoint()
-    several = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(c)
-    by_url, by_id = several("_u").checkpoint(), several("_i").checkpoint()
-    # A pair is settled if neither of its ends is in another one.
-    alone = pairs.join(by_url, "_u", "left_anti").join(by_id, "_i", "left_anti").select(F.col("_u").alias("node"), F.col("_i").alias("component"))
-    links = pairs.join(by_url, "_u", "left_semi").union(pairs.join(by_id, "_i", "left_semi").select("_u", "_i")).select(F.col("_u").alias("a"), F.col("_i").alias("b"))
-    known = alone if by_url.isEmpty() and by_id.isEmpty() else components(links).unionByName(alone)
+    shared = pairs.groupBy("_u").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_u").checkpoint()
+    if shared.isEmpty():
+        asks = F.col("_i").isNull() & F.col("_u").isNotNull()
+        told = s.filter(~asks).withColumn("entity", F.coalesce("_i", "_h"))
+        asked = s.filter(asks).join(pairs.select(F.col("_u").alias("_n"), F.col("_i").alias("_of")), F.col("_u") == F.col("_n"), "left")
+        return told.unionByName(asked.withColumn("entity", F.coalesce("_of", "_u")).drop("_n", "_of")).drop("_u", "_i", "_h")
+    drawn = pairs.join(shared, "_u", "left_semi").select("_i").distinct()
+    alone = pairs.join(drawn, "_i", "left_anti").select(F.col("_u").alias("node"), F.col("_i").alias("component"))
+    known = components(pairs.join(drawn, "_i", "left_semi").select(F.col("_u").alias("a"), F.col("_i").alias("b"))).unionByName(alone)
     s = s.withColumn("_n", F.when(F.col("_u").isNull(), F.coalesce("_i", "_h")).otherwise(F.col("_u")))
     s = s.join(known.withColumnRenamed("node", "_n"), "_n", "left").withColumn("entity", F.coalesce("component", "_n"))
     return s.drop("_u", "_i", "_h", "_n", "component")
@@ -91,17 +97,23 @@ def all_names(s: DataFrame, *cols: str) -> DataFrame:
 
 def touched(existing: DataFrame, sightings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stored rows that share an id, URL or content hash with a sighting, all others)."""
-    hit = all_names(existing, "id").join(all_names(sightings).distinct(), "name", "left_semi").select("id").distinct()
+    hit = all_names(existing, "id").join(all_names(sightings).distinct(), "name", "left_semi").select("id").distinct().checkpoint()
     return existing.join(hit, "id", "left_semi"), existing.join(hit, "id", "left_anti")
 
 
-def fold(s: DataFrame, seq: str = "seq", seen: str = "seen_at", key: str = "entity") -> DataFrame:
-    """One row an entity from its sightings in the order of ``seq``."""
-    o = F.col(seq)
-    cols = [last(c, o).alias(c) for c in LAST if c in s.columns]
-    cols += [sticky(c, o).alias(c) for c in STICKY if c in s.columns]
-    cols += [longest("description", o).alias("description"), F.min_by("url_canonical", F.when(F.col("url_canonical").isNotNull(), o)).alias("url_canonical"), F.min_by(seen, o).alias("first_seen_at"), F.max_by(seen, o).alias("last_seen_at"), F.max_by(seen, o).alias("scraped_at"), F.count(F.lit(1)).alias("sightings")]
-    return s.groupBy(key, "source").agg(*cols)
+def fold(s: DataFrame, seq: str = "seq", seen: str = "seen_at", key: str | tuple[str, ...] = "entity", more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row an entity from its sightings in the order of ``seq``; ``more`` are
+    further aggregates."""
+    o, kinds = F.col(seq), {f.name: f.dataType.simpleString() for f in s.schema}
+    told = [c for c in LAST if c in kinds]
+    # What the newest says is one aggregate.
+    cols = [F.max_by(F.struct(*told, F.col(seen).alias("_seen")), o).alias("_newest")]
+    cols += [sticky(c, o, kinds[c] == "string").alias(c) for c in STICKY if c in kinds]
+    cols += [longest("description", o).alias("description"), F.min_by("url_canonical", F.when(F.col("url_canonical").isNotNull(), o)).alias("url_canonical"), F.min_by(seen, o).alias("first_seen_at"), F.count(F.lit(1)).alias("sightings")]
+    keys = [*([key] if isinstance(key, str) else key), "source"]
+    out = s.groupBy(*keys).agg(*cols, *more)
+    rest = [c for c in out.columns if c not in (*keys, "_newest")]
+    return out.select(*keys, *[F.col(f"_newest.{c}").alias(c) for c in told], *rest, *[F.col("_newest._seen").alias(c) for c in ("last_seen_at", "scraped_at")])
 
 
 def stored_form(sightings: DataFrame) -> DataFrame:
@@ -117,36 +129,35 @@ def upsert(existing: DataFrame | None, sightings: DataFrame, rest: bool = True,
     out, and ``replaces`` lists the ids of the stored rows that went into each."""
     ensure_checkpoints(sightings.sparkSession)
     # Read by several steps: made once.
-    s = sightings if "url_canonical" in sightings.columns else stored_form(sightings).checkpoint()
+    whole = "url_canonical" in sightings.columns
+    made = s = sightings if whole else stored_form(sightings).persist()
     s = s.withColumn("_old", F.lit(None).cast("long")).withColumn("_first", F.col("seen_at"))
     kept = None
     if existing is not None:
         old, kept = touched(existing, s)
         old = old.withColumns({"seq": F.lit(-1).cast("long"), "seen_at": F.col("last_seen_at"), "_old": F.col("id"), "_first": F.col("first_seen_at")})
-        s = s.unionByName(old.select(*[F.col(c) if c in old.columns else F.lit(None).alias(c) for c in s.columns]))
+        s = s.unionByName(old.select(*[F.col(c) if c in old.columns else F.lit(None).alias(c) for c in s.columns]).checkpoint())
+    more = (F.min("_old").alias("_old"), F.min_by("_first", "seq").alias("_first"), F.count_if(F.col("_old").isNull()).alias("touched"))
     s = entities(s)
-    extra = s.groupBy("entity", "source").agg(F.min("_old").alias("_old"), F.min_by("_first", "seq").alias("_first"), F.count_if(F.col("_old").isNull()).alias("touched"), F.collect_set("_old").alias("replaces"))
-    m = fold(s).join(extra, ["entity", "source"])
+    m = fold(s, more=more)
+    if not rest:
+        gone = F.array().cast("array<long>")
+        if existing is not None:
+            m = m.join(s.filter("_old is not null").groupBy("entity", "source").agg(F.collect_set("_old").alias("_gone")), ["entity", "source"], "left")
+            gone = F.coalesce("_gone", gone)
+        m = m.withColumn("replaces", gone).drop("_gone")
     m = m.withColumn("first_seen_at", F.col("_first")).withColumn("fingerprint", fingerprint(F.col("source"), F.col("source_listing_id"), F.col("url"), F.col("city"), F.col("category"), F.col("title"), F.col("price_raw")))
-    # Folded once: the new rows are numbered from it, the others come out of it.
-    m = m.withColumn("action", F.when(F.col("_old").isNull(), "inserted").otherwise("updated")).checkpoint()
-    # New ids by range of entity: counts by partition give the offsets, no single task sorts all rows.
+    # Folded once: its ranges are found, and then the rows sorted, from what is kept meanwhile.
+    m = m.withColumn("action", F.when(F.col("_old").isNull(), "inserted").otherwise("updated")).persist()
     if last_id is None:
         last_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if existing is not None else 0
-    new = m.filter("_old is null").repartitionByRange("entity").sortWithinPartitions("entity").withColumn("_p", F.spark_partition_id()).checkpoint()
-    sizes = sorted((r[0], r[1]) for r in new.groupBy("_p").count().collect())
-    before, at = [], last_id
-    for p, n in sizes:
-        before.append((p, at))
-        at += n
-    # One row a partition, so their number bounds what is broadcast.
-    offsets = m.sparkSession.createDataFrame(before or [(-1, last_id)], "_p int, _before long")
-    new = new.join(F.broadcast(offsets), "_p").withColumn("id", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("entity"))).drop("_p", "_before")
-    out = new.unionByName(m.filter("_old is not null").withColumn("id", F.col("_old"))).drop("_old", "_first", "entity", "sightings")
-    if not rest:
-        return out
-    out = out.drop("replaces")
-    if kept is None:
+    # New ids in the order of entities.
+    out = numbered(m, ["entity"], "_n", F.col("_old").isNull())
+    m.unpersist()
+    if not whole:
+        made.unpersist()
+    out = out.withColumn("id", F.coalesce("_old", F.lit(last_id) + F.col("_n") + 1)).drop("_old", "_first", "_n", "entity", "sightings")
+    if not rest or kept is None:
         return out
     more = {"action": F.lit("kept"), "touched": F.lit(0).cast("long")}
     return out.unionByName(kept.select(*[more[c].alias(c) if c in more else F.col(c).cast(out.schema[c].dataType).alias(c) if c in kept.columns else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns]))

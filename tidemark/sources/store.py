@@ -227,7 +227,7 @@ class Store:
         state, good = self.state(), stored_form(good).checkpoint()
         hits = self._hits(state, good).persist(StorageLevel.MEMORY_AND_DISK)
         near = {(r.cell, r.slice) for r in hits.select("cell", "slice").distinct().collect()}  # a cell's slices at most
-        old = self._open("listings", [p.at for p in state.parts if (p.cell, p.slice) in near])
+        old = self._open("listings", [p.at for p in state.parts if (p.cell, p.slice) in near]) if near else None
         merged = upsert(old, good, rest=False, last_id=state.last_id).persist(StorageLevel.MEMORY_AND_DISK)
         new = (F.col("action") == "inserted").cast("long")
         row = merged.agg(F.coalesce(F.sum(new), F.lit(0)), F.coalesce(F.sum(F.col("touched") - new), F.lit(0)), F.max("id")).first()
