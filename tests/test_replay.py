@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_operators import NOW, frame, record
-from tidemark.operators.replay import replay
+from tidemark.operators.replay import _in_order, replay
 
 
 class Plain:
@@ -70,3 +70,15 @@ def test_replay_of_nothing_ties_and_missing_names(spark):
     again, _ = replay(out.drop("action", "touched"), frame(spark, [record(9, seq=9)]))
     assert sorted((r.title, r.action) for r in again.collect()) == [("Car 1", "kept"), ("Car 2", "kept"), ("Car 3", "kept"), ("Car 9", "inserted")]
     assert again.agg(F.max("id")).first()[0] == 4 and NOW in {r.last_seen_at for r in again.collect()}
+
+
+def test_tasks_say_only_where_sightings_go():
+    """What reads the sightings one by one passes their columns on as they are."""
+    import pyarrow as pa
+
+    names = ["entity", "_old", "source", "fingerprint", "url_canonical", "source_listing_id", "other"]
+    rows = [("e", None, "s", "s:id:1", "u", "1", {"x": 1}), ("e", None, "s", "s:url:v", "v", None, {"x": 2}), ("e", None, "s", "s:id:1", "v", "1", {"x": 3}), ("e", None, "s", "s:id:1", "u", "2", {"x": 4}), ("f", 7, "s", "s:id:1", "u", "1", {"x": 5})]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+    (out,) = _in_order(iter([batch]))
+    assert out.column("_row").to_pylist() == [0, 1, 0, 0, 0] and out.column("_k").to_pylist() == [0, 1, 2, 3, 0]
+    assert out.column("other").equals(batch.column("other"))

@@ -8,8 +8,9 @@ source the same id is not taken; it is returned as a conflict.
 Rows can only meet within a component of ids and URLs.  Where all sightings of a
 component have one fingerprint, and the stored row too, every lookup finds the same row
 and an aggregation gives what the sequence would.  Only the others are replayed: their
-sightings are hashed by component, sorted, and read as a stream, so a task holds the rows
-of one component, not its sightings.  A component is replayed by one task, as its order
+sightings are hashed by component, sorted, and read as a stream that says which row each
+goes into, so a task holds the names of one component's rows, not its sightings; the rows
+are then made by the same aggregation.  A component is replayed by one task, as its order
 is the meaning of it.
 
 Null and empty ids and URLs name nothing.  A row that was made without a URL takes the
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import fingerprint
-from tidemark.operators.bounded import before
+from tidemark.operators.bounded import numbered
 from tidemark.operators.merge import LAST, STICKY, entities, fold, stored_form, touched
 from tidemark.session import ensure_checkpoints
 
@@ -34,71 +35,55 @@ _KEPT = (*ROW, "first_seen_at", "last_seen_at", "_old", "_from", "touched")
 
 
 class Shelf:
-    """The rows of one component, found as a store finds them."""
+    """The names of one component's rows, found as a store finds them."""
 
     def __init__(self) -> None:
-        self.rows: list[dict] = []
-        self.by: dict[tuple, dict] = {}
-
-    def _find(self, kind: str, r: dict) -> dict | None:
-        return self.by.get((kind, r["source"], r[kind])) if r[kind] else None
-
-    def _name(self, row: dict) -> None:
-        for kind in ("fingerprint", "url_canonical", "source_listing_id"):
-            if row[kind]:
-                self.by[kind, row["source"], row[kind]] = row
-
-    def add(self, r: dict, **more) -> None:
-        row = {c: r[c] for c in ROW} | more
-        self.rows.append(row)
-        self._name(row)
-
-    def take(self, r: dict) -> bool:
-        """Inserts or refreshes a row; False, and no change, on a conflict."""
-        row = self._find("fingerprint", r) or self._find("url_canonical", r)
-        holder = self._find("source_listing_id", r)
-        if holder is not None and holder is not row:
-            return False
-        if row is None:
-            self.add(r, first_seen_at=r["seen_at"], last_seen_at=r["seen_at"], _old=None, _from=r["seq"], touched=1)
-            return True
-        for kind in ("fingerprint", "source_listing_id"):
-            self.by.pop((kind, row["source"], row[kind]), None)
-        if len(r["description"] or "") >= len(row["description"] or ""):
-            row["description"] = r["description"]
-        for c in STICKY:
-            if r[c] not in (None, "") or row[c] is None:
-                row[c] = r[c]
-        for c in (*LAST, "fingerprint"):
-            row[c] = r[c]
-        row["url_canonical"] = row["url_canonical"] or r["url_canonical"]
-        row["last_seen_at"], row["_from"] = r["seen_at"], r["seq"] if row["_from"] is None else row["_from"]
-        row["touched"] += 1
-        self._name(row)
-        return True
+        self.rows: list[list] = []  # source, fingerprint, canonical URL, listing id
+        self.by: dict[tuple, int] = {}
+
+    def _name(self, at: int) -> int:
+        source, *names = self.rows[at]
+        for kind, name in enumerate(names):
+            if name:
+                self.by[kind, source, name] = at
+        return at
+
+    def add(self, *names: str | None) -> int:
+        self.rows.append([*names])
+        return self._name(len(self.rows) - 1)
+
+    def take(self, source: str, mark: str, url: str | None, ident: str | None) -> int | None:
+        """The row that a sighting makes or refreshes; None, and no change, on a conflict."""
+        find = lambda kind, name: self.by.get((kind, source, name)) if name else None
+        at, holder = find(0, mark), find(2, ident)
+        if at is None:
+            at = find(1, url)
+        if holder is not None and holder != at:
+            return None
+        if at is None:
+            return self.add(source, mark, url, ident)
+        row = self.rows[at]
+        self.by.pop((0, source, row[1]), None)
+        self.by.pop((2, source, row[3]), None)
+        row[1], row[2] = mark, row[2] or url
+        if ident or row[3] is None:
+            row[3] = ident
+        return self._name(at)
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows and conflicts of components that come one after the other, each in order."""
-    entity, shelf, schema = None, Shelf(), None
-
-    def finished() -> list[dict]:
-        return [r | {"entity": entity, "conflict": False} for r in shelf.rows]
-
+    """Adds _row, the row of its component that each sighting goes into (null: a conflict),
+    and _k, its place; components come one after the other, each in order."""
+    entity, shelf, k = None, Shelf(), 0
     for batch in batches:
-        schema = pa.schema([*(batch.schema.field(c) for c in (*_KEPT, "entity")), pa.field("conflict", pa.bool_())])
-        out: list[dict] = []
-        for r in batch.to_pylist():
-            if r["entity"] != entity:
-                out += finished()
-                entity, shelf = r["entity"], Shelf()
-            if r["_old"] is not None:
-                shelf.add(r, first_seen_at=r["_first"], last_seen_at=r["seen_at"], _old=r["_old"], _from=None, touched=0)
-            elif not shelf.take(r):
-                out.append({c: r[c] for c in ROW} | {"first_seen_at": r["seen_at"], "last_seen_at": r["seen_at"], "_old": None, "_from": r["seq"], "touched": 1, "entity": entity, "conflict": True})
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
-    if schema is not None:
-        yield pa.RecordBatch.from_pylist(finished(), schema=schema)
+        rows, places = [], []
+        for now, old, *names in zip(*(batch.column(c).to_pylist() for c in ("entity", "_old", "source", "fingerprint", "url_canonical", "source_listing_id")), strict=True):
+            if now != entity:
+                entity, shelf, k = now, Shelf(), 0
+            rows.append(shelf.take(*names) if old is None else shelf.add(*names))
+            places.append(k)
+            k += 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int32()), pa.array(places, pa.int64())], [*batch.schema.names, "_row", "_k"])
 
 
 def replay(existing: DataFrame | None, sightings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,32 +94,37 @@ def replay(existing: DataFrame | None, sightings: DataFrame) -> tuple[DataFrame,
     rows' first sightings.  Conflicts have the sighting's columns and ``seen_at``."""
     ensure_checkpoints(sightings.sparkSession)
     s = stored_form(sightings).withColumn("fingerprint", fingerprint(*[F.col(c) for c in ("source", "source_listing_id", "url", "city", "category", "title", "price_raw")]))
-    s = s.withColumns({"_old": F.lit(None).cast("long"), "_first": F.col("seen_at"), "_from": F.col("seq").cast("long"), "touched": F.lit(1).cast("long")}).checkpoint()
+    s = s.withColumns({"_old": F.lit(None).cast("long"), "_first": F.col("seen_at"), "_from": F.col("seq").cast("long"), "touched": F.lit(1).cast("long")}).persist()
+    made_once = s
     rest, last_id = None, 0
     if existing is not None:
         old, rest = touched(existing, s)
         old = old.withColumns({"seq": F.lit(None).cast("long"), "seen_at": F.col("last_seen_at"), "_old": F.col("id"), "_first": F.col("first_seen_at"), "_from": F.lit(None).cast("long"), "touched": F.lit(0).cast("long")})
-        s = s.unionByName(old.select(*[(F.col(c) if c in old.columns else F.lit(None)).cast(s.schema[c].dataType).alias(c) for c in s.columns]))
+        s = s.unionByName(old.select(*[(F.col(c) if c in old.columns else F.lit(None)).cast(s.schema[c].dataType).alias(c) for c in s.columns]).checkpoint())
         last_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     s = entities(s).withColumns({"first_seen_at": F.col("seen_at"), "last_seen_at": F.col("seen_at")}).checkpoint()
-    one = s.groupBy("entity").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.count("_old").alias("k"))
-    torn = one.filter("a <> b or k > 1").select("entity")
-    wide = s.join(torn, "entity", "left_semi")
-    kinds = {f.name: f.dataType.simpleString() for f in s.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*_KEPT, "entity")) + ", conflict boolean"
+    made_once.unpersist()
+    one = s.select("entity", "fingerprint", "_old").groupBy("entity", "fingerprint").agg(F.count("_old").alias("k")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    torn = one.filter("n > 1 or k > 1").select("entity", F.lit(True).alias("_torn"))
+    split = s.join(torn, "entity", "left").persist()
+    wide = split.filter("_torn").drop("_torn")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema) + ", _row int, _k long"
     # Stored rows first (nulls do), then by seq; the other columns only settle ties.
     order = ["entity", "seq", "_old", "seen_at", *ROW]
     parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slow = wide.repartition(parts, "entity").sortWithinPartitions(*order).mapInArrow(_in_order, schema).checkpoint()
-    plain = s.join(torn, "entity", "left_anti").withColumn("seq", F.coalesce("seq", F.lit(-(1 << 62))))
-    extra = plain.groupBy("entity", "source").agg(F.min("_old").alias("_old"), F.min_by("_first", "seq").alias("_first"), F.min("_from").alias("_from"), F.sum("touched").alias("touched"), F.min("fingerprint").alias("fingerprint"))
-    quick = fold(plain).join(extra, ["entity", "source"]).withColumn("first_seen_at", F.col("_first"))
-    made = slow.filter("not conflict").drop("conflict").unionByName(quick.select(*_KEPT, "entity")).withColumn("scraped_at", F.col("last_seen_at")).checkpoint()
-    new = before(made.filter("_old is null").withColumn("_one", F.lit(1)), ["_from", "entity", "fingerprint"], "_one", "_n")
-    new = new.withColumns({"id": F.lit(last_id) + F.col("_n") + 1, "action": F.lit("inserted")}).drop("_one", "_n")
-    seen = made.filter("_old is not null").withColumns({"id": F.col("_old"), "action": F.when(F.col("touched") > 0, "updated").otherwise("kept")})
-    out = new.unionByName(seen).drop("_old", "_from", "entity")
+    slow = wide.repartition(parts, "entity").sortWithinPartitions(*order).mapInArrow(_in_order, schema).persist()
+    bad = slow.filter("_row is null").select(*ROW, "seen_at").checkpoint()
+    plain = split.filter("_torn is null").drop("_torn").withColumns({"_row": F.lit(0), "_k": F.coalesce("seq", F.lit(-(1 << 62)))})
+    more = (F.min("_old").alias("_old"), F.min_by("_first", "_k").alias("_first"), F.min("_from").alias("_from"), F.sum("touched").alias("touched"), F.max_by("fingerprint", "_k").alias("fingerprint"))
+    made = fold(plain.unionByName(slow.filter("_row is not null")), "_k", key=("entity", "_row"), more=more)
+    made = made.withColumn("first_seen_at", F.col("_first")).select(*_KEPT, "scraped_at", "entity").persist()
+    out = numbered(made, ["_from", "entity", "fingerprint"], "_n", F.col("_old").isNull())
+    slow.unpersist()
+    made.unpersist()
+    split.unpersist()
+    action = F.when(F.col("_old").isNull(), "inserted").when(F.col("touched") > 0, "updated").otherwise("kept")
+    out = out.withColumns({"id": F.coalesce("_old", F.lit(last_id) + F.col("_n") + 1), "action": action}).drop("_old", "_from", "_n", "entity")
     if rest is not None:
         rest = rest.withColumns({"action": F.lit("kept"), "touched": F.lit(0).cast("long")})
         out = out.unionByName(rest.select(*[(F.col(c) if c in rest.columns else F.lit(None)).cast(out.schema[c].dataType).alias(c) for c in out.columns]))
-    return out, slow.filter("conflict").select(*ROW, F.col("last_seen_at").alias("seen_at"))
+    return out, bad
