@@ -310,3 +310,23 @@ def test_ids_with_urls_of_their_own_need_no_rounds(spark, monkeypatch):
     more = d.limit(1).withColumns({"source": F.lit("a"), "source_listing_id": F.lit("2"), "url": F.lit("v"), "url_canonical": F.lit("v"), "n": F.lit(9)})
     e = {r.n: r.entity for r in merge.entities(d.unionByName(more)).collect()}
     assert len({e[k] for k in (0, 1, 2, 3, 9)}) == 1 and len({e[k] for k in (0, 4, 5)}) == 3
+
+
+def test_one_url_an_id_is_known_without_a_join(spark, monkeypatch):
+    """Nothing is joined where ids and URLs pair off; ids follow the entities' order; what may be hot is folded where it lies, with the same rows."""
+    rows = [record(n, seq=n) for n in range(30)] + [record(n, source_listing_id=None, seq=100 + n) for n in range(30)]
+    s = merge.stored_form(frame(spark, rows)).checkpoint()
+    assert "Join" not in merge.entities(s)._jdf.queryExecution().toString()
+    plain = lambda d: sorted((r.id, r.fingerprint, r.touched) for r in d.collect())
+    cold = plain(merge.upsert(None, s))
+    assert [r[2] for r in cold] == [2] * 30 and [r[0] for r in cold] == list(range(1, 31))
+    monkeypatch.setattr(merge, "MOST_SEEN", 0)
+    assert plain(merge.upsert(None, s)) == cold
+
+
+def test_three_stored_rows_in_one_are_all_replaced(spark):
+    old = merge.upsert(None, frame(spark, [record(n) for n in (1, 2, 3, 4)])).drop("action", "touched").checkpoint()
+    url = {r.source_listing_id: r.url for r in old.collect()}
+    (r,) = merge.upsert(old, frame(spark, [record(1, url=url["2"], seq=8), record(2, url=url["3"], seq=9)]), rest=False).collect()
+    gone = {x.id for x in old.filter("source_listing_id <> '4'").collect()}
+    assert set(r.replaces) == gone and r.id == min(gone)

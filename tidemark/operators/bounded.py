@@ -30,12 +30,15 @@ def before(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     return d.join(F.broadcast(known), "_part").withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long")).drop("_part", "_base")
 
 
-def numbered(df: DataFrame, order: list[str], name: str, only: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, only: Column | None = None, ranged: bool = False) -> DataFrame:
     """Adds the place of each row in ``order`` (which must tell rows apart), from 0; with
     ``only``, of the rows where it is true, and null to the others.  Rows are sorted once
-    by range, and only the partitions' counts reach the driver."""
+    by range (with ``ranged``, their partitions are ranges already), and only the
+    partitions' counts reach the driver."""
     ensure_checkpoints(df.sparkSession)
-    d = df.withColumn("_only", F.lit(True) if only is None else only).repartitionByRange(*order).sortWithinPartitions(F.desc("_only"), *order)
+    d = df.withColumn("_only", F.lit(True) if only is None else only)
+    d = d if ranged else d.repartitionByRange(*order)
+    d = d.sortWithinPartitions(*([] if only is None else [F.desc("_only")]), *order)
     d = d.withColumn("_at", F.monotonically_increasing_id()).checkpoint()  # the partition in the upper bits, the row in the lower 33
     counts, at = [], 0
     for part, n in sorted(d.filter("_only").groupBy(F.shiftright("_at", 33)).count().collect()):

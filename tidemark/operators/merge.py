@@ -30,6 +30,10 @@ from tidemark.operators.graph import components
 from tidemark.session import ensure_checkpoints
 
 LAST = ("city", "category", "title", "price_currency", "price_raw", "url")
+#: Names that are looked up by a broadcast.
+KNOWN = 200_000
+#: Sightings of one entity that a single task sorts; where there may be more, they are first folded where they lie.
+MOST_SEEN = 1_000_000
 STICKY = ("price", "phone", "seller_name", "ad_date", "source_listing_id", "area")
 
 
@@ -66,28 +70,47 @@ def _names(s: DataFrame) -> DataFrame:
     return s.withColumns({"_u": F.when(some("url") & some("url_canonical"), name("u", F.col("url_canonical"))), "_i": F.when(some("source_listing_id"), name("i", F.col("source_listing_id")))}).withColumn("_h", F.when(F.col("_u").isNull() & F.col("_i").isNull(), name("h", mark)))
 
 
+def _linked(s: DataFrame) -> tuple[bool, int]:
+    """(whether an id has two URLs or a URL two ids, rows of the name that most have).
+
+    Names are counted by their hashes, which are all that is shuffled: names that share
+    one are looked at in vain."""
+    told = F.col("_i").isNotNull()
+    marks = s.select(F.xxhash64("entity").alias("g"), F.when(told, F.xxhash64("_i")).alias("a"), F.when(told, F.hash("_i")).alias("b"))
+    by = marks.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.max("a").alias("a2"), F.min("b").alias("b"), F.max("b").alias("b2"))
+    by = by.groupBy("a").agg(F.count("a").alias("k"), F.max("n").alias("n"), F.bool_or((F.col("a") != F.col("a2")) | (F.col("b") != F.col("b2"))).alias("shared"))
+    r = by.agg(F.coalesce(F.max("k"), F.lit(0)) > 1, F.coalesce(F.bool_or("shared"), F.lit(False)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return r[0] or r[1], r[2]
+
+
+def _entities(s: DataFrame) -> tuple[DataFrame, int]:
+    """(``entities``, a bound on the rows of one)."""
+    s = _names(s).withColumn("entity", F.coalesce("_u", "_i", "_h")).drop("_u", "_h")
+    linked, most = _linked(s)
+    if not linked:
+        return s.drop("_i"), most
+    pairs = s.filter("_i is not null").select("entity", "_i").distinct().checkpoint()
+    shared = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("entity").checkpoint()
+    roaming = pairs.groupBy("_i").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_i")
+    # All links of whatever has more than one.
+    links = pairs.join(roaming, "_i", "left_semi").union(pairs.join(shared, "entity", "left_semi").select("_i", "entity")).distinct().checkpoint()
+    known = links.select(F.col("entity").alias("node"), F.col("_i").alias("component")) if shared.isEmpty() else components(links.select(F.col("entity").alias("a"), F.col("_i").alias("b")))
+    known = known.checkpoint()
+    few, wide = known.groupBy("component").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(1))).first()
+    known = F.broadcast(known) if few <= KNOWN else known
+    s = s.join(known, F.col("entity") == F.col("node"), "left").withColumn("entity", F.coalesce("component", "entity"))
+    return s.drop("_i", "node", "component"), most * wide
+
+
 def entities(s: DataFrame) -> DataFrame:
     """Adds ``entity``: the same for rows of a source that share a listing id
     or a canonical URL, directly or through others.
 
-    Nearly every URL has one id.  Where all have, an id with its URLs is an entity as it
-    is, and only rows without their id look it up.  Otherwise ids whose URLs are all
-    theirs alone are settled too, and the others go through the rounds of
-    ``components``."""
-    s = _names(s)
-    pairs = s.filter("_u is not null and _i is not null").select("_u", "_i").distinct().checkpoint()
-    shared = pairs.groupBy("_u").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_u").checkpoint()
-    if shared.isEmpty():
-        asks = F.col("_i").isNull() & F.col("_u").isNotNull()
-        told = s.filter(~asks).withColumn("entity", F.coalesce("_i", "_h"))
-        asked = s.filter(asks).join(pairs.select(F.col("_u").alias("_n"), F.col("_i").alias("_of")), F.col("_u") == F.col("_n"), "left")
-        return told.unionByName(asked.withColumn("entity", F.coalesce("_of", "_u")).drop("_n", "_of")).drop("_u", "_i", "_h")
-    drawn = pairs.join(shared, "_u", "left_semi").select("_i").distinct()
-    alone = pairs.join(drawn, "_i", "left_anti").select(F.col("_u").alias("node"), F.col("_i").alias("component"))
-    known = components(pairs.join(drawn, "_i", "left_semi").select(F.col("_u").alias("a"), F.col("_i").alias("b"))).unionByName(alone)
-    s = s.withColumn("_n", F.when(F.col("_u").isNull(), F.coalesce("_i", "_h")).otherwise(F.col("_u")))
-    s = s.join(known.withColumnRenamed("node", "_n"), "_n", "left").withColumn("entity", F.coalesce("component", "_n"))
-    return s.drop("_u", "_i", "_h", "_n", "component")
+    Nearly every URL has one id and every id one URL: such rows are known by the URL, or
+    by the id where there is none, and nothing is joined.  Only the links of ids with
+    several URLs and of URLs with several ids are looked up; where no URL has two ids, an
+    id with its URLs is an entity as it is, otherwise ``components`` settles them."""
+    return _entities(s)[0]
 
 
 def all_names(s: DataFrame, *cols: str) -> DataFrame:
@@ -129,34 +152,32 @@ def upsert(existing: DataFrame | None, sightings: DataFrame, rest: bool = True,
     out, and ``replaces`` lists the ids of the stored rows that went into each."""
     ensure_checkpoints(sightings.sparkSession)
     # Read by several steps: made once.
-    whole = "url_canonical" in sightings.columns
-    made = s = sightings if whole else stored_form(sightings).persist()
+    s = sightings if "url_canonical" in sightings.columns else stored_form(sightings).checkpoint()
     s = s.withColumn("_old", F.lit(None).cast("long")).withColumn("_first", F.col("seen_at"))
     kept = None
     if existing is not None:
         old, kept = touched(existing, s)
         old = old.withColumns({"seq": F.lit(-1).cast("long"), "seen_at": F.col("last_seen_at"), "_old": F.col("id"), "_first": F.col("first_seen_at")})
         s = s.unionByName(old.select(*[F.col(c) if c in old.columns else F.lit(None).alias(c) for c in s.columns]).checkpoint())
-    more = (F.min("_old").alias("_old"), F.min_by("_first", "seq").alias("_first"), F.count_if(F.col("_old").isNull()).alias("touched"))
-    s = entities(s)
-    m = fold(s, more=more)
-    if not rest:
-        gone = F.array().cast("array<long>")
-        if existing is not None:
-            m = m.join(s.filter("_old is not null").groupBy("entity", "source").agg(F.collect_set("_old").alias("_gone")), ["entity", "source"], "left")
-            gone = F.coalesce("_gone", gone)
-        m = m.withColumn("replaces", gone).drop("_gone")
+    more = (F.min("_old").alias("_old"), F.max("_old").alias("_old2"), F.count("_old").alias("_olds"), F.min_by("_first", "seq").alias("_first"), F.count_if(F.col("_old").isNull()).alias("touched"))
+    s, most = _entities(s)
+    # Ranges of entities are folded as they are and stay in order, so ids need no other sort.
+    ranged = most <= MOST_SEEN
+    m = fold(s.repartitionByRange("entity") if ranged else s, more=more)
     m = m.withColumn("first_seen_at", F.col("_first")).withColumn("fingerprint", fingerprint(F.col("source"), F.col("source_listing_id"), F.col("url"), F.col("city"), F.col("category"), F.col("title"), F.col("price_raw")))
-    # Folded once: its ranges are found, and then the rows sorted, from what is kept meanwhile.
-    m = m.withColumn("action", F.when(F.col("_old").isNull(), "inserted").otherwise("updated")).persist()
+    m = m.withColumn("action", F.when(F.col("_old").isNull(), "inserted").otherwise("updated"))
     if last_id is None:
         last_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if existing is not None else 0
     # New ids in the order of entities.
-    out = numbered(m, ["entity"], "_n", F.col("_old").isNull())
-    m.unpersist()
-    if not whole:
-        made.unpersist()
-    out = out.withColumn("id", F.coalesce("_old", F.lit(last_id) + F.col("_n") + 1)).drop("_old", "_first", "_n", "entity", "sightings")
+    out = numbered(m if ranged else m.checkpoint(), ["entity"], "_n", None if existing is None else F.col("_old").isNull(), ranged)
+    if not rest:
+        few = F.array_distinct(F.array_compact(F.array("_old", "_old2")))
+        if existing is not None and not out.filter("_olds > 2").isEmpty():
+            many = s.filter("_old is not null").groupBy(F.col("entity").alias("_e")).agg(F.collect_set("_old").alias("_gone")).filter(F.size("_gone") > 2)
+            out = out.join(many, F.col("entity") == F.col("_e"), "left").withColumn("replaces", F.coalesce("_gone", few)).drop("_e", "_gone")
+        else:
+            out = out.withColumn("replaces", few)
+    out = out.withColumn("id", F.coalesce("_old", F.lit(last_id) + F.col("_n") + 1)).drop("_old", "_old2", "_olds", "_first", "_n", "entity", "sightings")
     if not rest or kept is None:
         return out
     more = {"action": F.lit("kept"), "touched": F.lit(0).cast("long")}
@@ -173,6 +194,10 @@ def batch_counts(actions: DataFrame) -> DataFrame:
 def check_unique(df: DataFrame) -> None:
     """Raises if a key of the table is not unique."""
     keys = [["fingerprint"], ["source", "url_canonical"], ["source", "source_listing_id"]]
+    # Where no two hashes are equal, no two keys are.
+    marks = [F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]), F.xxhash64(F.lit(n), *k)) for n, k in enumerate(keys)]
+    if df.select(F.explode(F.array_compact(F.array(*marks))).alias("k")).groupBy("k").count().filter("count > 1").isEmpty():
+        return
     for k in keys:
         d = reduce(lambda d, c: d.filter(F.col(c).isNotNull()), k, df)
         if d.groupBy(*k).count().filter("count > 1").limit(1).count():

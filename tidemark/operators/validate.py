@@ -34,6 +34,13 @@ def split_valid(df: DataFrame, today: date, sources: tuple[str, ...] = SOURCES)
     return judged.filter(F.size("_reasons") == 0).drop("_reasons"), bad.select("source", "url", F.array_join("_reasons", "; ").alias("reasons"), payload.alias("payload"))
 
 
+def judged(df: DataFrame, today: date, sources: tuple[str, ...] = SOURCES) -> DataFrame:
+    """``split_valid`` in one frame: adds ``_reasons``, null for valid rows, and ``_payload``, for rejects only."""
+    why = F.when(F.size("_reasons") > 0, F.array_join("_reasons", "; "))
+    whole = F.when(F.size("_reasons") > 0, F.to_json(F.struct(*[F.col(x) for x in df.columns])))
+    return df.withColumn("_reasons", problems(today, sources)).withColumns({"_payload": whole, "_reasons": why})
+
+
 def to_day(value: date | datetime | str | None) -> date | None:
     """A bound of a window: a date, a moment, ISO text (its first ten
     characters), or nothing."""

@@ -35,7 +35,7 @@ from tidemark import schema as S
 from tidemark.functions.text import clean_text
 from tidemark.operators import listings as L
 from tidemark.operators.merge import all_names, check_unique, stored_form, upsert
-from tidemark.operators.validate import split_valid
+from tidemark.operators.validate import judged
 from tidemark.session import ensure_checkpoints
 from tidemark.sources.layout import CELL_ROWS, Cell, Part, cells_for, lines, placed, plan_cells, towns
 
@@ -45,6 +45,9 @@ KEY_BUCKETS = 64
 #: Folders of one slice of a cell before ``compact`` makes them one.
 MOST_PARTS = 8
 
+#: Tasks that list folders.
+LISTERS = 64
+
 _KEYS = "k long, id long, cell int, slice int"
 
 
@@ -95,6 +98,8 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, cell_rows: int = CELL_ROWS):
         self.spark, self.root, self.cell_rows = spark, root.rstrip("/"), cell_rows
+        # Folders of many slices are listed some at a time, not by a task each.
+        spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", min(LISTERS, int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism"))))
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -120,7 +125,9 @@ class Store:
         out.close()
 
     def _open(self, name: str, folders: list[str]) -> DataFrame:
-        d = self.spark.createDataFrame([], TABLES[name]) if not folders else self.spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{name}/{at}" for at in folders])
+        # Listings are always written in the columns' types, so no file is opened to learn them.
+        reader = self.spark.read.schema(S.LISTINGS) if name == "listings" else self.spark.read.option("mergeSchema", True)
+        d = self.spark.createDataFrame([], TABLES[name]) if not folders else reader.parquet(*[f"{self.root}/{name}/{at}" for at in folders])
         for f in StructType.fromDDL(TABLES[name]).fields:
             if f.name not in d.columns:
                 d = d.withColumn(f.name, F.lit(None).cast(f.dataType))
@@ -208,6 +215,8 @@ class Store:
         """(id, cell, slice) of the entries of the index that have the hash of a
         name of the records."""
         ensure_checkpoints(self.spark)
+        if not state.keys:
+            return self.spark.createDataFrame([], "id long, cell int, slice int")
         wanted = all_names(records).select(_key(F.col("name")).alias("k")).distinct().checkpoint()
         buckets = {r[0] for r in wanted.select(_bucket(F.col("k"))).distinct().collect()}  # KEY_BUCKETS at most
         at = [f"{self.root}/listings/{k.at}" for k in state.keys if k.bucket in buckets]
@@ -218,33 +227,35 @@ class Store:
     def ingest(self, sightings: DataFrame, today) -> dict[str, int]:
         """Validates, merges and stores sightings; rejects go to their table."""
         ensure_checkpoints(self.spark)
-        good, bad = split_valid(sightings, today)
-        bad = bad.withColumn("rejected_at", F.current_timestamp()).persist(StorageLevel.MEMORY_AND_DISK)
-        refused = bad.count()
-        if refused:
+        # Read and judged once, valid or not.
+        made = stored_form(judged(sightings, today)).checkpoint()
+        bad = made.filter("_reasons is not null").select("source", "url", F.col("_reasons").alias("reasons"), F.col("_payload").alias("payload"), F.current_timestamp().alias("rejected_at"))
+        if not bad.isEmpty():
             self.append("rejects", bad)
-        bad.unpersist()
-        state, good = self.state(), stored_form(good).checkpoint()
-        hits = self._hits(state, good).persist(StorageLevel.MEMORY_AND_DISK)
-        near = {(r.cell, r.slice) for r in hits.select("cell", "slice").distinct().collect()}  # a cell's slices at most
+        state, good = self.state(), made.filter("_reasons is null").drop("_reasons", "_payload")
+        hits, near = None, set()
+        if state.keys:
+            hits = self._hits(state, good).persist(StorageLevel.MEMORY_AND_DISK)
+            near = {(r.cell, r.slice) for r in hits.select("cell", "slice").distinct().collect()}  # a cell's slices at most
         old = self._open("listings", [p.at for p in state.parts if (p.cell, p.slice) in near]) if near else None
-        merged = upsert(old, good, rest=False, last_id=state.last_id).persist(StorageLevel.MEMORY_AND_DISK)
+        merged = upsert(old, good, rest=False, last_id=state.last_id)
         new = (F.col("action") == "inserted").cast("long")
         row = merged.agg(F.coalesce(F.sum(new), F.lit(0)), F.coalesce(F.sum(F.col("touched") - new), F.lit(0)), F.max("id")).first()
         types = {f.name: f.dataType for f in StructType.fromDDL(S.LISTINGS).fields}
-        table = merged.select(*[F.col(c).cast(t).alias(c) if c in merged.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()])
+        rows = table = merged.select(*[F.col(c).cast(t).alias(c) if c in merged.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()])
         check_unique(table)
-        gone = merged.select(F.explode("replaces").alias("id"))
-        stale = {(r.cell, r.slice) for r in hits.join(gone, "id", "left_semi").select("cell", "slice").distinct().collect()}
-        beside = self._open("listings", [p.at for p in state.parts if (p.cell, p.slice) in stale]).join(gone, "id", "left_anti").select(*types)
-        rows = table.unionByName(beside)
+        stale = set()
+        if near:
+            gone = merged.select(F.explode("replaces").alias("id"))
+            stale = {(r.cell, r.slice) for r in hits.join(gone, "id", "left_semi").select("cell", "slice").distinct().collect()}
+            rows = table.unionByName(self._open("listings", [p.at for p in state.parts if (p.cell, p.slice) in stale]).join(gone, "id", "left_anti").select(*types))
         found = towns(rows)
         cells = cells_for(state.cells, found, self.cell_rows)
         parts, keys = self._fill_cells(rows, table, cells, found)
         kept = [p for p in state.parts if (p.cell, p.slice) not in stale]
         self._publish("listings", State(cells, kept + parts, state.keys + keys, max(state.last_id, row[2] or 0)).lines())
-        hits.unpersist()
-        merged.unpersist()
+        if hits is not None:
+            hits.unpersist()
         return {"inserted": row[0], "updated": row[1]}
 
     def compact(self, name: str, most: int = MOST_PARTS) -> int:
