@@ -6,6 +6,7 @@ import json
 import random
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from test_run import page
 from test_walk import loop, units
@@ -38,6 +39,64 @@ def test_any_split_equals_a_loop(spark, tmp_path, stale, barren, most, files):
         assert sorted(got.get(u, [])) == loop(ps, stale, barren, most)[0], u
 
 
+class _Held:
+    """A state of one unit that counts the calls to it."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, []
+
+    def get(self):
+        self.calls.append("get")
+        return (self.held[0] if self.held else None) if self.one else iter(list(self.held))
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = [value]
+
+    def put(self, values):
+        self.calls.append("put")
+        self.held = list(values)
+
+    def appendValue(self, value):  # noqa: N802 (Spark's names)
+        self.appendList([value])
+
+    def appendList(self, values):  # noqa: N802
+        self.calls.append("append")
+        self.held += values
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = []
+
+
+def test_state_is_asked_for_once_a_batch_not_once_an_ad():
+    """However many ads a batch has, in order or early, the calls to the state stay few."""
+    calls = []
+
+    class Handle:
+        def _of(self, one):
+            h = _Held(calls)
+            h.one = one
+            return h
+
+        def getValueState(self, *a):  # noqa: N802
+            return self._of(True)
+
+        def getListState(self, *a):  # noqa: N802
+            return self._of(False)
+
+    w = collect.UnitWalk()
+    w.init(Handle())
+    one = lambda p: json.dumps([{"rn": p * 50 + n, "key": f"{p}-{n}", "own": True, "inw": True} for n in range(50)])
+    got = []
+    for batch in (range(1, 20, 2), range(2, 21, 2), range(1, 4), range(21, 30)):
+        calls.clear()
+        for d in w.handleInputRows((7,), iter([pd.DataFrame({"page": list(batch), "ads": [one(p) for p in batch]})]), None):
+            got += d["rn"].tolist()
+        assert len(calls) <= 6, calls
+    assert got == [p * 50 + n for p in range(1, 30) for n in range(50)]
+
+
 def test_captures_are_collected_in_parts(spark, tmp_path):
     """Page 2 before page 1, an ad seen twice, two stale pages, an empty page, a foreign ad."""
     cities = spark.createDataFrame([("Lahore", ["LHR"], 0, True), ("Multan", [], 1, True)], "name string, aliases array<string>, pos int, enabled boolean").withColumn("keys", city_keys("name", "aliases"))

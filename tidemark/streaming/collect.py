@@ -32,60 +32,79 @@ from tidemark.sources.store import Store
 CAPTURE = "city string, source string, category string, page int, url string, text string, base_url string, status int, allowed boolean"
 #: A page: the unit, its number, and its ads in order, as JSON.
 PAGE = "unit long, page long, ads string"
-_AT = "page long, stale int, idle int, made long, ended boolean"
+_AT = "page long, stale int, idle int, made long, ended boolean, early long"
 _OUT = "unit long, page long, rn long, inw boolean, ad string"
 
 
 class UnitWalk(StatefulProcessor):
-    """Reads a unit's pages in order; gives its fresh ads until a rule ends it."""
+    """Reads a unit's pages in order; gives its fresh ads until a rule ends it.
+
+    State is asked for and told once a batch, not once an ad: the keys that a batch adds
+    are one entry of a list, and pages that wait are read when the awaited one is among
+    them (``early`` is the first that waits)."""
 
     def __init__(self, stale: int = 2, barren: int = 0, most: int | None = None):
         self.patience, self.barren, self.most = stale, barren, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.at = handle.getValueState("at", _AT)
-        self.seen = handle.getMapState("seen", "key string", "page long")
-        self.waiting = handle.getMapState("waiting", "page long", "ads string")
+        self.seen = handle.getListState("seen", "keys string")
+        self.waiting = handle.getListState("waiting", "page long, ads string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
-        page, stale, idle, made, ended = self.at.get() if self.at.exists() else (1, 0, 0, 0, False)
+        page, stale, idle, made, ended, early = self.at.get() or (1, 0, 0, 0, False, None)
+        if ended:
+            return
         came: dict[int, str] = {}
         for part in rows:
-            if not ended:
-                came.update(zip(part["page"].tolist(), part["ads"].tolist(), strict=True))
+            came.update(zip(part["page"].tolist(), part["ads"].tolist(), strict=True))
         out: list[tuple] = []
+        known: set[str] | None = None
+        added: list[str] = []
+        first, held = page, early is not None
         while not ended:
+            if page == early:
+                came, early = dict(self.waiting.get()) | came, None
             ads = came.pop(page, None)
             if ads is None:
-                if not self.waiting.containsKey((page,)):
-                    break
-                ads = self.waiting.getValue((page,))[0]
-                self.waiting.removeKey((page,))
-            stale, idle, made, ended = self._page(key[0], page, json.loads(ads), stale, idle, made, out)
+                break
+            if known is None:
+                known = {k for (keys,) in self.seen.get() for k in json.loads(keys)} if page > 1 else set()
+            stale, idle, made, ended = self._page(key[0], page, json.loads(ads), stale, idle, made, out, known, added)
             page += 1
-        for later, ads in came.items():
-            if later > page and not ended:
-                self.waiting.updateValue((later,), (ads,))
+        later = [] if ended else [(p, ads) for p, ads in came.items() if p > page]
         if ended:
-            self.seen.clear()
-            self.waiting.clear()
-        self.at.update((page, stale, idle, made, ended))
-        yield pd.DataFrame(out, columns=["unit", "page", "rn", "inw", "ad"])
-
-    def _page(self, unit: int, page: int, ads: list[dict], stale: int, idle: int, made: int, out: list) -> tuple[int, int, int, bool]:
+            if first > 1:
+                self.seen.clear()
+            if held:
+                self.waiting.clear()
+        else:
+            if added:
+                self.seen.appendValue((json.dumps(added),))
+            if held and early is None:  # read above: what is left is written anew
+                self.waiting.put(later) if later else self.waiting.clear()
+            elif later:
+                self.waiting.appendList(later)
+            early = min([p for p, _ in later] + ([] if early is None else [early]), default=None)
+        self.at.update((page, stale, idle, made, ended, early))
+        if out:
+            yield pd.DataFrame(out, columns=["unit", "page", "rn", "inw", "ad"])
+
+    def _page(self, unit: int, page: int, ads: list[dict], stale: int, idle: int, made: int, out: list, known: set[str], added: list[str]) -> tuple[int, int, int, bool]:
         if not ads or (self.most and made >= self.most):
             return stale, idle, made, True
         own = [a for a in ads if a["own"]]
         fresh = {}
         for a in own:
-            if a["key"] not in fresh and not self.seen.containsKey((a["key"],)):
+            if a["key"] not in fresh and a["key"] not in known:
                 fresh[a["key"]] = a
         if not fresh:
             return stale + 1, idle, made, stale + 1 >= self.patience
         for k, a in fresh.items():
             if self.most and made >= self.most:
                 break
-            self.seen.updateValue((k,), (page,))
+            known.add(k)
+            added.append(k)
             out.append((unit, page, a["rn"], a["inw"], json.dumps(a.get("ad"))))
             made += a["inw"]
         idle = 0 if any(a["inw"] for a in own) else idle + 1
